@@ -4,22 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing
+from . import language_id, packing, quality, toxicity
+from .scratch import fold
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _held_out(parts: int, remainder: int) -> Column:
+    return F.coalesce(fold(F.col("doc_id"), parts) == remainder, F.lit(False))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = _read(spark, sf_dir, "documents")
+    model = language_id.train(docs, fold(F.col("doc_id"), 3) != 1)
+    return language_id.predict(docs, model).select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.train(docs, _read(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+    return quality.score(docs, model).select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    return toxicity.score(docs, model).select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 ids, with the CRC-32 of each piece's ids."""
     pieces = packing.pack(_read(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids_le").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_packing": op9_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
+    "op3_quality": op3_quality,
+    "op5_toxicity": op5_toxicity,
+    "op9_packing": op9_packing,
+}
 
 SQL: dict[str, str] = {}
