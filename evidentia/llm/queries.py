@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, quality, toxicity
+from . import language_id, minhash, packing, quality, toxicity
 from .scratch import fold
 
 
@@ -40,6 +40,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles have a similarity of 0.8 or more."""
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 ids, with the CRC-32 of each piece's ids."""
     pieces = packing.pack(_read(spark, sf_dir, "documents"))
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_quality": op3_quality,
     "op5_toxicity": op5_toxicity,
+    "op8_minhash": op8_minhash,
     "op9_packing": op9_packing,
 }
 

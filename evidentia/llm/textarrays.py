@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import sys
 
 import numpy as np
@@ -25,12 +26,6 @@ def space_table() -> np.ndarray:
     return np.fromiter((chr(i).isspace() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-@functools.lru_cache(1)
-def powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, enough for the longest array seen so far."""
-    return _powers(1 << 16)
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_BASE, -1, 1 << 64)
     up, down = np.full(n, _BASE, np.uint64), np.full(n, inverse, np.uint64)
@@ -107,3 +102,34 @@ def letter_ngrams(text: str, orders: tuple[int, ...]) -> list[np.ndarray]:
             if n in orders:
                 found.append(h * _M2)
     return found
+
+
+_BREAK = re.compile("[ \t\n\x0b\x0c\r]")
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+`` of a whole text, A-Z lower-cased. Long texts are cut at white space."""
+    found, at = [], 0
+    while at < len(text):
+        end = len(text)
+        if end - at > BLOCK:
+            cut = _BREAK.search(text, at + BLOCK)
+            end = cut.start() if cut else end
+        a = codes(text[at:end] if at or end < len(text) else text)
+        a = np.where((a >= 65) & (a <= 90), a + np.uint32(32), a)
+        starts, ends = runs(~((a == 32) | ((a >= 9) & (a <= 13))))
+        found.append(span_hashes(a, starts, ends))
+        at = end
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
+
+
+def shingles(text: str, words: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's runs of ``words`` words; of the whole sequence if it has fewer; empty without words."""
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    n = min(words, len(h))
+    total = np.zeros(len(h) - n + 1, np.uint64)
+    for k in range(n):
+        total = mix(total * np.uint64(_BASE) + h[k : len(h) - n + 1 + k] + np.uint64(k + 1))
+    return np.unique(total + np.uint64(0 if n == words else n))

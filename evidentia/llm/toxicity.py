@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier on character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 The document frequencies of all n-grams in toxic and in other labelled training texts are counted over all of them; they
-give each n-gram a log-count ratio. The n-grams whose frequencies differ most (MAX_FEATURES, a model size) become features,
-present or not, scaled by their ratio. A logistic regression over them is fitted on a bounded sample (MAX_SAMPLE).
+give each n-gram a log-count ratio. The n-grams whose frequencies differ significantly (a chi-square of MIN_CHI or more; the
+MAX_FEATURES that differ most, a model size) become features, present or not, scaled by their ratio. A logistic regression over them is fitted on a bounded sample (MAX_SAMPLE).
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from .learning import map_texts, labelled, sigmoid, temperature, unit
 from .scratch import ship, write
 from .textarrays import letter_ngrams
 
-ORDERS = (4, 5)
-MAX_FEATURES, MAX_SAMPLE = 20_000, 6000
+ORDERS = (5, 6)
+MIN_CHI, MAX_FEATURES, MAX_SAMPLE = 25.0, 20_000, 6000
 _BITS = 22
 #: N-grams that a counting task holds before it hands its counts on.
 _HOLD = 2_000_000
@@ -90,7 +90,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out([None], [docs[1]], [docs[0]])
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, prior: float, l2: float = 1e-4, steps: int = 150, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, prior: float, l2: float = 1e-4, steps: int = 300, rate: float = 0.03) -> tuple[np.ndarray, float]:
     """Coefficients (times ratios) and bias of a logistic regression on present features scaled by ratio, by Adam on all rows.
 
     Both classes weigh the same in the fit; the bias is then set for the share ``prior`` of class 1.
@@ -115,7 +115,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, prior: float,
 def train(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_features: int = MAX_FEATURES, max_sample: int = MAX_SAMPLE, seed: int = 11) -> Model:
     """Fit on documents with a label of 0 or 1 for which train_rows (a condition on the id) holds.
 
-    Null texts count as empty. Without documents of both classes the model has no features and gives the share of class 1
+    Null texts count as empty. Without documents of both classes, or n-grams that tell them apart, the model has no features and gives the share of class 1
     among the labelled documents (0.0 without any).
     """
     spark = docs.sparkSession
@@ -124,17 +124,23 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str =
     counts = write(known.select("text", "label").mapInArrow(_count, "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "ngrams")
     sizes = counts.df.filter("h is null").select("pos", "neg").first()
     n_pos, n_neg = sizes if sizes else (0, 0)
-    if not n_pos or not n_neg:
-        counts.drop()
+
+    def plain() -> Model:
         share = min(max(n_pos / max(1, n_pos + n_neg), 1e-12), 1 - 1e-12)
         return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(share / (1 - share))) if n_pos else -40.0)
+
+    if not n_pos or not n_neg:
+        counts.drop()
+        return plain()
     total = counts.df.filter("h is not null").agg(F.sum(F.col("pos") + 1).cast("double").alias("p"), F.sum(F.col("neg") + 1).cast("double").alias("q")).first()
     # the signed root of Pearson's chi-square of the presence of an n-gram and the label
     a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
     c, d = F.lit(float(n_pos)) - a, F.lit(float(n_neg)) - b
     chi = F.pow(a * d - b * c, F.lit(2.0)) * (n_pos + n_neg) / ((a + b) * (c + d) * float(n_pos) * float(n_neg) + 1e-9)
-    top = counts.df.filter("h is not null").select("h", "pos", "neg", chi.alias("chi")).orderBy(F.desc("chi"), "h").limit(max_features).collect()
+    top = counts.df.filter("h is not null").select("h", "pos", "neg", chi.alias("chi")).filter(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "h").limit(max_features).collect()
     counts.drop()
+    if not top:
+        return plain()
     h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(h)
     features = h[order]
