@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, minhash, packing, quality, toxicity
+from . import embedding_dedup, language_id, minhash, packing, quality, toxicity
 from .scratch import fold
 
 
@@ -51,12 +51,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids_le").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of vectors linked by a cosine of 0.95 or more."""
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_quality": op3_quality,
     "op5_toxicity": op5_toxicity,
     "op8_minhash": op8_minhash,
     "op9_packing": op9_packing,
+    "op10_embeddings": op10_embeddings,
 }
 
 SQL: dict[str, str] = {}
