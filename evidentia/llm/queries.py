@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, minhash, packing, quality, topk, toxicity
+from . import embedding_dedup, language_id, minhash, mixing, packing, quality, topk, toxicity, url_filter, warc_zip
 from .scratch import fold
 
 
@@ -19,6 +19,14 @@ def _held_out(parts: int, remainder: int) -> Column:
     return F.coalesce(fold(F.col("doc_id"), parts) == remainder, F.lit(False))
 
 
+RULES = ["block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/"]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL, by rules and through canonical links and refresh redirects."""
+    return url_filter.judge(_read(spark, sf_dir, "pages"), [url_filter.parse_rule(r) for r in RULES])
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     docs = _read(spark, sf_dir, "documents")
@@ -45,6 +53,27 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record per page, written to ZIP archives and read back from them."""
+    records = warc_zip.read_archives(warc_zip.write_archives(_read(spark, sf_dir, "pages")), payloads=False)
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 3, 17
+#: Whole-number weights by path; nodes that aren't named weigh 1.
+MIX_WEIGHTS = {("web",): 2, ("curated",): 3, **{(d, lang): w for d in ("web", "curated") for lang, w in (("en", 4), ("de", 3), ("fr", 3), ("es", 5))}, ("curated", "en", "src1"): 6, ("curated", "de", "src2"): 5}
+
+
+def mix_levels() -> dict[str, Column]:
+    """Domain, language and source of a document; the domain ``web`` is the source src0."""
+    return {"domain": F.when(F.col("source") == "src0", "web").otherwise("curated"), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is taken of every document to spend a token budget by the weights of domains, languages and sources."""
+    return mixing.mix(_read(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of two-word shingles have a similarity of 0.8 or more."""
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), words=2, percent=80)
@@ -62,16 +91,92 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
     "op3_quality": op3_quality,
     "op4_top_k": op4_top_k,
     "op5_toxicity": op5_toxicity,
+    "op6_warc_zip": op6_warc_zip,
+    "op7_mixing": op7_mixing,
     "op8_minhash": op8_minhash,
     "op9_packing": op9_packing,
     "op10_embeddings": op10_embeddings,
 }
 
+_HOST = "coalesce(translate(regexp_extract({0}, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+_PATH = "coalesce(regexp_extract({0}, '://[^/?#]*([^?#]*)', 1), '')"
+_BARE = "regexp_replace({0}, '(?s)#.*$', '')"
+_ALIAS = "CASE WHEN contains({0}, '://') THEN split_part(" + _BARE + ", '://', 1) || '://' || " + _HOST.format(_BARE) + " || regexp_extract(" + _BARE + ", '(?s)://[^/?#]*(.*)$', 1) END"
+_RULE = "CASE " + " ".join(
+    f"WHEN ({{0}} = '{h}' OR ends_with({{0}}, '.{h}')) AND starts_with({{1}}, '{p}') THEN '{v} {h}{p}'"
+    for v, h, p in sorted((url_filter.parse_rule(r) for r in RULES), key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+) + " END"
+
+
+def _mix_sql() -> str:
+    weights = ", ".join(f"({len(k)}, '{'/'.join(k)}', {w})" for k, w in MIX_WEIGHTS.items())
+    names = ["domain", "lang", "source"]
+    parts = []
+    for depth in (1, 2, 3):
+        keys = ", ".join(names[:depth])
+        up = ", ".join(names[: depth - 1]) or "0"
+        path = " || '/' || ".join(names[:depth])
+        budget = f"(SELECT floor({MIX_SHARE}::DOUBLE * sum(available))::BIGINT FROM leaves)" if depth == 1 else "budget"
+        source = "leaves" if depth == 1 else f"leaves JOIN s{depth - 1} USING ({', '.join(names[: depth - 1])})"
+        group = keys if depth == 1 else f"{keys}, budget"
+        before = f"(PARTITION BY {up} ORDER BY capacity / weight, {names[depth - 1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        parts.append(f"""n{depth} AS (
+    SELECT {keys}, sum(available * {MIX_EPOCHS})::BIGINT AS capacity, coalesce(max(w), 1) AS weight, {budget} AS budget
+    FROM {source} LEFT JOIN weights ON depth = {depth} AND path = {path} GROUP BY {group}
+), f{depth} AS (
+    SELECT *, capacity * (sum(weight) OVER (PARTITION BY {up}) - coalesce(sum(weight) OVER {before}, 0)) <= weight * (budget - coalesce(sum(capacity) OVER {before}, 0)) AS isfull FROM n{depth} WHERE weight > 0
+), s{depth} AS (
+    SELECT {keys}, CASE WHEN isfull THEN capacity ELSE (weight * (budget - coalesce(sum(capacity) FILTER (isfull) OVER (PARTITION BY {up}), 0)) // sum(weight) FILTER (NOT isfull) OVER (PARTITION BY {up})) END::BIGINT AS budget FROM f{depth}
+)""")
+    return f"""
+WITH weights(depth, path, w) AS (VALUES {weights}), docs AS (
+    SELECT doc_id, CASE WHEN source = 'src0' THEN 'web' ELSE 'curated' END AS domain, coalesce(lang, '(null)') AS lang, coalesce(source, '(null)') AS source,
+        coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS tokens FROM documents
+), known AS (SELECT * FROM docs WHERE tokens > 0 AND doc_id IS NOT NULL),
+leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS available FROM known GROUP BY ALL),
+{", ".join(parts)}, taken AS (
+    SELECT *, budget // available AS whole, budget % available AS part FROM known JOIN s3 USING (domain, lang, source) JOIN leaves USING (domain, lang, source) WHERE budget > 0
+), placed AS (
+    SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{MIX_SEED}:' || whole::VARCHAR || ':' || doc_id::VARCHAR), tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM taken
+)
+SELECT doc_id, domain, lang, source, unnest(range(whole))::INT AS epoch, tokens AS doc_tokens, tokens AS taken FROM taken
+UNION ALL
+SELECT doc_id, domain, lang, source, whole::INT AS epoch, tokens AS doc_tokens, least(tokens, part - start)::BIGINT AS taken FROM placed WHERE start < part
+"""
+
+
 SQL: dict[str, str] = {
+    "op1_url_filter": f"""
+WITH RECURSIVE tags AS (
+    SELECT url AS source, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\s[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL
+), leads AS (
+    SELECT source, CASE
+        WHEN regexp_matches(tag, '(?i)^<link\\s') AND regexp_matches(tag, '(?i)\\srel\\s*=\\s*["'']?canonical["''\\s>/]') THEN regexp_extract(tag, '(?i)\\shref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
+        WHEN regexp_matches(tag, '(?i)^<meta\\s') AND regexp_matches(tag, '(?i)\\shttp-equiv\\s*=\\s*["'']?refresh') THEN regexp_extract(tag, '(?i)url\\s*=\\s*["'']?([^"''\\s>]+)', 1) END AS goal FROM tags
+), links AS (
+    SELECT source, CASE WHEN contains(goal, '://') THEN goal WHEN starts_with(goal, '//') THEN split_part(source, '://', 1) || ':' || goal
+        WHEN starts_with(goal, '/') THEN split_part(source, '://', 1) || '://' || {_HOST.format("source")} || goal END AS target FROM leads WHERE goal <> ''
+), named AS (SELECT {_ALIAS.format("source")} AS a, {_ALIAS.format("target")} AS b FROM links),
+edges AS (SELECT a, b FROM named WHERE a <> b UNION SELECT b, a FROM named WHERE a <> b),
+reach(a, b) AS (SELECT a, a FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+blocked AS (SELECT DISTINCT a FROM reach WHERE {_RULE.format(_HOST.format("b"), _PATH.format("b"))} LIKE 'block %'),
+judged AS (SELECT page_id, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path, {_ALIAS.format("url")} AS name FROM pages),
+matched AS (SELECT *, {_RULE.format("host", "path")} AS found FROM judged)
+SELECT page_id, host, path, split_part(found, ' ', 2) AS rule, coalesce(split_part(found, ' ', 1), CASE WHEN b.a IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM matched m LEFT JOIN blocked b ON m.name = b.a
+""",
+    "op6_warc_zip": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT *, max(CASE WHEN payload_bytes >= 1000 THEN page_id END) OVER (PARTITION BY payload_digest) AS keeper FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper IS DISTINCT FROM page_id AND keeper IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN keeper IS DISTINCT FROM page_id THEN keeper END AS refers_to FROM k
+""",
+    "op7_mixing": _mix_sql(),
     "op4_top_k": """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
