@@ -79,10 +79,13 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def digest_pieces(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids_le").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 ids, with the CRC-32 of each piece's ids."""
-    pieces = packing.pack(_read(spark, sf_dir, "documents"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids_le").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
+    return digest_pieces(packing.pack(_read(spark, sf_dir, "documents")))
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,11 +46,11 @@ def match(rules: list[Rule], host: Column, path: Column) -> Column:
     return found
 
 
-def alias(url: Column) -> Column:
-    """The name of a URL among aliases: without its fragment, and with a lower-case host."""
-    bare = F.regexp_replace(url, "(?s)#.*$", "")
-    rest = F.regexp_extract(bare, "(?s)://[^/?#]*(.*)$", 1)
-    return F.when(F.instr(url, "://") > 0, F.concat(F.substring_index(bare, "://", 1), F.lit("://"), host_of(bare), rest))
+def with_alias(df: DataFrame, url_col: str, name: str) -> DataFrame:
+    """df with the name of a URL among aliases: without its fragment, and with a lower-case host; null without ``://``."""
+    bare = df.withColumn("_bare", F.regexp_replace(F.col(url_col), "(?s)#.*$", ""))
+    parts = bare.withColumn("_scheme", F.substring_index("_bare", "://", 1)).withColumn("_host", host_of(F.col("_bare"))).withColumn("_rest", F.regexp_extract("_bare", "(?s)://[^/?#]*(.*)$", 1))
+    return parts.withColumn(name, F.when(F.instr("_bare", "://") > 0, F.concat("_scheme", F.lit("://"), "_host", "_rest"))).drop("_bare", "_scheme", "_host", "_rest")
 
 
 def html_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -60,8 +60,8 @@ def html_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     canonical = F.when(F.col("tag").rlike("(?i)^<link\\s") & F.col("tag").rlike("(?i)\\srel\\s*=\\s*[\"']?canonical[\"'\\s>/]"), F.regexp_extract("tag", "(?i)\\shref\\s*=\\s*[\"']?([^\"'\\s>]+)", 1))
     refresh = F.when(F.col("tag").rlike("(?i)^<meta\\s") & F.col("tag").rlike("(?i)\\shttp-equiv\\s*=\\s*[\"']?refresh"), F.regexp_extract("tag", "(?i)url\\s*=\\s*[\"']?([^\"'\\s>]+)", 1))
     leads = found.select("source", F.coalesce(canonical, refresh).alias("to")).filter("to <> ''")
-    base = F.concat(F.substring_index("source", "://", 1), F.lit("://"), host_of(F.col("source")))
-    target = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.substring_index("source", "://", 1), F.lit(":"), F.col("to"))).when(F.col("to").startswith("/"), F.concat(base, F.col("to")))
+    leads = leads.withColumn("scheme", F.substring_index("source", "://", 1)).withColumn("host", host_of(F.col("source")))
+    target = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat("scheme", F.lit(":"), "to")).when(F.col("to").startswith("/"), F.concat("scheme", F.lit("://"), "host", "to"))
     return leads.select("source", target.alias("target")).filter("target is not null")
 
 
@@ -76,7 +76,8 @@ def judge(pages: DataFrame, rules: list[Rule], links: DataFrame | None = None, i
     if links is not None:
         known.append(links.select("source", "target"))
     url = F.col(url_col)
-    own = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), alias(url).alias("_alias"))
+    own = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), url.alias("_url"))
+    own = with_alias(own, "_url", "_alias")
     own = own.withColumn("_match", match(rules, F.col("host"), F.col("path")))
     if not known:
         blocked = None
@@ -84,7 +85,9 @@ def judge(pages: DataFrame, rules: list[Rule], links: DataFrame | None = None, i
         edges = known[0]
         for x in known[1:]:
             edges = edges.unionAll(x)
-        joined = components(edges.select(alias(F.col("source")).alias("a"), alias(F.col("target")).alias("b")))
+        edges = write(edges, "links")
+        joined = components(with_alias(with_alias(edges.df, "source", "a"), "target", "b"))
+        edges.drop()
         nodes = joined.df.withColumn("_block", F.coalesce(match(rules, host_of(F.col("id")), path_of(F.col("id"))).startswith("block "), F.lit(False)))
         bad = write(nodes.groupBy("component").agg(F.max("_block").alias("_block")).filter("_block"), "blocked")
         blocked = write(joined.df.join(bad.df, "component").select(F.col("id").alias("_alias"), F.lit(True).alias("_blocked")), "blocked")
