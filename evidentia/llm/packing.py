@@ -99,7 +99,7 @@ class SumOfSquares:
         """The fill level (0: a new window) to which a piece of ``size`` goes."""
         c, n = self.capacity, self.level
         fits = n[1 : c - size + 1]  # levels 1 .. c - size
-        best, gain = 0, 2 * int(n[size]) + 2 if size < c else 0
+        best, gain = 0, 2 * int(n[size]) + 1
         levels = np.flatnonzero(fits) + 1
         if len(levels):
             after = levels + size
