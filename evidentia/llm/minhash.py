@@ -1,12 +1,14 @@
 """MinHash near-duplicates with sequential Bayesian verification and exact confirmation.
 
 Texts with equal shingle sets form a class. Class signatures are banded; classes that share a band's bucket are
-candidates. A bucket never emits all its pairs: in each round some of its members, the leaders, are paired with the
-members that no link found so far connects with them, and leave the bucket; a bucket ends when all that is left in it is
-connected. So a large group of near copies costs rows in proportion to its size, and yet every pair of a bucket that is
-not connected by other links is compared. A pair's signatures are compared batch by batch, and the pair is dropped as
-soon as the posterior probability that its similarity reaches the threshold falls below MISS. Survivors are confirmed on
-their full shingle sets, which are read from the texts again for the classes concerned only.
+candidates. A pair's signatures are compared batch by batch, and the pair is dropped as soon as the posterior probability
+that its similarity reaches the threshold falls below MISS. Survivors are confirmed on their full shingle sets, which are
+read from the texts again for the classes concerned only.
+
+A bucket never emits all its pairs. First each of its members is paired with its smallest one. Buckets whose members the
+links found so far don't connect are finished together: those with the same largest component form a group, and every
+member outside that component is compared with all members of the group. A group of m members of which l are outside is
+dealt into blocks of sqrt(m) by sqrt(m) members, so it costs some 2 l sqrt(m) rows, and a task holds one block's part.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from .textarrays import mix, shingles
 BANDS, ROWS = 32, 4
 #: Signature positions compared at a time, and the posterior probability below which a pair is dropped.
 BATCH, MISS = 16, 1e-5
-#: Leaders of a bucket in every round but the first, and parts into which the pairs of one leader are dealt.
-LEADERS, SALTS = 16, 64
+#: Parts into which the pairs of one leader are dealt.
+SALTS = 64
 _HASHES = BANDS * ROWS
 _A = mix(np.arange(1, _HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, 1001 + _HASHES, dtype=np.uint64))
@@ -99,25 +101,28 @@ def _likely(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have a similarity of percent / 100 at least.
-
-    The pairs of each a are dealt into parts; a part gets the set of a first and then those of its b, one after another,
-    so that a task holds one set at a time and the set of a popular a is sent once for each part.
-    """
-    ids = write(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+def _sets(ids: DataFrame, docs: DataFrame, words: int) -> Table:
+    """(id, s): the shingle sets of the documents with these ids."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in range(0, batch.num_rows, 1000):
                 rows = batch.slice(part, 1000)
                 yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array([shingles(t.as_py() or "", words).tobytes() for t in rows.column("text")], pa.binary())], ["id", "s"])
 
-    wanted = join_checked(docs, ids.df, ["id"], "left_semi", ids.df.count())
-    full = write(wanted.mapInArrow(sets, "id long, s binary"), "sets")
+    wanted = join_checked(docs, ids, ["id"], "left_semi", ids.count())
+    return write(wanted.mapInArrow(run, "id long, s binary"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> Table:
+    """The pairs (a, b) whose full sets have a similarity of percent / 100 at least.
+
+    The pairs of each a are dealt into parts; a part gets the set of a first and then those of its b, one after another,
+    so that a task holds one set at a time and the set of a popular a is sent once for each part.
+    """
     dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    first = dealt.select("a", "part").distinct().join(full.df.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "s")
-    rest = dealt.join(full.df.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "s")
+    first = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "s")
+    rest = dealt.join(sets.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "s")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, leaders = None, []
@@ -143,9 +148,76 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
     rows = first.unionAll(rest).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    result = write(rows.mapInArrow(compare, "a long, b long").distinct(), "links")
-    ids.drop()
-    full.drop()
+    return write(rows.mapInArrow(compare, "a long, b long").distinct(), "links")
+
+
+def _groups(left: DataFrame) -> DataFrame:
+    """(of, rep, label, lead) from the buckets (key, rep, label) that aren't connected: groups by largest component.
+
+    lead marks the members outside the group's largest component.
+    """
+    sizes = write(left.select("rep", "label").distinct().groupBy("label").agg(F.count("*").alias("size")), "sizes")
+    sized = write(left.join(sizes.df, "label"), "sized")
+    largest = write(sized.df.groupBy("key").agg(F.max(F.struct(F.col("size"), (-F.col("label")).alias("l"))).alias("x")).select("key", (-F.col("x.l")).alias("of")), "largest")
+    return sized.df.join(largest.df, "key").select("of", "rep", "label", (F.col("label") != F.col("of")).alias("lead")).distinct()
+
+
+def _crossing(groups: DataFrame, sets: DataFrame, sigs: DataFrame, percent: int) -> Table:
+    """Links (a, b) between members of a group that are in different components: of a member, one for each component and block."""
+    sizes = groups.groupBy("of").agg(F.count("*").alias("m"), F.count_if("lead").alias("l"))
+    side = F.ceil(F.sqrt("m"))
+    plan = write(sizes.select("of", side.cast("int").alias("p"), F.ceil(F.col("l") / side).cast("int").alias("q")), "blocks")
+    dealt = groups.join(plan.df, "of")
+    own_p, own_q = F.pmod(F.xxhash64("rep"), F.col("p")).cast("int"), F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("q")).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = dealt.select("of", own_p.alias("i"), upto("q").alias("j"), F.lit(True).alias("member"), "rep", "label")
+    leaders = dealt.filter("lead").select("of", upto("p").alias("i"), own_q.alias("j"), F.lit(False).alias("member"), "rep", "label")
+    limits = least_matches(percent)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ready, reps, labels, sig, values, owner, known = None, False, [], [], [], [], None, set()
+        for batch in batches:
+            found = []
+            for of, i, j, member, rep, label, g, s in zip(*(batch.column(c) for c in ("of", "i", "j", "member", "rep", "label", "sig", "s")), strict=True):
+                key = (of.as_py(), i.as_py(), j.as_py())
+                if key != now:
+                    now, ready, reps, labels, sig, values, known = key, False, [], [], [], [], set()
+                x, y = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(g.as_buffer(), "<u4")
+                if not member.as_py():
+                    reps.append(rep.as_py())
+                    labels.append(label.as_py())
+                    values.append(x.copy())
+                    sig.append(y.copy())
+                    continue
+                if not reps:
+                    continue
+                if not ready:
+                    ready, labels, sig = True, np.array(labels), np.array(sig)
+                of_x = label.as_py()
+                left = np.flatnonzero(labels != of_x)
+                matches = np.zeros(len(labels), np.int64)
+                for n, least in limits:
+                    matches[left] += (sig[left, n - BATCH : n] == y[n - BATCH : n]).sum(1)
+                    left = left[matches[left] >= least]
+                left = [k for k in left.tolist() if (k, of_x) not in known]
+                if not left:
+                    continue
+                both = np.concatenate([values[k] for k in left])
+                at = np.searchsorted(x, both)
+                at[at == len(x)] = 0
+                ends = np.cumsum([len(values[k]) for k in left])
+                same = np.diff(np.concatenate(([0], np.cumsum(x[at] == both)[ends - 1])))
+                for k, c in zip(left, same.tolist(), strict=True):
+                    if 100 * c >= percent * (len(x) + len(values[k]) - c):
+                        known.add((k, of_x))
+                        found.append((reps[k], rep.as_py()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+    both = members.unionAll(leaders).join(sigs, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    rows = both.select("of", "i", "j", "member", "rep", "label", "sig", "s").repartition("of", "i", "j").sortWithinPartitions("of", "i", "j", "member")
+    result = write(rows.mapInArrow(compare, "a long, b long"), "links")
+    plan.drop()
     return result
 
 
@@ -172,41 +244,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     active = write(keys.join(more, "key").filter("rep <> a").select("key", "a", "rep"), "bucketed")
     pairs = write(buckets.df.filter("n = 2").select("a", "b").unionAll(active.df.select("a", F.col("rep").alias("b"))).distinct(), "pairs")
     buckets.drop()
-    members = active.df.select("key", "rep")
-    links: list[Table] = []
-    joined: Table | None = None
-    while True:
-        likely = write(_likely(pairs.df, sigs, percent), "likely")
-        pairs.drop()
-        links.append(_confirmed(likely.df, source, words, percent))
-        likely.drop()
-        edges = links[0].df
-        for x in links[1:]:
-            edges = edges.unionAll(x.df)
-        if joined:
-            joined.drop()
-        joined = components(edges)
-        # members left in buckets, with the component that each has now, for buckets with more than one component
-        named = members.join(joined.df.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
-        named = write(named, "named")
-        open_keys = write(named.df.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key"), "open")
-        left = write(named.df.join(open_keys.df, "key"), "left")
-        named.drop()
-        open_keys.drop()
-        active.drop()
-        if not left.df.limit(1).count():
-            left.drop()
-            break
-        sizes = write(left.df.groupBy("key", "label").agg(F.count("*").alias("size")), "sizes")
-        ranked = left.df.join(sizes.df, ["key", "label"])
-        leaders = write(ranked.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(LEADERS)).alias("part")).agg(F.min(F.struct("size", "rep", "label")).alias("l")).select("key", "l.rep", "l.label"), "leaders")
-        sizes.drop()
-        lead = leaders.df.select("key", F.col("rep").alias("x"), F.col("label").alias("of"))
-        pairs = write(left.df.join(lead, "key").filter("label <> of").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct(), "pairs")
-        active = write(left.df.select("key", "rep").join(leaders.df.select("key", "rep"), ["key", "rep"], "left_anti"), "bucketed")
-        members = active.df
-        left.drop()
-        leaders.drop()
+    likely = write(_likely(pairs.df, sigs, percent), "likely")
+    pairs.drop()
+    ids = write(likely.df.select(F.col("a").alias("id")).unionAll(likely.df.select(F.col("b").alias("id"))).distinct(), "ids")
+    sets = _sets(ids.df, source, words)
+    links = _confirmed(likely.df, sets.df, percent)
+    for t in (likely, ids, sets):
+        t.drop()
+    joined = components(links.df)
+    # members of the buckets that hold more than one component
+    everyone = active.df.select("key", "rep").unionAll(active.df.select("key", F.col("a").alias("rep")).distinct())
+    named = write(everyone.join(joined.df.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label")), "named")
+    active.drop()
+    open_keys = write(named.df.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key"), "open")
+    left = write(named.df.join(open_keys.df, "key"), "left")
+    named.drop()
+    open_keys.drop()
+    if left.df.limit(1).count():
+        groups = write(_groups(left.df), "groups")
+        ids = write(groups.df.select(F.col("rep").alias("id")).distinct(), "ids")
+        sets = _sets(ids.df, source, words)
+        more = _crossing(groups.df, sets.df, sigs, percent)
+        for t in (groups, ids, sets, joined):
+            t.drop()
+        joined = components(links.df.unionAll(more.df))
+        more.drop()
+    left.drop()
+    links.drop()
     named = signed.df.select("id", "n", "h1", "h2").join(classes.df.select("h1", "h2", F.col("n").alias("m"), "rep"), ["h1", "h2"], "left").filter("m is null or m = n")
     out = named.join(joined.df.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
