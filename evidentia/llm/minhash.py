@@ -8,7 +8,8 @@ read from the texts again for the classes concerned only.
 A bucket never emits all its pairs. First each of its members is paired with its smallest one. Buckets whose members the
 links found so far don't connect are finished together: those with the same largest component form a group, and every
 member outside that component is compared with all members of the group. A group of m members of which l are outside is
-dealt into blocks of sqrt(m) by sqrt(m) members, so it costs some 2 l sqrt(m) rows, and a task holds one block's part.
+dealt into some 256 blocks of sqrt(l m) / 16 by as many members, so it costs 32 sqrt(l m) rows; no block has more than
+MAX_SIDE by MAX_SIDE members, and a task holds the sets of one side of one block.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ BANDS, ROWS = 32, 4
 BATCH, MISS = 16, 1e-5
 #: Parts into which the pairs of one leader are dealt.
 SALTS = 64
+#: Members on one side of a block: at least, at most, and the number of blocks on a side of a group.
+MIN_SIDE, MAX_SIDE, SIDES = 8, 1024, 16
 _HASHES = BANDS * ROWS
 _A = mix(np.arange(1, _HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, 1001 + _HASHES, dtype=np.uint64))
@@ -165,8 +168,8 @@ def _groups(left: DataFrame) -> DataFrame:
 def _crossing(groups: DataFrame, sets: DataFrame, sigs: DataFrame, percent: int) -> Table:
     """Links (a, b) between members of a group that are in different components: of a member, one for each component and block."""
     sizes = groups.groupBy("of").agg(F.count("*").alias("m"), F.count_if("lead").alias("l"))
-    side = F.ceil(F.sqrt("m"))
-    plan = write(sizes.select("of", side.cast("int").alias("p"), F.ceil(F.col("l") / side).cast("int").alias("q")), "blocks")
+    side = F.greatest(F.lit(MIN_SIDE), F.least(F.lit(MAX_SIDE), F.ceil(F.sqrt(F.col("l") * F.col("m")) / SIDES)))
+    plan = write(sizes.select("of", F.ceil(F.col("m") / side).cast("int").alias("p"), F.ceil(F.col("l") / side).cast("int").alias("q")), "blocks")
     dealt = groups.join(plan.df, "of")
     own_p, own_q = F.pmod(F.xxhash64("rep"), F.col("p")).cast("int"), F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("q")).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
