@@ -153,7 +153,7 @@ def prepare(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = rows.withColumn("hay", F.concat_ws("\n", "html", F.array_join(F.map_keys("assets"), "\n")))
     rows = rows.withColumn("blob", F.left(F.concat_ws("\n", "html", F.array_join(F.map_values("assets"), "\n")), F.lit(SCAN))).withColumn("copy", visible_text(F.left("html", F.lit(SCAN))))
     readable = F.octet_length("html") + F.coalesce(F.octet_length(F.array_join(F.map_values("assets"), "")), F.lit(0))
-    return rows.drop("assets").withColumn("copy_language", declared_language(F.col("copy"))).withColumn("thin", readable < THIN_BYTES)
+    return rows.withColumn("copy_language", declared_language(F.col("copy"))).withColumn("thin", readable < THIN_BYTES).drop("assets")
 
 
 def facts(p: DataFrame) -> DataFrame:

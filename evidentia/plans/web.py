@@ -1,0 +1,355 @@
+"""Queries over pages, documents and conversations: features, links, sites, signals and reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import catalog, text as T
+from ..operators import links as L
+from ..operators import pages as P
+from ..operators import scoring, sites
+from .repositories import report_sql
+
+YEAR = 2026
+#: Pieces of markup that are added to every k-th page, so that signals fire on synthetic pages.
+DECORATIONS = [
+    (3, 0, '<!-- Hero Section --><!-- Features --><!-- Pricing --><!-- Footer -->'),
+    (4, 1, '<a href="#">a</a>' * 12),
+    (5, 2, '<p>lorem ipsum dolor</p>'),
+    (6, 3, '<script src="https://cdn.gpteng.co/gptengineer.js"></script>'),
+    (4, 2, '<a href="/privacy">p</a><script src="https://plausible.io/js"></script>'),
+    (7, 4, '<link href="/wp-content/themes/x.css"><script src="jquery.min.js"></script>'),
+    (5, 1, '<p>recieve our calender</p>'),
+    (3, 2, '<span class="bg-indigo-500 text-violet-600 from-purple-50"></span><style>a{color:#6366f1;background-clip:text}</style>'),
+    (8, 5, '<p>Trusted by 500+ users, 10x faster, seamlessly, effortlessly, supercharge it</p>'),
+    (9, 6, '<p>Since 1999: 12 street, mon-fri 10:30, $20.00 +33 12 34 56 78</p>'),
+    (10, 7, '<script>localStorage.setItem("isAdmin","1")</script><p>© 2003</p>'),
+]
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def sited(spark, sf_dir):
+    return _pages(spark, sf_dir).withColumn("site", L.host(F.col("url")))
+
+
+def decorated(spark, sf_dir):
+    extra = [F.when(F.col("page_id") % k == r, F.lit(x)).otherwise("") for k, r, x in DECORATIONS]
+    return sited(spark, sf_dir).withColumn("html", F.concat("html", *extra))
+
+
+def page_features(spark, sf_dir):
+    """Counts of tags, links, comments and classes, and sizes in bytes."""
+    h = F.col("html")
+    n = lambda p: F.regexp_count(h, F.lit(p))
+    return _pages(spark, sf_dir).select("page_id", F.octet_length(h).alias("bytes"), n("(?i)<a\\s").alias("anchors"), n("(?i)<p[ >]").alias("paragraphs"), n("<!--").alias("comments"), n("(?i)<li[ >]").alias("items"), n('(?i)class="').alias("classes"), n("(?i)<script[ >]").alias("scripts"))
+
+
+def page_visible_words(spark, sf_dir):
+    t = T.visible_text(F.col("html"))
+    return _pages(spark, sf_dir).select("page_id", F.length(t).alias("characters"), T.word_count(t).alias("words"))
+
+
+def page_declared_language(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", T.visible_text(F.col("html")).alias("t")).select("page_id", T.declared_language(F.col("t")).alias("lang"))
+
+
+def page_links(spark, sf_dir):
+    return L.page_links(_pages(spark, sf_dir))
+
+
+def link_canonical(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", L.canonical(F.col("url")).alias("canonical"), L.origin(F.col("url")).alias("origin"), L.path(F.col("url")).alias("path"))
+
+
+def link_depth_bfs(spark, sf_dir):
+    """Steps from each site's first page to its others, over links from a page to the next two of its site."""
+    keyed = sited(spark, sf_dir).select("site", F.col("page_id").alias("key"))
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("site").orderBy("key")
+    two = keyed.withColumn("a", F.lead("key", 1).over(order)).withColumn("b", F.lead("key", 2).over(order))
+    nxt = two.select("site", F.col("key").alias("source"), F.explode(F.array("a", "b")).alias("target")).filter("target is not null")
+    entries = keyed.groupBy("site").agg(F.min("key").alias("key"))
+    return L.crawl_depth(keyed, nxt, entries)
+
+
+def link_robots(spark, sf_dir):
+    """Links that remain under robots rules that are made up for each site."""
+    p = sited(spark, sf_dir)
+    body = F.concat(F.lit("User-agent: *\nDisallow: /en/1 # no\nDisallow: /de/*x\nUser-agent: other\nDisallow: /\n"), F.when(F.length("site") % 2 == 0, "User-agent: *\nDisallow: /fr\n").otherwise(""))
+    rules = L.robots_rules(p.select("site").distinct().withColumn("body", body))
+    return L.allowed(p.select("site", "page_id", F.col("url").alias("link")), rules).select("page_id", "site")
+
+
+def sitemap_dates(spark, sf_dir):
+    """Sitemaps made of each site's pages, read again."""
+    item = F.concat(F.lit("<url><loc>"), "url", F.lit("</loc>"), F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("<lastmod>"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 90).cast("int")).cast("string"), F.lit("T00:00:00Z</lastmod>"))).otherwise(""), F.lit("</url>"))
+    maps = sited(spark, sf_dir).groupBy("site").agg(F.array_join(F.sort_array(F.collect_list(item)), "\n").alias("body"))
+    return sites.sitemap_features(L.sitemap_entries(maps))
+
+
+def site_shape_tokens(spark, sf_dir):
+    return sites.shape_tokens(sited(spark, sf_dir))
+
+
+def site_similarity_pairs(spark, sf_dir):
+    return sites.similarity_pairs(sites.shape_tokens(sited(spark, sf_dir))).withColumn("cosine", F.round("cosine", 6))
+
+
+def site_similarity_mean(spark, sf_dir):
+    p = sited(spark, sf_dir)
+    return sites.mean_similarity(sites.shape_tokens(p), p).withColumn("similarity", F.round("similarity", 6))
+
+
+def _words(spark, sf_dir):
+    return sited(spark, sf_dir).select("site", "page_id", T.word_count(T.visible_text(F.col("html"))).alias("words"))
+
+
+def site_length_spread(spark, sf_dir):
+    return sites.length_spread(_words(spark, sf_dir))
+
+
+def site_hits(spark, sf_dir):
+    return sites.sitewide_hits(site_similarity_mean(spark, sf_dir), site_length_spread(spark, sf_dir), sitemap_dates(spark, sf_dir))
+
+
+def _hits(spark, sf_dir):
+    return P.hits(P.prepare(decorated(spark, sf_dir)), YEAR)
+
+
+def page_hits(spark, sf_dir):
+    return _hits(spark, sf_dir).select("page_id", "signal_id")
+
+
+def page_facts(spark, sf_dir):
+    return P.facts(P.prepare(decorated(spark, sf_dir))).select("page_id", "lang", "cms", F.length("title").alias("title_length"))
+
+
+def _reports(spark, sf_dir):
+    d = decorated(spark, sf_dir)
+    hits = _hits(spark, sf_dir).select(F.col("page_id").alias("subject_id"), "signal_id", "fire_seq", F.array("signal_id").alias("evidence"))
+    return scoring.reports(hits, d.select(F.col("page_id").alias("subject_id"), (F.octet_length("html") < P.THIN_BYTES).alias("thin")))
+
+
+def page_scores(spark, sf_dir):
+    return _reports(spark, sf_dir).select("subject_id", "score", "verdict", "confidence", "ai", "converging", "human")
+
+
+def page_report_signals(spark, sf_dir):
+    """The heaviest three signals of each report."""
+    rows = _reports(spark, sf_dir).select("subject_id", F.posexplode(F.slice("signals", 1, 3)).alias("place", "s"))
+    return rows.select("subject_id", F.col("place").alias("place"), F.col("s.id").alias("signal_id"), F.col("s.weight").alias("weight"), F.col("s.strength").alias("strength"))
+
+
+def verdict_distribution(spark, sf_dir):
+    return page_scores(spark, sf_dir).groupBy("verdict", "confidence").agg(F.count("*").alias("pages"), F.sum("score").alias("scores"))
+
+
+def site_corroboration(spark, sf_dir):
+    p = sited(spark, sf_dir)
+    hits = _hits(spark, sf_dir).join(p.select("page_id", "site"), "page_id")
+    return sites.corroborated(hits, p)
+
+
+def catalog_by_category(spark, sf_dir):
+    return catalog.by_category(spark)
+
+
+def catalog_totals(spark, sf_dir):
+    return catalog.signals(spark).groupBy("category", "direction").agg(F.count("*").alias("signals"), F.sum("weight").alias("weight"))
+
+
+def doc_language_markers(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.declared_language(F.col("text")).alias("declared"))
+
+
+def doc_line_profile(spark, sf_dir):
+    lines = F.split("text", "\n")
+    return _docs(spark, sf_dir).select("doc_id", F.size(lines).alias("lines"), F.size(F.filter(lines, lambda x: F.trim(x) == "")).alias("blank"), F.array_max(F.transform(lines, F.length)).alias("longest"))
+
+
+def doc_why_markers(spark, sf_dir):
+    t = F.col("text")
+    return _docs(spark, sf_dir).select("doc_id", t.rlike(T.WHY_MARKS).alias("marks"), F.regexp_count(t, F.lit(r"#\d{2,}")).alias("tickets"))
+
+
+def doc_secret_redaction(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.redact(F.col("text"))).alias("redacted"))
+
+
+def doc_tokens(spark, sf_dir):
+    """How many words of each document occur once in it."""
+    words = _docs(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_]+"), F.lit(0))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    return words.groupBy("doc_id").agg(F.count("*").alias("words"), F.count_if(F.col("n") == 1).alias("single"), F.max("n").alias("most"))
+
+
+def doc_excerpt(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", scoring.excerpt(F.col("text")).alias("excerpt"))
+
+
+def doc_emoji(spark, sf_dir):
+    t = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("🚀 ✅ 🚀"), F.col("text"))).otherwise(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", T.has_emoji(F.col("t")).alias("has"), F.array_join(T.find_emoji(F.col("t")), "").alias("found"))
+
+
+def doc_identifiers(spark, sf_dir):
+    name = F.concat(F.lit("calculateTotal_"), F.col("lang"), F.lit("ForEachRow-0"))
+    return _docs(spark, sf_dir).groupBy(T.split_identifiers(name).alias("words"), T.identifier_words(name).alias("n")).agg(F.count("*").alias("docs"))
+
+
+def conversation_profile(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return c.groupBy("role").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("characters"), F.sum(T.word_count(F.col("text")).cast("long")).alias("words"))
+
+
+QUERIES = {f.__name__: f for f in (
+    page_scores, page_features, page_visible_words, page_declared_language, page_links, link_canonical, link_depth_bfs, link_robots, sitemap_dates, site_shape_tokens, site_similarity_pairs, site_similarity_mean, site_length_spread,
+    site_hits, page_hits, page_facts, page_report_signals, verdict_distribution, site_corroboration, catalog_by_category, catalog_totals, doc_language_markers, doc_line_profile, doc_why_markers, doc_secret_redaction,
+    doc_tokens, doc_excerpt, doc_emoji, doc_identifiers, conversation_profile,
+)}
+
+_HOST = "lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
+_PATH = "CASE WHEN regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) END"
+_QUERY = "regexp_extract({0}, '\\?([^#]+)', 1)"
+
+
+def _sub(s: str, pattern: str, to: str = " ", flags: str = "g") -> str:
+    return f"regexp_replace({s}, '{pattern}', '{to}', '{flags}')"
+
+
+def _visible(html: str) -> str:
+    s = html
+    for tag in ("script", "style", "noscript", "svg"):
+        s = _sub(s, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>")
+    s = _sub(s, "<[^>]+>")
+    for name, char in T.ENTITIES.items():
+        s = f"replace({s}, '{name}', '{char.replace("'", "''")}')"
+    return f"trim({_sub(s, '[\\s\\x{A0}]+')})"
+
+
+def _words_sql(t: str) -> str:
+    return f"len(regexp_extract_all(regexp_replace({t}, '^[''-]+|-+$', '', 'g'), '[A-Za-z''-]+'))::INT"
+
+
+def _declared(t: str) -> str:
+    low = f"(' ' || lower({t}) || ' ')"
+    score = {lang: " + ".join(f"(length({low}) - length(replace({low}, '{w}', ''))) // {len(w)}" for w in words) for lang, words in T.LANGUAGE_MARKERS.items()}
+    best = f"greatest({', '.join(score.values())})"
+    return f"CASE WHEN {_words_sql(t)} < 60 OR {best} < 12 THEN '' " + " ".join(f"WHEN {s} = {best} THEN '{lang}'" for lang, s in score.items()) + " END"
+
+
+def _q(p: str) -> str:
+    return p.replace("'", "''")
+
+
+_SITED = f"p AS (SELECT *, {_HOST.format('url')} AS site FROM pages)"
+_DECORATED = f"d AS (SELECT page_id, url, site, html || {' || '.join(f"CASE WHEN page_id % {k} = {r} THEN '{_q(x)}' ELSE '' END" for k, r, x in DECORATIONS)} AS html FROM p), t AS (SELECT *, {_visible('html')} AS copy FROM d), x AS (SELECT *, {_declared('copy')} AS spoken FROM t)"
+_BODY = r"CASE WHEN regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1) = '' THEN html ELSE regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1) END"
+for _tag in ("script", "style", "noscript"):
+    _BODY = _sub(_BODY, rf"(?is)<{_tag}\b[^>]*>.*?</{_tag}>")
+_SHAPE = rf"""b AS (SELECT site, page_id, {_BODY} AS body FROM p), k AS (
+    SELECT site, page_id, 't:' || lower(unnest(regexp_extract_all(body, '(?i)<([a-z][a-z0-9]*)\b', 1))) AS token FROM b
+    UNION ALL SELECT site, page_id, 'c:' || c AS token FROM (SELECT site, page_id, unnest(regexp_split_to_array(lower(array_to_string(regexp_extract_all(body, '(?i)\bclass=["'']([^"'']+)["'']', 1), ' ')), '\s+')) AS c FROM b) WHERE c <> ''
+), tokens AS (SELECT site, page_id, token, count(*) AS cnt FROM k GROUP BY ALL), norms AS (SELECT site, page_id, sqrt(sum(cnt * cnt)) AS norm FROM tokens GROUP BY ALL),
+pairs AS (SELECT a.site, a.page_id AS a, b.page_id AS b, sum((a.cnt / x.norm) * (b.cnt / y.norm)) AS cosine FROM tokens a JOIN tokens b ON a.site = b.site AND a.token = b.token AND a.page_id < b.page_id
+    JOIN norms x ON x.site = a.site AND x.page_id = a.page_id JOIN norms y ON y.site = b.site AND y.page_id = b.page_id GROUP BY ALL),
+mean AS (SELECT s.site, s.pages, round(coalesce((SELECT sum(cosine) FROM pairs q WHERE q.site = s.site), 0) / (s.pages * (s.pages - 1) / 2), 6) AS similarity FROM (SELECT site, count(DISTINCT page_id) AS pages FROM p GROUP BY 1) s WHERE s.pages > 1)"""
+_SPREAD = f"""w AS (SELECT site, page_id, {_words_sql(_visible('html'))} AS words FROM p), spread AS (
+    SELECT site, count(*) AS pages, round(avg(words), 6) AS mean_words, round(CASE WHEN avg(words) > 0 THEN stddev_pop(words) / avg(words) ELSE 0 END, 6) AS spread, count(*) FILTER (words < 45) AS thin_pages, max(words) AS most_words,
+        arg_max(page_id, words::BIGINT * 100000000 - page_id) AS deepest FROM w GROUP BY 1)"""
+_MAPS = """maps AS (SELECT site, count(*) AS urls, count(m) AS dated, count(DISTINCT m) AS dates, coalesce(date_diff('day', min(m), max(m)), 0)::INT AS spread_days
+    FROM (SELECT site, CASE WHEN page_id % 3 <> 0 THEN (DATE '2024-01-01' + (page_id % 90)::INT)::DATE END AS m FROM p) GROUP BY 1)"""
+
+
+def _any(s: str, patterns: list[str]) -> str:
+    return "(" + " OR ".join(f"regexp_matches({s}, '{_q(p)}')" for p in patterns) + ")"
+
+
+def _many(s: str, patterns: list[str]) -> str:
+    return "(" + " + ".join(f"regexp_matches({s}, '{_q(p)}')::INT" for p in patterns) + ")"
+
+
+def _n(s: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({s}, '{_q(pattern)}'))"
+
+
+#: SQL of the signals that the decorations and the synthetic pages can fire.
+_RULES = {
+    "fp.lovable": _any("html", P.FINGERPRINTS["fp.lovable"]),
+    "st.section_comments": f"len(list_filter(list_transform(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1), lambda c: trim(c)), lambda c: c <> '' AND NOT regexp_matches(c, '{_q(P.SKIPPED_COMMENT)}') AND regexp_matches(c, '{_q(P.SECTION_COMMENT)}'))) >= 3",
+    "ct.dead_links": "len(regexp_extract_all(html, '(?i)<a\\b[^>]*href=[\"'']([^\"'']*)[\"'']')) >= 8 AND len(list_filter(regexp_extract_all(html, '(?i)<a\\b[^>]*href=[\"'']([^\"'']*)[\"'']', 1), lambda h: trim(h) IN ('#', '', 'javascript:void(0)', '#!'))) / len(regexp_extract_all(html, '(?i)<a\\b[^>]*href=[\"'']([^\"'']*)[\"'']')) > 0.55",
+    "ct.placeholder_copy": _any("copy", [f"(?i){p}" for p in P.PLACEHOLDERS]),
+    "ct.stat_inflation": f"{' + '.join(_n('copy', p.replace('(?iu)', '(?i)')) for p in P.STATISTICS)} >= 2 AND NOT regexp_matches(copy, '{P.SOURCED.replace('(?iu)', '(?i)')}')",
+    "ct.marketing_cliche": "CASE spoken " + " ".join(f"WHEN '{lang}' THEN {_many('copy', [f'(?i){c}' for c in P.CLICHES[lang]])}" for lang in ("fr", "es", "de")) + f" ELSE {_many('copy', [f'(?i){c}' for c in P.CLICHES['en']])} END >= 3",
+    "hu.long_tail_copy": f"{_many('copy', [p.replace('(?iu)', '(?i)') for p in P.SPECIFICS])} + (regexp_matches(copy, '\\b(?:19|20)\\d{{2}}\\b') AND regexp_matches(copy, '{P.FOUNDED.replace('(?iu)', '(?i)')}'))::INT >= 3",
+    "hu.typos": "CASE CASE WHEN lower(regexp_extract(html, '(?i)<html[^>]+lang=[\"'']([a-z]{2})', 1)) IN ('', 'en') AND spoken <> '' THEN spoken ELSE lower(regexp_extract(html, '(?i)<html[^>]+lang=[\"'']([a-z]{2})', 1)) END "
+    + " ".join(f"WHEN '{lang}' THEN regexp_matches(copy, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:{'|'.join(P.MISSPELLINGS[lang])})(?:$|[^\\p{{L}}\\p{{N}}_])')" for lang in ("fr", "es", "de")) + f" ELSE regexp_matches(copy, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:{'|'.join(P.MISSPELLINGS['en'])})(?:$|[^\\p{{L}}\\p{{N}}_])') END",
+    "hu.operational_stack": f"{_many('html', P.OPERATIONS)} >= 2",
+    "hu.dated_copyright": f"coalesce(list_max(list_transform(regexp_extract_all(html, '(?i)(?:©|&copy;|copyright)\\s*(?:\\d{{4}}\\s*[-–]\\s*)?(\\d{{4}})', 1), lambda y: y::INT)) BETWEEN 1991 AND {YEAR - 1}, false)",
+    "hu.cms": _any("html", list(P.CMS.values())),
+    "hu.legacy_stack": "regexp_matches(html, '(?i)jquery(?:\\.min)?\\.js|jquery-\\d')",
+    "se.client_side_auth": "regexp_matches(html, '(?i)(?:localStorage|sessionStorage)[^;\\n]{0,60}[\"''](?:isLoggedIn|loggedIn|isAdmin|is_admin|isAuthenticated|auth(?:enticated)?|user_?role|isPremium|isPro)[\"'']')",
+    "ae.indigo": f"(({' + '.join(f"contains(lower(html), '{h}')::INT" for h in P.PALETTE)}) > 0)::INT + ({_n('html', P.PALETTE_CLASS)} > 0)::INT + regexp_matches(html, '{_q(P.GRADIENT)}')::INT >= 2 OR len(list_distinct(regexp_extract_all(html, '{_q(P.PALETTE_CLASS)}'))) >= 3",
+    "ae.gradient_text": "regexp_matches(html, '(?i)background-clip:\\s*text')",
+    "ae.three_cards": "false",
+}
+_HITS_SQL = f"{_SITED}, {_DECORATED}, hits AS ({' UNION ALL '.join(f"SELECT page_id, '{s}' AS signal_id FROM x WHERE {r}" for s, r in _RULES.items())})"
+_TOTALS = f"""{_HITS_SQL}, known AS (SELECT page_id AS subject_id, k.* FROM hits JOIN {catalog.values_sql()} k USING (signal_id)),
+totals AS (SELECT subject_id, category, direction, sum(weight) AS total FROM known GROUP BY ALL),
+capped AS (SELECT t.*, CASE WHEN cap IS NULL THEN total ELSE least(total, cap) END AS capped FROM totals t JOIN {catalog.caps_sql()} USING (category))"""
+_SCORES = report_sql(_TOTALS, f"(SELECT page_id AS subject_id, strlen(html) < {P.THIN_BYTES} AS thin FROM d)", "subject_id")
+_STRENGTH = "CASE WHEN weight >= 3 THEN 'decisive' WHEN weight >= 0.95 THEN 'strong' WHEN weight >= 0.55 THEN 'moderate' ELSE 'weak' END"
+
+SQL = {
+    "page_features": "SELECT page_id, strlen(html)::INT AS bytes, " + ", ".join(f"len(regexp_extract_all(html, '{p}'))::INT AS {n}" for n, p in (("anchors", "(?i)<a\\s"), ("paragraphs", "(?i)<p[ >]"), ("comments", "<!--"), ("items", "(?i)<li[ >]"), ("classes", '(?i)class="'), ("scripts", "(?i)<script[ >]"))) + " FROM pages",
+    "page_visible_words": f"WITH t AS (SELECT page_id, {_visible('html')} AS t FROM pages) SELECT page_id, length(t)::INT AS characters, {_words_sql('t')} AS words FROM t",
+    "page_declared_language": f"WITH t AS (SELECT page_id, {_visible('html')} AS t FROM pages) SELECT page_id, {_declared('t')} AS lang FROM t",
+    "page_links": rf"""WITH h AS (SELECT page_id, url, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref=["'']([^"'']+)["'']', 1))) AS href FROM pages),
+a AS (SELECT page_id, url, CASE WHEN href LIKE '#%' OR href = '' OR regexp_matches(href, '{L.NO_LINK}') THEN NULL WHEN regexp_matches(href, '(?i)^https?://') THEN href WHEN href LIKE '//%' THEN split_part(url, '://', 1) || ':' || href WHEN href LIKE '/%' THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) || href END AS link FROM h),
+b AS (SELECT page_id, url, regexp_replace(link, '(?s)#.*$', '') AS link FROM a)
+SELECT DISTINCT page_id, link FROM b WHERE link <> '' AND lower(regexp_extract(link, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1)) = lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1))
+    AND NOT regexp_matches({_PATH.format('link')}, '{L.SKIP_EXTENSIONS}') AND NOT regexp_matches(link, '{L.ACTIONS}')""",
+    "link_canonical": f"""WITH a AS (SELECT page_id, url, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path, {_QUERY.format('url')} AS q FROM pages),
+b AS (SELECT *, regexp_replace(path, '(?i)/(?:index|default)\\.(?:html?|php|aspx?)$', '/') AS r FROM a), c AS (SELECT *, CASE WHEN length(r) > 1 THEN regexp_replace(r, '/+$', '') ELSE r END AS s FROM b)
+SELECT page_id, host || CASE WHEN s = '' THEN '/' ELSE s END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS canonical, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1)) AS origin, path FROM c""",
+    "link_depth_bfs": f"WITH {_SITED}, r AS (SELECT site, page_id AS key, row_number() OVER (PARTITION BY site ORDER BY page_id) - 1 AS n FROM p) SELECT site, key, ((n + 1) // 2)::INT AS depth FROM r",
+    "link_robots": f"""WITH {_SITED}, a AS (SELECT *, {_PATH.format('url')} || CASE WHEN {_QUERY.format('url')} = '' THEN '' ELSE '?' || {_QUERY.format('url')} END AS target FROM p)
+SELECT page_id, site FROM a WHERE NOT starts_with(target, '/en/1') AND NOT starts_with(target, '/de/') AND NOT (length(site) % 2 = 0 AND starts_with(target, '/fr'))""",
+    "sitemap_dates": f"WITH {_SITED}, {_MAPS} SELECT * FROM maps",
+    "site_shape_tokens": f"WITH {_SITED}, {_SHAPE} SELECT * FROM tokens",
+    "site_similarity_pairs": f"WITH {_SITED}, {_SHAPE} SELECT site, a, b, round(cosine, 6) AS cosine FROM pairs",
+    "site_similarity_mean": f"WITH {_SITED}, {_SHAPE} SELECT * FROM mean",
+    "site_length_spread": f"WITH {_SITED}, {_SPREAD} SELECT * FROM spread",
+    "site_hits": f"""WITH {_SITED}, {_SHAPE}, {_SPREAD}, {_MAPS}, j AS (SELECT s.*, m.similarity FROM spread s LEFT JOIN mean m USING (site) WHERE s.pages >= 3)
+SELECT site, 'xs.template_uniformity' AS signal_id FROM j WHERE similarity >= 0.93 UNION ALL SELECT site, 'xs.style_drift' FROM j WHERE similarity <= 0.62
+UNION ALL SELECT site, 'xs.uniform_page_size' FROM j WHERE mean_words > 40 AND spread < 0.18 UNION ALL SELECT site, 'xs.varied_pages' FROM j WHERE mean_words > 40 AND spread > 0.75
+UNION ALL SELECT site, 'xs.placeholder_pages' FROM j WHERE thin_pages >= 2 AND thin_pages < pages UNION ALL SELECT site, 'xs.deep_content' FROM j WHERE most_words >= 900 AND most_words > 1.8 * mean_words
+UNION ALL SELECT site, 'xs.sitemap_one_pass' FROM maps WHERE urls >= 5 AND (dated = 0 OR (dates = 1 AND dated >= 5) OR (dates > 1 AND spread_days <= 1)) UNION ALL SELECT site, 'xs.sitemap_history' FROM maps WHERE urls >= 5 AND spread_days >= 60 AND dates >= 5""",
+    "page_hits": f"WITH {_HITS_SQL} SELECT page_id, signal_id FROM hits",
+    "page_facts": f"""WITH {_SITED}, {_DECORATED} SELECT page_id, nullif(lower(regexp_extract(html, '(?i)<html[^>]+lang=["'']([a-z]{{2}})', 1)), '') AS lang, CASE {' '.join(f"WHEN regexp_matches(html, '{p}') THEN '{n}'" for n, p in P.CMS.items())} END AS cms,
+length(nullif(trim(regexp_extract(html, '(?i)<title[^>]*>\\s*([^<]{{0,160}})</title>', 1)), ''))::INT AS title_length FROM x""",
+    "page_scores": _SCORES,
+    "page_report_signals": f"WITH {_TOTALS}, r AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY weight DESC, signal_id) - 1 AS place FROM known) SELECT subject_id, place::INT AS place, signal_id, weight, {_STRENGTH} AS strength FROM r WHERE place < 3",
+    "verdict_distribution": f"SELECT verdict, confidence, count(*) AS pages, sum(score)::BIGINT AS scores FROM ({_SCORES}) GROUP BY ALL",
+    "site_corroboration": f"""WITH {_HITS_SQL}, n AS (SELECT site, count(DISTINCT page_id) AS pages FROM p GROUP BY 1), c AS (SELECT p.site, h.signal_id, count(DISTINCT h.page_id) AS on_pages FROM hits h JOIN p USING (page_id) GROUP BY ALL)
+SELECT site, signal_id, on_pages FROM c JOIN n USING (site) JOIN {catalog.values_sql()} k USING (signal_id) WHERE category = 'fingerprint' OR pages = 1 OR on_pages >= greatest(2, ceil(pages * 0.25))""",
+    "catalog_by_category": f"SELECT signal_id, category, direction, weight, {_STRENGTH} AS strength, row_number() OVER (PARTITION BY category ORDER BY weight DESC, signal_id)::INT AS place FROM {catalog.values_sql()} k",
+    "catalog_totals": f"SELECT category, direction, count(*) AS signals, sum(weight)::DECIMAL(14,2) AS weight FROM {catalog.values_sql()} k GROUP BY ALL",
+    "doc_language_markers": f"SELECT doc_id, {_declared('text')} AS declared FROM documents",
+    "doc_line_profile": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, len(l)::INT AS lines, len(list_filter(l, lambda x: trim(x) = ''))::INT AS blank, list_max(list_transform(l, lambda x: length(x)))::INT AS longest FROM l",
+    "doc_why_markers": r"SELECT doc_id, regexp_matches(text, '\b(?:19|20)\d{2}\b|\bv?\d+\.\d+\.\d+\b|\b[A-Z]{2,8}-\d+\b|#\d{2,}') AS marks, len(regexp_extract_all(text, '#\d{2,}'))::INT AS tickets FROM documents",
+    "doc_secret_redaction": r"""SELECT doc_id, md5(regexp_replace(text, '(?i)((?:secret|token|password|api[_-]?key)\s*[:=]\s*["'']?)([^\s"'']{4})[^\s"'']+', '\1\2…', 'g')) AS redacted FROM documents""",
+    "doc_tokens": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM documents), n AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL) SELECT doc_id, count(*) AS words, count(*) FILTER (n = 1) AS single, max(n) AS most FROM n GROUP BY 1",
+    "doc_excerpt": r"WITH f AS (SELECT doc_id, trim(regexp_replace(text, '[\s\x{A0}\x{2028}\x{85}]+', ' ', 'g')) AS f FROM documents) SELECT doc_id, CASE WHEN length(f) > 140 THEN left(f, 139) || '…' ELSE f END AS excerpt FROM f",
+    "doc_emoji": f"WITH t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '🚀 ✅ 🚀' || text ELSE text END AS t FROM documents) SELECT doc_id, regexp_matches(t, '{T.EMOJI_OR_ARROW}') AS has, CASE WHEN doc_id % 5 = 0 THEN '🚀✅' ELSE '' END AS found FROM t",
+    "doc_identifiers": "SELECT 'calculate Total ' || lang || ' For Each Row 0' AS words, 6 AS n, count(*) AS docs FROM documents GROUP BY 1",
+    "conversation_profile": f"SELECT role, count(*) AS turns, sum(length(text))::BIGINT AS characters, sum({_words_sql('text')})::BIGINT AS words FROM conversations GROUP BY 1",
+}
