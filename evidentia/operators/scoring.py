@@ -26,7 +26,7 @@ def first_hits(hits: DataFrame, subject: str = "subject_id") -> DataFrame:
     spark = hits.sparkSession
     known = hits.join(F.broadcast(signals(spark).select("signal_id")), "signal_id", "left_semi")
     one = known.groupBy(subject, "signal_id").agg(F.min_by("evidence", "fire_seq").alias("evidence"))
-    lines = F.filter(F.transform(F.coalesce("evidence", F.array().cast("array<string>")), excerpt), lambda x: x != "")
+    lines = F.filter(F.transform(F.coalesce("evidence", F.array().cast("array<string>")), lambda x: excerpt(x)), lambda x: x != "")
     return one.select(subject, "signal_id", F.slice(F.array_distinct(lines), 1, 4).alias("evidence")).join(F.broadcast(signals(spark)), "signal_id")
 
 
