@@ -5,8 +5,9 @@ candidates. A pair's signatures are compared batch by batch, and the pair is dro
 that its similarity reaches the threshold falls below MISS. Survivors are confirmed on their full shingle sets, which are
 read from the texts again for the classes concerned only.
 
-A bucket never emits all its pairs. First each of its members is paired with its smallest one. Buckets whose members the
-links found so far don't connect are finished together: those with the same largest component form a group, and every
+A bucket never emits all its pairs. First each of its members is paired with its smallest one, then, where that leaves it
+unconnected, with its most central one, which shares the most buckets. Buckets whose members the links found so far don't
+connect are finished together: those with the same largest component form a group, and every
 member outside that component is compared with all members of the group. A group of m members of which l are outside is
 dealt into some 256 blocks of sqrt(l m) / 16 by as many members, so it costs 32 sqrt(l m) rows; no block has more than
 MAX_SIDE by MAX_SIDE members, and a task holds the sets of one side of one block.
@@ -15,6 +16,7 @@ MAX_SIDE by MAX_SIDE members, and a task holds the sets of one side of one block
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -154,6 +156,40 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> Table:
     return write(rows.mapInArrow(compare, "a long, b long").distinct(), "links")
 
 
+def _verified(pairs: Table, sigs: DataFrame, docs: DataFrame, words: int, percent: int) -> Table:
+    """The pairs (a, b) that pass the sequential comparison and then that of full sets; drops pairs."""
+    likely = write(_likely(pairs.df, sigs, percent), "likely")
+    pairs.drop()
+    ids = write(likely.df.select(F.col("a").alias("id")).unionAll(likely.df.select(F.col("b").alias("id"))).distinct(), "ids")
+    sets = _sets(ids.df, docs, words)
+    links = _confirmed(likely.df, sets.df, percent)
+    for t in (likely, ids, sets):
+        t.drop()
+    return links
+
+
+def _open(members: DataFrame, joined: DataFrame) -> Table:
+    """(key, rep, label): the members (key, rep) of buckets that hold more than one component, with their components."""
+    named = write(members.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label")), "named")
+    keys = write(named.df.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key"), "open")
+    left = write(named.df.join(keys.df, "key"), "left")
+    named.drop()
+    keys.drop()
+    return left
+
+
+def _central_pairs(left: DataFrame) -> Table:
+    """(a, b): each member of a bucket with the bucket's most central one, if they are in different components."""
+    sizes = write(left.groupBy("key").agg(F.count("*").alias("n")), "sizes")
+    shared = write(left.join(sizes.df, "key").groupBy("rep").agg(F.sum("n").alias("score")), "scores")
+    scored = write(left.join(shared.df, "rep"), "scored")
+    central = write(scored.df.groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("r"), "label")).alias("x")).select("key", (-F.col("x.r")).alias("c"), F.col("x.label").alias("of")), "central")
+    pairs = write(left.join(central.df, "key").filter("label <> of").select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b")).distinct(), "pairs")
+    for t in (sizes, shared, scored, central):
+        t.drop()
+    return pairs
+
+
 def _groups(left: DataFrame) -> DataFrame:
     """(of, rep, label, lead) from the buckets (key, rep, label) that aren't connected: groups by largest component.
 
@@ -247,33 +283,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     active = write(keys.join(more, "key").filter("rep <> a").select("key", "a", "rep"), "bucketed")
     pairs = write(buckets.df.filter("n = 2").select("a", "b").unionAll(active.df.select("a", F.col("rep").alias("b"))).distinct(), "pairs")
     buckets.drop()
-    likely = write(_likely(pairs.df, sigs, percent), "likely")
-    pairs.drop()
-    ids = write(likely.df.select(F.col("a").alias("id")).unionAll(likely.df.select(F.col("b").alias("id"))).distinct(), "ids")
-    sets = _sets(ids.df, source, words)
-    links = _confirmed(likely.df, sets.df, percent)
-    for t in (likely, ids, sets):
-        t.drop()
+    links = _verified(pairs, sigs, source, words, percent)
     joined = components(links.df)
-    # members of the buckets that hold more than one component
     everyone = active.df.select("key", "rep").unionAll(active.df.select("key", F.col("a").alias("rep")).distinct())
-    named = write(everyone.join(joined.df.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label")), "named")
+    left = _open(everyone, joined.df)
     active.drop()
-    open_keys = write(named.df.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key"), "open")
-    left = write(named.df.join(open_keys.df, "key"), "left")
-    named.drop()
-    open_keys.drop()
+    found = [links]
+    if left.df.limit(1).count():
+        found.append(_verified(_central_pairs(left.df), sigs, source, words, percent))
+        joined.drop()
+        joined = components(links.df.unionAll(found[1].df))
+        still = _open(left.df.select("key", "rep"), joined.df)
+        left.drop()
+        left = still
     if left.df.limit(1).count():
         groups = write(_groups(left.df), "groups")
         ids = write(groups.df.select(F.col("rep").alias("id")).distinct(), "ids")
         sets = _sets(ids.df, source, words)
-        more = _crossing(groups.df, sets.df, sigs, percent)
+        found.append(_crossing(groups.df, sets.df, sigs, percent))
         for t in (groups, ids, sets, joined):
             t.drop()
-        joined = components(links.df.unionAll(more.df))
-        more.drop()
-    left.drop()
-    links.drop()
+        joined = components(reduce(DataFrame.unionAll, [t.df for t in found]))
+    for t in (left, *found):
+        t.drop()
     named = signed.df.select("id", "n", "h1", "h2").join(classes.df.select("h1", "h2", F.col("n").alias("m"), "rep"), ["h1", "h2"], "left").filter("m is null or m = n")
     out = named.join(joined.df.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
