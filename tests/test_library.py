@@ -70,7 +70,7 @@ def test_source_signals(spark):
         "/**", " * This module handles everything and provides a robust implementation of all things.", " */", "// ==== Helpers ====", "// ---- Data ----", "// Sure, here's a function for it 🚀",
         "const apiUrl = 'https://api.example.com/v1';", "const password = 'changeme123';",
         "// Set the total", "const total = 1;", "// Create the user", "const user = total;", "// Return the result", "return result;",
-        *[x for i in range(4) for x in (f"/** Gets value {i}. */", f"function getThingNumber{i}(a) {{", "  return a;", "}")],
+        *[x for i in range(4) for x in ("/**", f" * Gets value {i}.", " */", f"function getThingNumber{i}(a) {{", "  return a;", "}")],
         "try {", "} catch (e) {}", "try {", "} catch (e) {}", "try {", "} catch (e) {}", "// TODO: implement this", "class AUtils {}", "class BManager {}", "class CHelper {}", "axios.get(); fetch(u); new Date(); moment(); dayjs;",
     ])
     got = fired_by(spark, generated)
@@ -82,8 +82,8 @@ def test_source_signals(spark):
 
 
 def test_block_comments(spark):
-    rows = code.lines(code.sources(spark.createDataFrame([("f", "a /* x\n/* open\n\n in\n end */ b\ncode\n/* one */\ny # tail note\n*/ z\nq")], "subject_id string, src string"))).orderBy("ln").collect()
-    assert [r["comment"] for r in rows] == [None, "/* open", None, "in", "end */ b", None, "/* one */", "# tail note", "*/ z".strip() if False else rows[8]["comment"], None]
+    rows = code.lines(code.sources(spark.createDataFrame([("f", "a /* x\n/* open\n\n in\n end */ b\ncode\n/* one */\ny # tail note\nz */\nq")], "subject_id string, src string"))).orderBy("ln").collect()
+    assert [r["comment"] for r in rows] == [None, "/* open", None, "in", "end */ b", None, "/* one */", "# tail note", None, None]
 
 
 def page_signals(spark, html, url="http://x.org/", headers=None):
