@@ -47,21 +47,17 @@ def decisions(requests: DataFrame, limit: int, window: int) -> DataFrame:
 
 
 def stream_decisions(requests: DataFrame, limit: int, window: int) -> DataFrame:
-    """The same over a stream: state holds the times of allowed requests and expires with the window."""
+    """The same over a stream: an identity's state is the times of its last allowed requests, at most ``limit`` of them."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         recent = list(state.get[0]) if state.exists else []
         for pdf in pdfs:
             pdf = pdf.sort_values(["at", "event_id"])
             allowed, recent = _decide(pdf["at"].tolist(), recent, limit, window)
             yield pd.DataFrame({"identity": key[0], "event_id": pdf["event_id"], "allowed": allowed})
         state.update((recent,))
-        state.setTimeoutDuration(window * 1000)
 
-    return requests.groupBy("identity").applyInPandasWithState(step, _OUT, "recent array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy("identity").applyInPandasWithState(step, _OUT, "recent array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_daily(visits: DataFrame, late: str = "1 day") -> DataFrame:
