@@ -113,6 +113,7 @@ def train(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col:
             if sample:
                 langs, ats, tfs = zip(*sample, strict=True)
                 yield out(langs, [None] * len(langs), [None] * len(langs), ats, tfs)
+        pa.default_memory_pool().release_unused()
         at = np.flatnonzero(df)
         yield out([None] * (len(at) + 1), np.append(at, -1), np.append(df[at], docs_seen), [None] * (len(at) + 1), [None] * (len(at) + 1))
 

@@ -13,6 +13,9 @@ from pyspark.sql.types import StructField, StructType
 
 from .scratch import join_checked, ship
 
+#: Rows whose texts a task holds as Python strings at a time.
+PART = 256
+
 
 def unit(id_col: Column, seed: int) -> Column:
     """A number from 0 to 1 that depends on the id and the seed alone."""
@@ -68,8 +71,11 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = start()
-        for batch in batches:
-            found = f(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in inner), *(pa.array(x, t) for x, t in zip(found, fields.values(), strict=True))], [*inner, *fields])
+        for whole in batches:
+            for at in range(0, whole.num_rows, PART):
+                batch = whole.slice(at, PART)
+                found = f(batch.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in inner), *(pa.array(x, t) for x, t in zip(found, fields.values(), strict=True))], [*inner, *fields])
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema).select(*[F.col(k).alias(c) for k, c in zip(inner, names, strict=True)], *fields)

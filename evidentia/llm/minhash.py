@@ -82,6 +82,7 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
                     h2.append(int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
                     sig.append(signature(s).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], ["id", "n", "h1", "h2", "sig"])
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, sig binary")
 

@@ -26,7 +26,7 @@ from .scratch import ship
 #: Windows that may be open at a time in a task: with 2048 ids of 4 bytes each, 16 MB.
 MAX_OPEN = 2048
 #: Texts whose ids a worker remembers; a memory bound only, results don't depend on it.
-MEMO = 300_000
+MEMO = 60_000
 _SCHEMA = "{id} {type}, start long, length long, ids_le binary, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
@@ -69,6 +69,10 @@ class ByteBpe:
         self._core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self._memo = _Memo(self._core)
 
+    def forget(self) -> None:
+        """Give up the remembered ids: workers outlive their tasks, and other tasks need the memory."""
+        self._memo.clear()
+
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
@@ -205,7 +209,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                     offset += len(ids)
                 held += offset
                 serial += 1
-                if held >= 2_000_000:
+                if held >= 500_000:
                     yield flush()
                     out.clear()
                     held = 0
@@ -218,5 +222,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         yield from emit(packer.close())
         if out:
             yield flush()
+        bpe.forget()
+        pa.default_memory_pool().release_unused()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

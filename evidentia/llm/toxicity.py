@@ -23,7 +23,7 @@ ORDERS = (5, 6)
 MIN_CHI, MAX_FEATURES, MAX_SAMPLE = 25.0, 20_000, 6000
 _BITS = 22
 #: N-grams that a counting task holds before it hands its counts on.
-_HOLD = 2_000_000
+_HOLD = 1_000_000
 
 
 @dataclass
@@ -87,6 +87,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = [[], []], 0
     if size:
         yield flush()
+    pa.default_memory_pool().release_unused()
     yield out([None], [docs[1]], [docs[0]])
 
 
