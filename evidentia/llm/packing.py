@@ -26,7 +26,7 @@ from .scratch import ship
 #: Windows that may be open at a time in a task: with 2048 ids of 4 bytes each, 16 MB.
 MAX_OPEN = 2048
 #: Texts whose ids a worker remembers; a memory bound only, results don't depend on it.
-MEMO = 60_000
+MEMO = 200_000
 _SCHEMA = "{id} {type}, start long, length long, ids_le binary, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
