@@ -182,11 +182,11 @@ def _open(members: DataFrame, joined: DataFrame) -> Table:
 def _central_pairs(left: DataFrame) -> Table:
     """(a, b): each member of a bucket with the bucket's most central one, if they are in different components."""
     sizes = write(left.groupBy("key").agg(F.count("*").alias("n")), "sizes")
-    shared = write(left.join(sizes.df, "key").groupBy("rep").agg(F.sum("n").alias("score")), "scores")
-    scored = write(left.join(shared.df, "rep"), "scored")
+    totals = left.join(sizes.df, "key").groupBy("rep", "label").agg(F.sum("n").alias("score"), F.collect_list("key").alias("keys"))  # BANDS keys at most
+    scored = write(totals.select(F.explode("keys").alias("key"), "rep", "label", "score"), "scored")
     central = write(scored.df.groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("r"), "label")).alias("x")).select("key", (-F.col("x.r")).alias("c"), F.col("x.label").alias("of")), "central")
-    pairs = write(left.join(central.df, "key").filter("label <> of").select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b")).distinct(), "pairs")
-    for t in (sizes, shared, scored, central):
+    pairs = write(scored.df.join(central.df, "key").filter("label <> of").select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b")).distinct(), "pairs")
+    for t in (sizes, scored, central):
         t.drop()
     return pairs
 
@@ -254,7 +254,7 @@ def _crossing(groups: DataFrame, sets: DataFrame, sigs: DataFrame, percent: int)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
-    both = members.unionAll(leaders).join(sigs, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    both = members.unionAll(leaders).join(sets.withColumnRenamed("id", "rep").join(sigs, "rep"), "rep")
     rows = both.select("of", "i", "j", "member", "rep", "label", "sig", "s").repartition("of", "i", "j").sortWithinPartitions("of", "i", "j", "member")
     result = write(rows.mapInArrow(compare, "a long, b long"), "links")
     plan.drop()
