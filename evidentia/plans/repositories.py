@@ -11,6 +11,8 @@ from ..operators import scoring
 from ..sources.gitlog import commits as read_log
 
 _SUBJECTS = ["initial commit", "Add login endpoint with validation and a responsive dashboard for users", "fix typo", "fix import path", "fix lint", "update", "Merge branch dev", "PROJ-12 rename columns", "ugh, please work", "Refactor billing", "wip", "Create payment api component using oauth and jwt tokens for routing"]
+#: Hashes (numbers here) of a log text, so that a repository of any size is texts of about a megabyte at most.
+LOG_RUN = 10_000
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,11 +65,12 @@ def git_category_totals(spark, sf_dir):
 
 
 def git_log_parsed(spark, sf_dir):
-    """Commits written as log text, a repository each, and read again from it."""
-    c = commits(spark, sf_dir).filter("repo_id < 40")
+    """Commits of every repository written as log texts, one for each run of LOG_RUN hashes, and read again from them."""
+    c = commits(spark, sf_dir)
     line = F.concat_ws("\n", F.concat_ws("|", F.lpad(F.hex("hash"), 8, "0"), F.col("ts").cast("string"), "author", "subject"), F.concat_ws("\t", F.col("added").cast("string"), F.col("removed").cast("string"), F.lit("src/a.txt")))
-    logs = c.groupBy("repo_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hash", line.alias("x")))), lambda r: r["x"]), "\n\n").alias("log"))
-    return read_log(logs).select("repo_id", "hash", "ts", "author", "subject", "added", "removed", "files")
+    part = F.struct("repo_id", F.floor(F.col("hash") / LOG_RUN).alias("run")).alias("part")
+    logs = c.groupBy(part).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hash", line.alias("x")))), lambda r: r["x"]), "\n\n").alias("log"))
+    return read_log(logs, "part").select("part.repo_id", "hash", "ts", "author", "subject", "added", "removed", "files")
 
 
 QUERIES = {f.__name__: f for f in (git_features, git_hits, git_signal_counts, git_authors, git_trend, git_reports, git_category_totals, git_log_parsed)}
