@@ -10,6 +10,9 @@ SKIP_EXTENSIONS = r"(?i)\.(?:jpg|jpeg|png|gif|webp|avif|svg|ico|bmp|tiff|mp4|web
 ACTIONS = r"(?i)/(?:logout|signout|sign-out|delete|remove|unsubscribe|cart/add|admin)(?:/|$|\?)"
 NO_LINK = r"(?i)^(?:javascript|mailto|tel|data|sms|ftp):"
 
+#: Links of a site that is walked in one task; larger sites take a round of joins for each depth.
+LOCAL_LINKS = 200_000
+
 
 def origin(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1))
@@ -93,31 +96,61 @@ def sitemap_entries(sitemaps: DataFrame, site_col: str = "site", body_col: str =
     return rows.select(site_col, loc.alias("loc"), F.try_to_timestamp(F.when(day != "", day)).cast("date").alias("lastmod")).filter("loc <> ''")
 
 
-def crawl_depth(pages: DataFrame, links: DataFrame, entries: DataFrame, max_pages: int = 50) -> DataFrame:
+def crawl_depth(pages: DataFrame, links: DataFrame, entries: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(site, key, depth) of the pages that are reached from each site's entry page by links, nearest first.
 
-    pages: (site, key); links: (site, source, target); entries: (site, key). Each round joins the frontier with the links
-    and drops what has been seen; it ends when no page is new, or after max_pages rounds.
+    pages: (site, key); links: (site, source, target); entries: (site, key). A site with at most local_links links is walked
+    in one task, as a chain of pages would need a round for each. For larger sites each round joins the frontier with
+    the links and drops what has been seen. Both end only when no page is new.
     """
-    seen = entries.select("site", "key").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
     known = pages.select("site", "key").distinct()
-    for depth in range(1, max_pages):
-        step = frontier.select("site", F.col("key").alias("source")).join(links, ["site", "source"]).select("site", F.col("target").alias("key")).distinct()
-        new = step.join(known, ["site", "key"], "left_semi").join(seen.select("site", "key"), ["site", "key"], "left_anti").withColumn("depth", F.lit(depth))
-        new = _cut(new)
-        if not new.limit(1).count():
-            break
-        seen = _cut(seen.unionByName(new))
-        frontier = new
-    return seen
+    linked = links.select("site", "source", F.col("target").alias("key")).filter("source is not null").join(known, ["site", "key"], "left_semi")
+    linked = _cut(linked.select("site", "source", F.col("key").alias("target")).distinct())
+    large = _cut(linked.groupBy("site").count().filter(F.col("count") > local_links).select("site"))
+    starts = _cut(entries.select("site", "key").distinct())
+    kind = starts.schema["key"].dataType
+    rows = linked.select("site", F.lit(False).alias("start"), F.col("source").cast(kind).alias("source"), F.col("target").cast(kind).alias("target"))
+    rows = rows.unionByName(starts.select("site", F.lit(True).alias("start"), F.lit(None).cast(kind).alias("source"), F.col("key").alias("target")))
+
+    def walk(table):
+        import pyarrow as pa
+
+        onward, depths = {}, {}
+        for start, source, target in zip(*(table.column(c).to_pylist() for c in ("start", "source", "target")), strict=True):
+            if start:
+                depths[target] = 0
+            else:
+                onward.setdefault(source, []).append(target)
+        frontier, depth = list(depths), 0
+        while frontier:
+            depth += 1
+            new = []
+            for target in (t for source in frontier for t in onward.get(source, ())):
+                if target not in depths:
+                    depths[target] = depth
+                    new.append(target)
+            frontier = new
+        site = pa.array([table.column("site")[0].as_py()] * len(depths), table.schema.field("site").type)
+        return pa.table({"site": site, "key": pa.array(list(depths), table.schema.field("target").type), "depth": pa.array(list(depths.values()), pa.int32())})
+
+    types = f"site {starts.schema['site'].dataType.simpleString()}, key {kind.simpleString()}, depth int"
+    near = rows.join(large, "site", "left_anti").groupBy("site").applyInArrow(walk, types)
+    seen = frontier = starts.join(large, "site", "left_semi").withColumn("depth", F.lit(0))
+    steps = linked.join(large, "site", "left_semi")
+    depth = 0
+    while frontier.limit(1).count():
+        depth += 1
+        step = frontier.select("site", F.col("key").alias("source")).join(steps, ["site", "source"]).select("site", F.col("target").alias("key")).distinct()
+        frontier = _cut(step.join(seen.select("site", "key"), ["site", "key"], "left_anti").withColumn("depth", F.lit(depth)))
+        seen = _cut(seen.unionByName(frontier))
+    return near.unionByName(seen)
 
 
 def _cut(df: DataFrame) -> DataFrame:
     """df without its lineage: through the checkpoint folder if the session names one."""
     folder = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        return df.persist()
+        return df.localCheckpoint()
     if df.sparkSession._jsc.sc().getCheckpointDir().isEmpty():
         df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
