@@ -54,7 +54,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences, with the CRC-32 of each piece's ids."""
-    return queries.digest_pieces(packing.pack(docs))
+    return queries.digest_pieces(packing.pack(docs, special=packing.SPECIAL))
 
 
 STAGES = [("language_id", language), ("toxicity", clean), ("near_duplicates", near_duplicates), ("mixing", mixed), ("packing", packed)]

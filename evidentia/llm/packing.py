@@ -27,6 +27,8 @@ from .scratch import ship
 MAX_OPEN = 2048
 #: Texts whose ids a worker remembers; a memory bound only, results don't depend on it.
 MEMO = 200_000
+#: The added token of byte_bpe_50k, which its tokenizer finds in texts also without add_special_tokens.
+SPECIAL = (("<|endoftext|>", 50256),)
 _SCHEMA = "{id} {type}, start long, length long, ids_le binary, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
@@ -61,9 +63,13 @@ _RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u2
 class ByteBpe:
     """Ids of a byte-level BPE. Texts are cut where the pre-tokenizer always cuts, and the ids of frequent chunks are remembered."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...] = ()):
         import tiktoken
 
+        self._special = dict(special)
+        longest = sorted(filter(None, self._special), key=len, reverse=True)
+        self._specials = re.compile("|".join(map(re.escape, longest))) if longest else None
+
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
@@ -74,6 +80,15 @@ class ByteBpe:
         self._memo.clear()
 
     def ids(self, text: str) -> np.ndarray:
+        if not any(x in text for x in self._special):
+            return self._ordinary(text)
+        found, at = [], 0
+        for m in self._specials.finditer(text):
+            found += [self._ordinary(text[at : m.start()]), np.array([self._special[m[0]]], np.uint32)]
+            at = m.end()
+        return np.concatenate([*found, self._ordinary(text[at:])])
+
+    def _ordinary(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
         odd = text[0] == " " or text[-1] == " " or any(x in text for x in _ODD) or _RARE.search(text)
@@ -83,11 +98,11 @@ class ByteBpe:
 
 
 @functools.lru_cache(2)
-def tokenizer(ranks_path: str | None) -> ByteBpe:
-    """ranks_path: a file of base64 byte strings and ranks; None: the public vocabulary byte_bpe_50k."""
+def tokenizer(ranks_path: str | None, special: tuple[tuple[str, int], ...] = ()) -> ByteBpe:
+    """ranks_path: a file of base64 byte strings and ranks; None: the public vocabulary byte_bpe_50k. special: strings and their ids."""
     import public_tokenizers
 
-    return ByteBpe(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return ByteBpe(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special)
 
 
 class SumOfSquares:
@@ -172,12 +187,13 @@ class SumOfSquares:
             yield out, 1 << bit
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, ranks_path: str | None = None, max_open: int = MAX_OPEN) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, ranks_path: str | None = None, max_open: int = MAX_OPEN, special: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """One row per piece: id, start, length, ids_le (little-endian uint32), doc_tokens, sequence_id, offset, sequence_length.
 
     A document's ids are those of its whole text and then end_id. Null and empty texts have end_id alone. Repeated rows
     and rows with a null id are packed like any other. An empty table gives no rows. Columns other than the two named
-    are not read. Sequences are filled without gaps; sequence_length is capacity, or a power of two that the ids fill.
+    are not read. Each occurrence of a string in ``special`` has the id given there (a file of ranks names no such strings,
+    so they are ordinary text unless given; SPECIAL has the public vocabulary's). Sequences are filled without gaps; sequence_length is capacity, or a power of two that the ids fill.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -187,7 +203,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bpe, packer = tokenizer(ranks_path), SumOfSquares(capacity, max_open)
+        bpe, packer = tokenizer(ranks_path, special), SumOfSquares(capacity, max_open)
         serial = TaskContext.get().partitionId() << 40
         out: list[tuple] = []
         held = 0

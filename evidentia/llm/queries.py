@@ -85,7 +85,7 @@ def digest_pieces(pieces: DataFrame) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 ids, with the CRC-32 of each piece's ids."""
-    return digest_pieces(packing.pack(_read(spark, sf_dir, "documents")))
+    return digest_pieces(packing.pack(_read(spark, sf_dir, "documents"), special=packing.SPECIAL))
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
