@@ -3,9 +3,11 @@
 Each input partition is packed on its own, in one pass and without a shuffle. A document's full windows become sequences
 at once; what is left of it (shorter than a window) is placed online: of all fill levels at which it fits, and a new
 window, it takes the one after which the sum of squared counts of partially filled windows is least. The counts are kept
-in an array indexed by fill level. Open windows are few, and at the end of a partition, or when there are MAX_OPEN of
-them, their pieces are cut anew into full windows; the rest of fewer tokens than a window becomes sequences whose lengths
-are powers of two, which need no padding.
+in an array indexed by fill level. A level is GRAIN ids wide, so that windows fill up with few documents too: a window
+that lacks fewer than GRAIN ids is full, and the first ids of a spare document, which is set aside for that, complete it.
+Placements are never undone while a window is open. At the end of a partition, or when MAX_OPEN windows are open, the
+fullest windows stay as placed and are completed with the pieces of the least full ones, cut where they end; the rest, of
+fewer ids than a window, becomes sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .scratch import ship
 
 #: Windows that may be open at a time in a task: with 2048 ids of 4 bytes each, 16 MB.
 MAX_OPEN = 2048
+#: Ids in a fill level. The open windows left at the end of a task are about as many as levels, so wide levels leave few.
+GRAIN = 128
 #: Texts whose ids a worker remembers; a memory bound only, results don't depend on it.
 MEMO = 200_000
 #: The added token of byte_bpe_50k, which its tokenizer finds in texts also without add_special_tokens.
@@ -98,7 +102,7 @@ class ByteBpe:
 
 
 @functools.lru_cache(2)
-def tokenizer(ranks_path: str | None, special: tuple[tuple[str, int], ...] = ()) -> ByteBpe:
+def tokenizer(ranks_path: str | None, special: tuple[tuple[str, int], ...] = SPECIAL) -> ByteBpe:
     """ranks_path: a file of base64 byte strings and ranks; None: the public vocabulary byte_bpe_50k. special: strings and their ids."""
     import public_tokenizers
 
@@ -106,29 +110,38 @@ def tokenizer(ranks_path: str | None, special: tuple[tuple[str, int], ...] = ())
 
 
 class SumOfSquares:
-    """Packs pieces (key, document length, start, ids) into windows; yields (pieces of a sequence, its padded length)."""
+    """Packs pieces (key, document length, start, ids) into windows; yields (pieces of a sequence, its padded length).
 
-    def __init__(self, capacity: int, max_open: int = MAX_OPEN):
-        self.capacity, self.max_open = capacity, max_open
-        self.level = np.zeros(capacity, np.int64)  # number of open windows by fill; level 0 stands for a new window
-        self.at: dict[int, deque] = {}
-        self.open = 0
+    Level k has the open windows that hold more than (k - 1) * grain and at most k * grain ids; level 0 stands for a new
+    window. ``kept`` and ``moved`` count the ids of shared sequences that stayed where they were placed, and those that
+    completed windows or were left at the end.
+    """
+
+    def __init__(self, capacity: int, max_open: int = MAX_OPEN, grain: int = 1):
+        self.capacity, self.max_open, self.grain = capacity, max_open, grain
+        self.level = np.zeros(-(-capacity // grain) + 1, np.int64)
+        self.at: list[deque] = [deque() for _ in self.level]  # windows (fill, pieces), the first placed first
+        self.open = self.kept = self.moved = 0
+        self.waiting: list[tuple[int, list]] = []  # windows that lack a few ids
+        self.spare: tuple | None = None
+
+    def full(self, fill: int) -> bool:
+        return self.capacity - fill < self.grain
 
     def place(self, size: int) -> int:
-        """The fill level (0: a new window) to which a piece of ``size`` goes."""
-        c, n = self.capacity, self.level
-        fits = n[1 : c - size + 1]  # levels 1 .. c - size
-        best, gain = 0, 2 * int(n[size]) + 1
-        levels = np.flatnonzero(fits) + 1
-        if len(levels):
-            after = levels + size
-            full = after == c
-            delta = 2 * (np.where(full, 0, n[np.where(full, 0, after)]) - n[levels]) + 2
-            delta[full] = 1 - 2 * n[levels[full]]
-            k = int(np.argmin(delta[::-1]))  # of equal ones the fullest window
-            k = len(levels) - 1 - k
-            if delta[k] <= gain:
-                best = int(levels[k])
+        """The fill level (0: a new window) to which a piece of ``size`` goes; of equal ones the fullest."""
+        c, g, n = self.capacity, self.grain, self.level.tolist()
+        best, gain = 0, 0 if self.full(size) else 2 * n[-(-size // g)] + 1
+        for k in range(min(len(n) - 1, -(-(c - size) // g)), 0, -1):
+            if not n[k]:
+                continue
+            fill = self.at[k][0][0] + size
+            if fill > c:
+                continue
+            after = -(-fill // g)
+            change = 1 - 2 * n[k] if self.full(fill) else 0 if after == k else 2 * (n[after] - n[k]) + 2
+            if change < gain or (change == gain and not best):
+                best, gain = k, change
         return best
 
     def add(self, key, total: int, ids: np.ndarray) -> Iterator[tuple[list, int]]:
@@ -139,61 +152,102 @@ class SumOfSquares:
         if whole == total:
             return
         piece, size = (key, total, whole, ids[whole:].copy()), total - whole
+        if self.waiting:
+            self.spare = piece
+            waiting, self.waiting = self.waiting, []
+            for fill, pieces in waiting:
+                yield from self._complete(fill, pieces)
+            return
         level = self.place(size)
-        window = []
+        fill, pieces = 0, []
         if level:
-            window = self.at[level].popleft()
+            fill, pieces = self.at[level].popleft()
             self.level[level] -= 1
             self.open -= 1
-        window.append(piece)
-        if level + size == c:
-            yield window, c
-            return
-        self.level[level + size] += 1
-        self.at.setdefault(level + size, deque()).append(window)
-        self.open += 1
-        if self.open >= self.max_open:
+        pieces.append(piece)
+        self.kept += size
+        if self.full(fill + size):
+            yield from self._complete(fill + size, pieces)
+        else:
+            self._put(fill + size, pieces)
+        if self.open + len(self.waiting) >= self.max_open:
             yield from self.close(False)
 
+    def _put(self, fill: int, pieces: list) -> None:
+        k = -(-fill // self.grain)
+        self.level[k] += 1
+        self.at[k].append((fill, pieces))
+        self.open += 1
+
+    def _complete(self, fill: int, pieces: list) -> Iterator[tuple[list, int]]:
+        """Fill a window up from the spare piece; without one it waits."""
+        gap = self.capacity - fill
+        if gap and self.spare:
+            key, total, start, ids = self.spare
+            take = min(gap, len(ids))
+            pieces.append((key, total, start, ids[:take]))
+            self.moved += take
+            self.spare = (key, total, start + take, ids[take:]) if take < len(ids) else None
+            gap -= take
+        if gap:
+            self.waiting.append((self.capacity - gap, pieces))
+        else:
+            yield pieces, self.capacity
+
     def close(self, last: bool = True) -> Iterator[tuple[list, int]]:
-        """Cut the pieces of all open windows into full ones; keep the rest open unless this is the end."""
-        c, window, fill = self.capacity, [], 0
-        pieces = [p for level in sorted(self.at, reverse=True) for w in self.at[level] for p in w]
-        self.level[:], self.at, self.open = 0, {}, 0
-        for key, total, start, ids in pieces:
-            while len(ids):
+        """Complete the fullest windows with what the least full ones hold; keep the rest open unless this is the end."""
+        c = self.capacity
+        windows = sorted([*self.waiting, *(w for at in self.at for w in at)], key=lambda w: -w[0])
+        rest = deque([self.spare] if self.spare else [])
+        self.level[:], self.at, self.open, self.waiting, self.spare = 0, [deque() for _ in self.at], 0, [], None
+        first, end, fill, pieces = 0, len(windows), 0, []
+        while first < end:
+            fill, pieces = windows[first]
+            first += 1
+            while fill < c and (rest or first < end):
+                if not rest:
+                    end -= 1
+                    rest.extend(windows[end][1])
+                    self.kept -= windows[end][0]
+                    self.moved += windows[end][0]
+                key, total, start, ids = rest.popleft()
                 take = min(len(ids), c - fill)
-                window.append((key, total, start, ids[:take]))
-                fill, start, ids = fill + take, start + take, ids[take:]
-                if fill == c:
-                    yield window, c
-                    window, fill = [], 0
+                pieces.append((key, total, start, ids[:take]))
+                fill += take
+                if take < len(ids):
+                    rest.appendleft((key, total, start + take, ids[take:]))
+            if fill == c:
+                yield pieces, c
+                fill, pieces = 0, []
+        if not fill:  # what the last donor has left
+            pieces = list(rest)
+            fill = sum(len(p[3]) for p in pieces)
         if not fill:
             return
         if not last:
-            self.level[fill], self.at, self.open = 1, {fill: deque([window])}, 1
+            self._put(fill, pieces)
             return
         for bit in range(fill.bit_length() - 1, -1, -1):
             if not fill >> bit & 1:
                 continue
             room, out = 1 << bit, []
             while room:
-                key, total, start, ids = window.pop(0)
+                key, total, start, ids = pieces.pop(0)
                 take = min(len(ids), room)
                 out.append((key, total, start, ids[:take]))
                 room -= take
                 if take < len(ids):
-                    window.insert(0, (key, total, start + take, ids[take:]))
+                    pieces.insert(0, (key, total, start + take, ids[take:]))
             yield out, 1 << bit
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, ranks_path: str | None = None, max_open: int = MAX_OPEN, special: tuple[tuple[str, int], ...] = ()) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, ranks_path: str | None = None, max_open: int = MAX_OPEN, special: tuple[tuple[str, int], ...] = SPECIAL, grain: int = GRAIN) -> DataFrame:
     """One row per piece: id, start, length, ids_le (little-endian uint32), doc_tokens, sequence_id, offset, sequence_length.
 
     A document's ids are those of its whole text and then end_id. Null and empty texts have end_id alone. Repeated rows
     and rows with a null id are packed like any other. An empty table gives no rows. Columns other than the two named
-    are not read. Each occurrence of a string in ``special`` has the id given there (a file of ranks names no such strings,
-    so they are ordinary text unless given; SPECIAL has the public vocabulary's). Sequences are filled without gaps; sequence_length is capacity, or a power of two that the ids fill.
+    are not read. Each occurrence of a string in ``special`` has the id given there, as the vocabulary's own tokenizer gives
+    it (a file of ranks names no such strings; SPECIAL has the public vocabulary's, and () none). Sequences are filled without gaps; sequence_length is capacity, or a power of two that the ids fill.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -203,7 +257,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bpe, packer = tokenizer(ranks_path, special), SumOfSquares(capacity, max_open)
+        bpe, packer = tokenizer(ranks_path, special), SumOfSquares(capacity, max_open, grain)
         serial = TaskContext.get().partitionId() << 40
         out: list[tuple] = []
         held = 0
