@@ -154,3 +154,24 @@ def test_top_k(spark, shape):
             expected += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
     assert sorted(got) == sorted(expected)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_bounds_leave_few_pairs_and_lose_none():
+    random = np.random.default_rng(2)
+    x = np.floor(64 * random.normal(size=(3000, 32)) * np.linspace(1.5, 0.3, 32)).astype(np.int64)
+    ids = np.arange(len(x))
+    length = np.sqrt((x**2.0).sum(1))
+    order = np.argsort(-length, kind="stable")
+    rotation, spectrum, _ = np.linalg.svd(x.T.astype(float) @ x)
+    at = topk.cuts(spectrum)
+    assert len(at) >= 2 and at == sorted(at) and at[-1] < 32
+    best = topk.Best(ids[:100], x[:100], rotation, at, 20)
+    for i in range(0, len(x), 500):
+        part = order[i : i + 500]
+        best.meet(ids[part], x[part], length[part].max())
+    assert best.pairs <= 100 * 2999 and best.scored < 0.3 * best.pairs
+    q, s, i = best.top
+    for k in range(100):
+        expected = sorted((-int(x[k] @ x[c]), c) for c in range(len(x)) if c != k)[:20]
+        assert [(-int(a), int(b)) for a, b in zip(s[q == k], i[q == k], strict=True)] == expected
+    assert topk.cuts(np.zeros(4)) == [1] and topk.cuts(np.array([5.0])) == []
