@@ -110,6 +110,27 @@ _HOST = "coalesce(translate(regexp_extract({0}, '://([^/?#]*)', 1), 'ABCDEFGHIJK
 _PATH = "coalesce(regexp_extract({0}, '://[^/?#]*([^?#]*)', 1), '')"
 _BARE = "regexp_replace({0}, '(?s)#.*$', '')"
 _ALIAS = "CASE WHEN contains({0}, '://') THEN split_part(" + _BARE + ", '://', 1) || '://' || " + _HOST.format(_BARE) + " || regexp_extract(" + _BARE + ", '(?s)://[^/?#]*(.*)$', 1) END"
+_ATTRIBUTE = r"""([^\s"''>/=]+)(?:\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+))?"""
+
+
+def _attribute_sql(name: str) -> str:
+    value = f"regexp_extract_all(tag, '{_ATTRIBUTE}', 2)[nullif(list_position(list_transform(regexp_extract_all(tag, '{_ATTRIBUTE}', 1), lambda x: lower(x)), '{name}'), 0)]"
+    return f"""trim(regexp_replace(regexp_replace({value}, '^["'']|["'']$', '', 'g'), '(?i)&(amp|#38|#x26);', '&', 'g'))"""
+
+
+def _resolve_sql(base: str, target: str) -> str:
+    """The address of a link: segments are folded one by one, the last one apart."""
+    root, own = f"regexp_extract({base}, '(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)", f"regexp_extract({base}, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+    path, rest = f"regexp_extract({target}, '(?s)^[^?#]*')", f"regexp_extract({target}, '(?s)^[^?#]*(.*)$', 1)"
+    whole = f"CASE WHEN starts_with({path}, '/') THEN {path} ELSE CASE WHEN {own} = '' THEN '/' ELSE regexp_replace({own}, '[^/]*$', '') END || {path} END"
+    parts = f"string_split({whole}, '/')[2:]"
+    flat = f"list_reduce(list_prepend([''], list_transform({parts}, lambda x: [x])), lambda acc, x: CASE x[1] WHEN '.' THEN acc WHEN '..' THEN CASE WHEN len(acc) > 1 THEN acc[:len(acc) - 1] ELSE acc END ELSE list_append(acc, x[1]) END)"
+    dotted = f"array_to_string({flat}, '/')"
+    path_sql = f"CASE WHEN {dotted} = '' THEN '/' WHEN {parts}[-1] IN ('.', '..') THEN {dotted} || '/' ELSE {dotted} END"
+    return f"""CASE WHEN {target} IS NULL OR {target} = '' OR starts_with({target}, '#') THEN NULL WHEN regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {target} END
+        WHEN {root} = '' THEN NULL WHEN starts_with({target}, '//') THEN split_part({root}, '://', 1) || ':' || {target} WHEN {path} = '' THEN {root} || {own} || {rest} ELSE {root} || {path_sql} || {rest} END"""
+
+
 _RULE = "CASE " + " ".join(
     f"WHEN ({{0}} = '{h}' OR ends_with({{0}}, '.{h}')) AND starts_with({{1}}, '{p}') THEN '{v} {h}{p}'"
     for v, h, p in sorted((url_filter.parse_rule(r) for r in RULES), key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
@@ -155,16 +176,21 @@ SELECT doc_id, domain, lang, source, whole::INT AS epoch, tokens AS doc_tokens,
 
 SQL: dict[str, str] = {
     "op1_url_filter": f"""
-WITH RECURSIVE tags AS (
-    SELECT url AS source, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\s[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL
-), leads AS (
-    SELECT source, CASE
-        WHEN regexp_matches(tag, '(?i)^<link\\s') AND regexp_matches(tag, '(?i)\\srel\\s*=\\s*["'']?canonical["''\\s>/]') THEN regexp_extract(tag, '(?i)\\shref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
-        WHEN regexp_matches(tag, '(?i)^<meta\\s') AND regexp_matches(tag, '(?i)\\shttp-equiv\\s*=\\s*["'']?refresh') THEN regexp_extract(tag, '(?i)url\\s*=\\s*["'']?([^"''\\s>]+)', 1) END AS goal FROM tags
-), links AS (
-    SELECT source, CASE WHEN contains(goal, '://') THEN goal WHEN starts_with(goal, '//') THEN split_part(source, '://', 1) || ':' || goal
-        WHEN starts_with(goal, '/') THEN split_part(source, '://', 1) || '://' || {_HOST.format("source")} || goal END AS target FROM leads WHERE goal <> ''
-), named AS (SELECT {_ALIAS.format("source")} AS a, {_ALIAS.format("target")} AS b FROM links),
+WITH RECURSIVE clean AS (
+    SELECT url AS source, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g') AS html
+    FROM pages WHERE url IS NOT NULL AND regexp_matches(html, '(?i)canonical|http-equiv')
+), lists AS (SELECT source, regexp_extract_all(html, '(?is)<(?:link|meta|base)\\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>') AS tags FROM clean),
+tags AS (SELECT row_number() OVER () AS row, source, tags FROM lists),
+parts AS (SELECT row, source, unnest(tags) AS tag, unnest(range(len(tags))) AS pos FROM tags),
+read AS (
+    SELECT row, source, pos, lower(regexp_extract(tag, '^<([a-zA-Z]+)', 1)) AS kind, {_attribute_sql("href")} AS href, {_attribute_sql("rel")} AS rel, {_attribute_sql("http-equiv")} AS equiv, {_attribute_sql("content")} AS content FROM parts
+), bases AS (SELECT row, min_by(href, pos) AS href FROM read WHERE kind = 'base' AND href IS NOT NULL GROUP BY 1),
+based AS (SELECT r.*, coalesce({_resolve_sql("r.source", "b.href")}, r.source) AS base FROM read r LEFT JOIN bases b USING (row)),
+leads AS (
+    SELECT source, base, CASE WHEN kind = 'link' AND list_contains(regexp_split_to_array(lower(rel), '\\s+'), 'canonical') THEN href
+        WHEN kind = 'meta' AND lower(equiv) = 'refresh' THEN trim(regexp_extract(content, '(?is)^\\s*(?:[\\d.]+[\\s;,]+(?:url\\s*=\\s*)?|url\\s*=\\s*)["'']?([^"'']*)', 1)) END AS goal FROM based
+), links AS (SELECT source, {_resolve_sql("base", "goal")} AS target FROM leads WHERE goal <> ''),
+named AS (SELECT {_ALIAS.format("source")} AS a, {_ALIAS.format("target")} AS b FROM links WHERE target IS NOT NULL),
 edges AS (SELECT a, b FROM named WHERE a <> b UNION SELECT b, a FROM named WHERE a <> b),
 reach(a, b) AS (SELECT a, a FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
 blocked AS (SELECT DISTINCT a FROM reach WHERE {_RULE.format(_HOST.format("b"), _PATH.format("b"))} LIKE 'block %'),

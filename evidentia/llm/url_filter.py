@@ -53,16 +53,60 @@ def with_alias(df: DataFrame, url_col: str, name: str) -> DataFrame:
     return parts.withColumn(name, F.when(F.instr("_bare", "://") > 0, F.concat("_scheme", F.lit("://"), "_host", "_rest"))).drop("_bare", "_scheme", "_host", "_rest")
 
 
+#: What a tag consists of: text without quotes, and quoted values, in which ``>`` may occur.
+_TAG = "(?is)<(?:link|meta|base)\\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+_ATTRIBUTE = "([^\\s\"'>/=]+)(?:\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+))?"
+_REFRESH = "(?is)^\\s*(?:[\\d.]+[\\s;,]+(?:url\\s*=\\s*)?|url\\s*=\\s*)[\"']?([^\"']*)"
+_SCHEME, _ROOT = "^[A-Za-z][A-Za-z0-9+.-]*:", "(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """A tag's first attribute of this name, without quotes and with ``&amp;`` decoded; null if there is none."""
+    pairs = F.arrays_zip(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1)).alias("k"), F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2)).alias("v"))
+    value = F.get(F.filter(pairs, lambda p: F.lower(p["k"]) == name), F.lit(0))["v"]
+    return F.trim(F.regexp_replace(F.regexp_replace(value, "^[\"']|[\"']$", ""), "(?i)&(?:amp|#38|#x26);", "&"))
+
+
+def without_dots(path: Column) -> Column:
+    """A path that begins with a slash, with its ``.`` and ``..`` segments resolved."""
+    parts = F.split(path, "/")
+    none = F.array().cast("array<string>")
+    flat = F.aggregate(F.slice(parts, 2, F.size(parts)), none, lambda out, x: F.when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.array_append(out, x)))
+    closed = F.element_at(parts, -1).isin(".", "..") & (F.size(flat) > 0)
+    return F.concat(F.lit("/"), F.array_join(flat, "/"), F.when(closed, "/").otherwise(""))
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """The address that a link on page ``base`` leads to; null for none, for the page itself and for schemes without ``//``."""
+    root = F.regexp_extract(base, _ROOT, 1)
+    scheme = F.substring_index(root, "://", 1)
+    own = F.regexp_extract(base, "(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    folder = F.when(own == "", "/").otherwise(F.regexp_replace(own, "[^/]*$", ""))
+    path, rest = F.regexp_extract(target, "(?s)^[^?#]*", 0), F.regexp_extract(target, "(?s)^[^?#]*(.*)$", 1)
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
+    return (
+        F.when((target == "") | target.startswith("#"), F.lit(None).cast("string")).when(target.rlike(_SCHEME), F.when(target.rlike(_SCHEME + "//"), target)).when(root == "", F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).when(path == "", F.concat(root, own, rest)).otherwise(F.concat(root, without_dots(whole), rest))
+    )
+
+
 def html_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(source, target): a page's URL and where its canonical links and refresh redirects lead, if to an absolute URL or an absolute path."""
-    tags = F.regexp_extract_all(F.col(html_col), F.lit("(?i)<(?:link|meta)\\s[^>]*>"), F.lit(0))
-    found = pages.filter(F.col(html_col).rlike("(?i)canonical|http-equiv") & F.col(url_col).isNotNull()).select(F.col(url_col).alias("source"), F.explode(tags).alias("tag"))
-    canonical = F.when(F.col("tag").rlike("(?i)^<link\\s") & F.col("tag").rlike("(?i)\\srel\\s*=\\s*[\"']?canonical[\"'\\s>/]"), F.regexp_extract("tag", "(?i)\\shref\\s*=\\s*[\"']?([^\"'\\s>]+)", 1))
-    refresh = F.when(F.col("tag").rlike("(?i)^<meta\\s") & F.col("tag").rlike("(?i)\\shttp-equiv\\s*=\\s*[\"']?refresh"), F.regexp_extract("tag", "(?i)url\\s*=\\s*[\"']?([^\"'\\s>]+)", 1))
-    leads = found.select("source", F.coalesce(canonical, refresh).alias("to")).filter("to <> ''")
-    leads = leads.withColumn("scheme", F.substring_index("source", "://", 1)).withColumn("host", host_of(F.col("source")))
-    target = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat("scheme", F.lit(":"), "to")).when(F.col("to").startswith("/"), F.concat("scheme", F.lit("://"), "host", "to"))
-    return leads.select("source", target.alias("target")).filter("target is not null")
+    """(source, target): a page's URL and where its canonical links and refresh redirects lead.
+
+    Tags in comments, scripts and styles don't count; quoted attributes may hold ``>``; ``canonical`` may be any word of
+    rel. Targets are resolved against the page's URL or its first ``<base href>``.
+    """
+    found = pages.filter(F.col(html_col).rlike("(?i)canonical|http-equiv") & F.col(url_col).isNotNull())
+    bare = F.regexp_replace(html_col, "(?is)<!--.*?-->|<(script|style)\\b.*?</\\1\\s*>", " ")
+    rows = found.select(F.col(url_col).alias("source"), F.regexp_extract_all(bare, F.lit(_TAG), F.lit(0)).alias("tags"))
+    bases = F.filter(F.transform(F.filter("tags", lambda t: t.rlike("(?i)^<base\\b")), lambda t: attribute(t, "href")), lambda h: h.isNotNull())
+    rows = rows.withColumn("base", F.coalesce(resolve(F.col("source"), F.get(bases, F.lit(0))), F.col("source")))
+    tags = rows.select("source", "base", F.explode("tags").alias("tag")).withColumn("link", F.col("tag").rlike("(?i)^<link\\b"))
+    tags = tags.filter(F.col("link") | F.col("tag").rlike("(?i)^<meta\\b")).withColumn("kind", attribute(F.col("tag"), "rel")).withColumn("equiv", attribute(F.col("tag"), "http-equiv"))
+    canonical = F.when(F.col("link") & F.array_contains(F.split(F.lower("kind"), "\\s+"), "canonical"), attribute(F.col("tag"), "href"))
+    refresh = F.when(~F.col("link") & (F.lower("equiv") == "refresh"), F.trim(F.regexp_extract(attribute(F.col("tag"), "content"), _REFRESH, 1)))
+    leads = tags.withColumn("to", F.coalesce(canonical, refresh)).filter("to <> ''")
+    return leads.select("source", resolve(F.col("base"), F.col("to")).alias("target")).filter("target is not null")
 
 
 def judge(pages: DataFrame, rules: list[Rule], links: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
