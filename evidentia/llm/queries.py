@@ -154,8 +154,11 @@ def _mix_sql() -> str:
     FROM {source} LEFT JOIN weights ON depth = {depth} AND path = {path} GROUP BY {group}
 ), f{depth} AS (
     SELECT *, capacity * (sum(weight) OVER (PARTITION BY {up}) - coalesce(sum(weight) OVER {before}, 0)) <= weight * (budget - coalesce(sum(capacity) OVER {before}, 0)) AS isfull FROM n{depth} WHERE weight > 0
+), g{depth} AS (
+    SELECT *, budget - coalesce(sum(capacity) FILTER (isfull) OVER (PARTITION BY {up}), 0) AS rest, sum(weight) FILTER (NOT isfull) OVER (PARTITION BY {up}) AS opened,
+        sum(weight) FILTER (NOT isfull) OVER (PARTITION BY {up} ORDER BY md5({names[depth - 1]}) ROWS UNBOUNDED PRECEDING) AS upto FROM f{depth}
 ), s{depth} AS (
-    SELECT {keys}, CASE WHEN isfull THEN capacity ELSE (weight * (budget - coalesce(sum(capacity) FILTER (isfull) OVER (PARTITION BY {up}), 0)) // sum(weight) FILTER (NOT isfull) OVER (PARTITION BY {up})) END::BIGINT AS budget FROM f{depth}
+    SELECT {keys}, CASE WHEN isfull THEN capacity ELSE (upto::HUGEINT * rest::HUGEINT) // opened::HUGEINT - ((upto - weight)::HUGEINT * rest::HUGEINT) // opened::HUGEINT END::BIGINT AS budget FROM g{depth}
 )""")
     return f"""
 WITH weights(depth, path, w) AS (VALUES {weights}), docs AS (

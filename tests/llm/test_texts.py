@@ -1,6 +1,7 @@
 """Packing, classifiers, mixing, URL filter and archives."""
 
 import collections
+import hashlib
 import html.parser
 import io
 import random
@@ -192,7 +193,11 @@ def water_fill(budget, children):
         w = sum(x[1] for x in left.values())
         full = [n for n, (c, k) in left.items() if c * w <= k * budget]
         if not full:
-            return out | {n: k * budget // w for n, (c, k) in left.items()}
+            upto = 0
+            for n in sorted(left, key=lambda n: hashlib.md5(n.encode()).hexdigest()):
+                k = left[n][1]
+                out[n], upto = (upto + k) * budget // w - upto * budget // w, upto + k
+            return out
         n = min(full, key=lambda n: (left[n][0] / left[n][1], n))
         out[n], budget = left[n][0], budget - left[n][0]
         del left[n]
@@ -224,6 +229,9 @@ def test_mixing(spark):
         taken[r["lang"], r["source"]] += r["taken"]
         assert 0 < r["taken"] <= r["doc_tokens"] and r["epoch"] < 2
     assert dict(taken) == {k: v for k, v in expected.items() if v}
+    assert sum(taken.values()) == int(0.7 * sum(avail.values())), "nothing of the budget is lost to rounding"
+    odd = mixing.mix(df, {"weight": F.col("lang"), "tokens": F.col("source")}, weights, 0.7, 2, 1)
+    assert odd.columns == ["doc_id", "weight", "tokens", "epoch", "doc_tokens", "taken"] and sorted(map(tuple, odd.collect()), key=str) == sorted(map(tuple, got), key=str)
     assert mixing.mix(df.limit(0), {"lang": F.col("lang")}, {}, 0.5).count() == 0
 
 
