@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies are counted over all training texts. The regression is fitted on a bounded sample of them
-(MAX_SAMPLE) with follow-the-regularised-leader updates and elastic-net penalties, which leave most weights zero, and its
+(MAX_SAMPLE rows, and LEAST of each language) with follow-the-regularised-leader updates and elastic-net penalties, which leave most weights zero, and its
 probabilities are calibrated with a temperature on a part of the sample that the fit didn't see.
 """
 
@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .learning import map_texts, softmax, temperature, unit
+from .learning import bounded_sample, map_texts, softmax, temperature, unit
 from .scratch import ship, write
 from .textarrays import codes, letter_ngrams, letter_table
 
 ORDERS, BITS = (1, 2, 3), 15
-#: Documents that the regression is fitted on, shared equally by the languages; and languages learned, the most frequent ones.
-MAX_SAMPLE, MAX_LANGUAGES = 4000, 200
+#: Documents that the regression is fitted on, shared equally by the languages; and how many of each language at least.
+MAX_SAMPLE, LEAST = 4000, 8
 UNKNOWN = "und"
 
 
@@ -83,17 +83,20 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int,
 
 
 def train(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_sample: int = MAX_SAMPLE, seed: int = 7) -> Model:
-    """Fit on the rows where train_rows holds and text and language are not null; no such rows: a model that knows no language."""
+    """Fit on the rows where train_rows holds and text and language are not null; no such rows: a model that knows no language.
+
+    Every language that occurs is learned: the driver holds one number for each, and half a megabyte of weights.
+    """
     spark = docs.sparkSession
     ship(spark)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), train_rows.alias("_train")).filter(F.col("_train") & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return Model([], np.zeros(1), np.zeros((1, 0)), np.zeros(0), 1.0)
-    share = max_sample / len(languages)
-    rate = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, share / r["count"]))])[F.col("lang")]
-    picked = known.select("id", "text", F.when(F.coalesce(unit(F.col("id"), seed) < rate, F.lit(False)), F.col("lang")).alias("lang"))
+    share = max(max_sample / len(languages), LEAST)
+    rate = {r["lang"]: share / r["count"] for r in counts}
+    picked = known.select("text", "lang", unit(F.col("id"), seed).alias("u"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(1 << BITS, np.int64)
@@ -104,12 +107,12 @@ def train(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col:
 
         for batch in batches:
             sample = []
-            for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
+            for text, lang, u in zip(batch.column("text"), batch.column("lang").to_pylist(), batch.column("u").to_pylist(), strict=True):
                 at, n = term_counts(text.as_py())
                 df[at] += 1
                 docs_seen += 1
-                if lang.is_valid:
-                    sample.append((lang.as_py(), at.astype("<i4").tobytes(), n.astype("<i4").tobytes()))
+                if u is not None and u < rate[lang]:  # no sample of rows with a null id
+                    sample.append((lang, at.astype("<u2").tobytes(), np.minimum(n, 65_535).astype("<u2").tobytes()))
             if sample:
                 langs, ats, tfs = zip(*sample, strict=True)
                 yield out(langs, [None] * len(langs), [None] * len(langs), ats, tfs)
@@ -117,7 +120,7 @@ def train(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col:
         at = np.flatnonzero(df)
         yield out([None] * (len(at) + 1), np.append(at, -1), np.append(df[at], docs_seen), [None] * (len(at) + 1), [None] * (len(at) + 1))
 
-    counted = write(picked.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long, at binary, tf binary"), "langid")
+    counted = write(picked.mapInArrow(count, "lang string, bucket int, n long, at binary, tf binary"), "langid")
     df = np.zeros(1 << BITS)
     total = 0
     for r in counted.df.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
@@ -125,13 +128,14 @@ def train(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col:
             total = r["n"]
         else:
             df[r["bucket"]] = r["n"]
-    sample = sorted(counted.df.filter("lang is not null").select("lang", "at", "tf").limit(2 * max_sample).collect())
+    sample = bounded_sample(counted.df.filter("lang is not null").select("lang", "at", "tf"), ["at", "tf"], 2 * int(share * len(languages)))
     counted.drop()
     idf = np.log((1 + total) / (1 + df)) + 1
-    y = np.array([languages.index(r["lang"]) for r in sample], np.int64)
+    number = {lang: i for i, lang in enumerate(languages)}
+    y = np.array([number[r["lang"]] for r in sample], np.int64)
     rows = []
     for r in sample:
-        at, n = np.frombuffer(r["at"], "<i4"), np.frombuffer(r["tf"], "<i4")
+        at, n = np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["tf"], "<u2")
         rows.append((at, tf_idf(at, n, idf)))
     later = np.random.default_rng(seed).random(len(rows)) < 0.15
     fit = np.flatnonzero(~later)

@@ -13,6 +13,8 @@ from pyspark.sql.types import StructField, StructType
 
 from .scratch import join_checked, ship
 
+#: Bytes of a training sample's features that the driver takes at most.
+MAX_SAMPLE_BYTES = 256 << 20
 #: Rows whose texts a task holds as Python strings at a time.
 PART = 256
 
@@ -35,6 +37,18 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return join_checked(docs.select(id_col, text_col), one, [id_col], "inner", rows)
 
 
+def bounded_sample(rows: DataFrame, features: list[str], most: int, most_bytes: int = MAX_SAMPLE_BYTES) -> list:
+    """The rows of a written sample, in a fixed order: at most ``most``, and so many that ``features`` take most_bytes or so.
+
+    Which rows stay depends on a hash of their values alone, not on the order in which they are read.
+    """
+    key = F.xxhash64(*rows.columns)
+    size = rows.agg(F.sum(sum((F.octet_length(c) for c in features), F.lit(0)))).first()[0] or 0
+    if size > most_bytes:
+        rows = rows.filter(F.shiftrightunsigned(key, 11) / F.lit(float(1 << 53)) < most_bytes / size)
+    return sorted(rows.orderBy(key).limit(most).collect())
+
+
 def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     """The temperature of a grid that gives the least cross-entropy. logits: rows x classes; y: class numbers."""
     if not len(y):

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .learning import map_texts, labelled, sigmoid, temperature, unit
-from .scratch import ship
+from .learning import bounded_sample, map_texts, labelled, sigmoid, temperature, unit
+from .scratch import ship, write
 from .textarrays import blocks, codes, letter_table, mix, runs, space_table, span_hashes
 
 BITS, DIM, WINDOW, NONZERO = 13, 32, 2, 2
@@ -161,7 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str =
             x = [model.pool(t.as_py()).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.binary())], ["label", "x"])
 
-    sample = sorted(known.filter(unit(F.col("id"), seed) < rate).select("text", "label").mapInArrow(pick, "label int, x binary").limit(2 * max_sample).collect())
+    picked = write(known.filter(unit(F.col("id"), seed) < rate).select("text", "label").mapInArrow(pick, "label int, x binary"), "sample")
+    sample = bounded_sample(picked.df, ["x"], 2 * max_sample)
+    picked.drop()
     if not sample:
         return model
     y = np.array([r["label"] for r in sample], float)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .learning import map_texts, labelled, sigmoid, temperature, unit
+from .learning import bounded_sample, map_texts, labelled, sigmoid, temperature, unit
 from .scratch import ship, write
 from .textarrays import letter_ngrams
 
@@ -158,8 +158,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(at, pa.binary())], ["id", "label", "at"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    sample = known.filter(unit(F.col("id"), seed) < rate).mapInArrow(pick, f"id {kind}, label int, at binary").select("label", "at").limit(2 * max_sample).collect()
-    sample.sort()
+    picked = write(known.filter(unit(F.col("id"), seed) < rate).mapInArrow(pick, f"id {kind}, label int, at binary").select("label", "at"), "sample")
+    sample = bounded_sample(picked.df, ["at"], 2 * max_sample)
+    picked.drop()
     y = np.array([r["label"] for r in sample], np.int64)
     rows = [np.frombuffer(r["at"], "<i4").astype(np.int64) for r in sample]
     later = np.random.default_rng(seed).random(len(rows)) < 0.15
