@@ -28,33 +28,50 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=COLUMNS).filter("score < 0.5").select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with ``_key``: the document's id, or a hash of id and text for rows without an id or with one that repeats.
+
+    So only rows equal in id and text share a key. The second value tells whether some may.
+    """
+    own, text = F.col("doc_id"), F.col("text")
+    again = write(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    n, none = again.df.count(), docs.filter("doc_id is null").limit(1).count()
+    if not n:
+        return docs.withColumn("_key", F.coalesce(own, F.xxhash64(own, text))), bool(none)
+    marked = join_checked(docs, again.df.withColumn("_again", F.lit(True)), ["doc_id"], "left", n)
+    return marked.withColumn("_key", F.when(own.isNull() | F.col("_again"), F.xxhash64(own, text)).otherwise(own)).drop("_again"), True
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (sets of five-word shingles, similarity 0.8): the one with the smallest id.
 
-    Of rows that repeat an id, one stays. Rows with a null id or without words link with nothing and stay.
+    Rows without an id, and rows that share one but differ in text, are documents of their own: they are compared like any
+    others, with a hash of id and text in the id's place. Of rows equal in id and text the least by all columns stays.
+    Rows without words link with nothing and stay.
     """
-    found = minhash.near_duplicates(docs, words=5, percent=80).filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    found = write(found.filter("not kept or n > 1"), "decided")
-    gone = found.df.filter("not kept").select("doc_id")
-    left = join_checked(docs, gone, ["doc_id"], "left_anti", gone.count())
-    again = found.df.filter("kept and n > 1").select("doc_id")
-    n = again.count()
-    if n:
-        one = join_checked(left, again, ["doc_id"], "left_semi", n).dropDuplicates(["doc_id"])
-        left = join_checked(left, again, ["doc_id"], "left_anti", n).unionByName(one)
-    return left.select(*COLUMNS)
+    rows, repeated = keyed(docs)
+    if repeated:
+        rows = rows.groupBy("_key").agg(F.min(F.struct(*COLUMNS)).alias("_row")).select("_key", "_row.*")
+    found = minhash.near_duplicates(rows, id_col="_key", words=5, percent=80)
+    gone = write(found.filter("not kept").select("_key"), "gone")
+    return join_checked(rows, gone.df, ["_key"], "left_anti", gone.df.count()).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the budgets of domains, languages and sources pay for as wholes."""
-    taken = mixing.mix(docs, queries.mix_levels(), queries.MIX_WEIGHTS, MIX_SHARE, 1, queries.MIX_SEED)
-    ids = write(taken.filter("taken = doc_tokens").select("doc_id").distinct(), "mixed")
-    return join_checked(docs, ids.df, ["doc_id"], "left_semi", ids.df.count()).select(*COLUMNS)
+    """The documents that the budgets of domains, languages and sources pay for as wholes.
+
+    Rows without an id, or with a repeated one, take part with a hash of id and text in its place. Texts without words have
+    no tokens to take and go; earlier stages leave none.
+    """
+    rows, _ = keyed(docs)
+    taken = mixing.mix(rows, queries.mix_levels(), queries.MIX_WEIGHTS, MIX_SHARE, 1, queries.MIX_SEED, id_col="_key")
+    ids = write(taken.filter("taken = doc_tokens").select("_key").distinct(), "mixed")
+    return join_checked(rows, ids.df, ["_key"], "left_semi", ids.df.count()).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences, with the CRC-32 of each piece's ids."""
-    return queries.digest_pieces(packing.pack(docs, special=packing.SPECIAL))
+    return queries.digest_pieces(packing.pack(docs))
 
 
 STAGES = [("language_id", language), ("toxicity", clean), ("near_duplicates", near_duplicates), ("mixing", mixed), ("packing", packed)]
