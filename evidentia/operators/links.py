@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,10 +150,13 @@ def crawl_depth(pages: DataFrame, links: DataFrame, entries: DataFrame, local_li
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage: through the checkpoint folder if the session names one."""
-    folder = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    """df without its lineage, written to the folder in spark.checkpoint.dir; a temporary one only where driver and executors are one process."""
+    context = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
-        return df.localCheckpoint()
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="evidentia-")
     if df.sparkSession._jsc.sc().getCheckpointDir().isEmpty():
         df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
