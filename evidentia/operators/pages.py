@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bundles as B
 from ..functions.text import declared_language, has_emoji, visible_text, word_count
 
 #: Characters of page and assets that rules of appearance look at.
@@ -140,20 +141,48 @@ def first_of(s: Column, patterns: dict[str, str]) -> Column:
     return F.coalesce(*[F.when(s.rlike(p), F.lit(name)) for name, p in patterns.items()])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it has fewer partitions than there are: a small file is one partition, and rules are costly."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def prepare(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, host, html, hay, blob, copy, headers, ...): the inputs of the rules. A null page is empty.
+    """(page_id, host, html, markup, hay, blob, copy, headers, ...): the inputs of the rules. A null page is empty.
 
-    pages may have assets (map of address to body) and headers (map of lower-case names).
+    pages may have assets (map of address to body), headers (map of lower-case names) and source_maps (array of sources and
+    content, see bundles.source_maps). markup is the page and the class lists of its bundles, copy its text and their
+    sentences, hay the page and the names of what it loads.
     """
     has = set(pages.columns)
     empty = F.create_map().cast("map<string,string>")
     assets = F.coalesce(F.col("assets"), empty) if "assets" in has else empty
     headers = F.coalesce(F.col("headers"), empty) if "headers" in has else empty
-    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"://([^/?#:]+)", 1)).alias("host"), assets.alias("assets"), headers.alias("headers"))
-    rows = rows.withColumn("hay", F.concat_ws("\n", "html", F.array_join(F.map_keys("assets"), "\n")))
-    rows = rows.withColumn("blob", F.left(F.concat_ws("\n", "html", F.array_join(F.map_values("assets"), "\n")), F.lit(SCAN))).withColumn("copy", visible_text(F.left("html", F.lit(SCAN))))
-    readable = F.octet_length("html") + F.coalesce(F.octet_length(F.array_join(F.map_values("assets"), "")), F.lit(0))
-    return rows.withColumn("copy_language", declared_language(F.col("copy"))).withColumn("thin", readable < THIN_BYTES).drop("assets")
+    maps = F.coalesce(F.col("source_maps"), F.array().cast(B.MAPS)) if "source_maps" in has else F.array().cast(B.MAPS)
+    rows = spread(pages).select(F.col(id_col).alias("page_id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"://([^/?#:]+)", 1)).alias("host"), assets.alias("assets"), headers.alias("headers"), maps.alias("maps"))
+    rows = rows.withColumn("hay", F.concat_ws("\n", "html", F.array_join(F.map_keys("assets"), "\n"), B.map_paths(F.col("maps"))))
+    rows = rows.withColumn("blob", B.safe_cut(F.concat_ws("\n", "html", F.array_join(F.map_values("assets"), "\n")), SCAN)).withColumn("copy", visible_text(B.safe_cut(F.col("html"), SCAN)))
+    size = F.octet_length("html")
+    body = F.coalesce(F.octet_length(F.array_join(F.map_values("assets"), "")), F.lit(0))
+    mapped = F.aggregate("maps", F.lit(0), lambda n, m: n + F.octet_length(m["content"]))
+    rows = rows.withColumn("readable", size + body + mapped).withColumn("scan_cut", (size > SCAN) | (size + body > SCAN))
+    if "assets" in has or "source_maps" in has:
+        rows = rows.withColumn("bundles", B.readable_sources(F.col("assets"), F.col("maps"), SCAN)).withColumn("strings", B.strings(F.col("bundles")))
+        rows = rows.withColumn("markup", F.concat_ws("\n", "html", B.class_attributes(F.col("strings")))).withColumn("copy", F.concat_ws("\n", "copy", B.sentences(F.col("strings")))).drop("bundles", "strings")
+        rows = rows.withColumn("minified", B.minified(F.col("assets")))
+    else:
+        rows = rows.withColumn("markup", F.col("html")).withColumn("minified", F.lit(False))
+    rows = rows.withColumn("paths", B.map_paths(F.col("maps"))).withColumn("low_copy", F.lower("copy")).withColumn("low_blob", F.lower("blob"))
+    return rows.withColumn("copy_language", declared_language(F.col("copy"))).withColumn("thin", F.col("readable") < THIN_BYTES).drop("assets")
+
+
+def notes(p: DataFrame) -> DataFrame:
+    """(page_id, notes): codes of what a reader should know of how a page was read."""
+    said = {
+        "little_markup": F.col("readable") < THIN_BYTES, "built_in_browser": (F.col("readable") >= THIN_BYTES) & (F.octet_length("html") < THIN_BYTES),
+        "source_maps_read": F.exists("maps", lambda m: F.trim(m["content"]) != ""), "scripts_not_read": F.col("minified") & (F.size("maps") == 0), "scan_cut": F.col("scan_cut"), "one_direction": F.lit(True),
+    }
+    return p.select("page_id", F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in said.items()]), lambda x: x.isNotNull()).alias("notes"))
 
 
 def facts(p: DataFrame) -> DataFrame:
@@ -171,7 +200,7 @@ def facts(p: DataFrame) -> DataFrame:
 
 def _groups(as_of_year: int) -> list[dict[str, Column]]:
     """Rules in groups. A rule is a condition over the columns of prepare()."""
-    html, hay, blob, copy = F.col("html"), F.col("hay"), F.col("blob"), F.col("copy")
+    html, hay, blob, copy, markup = F.col("html"), F.col("hay"), F.col("blob"), F.col("copy"), F.col("markup")
     header = lambda k: F.coalesce(F.col("headers")[k], F.lit(""))
     comments = F.transform(all_of(html, r"(?s)<!--(.*?)-->"), F.trim)
     told = F.filter(comments, lambda c: (c != "") & ~c.rlike(SKIPPED_COMMENT))
@@ -186,7 +215,7 @@ def _groups(as_of_year: int) -> list[dict[str, Column]]:
     stored = (matches(blob, r"(?i)localStorage\s*(?:\.\s*setItem\s*\(|\[)") >= 3) & blob.rlike(r"(?i)localStorage[^;\n]{0,80}JSON\s*\.\s*stringify")
     structure = {
         "st.untouched_scaffold": scaffold,
-        "st.generated_stack": how_many(blob, STACK) >= 4,
+        "st.generated_stack": how_many(F.concat_ws("\n", blob, F.col("paths")), STACK) >= 4,
         "st.client_only_backend": supabase | firebase | stored,
         "se.exposed_client_key": (supabase & blob.rlike(r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]{10,}")) | firebase | blob.rlike(r"(?i)dangerouslyAllowBrowser\s*:\s*true") | blob.rlike(r"[\"'](?:sk-ant-[A-Za-z0-9_-]{10,}|sk-[A-Za-z0-9]{32,}|AKIA[0-9A-Z]{16})[\"']"),
         "se.client_side_auth": blob.rlike(r"(?i)(?:localStorage|sessionStorage)[^;\n]{0,60}[\"'](?:isLoggedIn|loggedIn|isAdmin|is_admin|isAuthenticated|auth(?:enticated)?|user_?role|isPremium|isPro)[\"']") | blob.rlike(r"(?i)[\"'](?:isLoggedIn|isAdmin|isAuthenticated)[\"']\s*,\s*[\"']true[\"']"),
@@ -196,7 +225,7 @@ def _groups(as_of_year: int) -> list[dict[str, Column]]:
         "cd.emoji_comments": F.exists(told, has_emoji),
     }
 
-    names = reduce(lambda a, b: a + b, [F.contains(F.lower(copy), F.lit(n.lower())).cast("int") for n in NAMES + TITLES])
+    names = reduce(lambda a, b: a + b, [F.contains("low_copy", F.lit(n.lower())).cast("int") for n in NAMES + TITLES])
     lists = {lang: how_many(copy, [f"(?iu){c}" for c in words]) for lang, words in CLICHES.items()}
     cliches = F.when(F.col("copy_language") == "fr", lists["fr"]).when(F.col("copy_language") == "es", lists["es"]).when(F.col("copy_language") == "de", lists["de"]).otherwise(lists["en"])
     hrefs = F.transform(all_of(html, r"(?i)<a\b[^>]*href=[\"']([^\"']*)[\"']"), F.trim)
@@ -207,9 +236,9 @@ def _groups(as_of_year: int) -> list[dict[str, Column]]:
         "ct.emoji_icons": F.size(F.array_distinct(all_of(html, r">\s*([\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}][\x{FE0F}]?)\s*<"))) >= 3,
         "ct.generic_names": names >= 2,
         "ct.marketing_cliche": cliches >= 3,
-        "cd.typography": ((dashes >= 3) & (dashes / (words / 1000) >= 2.5)) | ((curly >= 6) & (dashes >= 2)),
+        "cd.typography": ((dashes >= 3) & (dashes * 1000 >= 2.5 * words)) | ((curly >= 6) & (dashes >= 2)),
         "ct.placeholder_copy": any_of(copy, [f"(?iu){p}" for p in PLACEHOLDERS]),
-        "ct.dead_links": (F.size(hrefs) >= 8) & (dead / F.size(hrefs) > 0.55),
+        "ct.dead_links": (F.size(hrefs) >= 8) & (dead > 0.55 * F.size(hrefs)),
         "ct.stat_inflation": (reduce(lambda a, b: a + b, [matches(copy, p) for p in STATISTICS]) >= 2) & ~copy.rlike(SOURCED),
         "ct.pricing_three": copy.rlike(STARRED) & (matches(copy, PRICED) >= 3),
         "hu.long_tail_copy": how_many(copy, SPECIFICS) + (copy.rlike(r"\b(?:19|20)\d{2}\b") & copy.rlike(FOUNDED)).cast("int") >= 3,
@@ -238,55 +267,80 @@ def _groups(as_of_year: int) -> list[dict[str, Column]]:
         "hu.legacy_stack": html.rlike(r"(?i)jquery(?:\.min)?\.js|jquery-\d") | html.rlike(r"(?i)<table[^>]*>\s*<tr") | blob.rlike(r"(?i)-webkit-border-radius|filter:\s*progid:") | header("set-cookie").rlike(SESSION_COOKIE),
         "hu.real_media": (F.size(photos) >= 5) & (F.size(kinds) >= 2),
         "ae.no_real_images": (F.size(photos) == 0) & ((gradients >= 3) | (vectors >= 5)) & (F.octet_length(html) > 4000),
-        "hu.build_stripped": (F.size(comments) == 0) & html.rlike(HASHED_ASSET) & ~scaffold & (how_many(blob, STACK) < 4),
+        "hu.build_stripped": (F.size(comments) == 0) & html.rlike(HASHED_ASSET) & ~scaffold & (how_many(F.concat_ws("\n", blob, F.col("paths")), STACK) < 4),
     }
 
-    found = reduce(lambda a, b: a + b, [F.contains(F.lower(blob), F.lit(h)).cast("int") for h in PALETTE])
-    classes = F.size(F.slice(F.array_distinct(all_of(html, PALETTE_CLASS, 0)), 1, 4))
+    found = reduce(lambda a, b: a + b, [F.contains("low_blob", F.lit(h)).cast("int") for h in PALETTE])
+    classes = F.size(F.slice(F.array_distinct(all_of(markup, PALETTE_CLASS, 0)), 1, 4))
     kinds_of_colour = (found > 0).cast("int") + (classes > 0).cast("int") + blob.rlike(GRADIENT).cast("int")
-    fonts = reduce(lambda a, b: a | b, [blob.rlike(rf"(?i)font-family[^;}}\"']{{0,60}}{f}|fonts\.googleapis\.com[^\"']*{f.replace(' ', r'\+')}|[\"']{f}[\"'][^;]{{0,40}};") for f in FONTS])
-    steps = F.filter(F.array_sort(all_of(html, r"\bpy-(\d{2})\b")), lambda x: x.isNotNull())
+    families = "|".join(FONTS)
+    fonts = blob.rlike(rf"(?i)font-family[^;}}\"']{{0,60}}(?:{families})|fonts\.googleapis\.com[^\"']*(?:{families.replace(' ', r'\+')})|[\"'](?:{families})[\"'][^;]{{0,40}};")
+    steps = F.filter(F.array_sort(all_of(markup, r"\bpy-(\d{2})\b")), lambda x: x.isNotNull())
     counted = F.transform(F.array_distinct(steps), lambda v: F.struct(F.size(F.filter(steps, lambda x: x == v)).alias("n"), v.cast("int").alias("v")))
     top = F.array_max(counted)
     first_look = {
         "ae.indigo": (kinds_of_colour >= 2) | (found >= 3) | (classes >= 3),
         "ae.inter_font": fonts,
-        "ae.lucide": blob.rlike(r"(?i)lucide|heroicons|@heroicons/") | html.rlike(r"(?i)<svg[^>]+stroke-width=[\"']2[\"'][^>]*stroke-linecap=[\"']round"),
-        "ae.shadcn_defaults": (matches(html, r"(?i)class=[\"'][^\"']*\brounded-2xl\b[^\"']*\bshadow-(?:lg|xl|md)\b[^\"']*[\"']") >= 2) | (matches(html, r"(?i)\brounded-(?:2xl|3xl|full)\b") >= 8) | html.rlike(r"(?i)class=[\"'][^\"']*\brounded-2xl\b[^\"']*[\"'][^>]*>\s*<div[^>]+class=[\"'][^\"']*\brounded-(?:xl|2xl)\b"),
-        "ae.uniform_whitespace": F.coalesce((F.size(steps) >= 3) & (top["v"] >= 16) & (top["n"] >= 3) & (top["n"] / F.size(steps) > 0.6), F.lit(False)),
-        "ae.gradient_text": html.rlike(r"(?i)bg-clip-text[^\"']*text-transparent|text-transparent[^\"']*bg-clip-text") | blob.rlike(r"(?i)background-clip:\s*text"),
-        "ae.glassmorphism": matches(html, r"(?i)backdrop-blur(?:-\w+)?\b") + matches(blob, r"(?i)backdrop-filter:\s*blur") >= 3,
-        "ae.hero_pill": F.regexp_extract(html, PILL, 0).rlike(ANNOUNCE),
-        "ae.scroll_indicator": html.rlike(r"(?i)class=[\"'][^\"']*\b(?:scroll-(?:indicator|down|hint|cue)|mouse-scroll|animate-bounce)\b") | copy.rlike(r"(?i)(?:scroll (?:down|to explore)|explore more)\s*(?:<|$)"),
+        "ae.lucide": blob.rlike(r"(?i)lucide|heroicons|@heroicons/") | markup.rlike(r"(?i)<svg[^>]+stroke-width=[\"']2[\"'][^>]*stroke-linecap=[\"']round"),
+        "ae.shadcn_defaults": (matches(markup, r"(?i)class=[\"'][^\"']*\brounded-2xl\b[^\"']*\bshadow-(?:lg|xl|md)\b[^\"']*[\"']") >= 2) | (matches(markup, r"(?i)\brounded-(?:2xl|3xl|full)\b") >= 8) | markup.rlike(r"(?i)class=[\"'][^\"']*\brounded-2xl\b[^\"']*[\"'][^>]*>\s*<div[^>]+class=[\"'][^\"']*\brounded-(?:xl|2xl)\b"),
+        "ae.uniform_whitespace": F.coalesce((F.size(steps) >= 3) & (top["v"] >= 16) & (top["n"] >= 3) & (top["n"] > 0.6 * F.size(steps)), F.lit(False)),
+        "ae.gradient_text": markup.rlike(r"(?i)bg-clip-text[^\"']*text-transparent|text-transparent[^\"']*bg-clip-text") | blob.rlike(r"(?i)background-clip:\s*text"),
+        "ae.glassmorphism": matches(markup, r"(?i)backdrop-blur(?:-\w+)?\b") + matches(blob, r"(?i)backdrop-filter:\s*blur") >= 3,
+        "ae.hero_pill": F.regexp_extract(markup, PILL, 0).rlike(ANNOUNCE),
+        "ae.scroll_indicator": markup.rlike(r"(?i)class=[\"'][^\"']*\b(?:scroll-(?:indicator|down|hint|cue)|mouse-scroll|animate-bounce)\b") | copy.rlike(r"(?i)(?:scroll (?:down|to explore)|explore more)\s*(?:<|$)"),
     }
-    bars = F.array_join(all_of(html, r"(?i)<(?:header|nav)[^>]*class=[\"']([^\"']+)[\"']"), " ")
-    cards = F.filter(all_of(html, r"(?i)<(?:div|article|li)\s+class=[\"']([^\"']{25,})[\"']"), lambda c: c.rlike(r"(?i)\b(?:card|feature|benefit|rounded|shadow|p-6|p-8)\b"))
+    bars = F.array_join(all_of(markup, r"(?i)<(?:header|nav)[^>]*class=[\"']([^\"']+)[\"']"), " ")
+    cards = F.filter(all_of(markup, r"(?i)<(?:div|article|li)\s+class=[\"']([^\"']{25,})[\"']"), lambda c: c.rlike(r"(?i)\b(?:card|feature|benefit|rounded|shadow|p-6|p-8)\b"))
     same = F.exists(F.array_distinct(cards), lambda c: F.size(F.filter(cards, lambda x: x == c)).between(3, 4))
-    lengths = F.transform(all_of(html, r"(?i)<p[^>]*>([^<]{40,240})</p>"), word_count)
-    mean = F.aggregate(lengths, F.lit(0.0), lambda s, x: s + x) / F.size(lengths)
-    deviation = F.sqrt(F.aggregate(lengths, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(lengths))
-    even = F.coalesce((F.size(lengths) >= 3) & (mean > 8) & (deviation / mean < 0.18), F.lit(False))
+    lengths = F.transform(all_of(markup, r"(?i)<p[^>]*>([^<]{40,240})</p>"), word_count)
+    mean = F.try_divide(F.aggregate(lengths, F.lit(0.0), lambda s, x: s + x), F.size(lengths))
+    deviation = F.sqrt(F.try_divide(F.aggregate(lengths, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)), F.size(lengths)))
+    even = F.coalesce((F.size(lengths) >= 3) & (mean > 8) & (deviation < 0.18 * mean), F.lit(False))
     second_look = {
-        "ae.glow_orbs": matches(html, r"(?i)class=[\"'][^\"']*\b(?:blur-(?:2xl|3xl)|rounded-full)\b[^\"']*\b(?:absolute|fixed)\b[^\"']*[\"']") + matches(html, r"(?i)class=[\"'][^\"']*\b(?:absolute|fixed)\b[^\"']*\bblur-(?:2xl|3xl)\b[^\"']*[\"']") + matches(blob, r"(?i)filter:\s*blur\((?:6[0-9]|[7-9][0-9]|\d{3,})px\)") >= 2,
-        "ae.bento_grid": (matches(html, r"(?i)\b(?:col|row)-span-[2-6]\b") >= 4) & html.rlike(r"(?i)\bgrid-cols-(?:3|4|6|12)\b"),
-        "ae.logo_marquee": html.rlike(r"(?i)class=[\"'][^\"']*\b(?:marquee|animate-marquee|logo-?(?:scroll|ticker|cloud|strip)|infinite-scroll)\b") | (blob.rlike(r"(?i)@keyframes\s+(?:marquee|scroll|ticker)") & copy.rlike(r"(?i)trusted by|as seen (?:in|on)|used by|powering")),
-        "ae.floating_nav": (bars.rlike(r"(?i)\b(?:fixed|sticky)\b") & bars.rlike(r"(?i)\bbackdrop-blur") & bars.rlike(r"(?i)\b(?:rounded-full|rounded-2xl|mx-auto|inset-x-|top-[2-9])")) | html.rlike(r"(?i)class=[\"'][^\"']*\b(?:fixed|sticky)\b[^\"']*\bbackdrop-blur[^\"']*\b(?:rounded-full|rounded-2xl|inset-x-|mx-auto)"),
-        "ae.left_border_card": (html.rlike(r"(?i)border-l-(?:2|4|\[\d)") & html.rlike(r"(?i)\bborder-l-\d?\s*[^\"']*\bborder-(?:indigo|violet|purple|blue|emerald|amber)-\d{3}")) | blob.rlike(r"(?i)border-left:\s*(?:3|4|5)px\s+solid"),
-        "ae.three_cards": (F.size(F.array_distinct(all_of(html, r">\s*0([123])\s*<"))) >= 3).cast("int") + same.cast("int") + even.cast("int") >= 2,
+        "ae.glow_orbs": matches(markup, r"(?i)class=[\"'][^\"']*\b(?:blur-(?:2xl|3xl)|rounded-full)\b[^\"']*\b(?:absolute|fixed)\b[^\"']*[\"']") + matches(markup, r"(?i)class=[\"'][^\"']*\b(?:absolute|fixed)\b[^\"']*\bblur-(?:2xl|3xl)\b[^\"']*[\"']") + matches(blob, r"(?i)filter:\s*blur\((?:6[0-9]|[7-9][0-9]|\d{3,})px\)") >= 2,
+        "ae.bento_grid": (matches(markup, r"(?i)\b(?:col|row)-span-[2-6]\b") >= 4) & markup.rlike(r"(?i)\bgrid-cols-(?:3|4|6|12)\b"),
+        "ae.logo_marquee": markup.rlike(r"(?i)class=[\"'][^\"']*\b(?:marquee|animate-marquee|logo-?(?:scroll|ticker|cloud|strip)|infinite-scroll)\b") | (blob.rlike(r"(?i)@keyframes\s+(?:marquee|scroll|ticker)") & copy.rlike(r"(?i)trusted by|as seen (?:in|on)|used by|powering")),
+        "ae.floating_nav": (bars.rlike(r"(?i)\b(?:fixed|sticky)\b") & bars.rlike(r"(?i)\bbackdrop-blur") & bars.rlike(r"(?i)\b(?:rounded-full|rounded-2xl|mx-auto|inset-x-|top-[2-9])")) | markup.rlike(r"(?i)class=[\"'][^\"']*\b(?:fixed|sticky)\b[^\"']*\bbackdrop-blur[^\"']*\b(?:rounded-full|rounded-2xl|inset-x-|mx-auto)"),
+        "ae.left_border_card": (markup.rlike(r"(?i)border-l-(?:2|4|\[\d)") & markup.rlike(r"(?i)\bborder-l-\d?\s*[^\"']*\bborder-(?:indigo|violet|purple|blue|emerald|amber)-\d{3}")) | blob.rlike(r"(?i)border-left:\s*(?:3|4|5)px\s+solid"),
+        "ae.three_cards": (F.size(F.array_distinct(all_of(markup, r">\s*0([123])\s*<"))) >= 3).cast("int") + same.cast("int") + even.cast("int") >= 2,
     }
     return [fingerprints, structure, content, human, first_look, second_look]
 
 
-def hits(prepared: DataFrame, as_of_year: int) -> DataFrame:
+def _evidence() -> dict[str, Column]:
+    """What is shown for a signal that fires: the first text that each of its patterns matches, or the values it counted."""
+    html, hay, blob, copy, markup = F.col("html"), F.col("hay"), F.col("blob"), F.col("copy"), F.col("markup")
+    first = lambda s, patterns: F.filter(F.array(*[F.regexp_extract(s, f"({p})" if not p.startswith("(?i") else p.replace(")", ")(", 1) + ")", 1) for p in patterns]), lambda x: x != "")
+    held = lambda s, words: F.filter(F.array(*[F.when(F.contains(s, F.lit(w.lower())), F.lit(w)) for w in words]), lambda x: x.isNotNull())
+    named = lambda s, patterns: F.filter(F.array(*[F.when(s.rlike(p), F.lit(n)) for n, p in patterns.items()]), lambda x: x.isNotNull())
+    found = {s: first(hay, p) for s, p in FINGERPRINTS.items()}
+    found |= {
+        "fp.builder_other": named(hay, BUILDERS), "fp.generator_meta": F.array(F.regexp_extract(html, GENERATOR, 1)), "st.untouched_scaffold": first(F.left(html, F.lit(65_536)), SCAFFOLD), "st.generated_stack": first(F.concat_ws("\n", blob, F.col("paths")), STACK),
+        "st.section_comments": F.filter(F.transform(all_of(html, r"(?s)<!--(.*?)-->"), F.trim), lambda c: (c != "") & c.rlike(SECTION_COMMENT)), "cd.emoji_comments": F.filter(F.transform(all_of(html, r"(?s)<!--(.*?)-->"), F.trim), has_emoji),
+        "ct.generic_names": held(F.col("low_copy"), NAMES + TITLES), "ct.placeholder_copy": first(copy, [f"(?iu){p}" for p in PLACEHOLDERS]), "ct.stat_inflation": F.flatten(F.array(*[all_of(copy, p, 0) for p in STATISTICS])), "ct.pricing_three": all_of(copy, PRICED, 0),
+        "ct.marketing_cliche": first(copy, [f"(?iu){c}" for words in CLICHES.values() for c in words]), "hu.cms": named(html, CMS), "hu.operational_stack": first(html, OPERATIONS), "hu.long_tail_copy": first(copy, SPECIFICS), "hu.dated_copyright": all_of(html, r"(?i)(?:©|&copy;|copyright)\s*(?:\d{4}\s*[-–]\s*)?(\d{4})", 0),
+        "hu.typos": first(copy, [r"(?iu)(?<![\p{L}\p{N}_])(?:" + "|".join(w) + r")(?![\p{L}\p{N}_])" for w in MISSPELLINGS.values()]), "ae.indigo": F.concat(held(F.col("low_blob"), PALETTE), F.array_distinct(all_of(markup, PALETTE_CLASS, 0))), "ae.hero_pill": F.array(F.regexp_replace(F.regexp_extract(markup, PILL, 0), "<[^>]*>", " ")),
+    }
+    return found
+
+
+def hits(prepared: DataFrame, as_of_year: int, evidence: bool = False) -> DataFrame:
     """(page_id, signal_id, fire_seq) of the signals that fire; as_of_year is the year that copyright notes are compared with.
 
-    A page with a fingerprint doesn't show hu.build_stripped.
+    With evidence, an array of excerpts is added, empty where a signal counts nothing that could be shown. A page with a fingerprint doesn't show hu.build_stripped.
     """
     found, seq, arrays = prepared, 0, []
+    shown, none = _evidence(), F.array().cast("array<string>")
     for k, group in enumerate(_groups(as_of_year)):
         names = F.array(*[F.when(rule, F.struct(F.lit(s).alias("signal_id"), F.lit(seq + i).alias("fire_seq"))) for i, (s, rule) in enumerate(group.items())])
         found = found.withColumn(f"_g{k}", F.filter(names, lambda x: x.isNotNull()))
         arrays.append(f"_g{k}")
         seq += len(group)
-    rows = found.select("page_id", (F.size("_g0") > 0).alias("_fp"), F.explode(F.concat(*arrays)).alias("h")).select("page_id", "_fp", "h.*")
-    return rows.filter(~(F.col("_fp") & (F.col("signal_id") == "hu.build_stripped"))).drop("_fp")
+    rows = found.withColumn("_fp", F.size("_g0") > 0).withColumn("h", F.explode(F.concat(*arrays)))
+    rows = rows.filter(~(F.col("_fp") & (F.col("h.signal_id") == "hu.build_stripped")))
+    if not evidence:
+        return rows.select("page_id", "h.*")
+    lines = F.when(F.lit(False), none)
+    for s, e in shown.items():
+        lines = lines.when(F.col("h.signal_id") == s, e)
+    return rows.select("page_id", "h.*", F.coalesce(lines, none).alias("evidence"))
