@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tokens import hmac_sha256
+
 # Modes of analysis, and the allowance of requests for each (requests, seconds).
 MODES = ("url", "site", "code", "git")
 BUDGETS = {"url": (40, 600), "crawl": (10, 180), "code": (60, 600), "git": (60, 600), "api": (500, 600)}
@@ -39,8 +41,8 @@ def device_of(agent: Column) -> Column:
 
 
 def visitor_token(ip: Column, agent: Column, day: Column, secret: Column) -> Column:
-    """A daily pseudonym of 16 hex digits that can't be traced back without the secret."""
-    return F.left(F.sha2(F.concat_ws("\n", ip, agent, secret, day.cast("string")), 256), F.lit(16))
+    """A daily pseudonym of 16 hex digits that can't be traced back without the secret: a keyed hash whose key has the day in it."""
+    return F.left(hmac_sha256(F.concat_ws("\n", ip, agent), F.concat_ws("\n", secret, day.cast("string"))), F.lit(16))
 
 
 def within_days(ts: Column, days: int, as_of: Column) -> Column:
@@ -123,6 +125,53 @@ def top_hosts(usage: DataFrame, days: int, now: Column, n: int = 10, key: int |
     return rows.groupBy("target_host").agg(F.count("*").alias("requests")).orderBy(F.desc("requests"), "target_host").limit(n)
 
 
+def count_for_key(usage: DataFrame, key: int, now: Column, days: int = 30) -> DataFrame:
+    """Requests of one key in the last days of 24 hours each."""
+    return usage_total(usage.filter(F.col("api_key_id") == key), days, now)
+
+
+def budgets(spark) -> DataFrame:
+    """(mode, allowed, seconds): the allowance of requests of each mode."""
+    return spark.createDataFrame([(m, n, s) for m, (n, s) in BUDGETS.items()], "mode string, allowed int, seconds int")
+
+
+def over_budget(usage: DataFrame) -> DataFrame:
+    """(mode, target, slot, requests, allowed) of the fixed slots of time in which a target was asked for more often than its mode allows."""
+    rows = usage.join(F.broadcast(budgets(usage.sparkSession)), "mode")  # five rows
+    slot = F.floor(F.unix_seconds(F.col("created_at").cast("timestamp")) / F.col("seconds"))
+    counts = rows.groupBy("mode", F.col("target_host").alias("target"), slot.alias("slot"), "allowed").agg(F.count("*").alias("requests"))
+    return counts.filter(F.col("requests") > F.col("allowed"))
+
+
+def key_lines(text: DataFrame, col: str = "value") -> DataFrame:
+    """(key) of a key file's lines: blank ones and those that begin with # are left out."""
+    return text.select(F.trim(F.regexp_replace(col, r"^[\s\x00]+|[\s\x00]+$", "")).alias("key")).filter((F.col("key") != "") & ~F.col("key").startswith("#"))
+
+
+def new_keys(names: DataFrame, secrets: Column, created: Column) -> DataFrame:
+    """(name, key_hash, created_at, revoked_at) of keys to add: only the hash of a secret is kept."""
+    return names.select("name", F.sha2(secrets, 256).alias("key_hash"), created.alias("created_at"), F.lit(None).cast("timestamp").alias("revoked_at"))
+
+
+def revoke(keys: DataFrame, revoked: DataFrame, at: Column) -> DataFrame:
+    """keys with revoked_at set for the ids in ``revoked``, where it isn't already."""
+    gone = revoked.select("id", F.lit(True).alias("_gone")).distinct()
+    return keys.join(gone, "id", "left").withColumn("revoked_at", F.coalesce("revoked_at", F.when(F.col("_gone"), at))).drop("_gone")
+
+
+def record_visits(requests: DataFrame, secret: Column, own_host: Column) -> DataFrame:
+    """Visit rows (path, visitor, referer_host, device, created_at) of requests (path, ip, agent, referer, at)."""
+    token = visitor_token(F.col("ip"), F.col("agent"), F.to_date("at"), secret)
+    return requests.select(normalise_path(F.col("path")).alias("path"), token.alias("visitor"), referer_host(F.col("referer"), own_host).alias("referer_host"), device_of(F.col("agent")).alias("device"), F.col("at").alias("created_at"))
+
+
+def record_usage(requests: DataFrame) -> DataFrame:
+    """Usage rows (source, api_key_id, mode, target, target_host, created_at) of requests; modes that aren't known are left out."""
+    host = F.lower(F.regexp_extract("target", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    rows = requests.filter(F.col("mode").isin(*MODES))
+    return rows.select("source", "api_key_id", "mode", F.left("target", F.lit(255)).alias("target"), F.when(host != "", host).alias("target_host"), F.col("at").alias("created_at"))
+
+
 def key_report(keys: DataFrame, usage: DataFrame) -> DataFrame:
     """Every key with its number of requests and its last one; active keys first, then the newest."""
     used = usage.filter("api_key_id is not null").groupBy("api_key_id").agg(F.count("*").alias("requests"), F.max("created_at").alias("last_used"))

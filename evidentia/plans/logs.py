@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import visits as V
-from ..streaming.limiter import decisions
+from ..functions.tokens import open_token, report_token
+from ..streaming.limiter import decisions, slots
 
 DAYS = 14
 _VISITS = """v AS (
@@ -119,6 +120,55 @@ def rate_limit_decisions(spark, sf_dir):
     return decisions(e, limit=3, window=12 * 3600)
 
 
+def usage_key_count(spark, sf_dir):
+    return V.count_for_key(usage(spark, sf_dir), 5, latest(spark, sf_dir)[1])
+
+
+def usage_over_budget(spark, sf_dir):
+    """Slots of time in which a host was asked for more often than its mode allows, in a log whose minutes are read as seconds."""
+    u = usage(spark, sf_dir).withColumn("created_at", F.timestamp_seconds(F.expr("unix_seconds(cast(created_at as timestamp)) div 600")))
+    return V.over_budget(u)
+
+
+def fetch_slots(spark, sf_dir):
+    """Which of the events get one of 8 slots, if each runs for as many hours as its number tells, five days at most."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    rows = e.select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("token"), at.alias("at"), F.when(F.col("event_id") % 5 != 0, at + F.col("event_id") % 7 * 3600).alias("released"))
+    return slots(rows, most=8, seconds=4 * 3600)
+
+
+def key_file(spark, sf_dir):
+    """The keys of a key file made of customers, with comments and blank lines."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    line = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("# "), "c_name")).when(F.col("c_custkey") % 4 == 1, "  \t").otherwise(F.concat(F.lit(" "), F.sha2("c_name", 256), F.lit(" ")))
+    return V.key_lines(c.select(line.alias("value")))
+
+
+def keys_revoked(spark, sf_dir):
+    k = keys(spark, sf_dir)
+    gone = V.revoke(k, k.filter("id % 10 = 3").select("id"), F.timestamp_seconds(F.lit(1_700_000_000)))
+    return gone.select("id", F.unix_seconds("revoked_at").alias("revoked"))
+
+
+def visits_recorded(spark, sf_dir):
+    """Visit rows made of raw requests."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.col("event_id") % 3
+    agent = F.when(k == 0, "Mozilla/5.0 (Windows NT 10.0)").when(k == 1, "Mozilla/5.0 (iPhone) Mobile").otherwise("curl/8")
+    referer = F.when(F.col("event_id") % 4 == 0, "https://www.own.example/x").when(F.col("event_id") % 4 == 1, "http://News.example/y")
+    raw = e.select(F.concat(F.lit("/"), "event_type", F.lit("?a=1#b")).alias("path"), F.concat(F.lit("10.0.0."), F.col("user_id") % 250).alias("ip"), agent.alias("agent"), referer.alias("referer"), F.col("ts").alias("at"))
+    return V.record_visits(raw, F.lit("secret"), F.lit("own.example")).groupBy("path", "referer_host", "device").agg(F.count("*").alias("views"), F.count_distinct("visitor").alias("visitors"))
+
+
+def report_tokens(spark, sf_dir):
+    """Signed tokens of pages, opened again; every third one with a changed signature."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    made = p.withColumn("t", report_token(F.lit("secret"), {"target": F.col("url"), "at": F.lit("2026-01-01T00:00:00Z"), "score": F.col("page_id") % 98}))
+    sig = F.when(F.col("page_id") % 3 == 0, F.reverse("t.sig")).otherwise(F.col("t.sig"))
+    return made.select("page_id", F.col("t.id").alias("id"), F.get_json_object(open_token(F.col("t.payload"), sig, F.lit("secret")), "$.target").alias("target"), F.col("t.sig").alias("sig"), F.col("t.payload").alias("payload"))
+
+
 def path_normalised(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     raw = F.regexp_replace("url", "^https?://[^/]+", "")
@@ -132,7 +182,17 @@ def device_classes(spark, sf_dir):
     return e.groupBy(V.device_of(agent).alias("device")).agg(F.count("*").alias("events"))
 
 
-QUERIES = {f.__name__: f for f in (visits_daily_filled, visits_bar_widths, visits_summary, visits_top_paths, visits_top_referrers, visits_by_device, visits_by_hour, visits_pruned, visitor_tokens, usage_total, usage_by_mode, usage_top_hosts, usage_key_hosts, key_usage_left_join, key_lookup, rate_limit_decisions, path_normalised, device_classes)}
+QUERIES = {f.__name__: f for f in (visits_daily_filled, visits_bar_widths, visits_summary, visits_top_paths, visits_top_referrers, visits_by_device, visits_by_hour, visits_pruned, visitor_tokens, usage_total, usage_by_mode, usage_top_hosts, usage_key_hosts, key_usage_left_join, key_lookup, rate_limit_decisions, path_normalised, device_classes, usage_key_count, usage_over_budget, fetch_slots, key_file, keys_revoked, visits_recorded, report_tokens)}
+
+
+
+_KEY = "'secret' || chr(10) || created_at::DATE::VARCHAR"
+
+
+def _pad(key: str, byte: int) -> str:
+    """The key block of an HMAC for an ASCII key of at most 64 characters, each XORed with ``byte``."""
+    return f"rpad(array_to_string(list_transform(string_split({key}, ''), lambda c: chr(xor(ascii(c), {byte}))), ''), 64, chr({byte}))"
+
 
 _FILLED = f"""f AS (
     SELECT s.day::DATE AS day, coalesce(n.views, 0)::BIGINT AS views, coalesce(n.visitors, 0)::BIGINT AS visitors
@@ -150,7 +210,7 @@ SELECT coalesce(sum(views), 0)::BIGINT AS views, coalesce(sum(visitors), 0)::BIG
     "visits_by_device": f"WITH {_VISITS} SELECT device, count(*) AS views FROM v WHERE {_IN} GROUP BY device",
     "visits_by_hour": f"WITH {_VISITS} SELECT h.hour::INT AS hour, count(v.path) AS views FROM range(24) h(hour) LEFT JOIN (SELECT * FROM v WHERE {_IN} AND device <> 'bot') v ON hour(created_at) = h.hour GROUP BY 1",
     "visits_pruned": f"WITH {_VISITS} SELECT event_id, path, device FROM v WHERE created_at >= (SELECT d FROM latest) - INTERVAL 10 DAY",
-    "visitor_tokens": f"WITH {_VISITS} SELECT event_id, left(sha256(visitor || chr(10) || device || chr(10) || 'secret' || chr(10) || created_at::DATE::VARCHAR), 16) AS token FROM v",
+    "visitor_tokens": f"WITH {_VISITS} SELECT event_id, left(sha256(encode({_pad(_KEY, 92)}) || unhex(sha256(encode({_pad(_KEY, 54)} || visitor || chr(10) || device)))), 16) AS token FROM v",
     "usage_total": f"WITH {_USAGE} SELECT count(*) AS requests FROM u WHERE created_at >= (SELECT t FROM latest) - INTERVAL 7 DAY",
     "usage_by_mode": f"WITH {_USAGE} SELECT m.mode, count(u.mode) AS requests FROM (VALUES ('url'), ('site'), ('code'), ('git')) m(mode) LEFT JOIN (SELECT * FROM u WHERE created_at >= (SELECT t FROM latest) - INTERVAL 7 DAY) u USING (mode) GROUP BY 1",
     "usage_top_hosts": f"WITH {_USAGE} SELECT target_host, count(*) AS requests FROM u WHERE created_at >= (SELECT t FROM latest) - INTERVAL 7 DAY AND target_host IS NOT NULL GROUP BY 1 ORDER BY requests DESC, 1 LIMIT 10",
@@ -162,4 +222,30 @@ SELECT k.id, k.name, k.revoked, count(u.api_key_id) AS requests, epoch_us(max(u.
 r AS (SELECT page_id, CASE WHEN starts_with(cut, '/') THEN cut ELSE '/' || cut END AS rooted, host FROM p)
 SELECT page_id, left(CASE WHEN rooted = '/index.php' THEN '/' ELSE rooted END, 255) AS path, CASE WHEN host <> '' AND regexp_replace(host, '^www\\.', '') <> 'tionsh.example.net' THEN host END AS referer FROM r""",
     "device_classes": """SELECT CASE event_id % 8 WHEN 1 THEN 'desktop' WHEN 2 THEN 'mobile' WHEN 3 THEN 'tablet' WHEN 4 THEN 'bot' WHEN 5 THEN 'mobile' WHEN 6 THEN 'tablet' ELSE 'other' END AS device, count(*) AS events FROM events GROUP BY 1""",
+    "usage_key_count": f"WITH {_USAGE} SELECT count(*) AS requests FROM u WHERE api_key_id = 5 AND created_at >= (SELECT t FROM latest) - INTERVAL 30 DAY",
+    "usage_over_budget": f"""WITH {_USAGE}, b(mode, allowed, seconds) AS (VALUES ('url', 40, 600), ('crawl', 10, 180), ('code', 60, 600), ('git', 60, 600), ('api', 500, 600)),
+s AS (SELECT u.mode, target_host AS target, (epoch(created_at)::BIGINT // 600) // seconds AS slot, allowed FROM u JOIN b USING (mode))
+SELECT mode, target, slot, allowed, count(*) AS requests FROM s GROUP BY ALL HAVING count(*) > allowed""",
+    "key_file": "SELECT sha256(c_name) AS key FROM customer WHERE c_custkey % 4 IN (2, 3)",
+    "keys_revoked": "SELECT c_custkey AS id, CASE WHEN c_custkey % 6 = 0 THEN 1600000000 + c_custkey % 97 * 86400 WHEN c_custkey % 10 = 3 THEN 1700000000 END AS revoked FROM customer",
+    "visits_recorded": """SELECT '/' || event_type AS path, CASE WHEN event_id % 4 = 1 THEN 'news.example' END AS referer_host, CASE event_id % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' ELSE 'bot' END AS device, count(*) AS views,
+    count(DISTINCT (user_id % 250, event_id % 3, ts::DATE)) AS visitors FROM events GROUP BY ALL""",
+    "report_tokens": f"""WITH p AS (SELECT page_id, url, upper(left(sha256(url || '2026-01-01T00:00:00Z' || 'secret'), 12)) AS id FROM pages),
+t AS (SELECT *, rtrim(translate(to_base64(encode('{{"target":"' || url || '","at":"2026-01-01T00:00:00Z","score":' || page_id % 98 || ',"id":"' || id || '"}}')), '+/', '-_'), '=') AS payload FROM p)
+SELECT page_id, id, CASE WHEN page_id % 3 <> 0 THEN url END AS target, sha256(encode({_pad("'secret'", 92)}) || unhex(sha256(encode({_pad("'secret'", 54)} || payload)))) AS sig, payload FROM t""",
+    "rate_limit_decisions": """WITH RECURSIVE e AS (
+    SELECT user_id AS identity, event_id, floor(epoch(ts))::BIGINT AS tm, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT, event_id) AS n FROM events
+), r AS (
+    SELECT identity, event_id, n, true AS allowed, [tm] AS recent FROM e WHERE n = 1
+    UNION ALL SELECT identity, event_id, n, len(held) < 3 AS allowed, CASE WHEN len(held) < 3 THEN list_append(held, tm) ELSE held END AS recent
+    FROM (SELECT e.identity, e.event_id, e.n, e.tm, list_filter(r.recent, lambda x: e.tm - x < 43200) AS held FROM r JOIN e ON e.identity = r.identity AND e.n = r.n + 1)
+) SELECT identity, event_id, allowed FROM r""",
+    "fetch_slots": """WITH RECURSIVE e AS (
+    SELECT lpad(event_id::VARCHAR, 12, '0') AS token, floor(epoch(ts))::BIGINT AS tm, least(floor(epoch(ts))::BIGINT + 14400, CASE WHEN event_id % 5 <> 0 THEN floor(epoch(ts))::BIGINT + event_id % 7 * 3600 ELSE floor(epoch(ts))::BIGINT + 14400 END) AS fin,
+        row_number() OVER (ORDER BY floor(epoch(ts))::BIGINT, lpad(event_id::VARCHAR, 12, '0')) AS n FROM events
+), r AS (
+    SELECT token, tm, n, 0 AS running, true AS granted, [fin] AS ends FROM e WHERE n = 1
+    UNION ALL SELECT token, tm, n, len(held)::INT AS running, len(held) < 8 AS granted, CASE WHEN len(held) < 8 THEN list_append(held, fin) ELSE held END AS ends
+    FROM (SELECT e.token, e.tm, e.n, e.fin, list_filter(r.ends, lambda x: x > e.tm) AS held FROM r JOIN e ON e.n = r.n + 1)
+) SELECT token, tm AS "at", running, granted FROM r""",
 }

@@ -46,18 +46,51 @@ def decisions(requests: DataFrame, limit: int, window: int) -> DataFrame:
     return rows.mapInPandas(run, _OUT)
 
 
-def stream_decisions(requests: DataFrame, limit: int, window: int) -> DataFrame:
-    """The same over a stream: an identity's state is the times of its last allowed requests, at most ``limit`` of them."""
+def slots(requests: DataFrame, most: int, seconds: int) -> DataFrame:
+    """(token, at, running, granted) of fetches (token, at, released or null): a fetch is granted while fewer than ``most`` run.
+
+    A fetch that isn't released ends ``seconds`` after it began. All rows are one queue in the order of (at, token), as
+    the limit is one for all; it is meant for the log of one gateway.
+    """
+    schema = "token string, at long, running int, granted boolean"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ends: list[int] = []
+        for pdf in batches:
+            running, granted = [], []
+            for at, released in zip(pdf["at"], pdf["released"], strict=True):
+                ends = [e for e in ends if e > at]
+                running.append(len(ends))
+                granted.append(len(ends) < most)
+                if granted[-1]:
+                    ends.append(at + seconds if pd.isna(released) else min(int(released), at + seconds))
+            yield pd.DataFrame({"token": pdf["token"], "at": pdf["at"], "running": running, "granted": granted})
+
+    return requests.select("token", "at", "released").repartition(1).sortWithinPartitions("at", "token").mapInPandas(run, schema)
+
+
+def stream_decisions(requests: DataFrame, limit: int, window: int, late: str = "10 minutes") -> DataFrame:
+    """The same over a stream: an identity's state is the times of its last allowed requests, at most ``limit`` of them.
+
+    Requests of one micro-batch are decided in the order of (at, event_id), so a task holds an identity's requests of one
+    batch. State goes once the watermark, ``late`` behind the latest request, has passed the end of its window; requests
+    that come later than that get no decision.
+    """
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent = list(state.get[0]) if state.exists else []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["at", "event_id"])
-            allowed, recent = _decide(pdf["at"].tolist(), recent, limit, window)
-            yield pd.DataFrame({"identity": key[0], "event_id": pdf["event_id"], "allowed": allowed})
+        pdf = pd.concat(list(pdfs)).sort_values(["at", "event_id"])
+        allowed, recent = _decide(pdf["at"].tolist(), recent, limit, window)
         state.update((recent,))
+        state.setTimeoutTimestamp(max(1000 * (int(pdf["at"].iloc[-1]) + window), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"identity": key[0], "event_id": pdf["event_id"], "allowed": allowed})
 
-    return requests.groupBy("identity").applyInPandasWithState(step, _OUT, "recent array<long>", "append", GroupStateTimeout.NoTimeout)
+    # a second more, as rows at the watermark itself, which begins at 0, count as late
+    timed = requests.withColumn("_ts", F.timestamp_seconds(F.col("at") + 1)).withWatermark("_ts", late)
+    return timed.groupBy("identity").applyInPandasWithState(step, _OUT, "recent array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_daily(visits: DataFrame, late: str = "1 day") -> DataFrame:
