@@ -1,17 +1,18 @@
 """Source files: signals from comments, naming, error handling, tests, structure and security.
 
-Lines become rows: whether a line is in a block comment, the comment above a declaration and the code below a comment are
-window expressions over a file's lines. Patterns over the whole source are native regular expressions. hits() gives one
-row per file and signal with evidence; features behind them are in line_features() and source_features().
+A file stays one row: its lines are an array, and whether a line is in a block comment, the comment above a declaration
+and the code below a comment are expressions over the array, so nothing is shuffled and repeated ids do no harm.
+fired() gives one row per file and signal with evidence; the numbers behind them are columns of features().
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pages import spread
 from ..functions.text import detect_code_language, has_emoji, identifier_words, is_comment_line, looks_like_why, split_identifiers
 
 # What the rules look for.
@@ -122,80 +123,105 @@ def sources(files: DataFrame, id_col: str = "subject_id", src_col: str = "src")
     return files.select(F.col(id_col).alias("subject_id"), src.alias("src")).withColumn("code_language", detect_code_language(F.col("src")))
 
 
-def lines(src: DataFrame) -> DataFrame:
-    """(subject_id, ln, line, t, comment) for each line: comment is its comment text, null if it has none.
+def with_lines(src: DataFrame) -> DataFrame:
+    """src with ``lines``, an array of (ln, line, t, comment): comment is a line's comment text, null if it has none.
 
     A line is inside a block comment if the last line that opens one without closing it comes after the last that closes one.
     """
-    rows = src.select("subject_id", F.posexplode(F.split("src", "\n")).alias("ln", "line")).withColumn("t", trimmed(F.col("line")))
-    before = Window.partitionBy("subject_id").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
-    closes = F.col("t").contains("*/")
-    opened = F.coalesce(F.max(F.when(F.col("t").startswith("/*") & ~closes, F.col("ln"))).over(before), F.lit(-1))
-    closed = F.coalesce(F.max(F.when(closes, F.col("ln"))).over(before), F.lit(-1))
-    tail = F.regexp_extract("line", r"\S\s+(//[^\n]{3,}|#[^\n]{3,})$", 1)
-    return (
-        rows.withColumn("_in", opened > closed)
-        .withColumn("comment", F.when(F.col("t") == "", F.lit(None).cast("string")).when(F.col("_in") | F.col("t").startswith("/*") | is_comment_line(F.col("t")), F.col("t")).when(tail != "", trimmed(tail))).drop("_in")
-    )
+    rows = src.withColumn("lines", F.transform(F.split("src", "\n"), lambda x: F.struct(x.alias("line"), trimmed(x).alias("t"))))
+    # a character for each line: is it inside, and what holds after it
+    closes = lambda x: x["t"].contains("*/")
+    start = F.struct(F.lit("0").alias("now"), F.lit("").alias("all"))
+    step = lambda acc, x: F.struct(F.when(closes(x), "0").when(x["t"].startswith("/*"), "1").otherwise(acc["now"]).alias("now"), F.concat(acc["all"], acc["now"]).alias("all"))
+    rows = rows.withColumn("_in", F.split(F.aggregate("lines", start, step)["all"], ""))
+    tail = lambda x: F.regexp_extract(x["line"], r"\S\s+(//[^\n]{3,}|#[^\n]{3,})$", 1)
+
+    def told(x: Column, i: Column) -> Column:
+        own = (F.get("_in", i) == "1") | x["t"].startswith("/*") | is_comment_line(x["t"])
+        comment = F.when(x["t"] == "", F.lit(None).cast("string")).when(own, x["t"]).when(tail(x) != "", trimmed(tail(x)))
+        return F.struct(i.alias("ln"), x["line"].alias("line"), x["t"].alias("t"), comment.alias("comment"))
+
+    return rows.withColumn("lines", F.transform("lines", told)).drop("_in")
+
+
+def lines(src: DataFrame) -> DataFrame:
+    """(subject_id, ln, line, t, comment): a row for each line."""
+    return with_lines(src).select("subject_id", F.explode("lines").alias("x")).select("subject_id", "x.*")
 
 
 def line_features(rows: DataFrame) -> DataFrame:
-    """Counts by file over its lines and comments."""
-    order = Window.partitionBy("subject_id").orderBy("ln")
-    whole = Window.partitionBy("subject_id")
-    comment, t = F.col("comment"), F.col("t")
-    body = F.regexp_replace(F.regexp_replace(comment, r"^\s*(?://+|#+|/\*+|\*+|<!--|--)\s*", ""), r"(?:\*/|-->)\s*$", "")
-    # the first code line within three lines below
-    near = F.coalesce(*[F.when((F.lead("t", k).over(order) != "") & ~is_comment_line(F.lead("t", k).over(order)), F.lead("t", k).over(order)) for k in (1, 2, 3)])
-    # the first line above that isn't empty, within three lines
-    above = F.coalesce(*[F.when(F.lag("t", k).over(order) != "", F.lag("t", k).over(order)) for k in (1, 2, 3)])
-    x = rows.withColumn("n", F.count("*").over(whole)).withColumn("body", trimmed(body)).withColumn("near", near).withColumn("above", above).withColumn("next", F.lead("t").over(order)).withColumn("declares", is_declaration(F.col("line")))
-    code_words = F.filter(_words(split_identifiers(F.col("near"))), lambda w: F.length(w) > 2)
-    own_words = F.filter(_words(F.col("body")), lambda w: F.length(w) > 3)
-    what = (F.col("body") != "") & (F.octet_length("body") <= 90) & ~looks_like_why(F.col("body")) & F.col("body").rlike(IMPERATIVE) & F.coalesce(F.arrays_overlap(own_words, code_words), F.lit(False))
-    documented = F.col("declares") & F.coalesce(F.col("above").rlike(r"^(?:\*/|///|#'|\"\"\"|''')"), F.lit(False))
-    off = trimmed(F.regexp_replace(comment, r"^\s*(?://+|#+|/\*+|\*+)\s*", ""))
-    switched_off = (off != "") & ((off.rlike(r"[;{}]\s*$") & off.rlike(r"[=(]")) | off.rlike(r"^(?:(?:if|for|while|return|const|let|var|def|print|echo)\b|\$\w+\s*=\b)") | off.rlike(r"(?i)^[a-z_$][\w.$]*\([^()]*\)\s*;?(?:\s|$)"))
-    block = F.least(F.lit(7), F.floor(F.col("ln") / F.ceil(F.col("n") / 8))).cast("int")
-    imports = F.col("line").rlike(r"^\s*(?:import\s+|from\s+\S+\s+import\s+|use\s+[A-Z])")
-    flag = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    x = x.withColumn("what", what).withColumn("documented", documented).withColumn("off", switched_off).withColumn("block", block).withColumn("imports", imports)
-    return x.groupBy("subject_id").agg(
-        F.count("*").alias("n_lines"), flag(comment.isNotNull()).alias("comments"), flag(has_emoji(comment)).alias("emoji_comments"), flag(comment.rlike(BANNER)).alias("banners"),
-        flag(F.col("what")).alias("what_comments"), flag(comment.rlike(CHATTER)).alias("chatter"), flag(looks_like_why(comment)).alias("why"), flag(comment.rlike(TICKETS)).alias("tickets"),
-        flag(comment.rlike(INFORMAL)).alias("informal"), flag(F.col("off")).alias("switched_off"), flag(F.col("declares")).alias("declared"), flag(F.col("documented")).alias("documented"),
-        flag(F.col("documented") & F.col("next").rlike(r"^(?:return|\$this->|self::)")).alias("trivial"), flag(F.col("line").startswith("\t")).alias("tabs"), flag(F.col("line").startswith(" ")).alias("spaces"),
-        flag(_any([F.col("line").rlike(p) for p in TODO])).alias("stubs"), flag(F.col("line").rlike(r"[\x{2018}\x{2019}\x{201C}\x{201D}\x{2014}]")).alias("typography"),
-        F.array(*[flag((F.col("block") == k) & comment.isNotNull()) for k in range(8)]).alias("eighths"),
-        F.sort_array(F.collect_list(F.when(F.col("imports"), F.struct("ln", F.lower("t").alias("t"))))).alias("imports"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("ln") < 12, F.struct("ln", "line")))), lambda r: r["line"]), "\n").alias("head"),
-    )
+    """rows (with_lines) with counts over a file's lines and comments, and for some the first lines counted (``*_shown``)."""
+    at = lambda i: F.get("lines", i)
+    code = lambda x: (x["t"] != "") & ~is_comment_line(x["t"])
+
+    def seen(x: Column, i: Column) -> Column:
+        near = F.coalesce(*[F.when(code(at(i + k)), at(i + k)["t"]) for k in (1, 2, 3)])  # the first code line within three below
+        above = F.coalesce(*[F.when((i >= k) & (at(F.greatest(i - k, F.lit(0)))["t"] != ""), at(F.greatest(i - k, F.lit(0)))["t"]) for k in (1, 2, 3)])
+        body = F.regexp_replace(F.regexp_replace(x["comment"], r"^\s*(?://+|#+|/\*+|\*+|<!--|--)\s*", ""), r"(?:\*/|-->)\s*$", "")
+        off = F.regexp_replace(x["comment"], r"^\s*(?://+|#+|/\*+|\*+)\s*", "")
+        return F.struct(x["ln"].alias("ln"), x["line"].alias("line"), x["t"].alias("t"), x["comment"].alias("comment"), trimmed(body).alias("body"), trimmed(off).alias("off"), near.alias("near"), above.alias("above"), at(i + 1)["t"].alias("next"), is_declaration(x["line"]).alias("declares"))
+
+    def what(x: Column) -> Column:
+        code_words = F.filter(_words(split_identifiers(x["near"])), lambda w: F.length(w) > 2)
+        own_words = F.filter(_words(x["body"]), lambda w: F.length(w) > 3)
+        return (x["body"] != "") & (F.octet_length(x["body"]) <= 90) & x["body"].rlike(IMPERATIVE) & ~looks_like_why(x["body"]) & F.arrays_overlap(own_words, code_words)
+
+    def switched_off(x: Column) -> Column:
+        o = x["off"]
+        return (o != "") & ((o.rlike(r"[;{}]\s*$") & o.rlike(r"[=(]")) | o.rlike(r"^(?:(?:if|for|while|return|const|let|var|def|print|echo)\b|\$\w+\s*=\b)") | o.rlike(r"(?i)^[a-z_$][\w.$]*\([^()]*\)\s*;?(?:\s|$)"))
+
+    true = lambda test: lambda x: F.coalesce(test(x), F.lit(False))
+    equals = lambda k: lambda x: x == k
+    documented = lambda x: x["declares"] & x["above"].rlike(r"^(?:\*/|///|#'|\"\"\"|''')")
+    rows = rows.withColumn("lines", F.transform("lines", seen)).withColumn("told", F.filter("lines", lambda x: x["comment"].isNotNull()))
+    shown = {
+        "emoji_comments": lambda x: has_emoji(x["comment"]), "banners": lambda x: x["comment"].rlike(BANNER), "what_comments": what, "chatter": lambda x: x["comment"].rlike(CHATTER), "why": lambda x: looks_like_why(x["comment"]),
+        "tickets": lambda x: x["comment"].rlike(TICKETS), "informal": lambda x: x["comment"].rlike(INFORMAL), "switched_off": switched_off,
+    }
+    for name, test in shown.items():
+        rows = rows.withColumn(name, F.filter("told", true(test)))
+    n = F.size("lines")
+    size = F.ceil(n / 8)
+    count = lambda test: F.size(F.filter("lines", true(test)))
+    eighth = lambda x: F.least(F.lit(7), F.floor(x["ln"] / size)).cast("int")
+    imports = F.filter("lines", lambda x: x["line"].rlike(r"^\s*(?:import\s+|from\s+\S+\s+import\s+|use\s+[A-Z])"))
+    line_of = lambda x: F.concat(F.lit("line "), (x["ln"] + 1).cast("string"), F.lit(": "), x["comment"])
+    rows = rows.withColumn("_declared", F.filter("lines", lambda x: x["declares"])).withColumn("_documented", F.filter("_declared", lambda x: F.coalesce(documented(x), F.lit(False)))).withColumn("_told", F.transform("told", eighth))
+    found = {name: F.size(name) for name in shown} | {f"{name}_shown": F.transform(F.slice(name, 1, 4), line_of) for name in shown}
+    found |= {
+        "n_lines": n, "comments": F.size("told"), "declared": F.size("_declared"), "documented": F.size("_documented"), "trivial": F.size(F.filter("_documented", lambda x: F.coalesce(x["next"].rlike(r"^(?:return|\$this->|self::)"), F.lit(False)))),
+        "tabs": count(lambda x: x["line"].startswith("\t")), "spaces": count(lambda x: x["line"].startswith(" ")), "stubs": count(lambda x: _any([x["line"].rlike(p) for p in TODO])), "typography": count(lambda x: x["line"].rlike(r"[\x{2018}\x{2019}\x{201C}\x{201D}\x{2014}]")),
+        "eighths": F.array(*[F.size(F.filter("_told", equals(k))) for k in range(8)]), "imports": F.transform(imports, lambda x: F.struct(x["ln"].alias("ln"), F.lower(x["t"]).alias("t"))), "head": F.array_join(F.transform(F.slice("lines", 1, 12), lambda x: x["line"]), "\n"),
+    }
+    keep = [c for c in rows.columns if c not in found and c not in ("lines", "told") and not c.startswith("_")]
+    return rows.select(*keep, *[c.alias(name) for name, c in found.items()])
 
 
 def single_use(src: DataFrame) -> DataFrame:
-    """(subject_id, dead_imports, dead_names): imported and declared names that occur once, by one count of all words."""
-    words = src.select("subject_id", F.explode(F.regexp_extract_all("src", F.lit(r"\w+"), F.lit(0))).alias("name")).groupBy("subject_id", "name").agg(F.count("*").alias("uses"))
+    """src with declares, dead_imports and dead_names: imported and declared names that occur once among all words of the file."""
     one = F.regexp_extract_all("src", F.lit(r"(?m)^\s*import\s+(\w+)\s+from"), F.lit(1))
     many = F.flatten(F.transform(F.regexp_extract_all("src", F.lit(r"(?m)^\s*import\s+\{([^}]+)\}\s+from"), F.lit(1)), lambda x: F.split(x, ",")))
     imported = F.filter(F.transform(F.concat(one, many), lambda x: trimmed(F.regexp_replace(trimmed(x), r"\s+as\s+.*$", ""))), lambda x: F.length(x) >= 2)
     declared = F.filter(F.array_distinct(F.regexp_extract_all("src", F.lit(r"\b(?:function|def|const|class)\s+([A-Za-z_]\w{3,})"), F.lit(1))), lambda x: ~x.rlike(SMALL_NAMES))
     public = F.flatten(F.transform(F.regexp_extract_all("src", F.lit(r"\b(?:export|module\.exports|public)\b[^\n]*"), F.lit(0)), lambda x: F.regexp_extract_all(x, F.lit(r"\w+"), F.lit(0))))
-    names = src.select("subject_id", imported.alias("i"), F.array_except(declared, public).alias("d"), (F.regexp_count("src", F.lit(r"\b(?:function|def|const|class)\s+[A-Za-z_]\w{3,}")) > 0).alias("declares"))
-    asked = names.select("subject_id", "declares", F.explode_outer(F.concat(F.transform("i", lambda x: F.struct(F.lit("i").alias("kind"), x.alias("name"))), F.transform("d", lambda x: F.struct(F.lit("d").alias("kind"), x.alias("name"))))).alias("a"))
-    found = asked.select("subject_id", "declares", "a.kind", "a.name").join(words, ["subject_id", "name"], "left")
-    return found.groupBy("subject_id").agg(F.max("declares").alias("declares"), F.count_if((F.col("kind") == "i") & (F.coalesce("uses", F.lit(0)) <= 1)).alias("dead_imports"), F.count_if((F.col("kind") == "d") & (F.col("uses") == 1)).alias("dead_names"))
+    rows = src.withColumn("_i", imported).withColumn("_d", F.array_except(declared, public)).withColumn("declares", F.col("src").rlike(r"\b(?:function|def|const|class)\s+[A-Za-z_]\w{3,}"))
+    # equal words are neighbours in the sorted array; files that ask for no name need none
+    asks = (F.size("_i") > 0) | (F.size("_d") > 0)
+    words = F.array_sort(F.when(asks, F.regexp_extract_all("src", F.lit(r"\w+"), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("_w", words).withColumn("_again", F.array_distinct(F.filter("_w", lambda w, i: (i > 0) & (F.get("_w", F.greatest(i - 1, F.lit(0))) == w))))
+    dead = rows.withColumn("dead_imports", F.size(F.array_except("_i", "_again"))).withColumn("dead_names", F.size(F.array_except(F.array_intersect("_d", "_w"), "_again")))
+    return dead.drop("_i", "_d", "_w", "_again")
 
 
 def source_features(src: DataFrame) -> DataFrame:
-    """Counts by file over its whole text."""
+    """src with counts over a file's whole text."""
     s = F.col("src")
     n = lambda p: F.regexp_count(s, F.lit(p))
     all_of = lambda p, g=1: F.regexp_extract_all(s, F.lit(p), F.lit(g))
     idents = src.withColumn("idents", F.array_distinct(all_of(r"\b([a-z][a-zA-Z0-9_]{2,})\b")))
     long = F.filter("idents", lambda x: (F.octet_length(x) >= 20) & (identifier_words(x) >= 4))
     first = idents.select(
-        "subject_id", "code_language", "src",
-        F.size(long).alias("verbose"), F.size(F.filter(long, lambda x: (F.octet_length(x) >= 28) & (identifier_words(x) >= 5))).alias("egregious"),
+        "*", F.size(long).alias("verbose"), F.size(F.filter(long, lambda x: (F.octet_length(x) >= 28) & (identifier_words(x) >= 5))).alias("egregious"),
         F.size(F.filter("idents", lambda x: _any([x.rlike(p) for p in LAZY]))).alias("lazy"), F.size(F.filter("idents", lambda x: _any([x.rlike(p) for p in ABBREVIATED]))).alias("abbreviated"),
         n(r"\btry\s*[:{]").alias("tries"), F.greatest(F.lit(1), n(r"\b(?:function|def|func)\s+\w+")).alias("functions"), _total(s, SWALLOWED).alias("swallowed"),
         (n(r"\bconsole\.(?:log|debug|info)\s*\(") + n(r"\b(?:var_dump|print_r|error_log)\s*\(")).alias("logs"), F.size(F.filter(all_of(LOG_TEXT), has_emoji)).alias("emoji_logs"),
@@ -216,13 +242,13 @@ def source_features(src: DataFrame) -> DataFrame:
         + F.arrays_overlap(bracketed, dotted).cast("int") + (web & (single + double >= 8) & (F.least(single, double) / F.greatest(F.lit(1), single + double) > 0.25)).cast("int")
     )
     hollow = _total(s, HOLLOW) + F.size(F.filter(all_of(TEST_BODY), lambda b: ~b.rlike(r"\b(?:expect|assert|should)\b")))
-    second = src.select(
-        "subject_id", _total(s, ENDPOINTS).alias("endpoints"), F.size(F.filter(params, lambda p: F.coalesce(restates(p), F.lit(False)) | F.lower(trimmed(p["text"])).rlike(FILLER))).alias("tautologies"),
+    second = first.drop("idents").select(
+        "*", _total(s, ENDPOINTS).alias("endpoints"), F.size(F.filter(params, lambda p: F.coalesce(restates(p), F.lit(False)) | F.lower(trimmed(p["text"])).rlike(FILLER))).alias("tautologies"),
         solved.alias("solutions"), F.array_size(F.filter(F.array(*vague), lambda x: x.isNotNull())).alias("vague"), n(VAGUE_FUNCTION).alias("vague_functions"), F.size(F.array_distinct(all_of(HELPER))).alias("helpers"),
         (F.size(F.filter(bodies, lambda b: b.rlike(BOOLEAN_BODY) & ~b.rlike(FLOW))) + n(BOOLEAN_MEMO)).alias("ceremony"), F.coalesce(mixed, F.lit(0)).alias("mixed"),
     )
-    third = src.select(
-        "subject_id", s.rlike(IS_TEST).alias("tests"), hollow.alias("hollow"), n(NEGATIVE).alias("negatives"), n(r"\b(?:expect|assert\w*)\s*\(").alias("assertions"),
+    return second.select(
+        "*", s.rlike(IS_TEST).alias("tests"), hollow.alias("hollow"), n(NEGATIVE).alias("negatives"), n(r"\b(?:expect|assert\w*)\s*\(").alias("assertions"),
         _total(s, SECRETS).alias("secrets"), _any([s.rlike(p) for p in INSECURE]).alias("insecure"),
         ((s.rlike(r"(?i)\b(?:jwt|sign)\s*\(") & ~s.rlike(r"(?i)\b(?:expiresIn|exp\b|setExpiration|ttl|expires_at)")) | (
             s.rlike(r"(?i)(?:params|query|body|\$_GET|\$_POST)\s*\[?['\"]?(?:id|user_?id|order_?id)") & s.rlike(r"(?i)\b(?:findById|findOne|SELECT|->find\(|get\()")
@@ -231,32 +257,31 @@ def source_features(src: DataFrame) -> DataFrame:
         s.rlike(LEGACY).alias("legacy"),
         ((F.col("code_language") == "python") & s.rlike(r"if\s+__name__\s*==\s*['\"]__main__['\"]\s*:") & (s.rlike(r"__main__['\"]\s*:\s*\n\s*(?:pass|print\(|main\(\)\s*$)") | s.rlike(r"\bclass\s+\w+"))).alias("main_guard"),
     )
-    return first.drop("src").join(second, "subject_id").join(third, "subject_id")
 
 
 def features(files: DataFrame, id_col: str = "subject_id", src_col: str = "src") -> DataFrame:
-    """One row of counts per file. Ids must be unique."""
-    src = sources(files, id_col, src_col)
-    return source_features(src).join(line_features(lines(src)), "subject_id").join(single_use(src), "subject_id")
+    """One row of counts per row of files, in as many projections as their size needs and without a shuffle but that of spread()."""
+    src = sources(spread(files), id_col, src_col)
+    return single_use(source_features(line_features(with_lines(src)))).drop("src")
 
 
 def fired(f: DataFrame) -> DataFrame:
-    """(subject_id, signal_id, fire_seq, evidence) of the signals that fire; evidence names the numbers behind them."""
+    """(subject_id, signal_id, fire_seq, evidence) of the signals that fire; evidence is the first lines that show them, or the number behind them."""
     c = F.col
     cv_mean = F.aggregate("eighths", F.lit(0.0), lambda s, x: s + x) / 8
-    cv = F.sqrt(F.aggregate("eighths", F.lit(0.0), lambda s, x: s + (x - cv_mean) * (x - cv_mean)) / 8) / cv_mean
-    uniform = (c("n_lines") >= 80) & (c("comments") >= 8) & (cv_mean >= 0.8) & (F.array_min("eighths") > 0) & (cv < 0.45)
+    deviation = F.sqrt(F.aggregate("eighths", F.lit(0.0), lambda s, x: s + (x - cv_mean) * (x - cv_mean)) / 8)
+    uniform = (c("n_lines") >= 80) & (c("comments") >= 8) & (cv_mean >= 0.8) & (F.array_min("eighths") > 0) & (deviation < 0.45 * cv_mean)
     k = F.size("imports")
     ordered = F.size(F.filter(F.zip_with(F.slice("imports", 1, k - 1), F.slice("imports", 2, k - 1), lambda a, b: a["t"] <= b["t"]), lambda x: x))
     sorted_imports = F.when(k >= 6, (F.element_at("imports", -1)["ln"] - F.element_at("imports", 1)["ln"] <= k + 3) & (ordered >= 0.85 * (k - 1))).otherwise(False)
     head = trimmed(c("head"))
     dead = c("dead_imports") + c("dead_names")
     rules = {
-        "cd.emoji_comments": (c("emoji_comments") >= 1, c("emoji_comments")), "cd.section_header_comments": (c("banners") >= 2, c("banners")), "cd.what_comments": (c("what_comments") >= 3, c("what_comments")),
+        "cd.emoji_comments": (c("emoji_comments") >= 1, "emoji_comments_shown"), "cd.section_header_comments": (c("banners") >= 2, "banners_shown"), "cd.what_comments": (c("what_comments") >= 3, "what_comments_shown"),
         "st.file_header_block": (c("head").rlike(r"^\s*(?:/\*\*|\"\"\"|'''|//|#)") & c("head").rlike(PURPOSE) & (F.octet_length(head) > 60), head),
         "st.uniform_comment_density": (uniform, F.array_join(F.transform("eighths", lambda x: x.cast("string")), ", ")),
         "st.docblock_on_everything": ((c("declared") >= 4) & (c("documented") >= c("declared")) & (c("trivial") >= 1), c("declared")),
-        "cd.assistant_chatter": (c("chatter") >= 1, c("chatter")), "cd.placeholder_endpoint": (c("endpoints") >= 1, c("endpoints")), "cd.tautological_params": (c("tautologies") >= 2, c("tautologies")),
+        "cd.assistant_chatter": (c("chatter") >= 1, "chatter_shown"), "cd.placeholder_endpoint": (c("endpoints") >= 1, c("endpoints")), "cd.tautological_params": (c("tautologies") >= 2, c("tautologies")),
         "cd.mixed_conventions": (c("mixed") >= 2, c("mixed")), "cd.blanket_try": ((c("tries") >= 3) & (c("tries") >= c("functions") * 0.7), c("tries")), "cd.swallowed_errors": (c("swallowed") >= 2, c("swallowed")),
         "cd.console_noise": ((c("logs") >= 5) & (c("logs") / (c("n_lines") / 100) >= 2.0), c("logs")), "cd.emoji_logging": (c("emoji_logs") >= 1, c("emoji_logs")),
         "cd.defensive_chaining": ((c("chains") >= 8) & (c("chains") / c("accesses") > 0.28), c("chains")), "cd.over_symmetric_branches": ((c("ifs") >= 5) & (c("elses") >= c("ifs") * 0.85), c("elses")),
@@ -266,9 +291,9 @@ def fired(f: DataFrame) -> DataFrame:
         "cd.empty_tests": (c("tests") & ((c("hollow") >= 1) | ((c("assertions") >= 6) & (c("negatives") == 0))), c("hollow")), "st.import_block_sorted": (sorted_imports, k),
         "st.multiple_solutions": (c("solutions") >= 2, c("solutions")), "cd.todo_placeholders": (c("stubs") >= 1, c("stubs")), "cd.main_guard": (c("main_guard"), c("code_language")),
         "st.dead_code": (F.when(c("declares"), dead >= 3).otherwise(c("dead_imports") >= 2), dead), "se.placeholder_secret": (c("secrets") >= 1, c("secrets")), "se.insecure_defaults": (c("insecure"), F.lit("insecure")),
-        "se.weak_auth": (c("weak_auth"), F.lit("weak")), "cd.typography": (c("typography") >= 2, c("typography")), "hu.why_comments": (c("why") >= 1, c("why")), "hu.ticket_refs": (c("tickets") >= 1, c("tickets")),
-        "hu.informal": (c("informal") >= 1, c("informal")), "hu.commented_code": (c("switched_off") >= 2, c("switched_off")),
+        "se.weak_auth": (c("weak_auth"), F.lit("weak")), "cd.typography": (c("typography") >= 2, c("typography")), "hu.why_comments": (c("why") >= 1, "why_shown"), "hu.ticket_refs": (c("tickets") >= 1, "tickets_shown"),
+        "hu.informal": (c("informal") >= 1, "informal_shown"), "hu.commented_code": (c("switched_off") >= 2, "switched_off_shown"),
         "hu.inconsistent_format": ((c("tabs") > 2) & (c("spaces") > 2) & (c("n_lines") > 30), F.concat_ws("/", c("tabs").cast("string"), c("spaces").cast("string"))), "hu.legacy_stack": (c("legacy"), F.lit("legacy")),
     }
-    found = F.array(*[F.when(rule, F.struct(F.lit(s).alias("signal_id"), F.lit(i).alias("fire_seq"), F.array(e.cast("string")).alias("evidence"))) for i, (s, (rule, e)) in enumerate(rules.items())])
+    found = F.array(*[F.when(rule, F.struct(F.lit(s).alias("signal_id"), F.lit(i).alias("fire_seq"), (F.col(e) if isinstance(e, str) else F.array(e.cast("string"))).alias("evidence"))) for i, (s, (rule, e)) in enumerate(rules.items())])
     return f.select("subject_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("h")).select("subject_id", "h.*")
