@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import signals
+from .scoring import excerpt
 
 
 def required_pages(n):
@@ -25,6 +26,19 @@ def corroborated(hits: DataFrame, pages: DataFrame) -> DataFrame:
     return known.filter((F.col("category") == "fingerprint") | (F.col("pages") == 1) | (F.col("on_pages") >= required_pages(F.col("pages")))).select("site", "signal_id", "on_pages")
 
 
+def merged(hits: DataFrame, pages: DataFrame) -> DataFrame:
+    """(site, signal_id, evidence) of corroborated signals: on how many pages each was found, and three lines of its first page.
+
+    hits: (site, page_id, signal_id, evidence); pages: (site, page_id).
+    """
+    sizes = pages.groupBy("site").agg(F.count_distinct("page_id").alias("pages"))
+    first = hits.groupBy("site", "signal_id").agg(F.min_by("evidence", "page_id").alias("_lines"))
+    known = corroborated(hits, pages).join(first, ["site", "signal_id"]).join(sizes, "site").join(F.broadcast(signals(hits.sparkSession).select("signal_id", "category")), "signal_id")
+    count = F.concat(F.when(F.col("category") == "fingerprint", "found on ").otherwise("on "), F.col("on_pages").cast("string"), F.lit(" of "), F.col("pages").cast("string"), F.lit(" pages read"))
+    lines = F.filter(F.array_distinct(F.transform("_lines", lambda x: excerpt(x))), lambda x: x != "")
+    return known.select("site", "signal_id", F.concat(F.when(F.col("pages") == 1, F.array().cast("array<string>")).otherwise(F.array(count)), F.slice(lines, 1, 3)).alias("evidence"))
+
+
 def shape_tokens(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(site, page_id, token, cnt): how often each tag and class occurs in a page's body."""
     body = F.regexp_extract(html_col, r"(?is)<body[^>]*>(.*)</body>", 1)

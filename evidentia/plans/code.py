@@ -23,7 +23,7 @@ PIECES = [
     (37, 0, ["// 🚀 launch the rocket", "console.log('🚀 started');"]),
     (37, 1, ["/**", " * This module handles the billing of all orders and provides their totals.", " */", "const total = 1;"]),
     (37, 2, ["// step of the plan", "x = 1;"] * 60),
-    (37, 3, ["/** Gets one. */", "function one() {", "return 1; }", "/** Gets two. */", "function two() {", "return 2; }", "/** Gets three. */", "function three() {", "return 3; }", "/** Gets four. */", "function four() {", "return 4; }"]),
+    (37, 3, [x for i in range(1, 5) for x in ("/**", f" * Gets number {i}.", " */", f"function number{i}() {{", f"return {i}; }}")]),
     (37, 4, ["fetch('https://api.example.com/v1/orders');", " * @param userName - the user name", " * @param {string} orderId the order id", " * @param value - value to use"]),
     (37, 5, ["const userName = a, orderTotal = b, itemCount = c, user_name = d, order_total = e;", "user['name'] = user.name;", "f('aa', \"bb\"); f('cc', \"dd\"); f('ee', \"ff\"); f('gg', \"hh\"); f('ii', \"jj\");"]),
     (37, 6, ["a?.b; c?.d; e?.f; g?.h; i?.j; k?.l; m ?? n; o ?? p; q ?? r;"]),

@@ -55,7 +55,7 @@ DECORATIONS = [
     (31, 8, '<nav class="fixed backdrop-blur rounded-full"></nav>'),
     (31, 9, '<svg class="x" stroke-width="2" stroke-linecap="round"></svg>'),
     (31, 10, "<b>01</b><b>02</b><b>03</b>" + '<div class="card rounded shadow p-6 border">a</div>' * 3),
-    (31, 11, "<style>body{font-family: 'Inter', sans-serif}</style>"),
+    (31, 11, "<style>body{font-family: Inter, sans-serif}</style>"),
     (31, 12, '<i class="py-24"></i><i class="py-24"></i><i class="py-24"></i><i class="py-10"></i>'),
 ]
 #: Response headers of every k-th page.
@@ -84,7 +84,8 @@ def decorated(spark, sf_dir):
     headers = F.create_map().cast("map<string,string>")
     for k, r, sent in HEADERS:
         headers = F.when(F.col("page_id") % k == r, F.create_map(*[F.lit(x) for pair in sent.items() for x in pair])).otherwise(headers)
-    return sited(spark, sf_dir).withColumn("html", F.concat("html", *extra)).withColumn("headers", headers)
+    plain = F.when(F.col("page_id") % 29 == 10, F.regexp_replace("html", "(?s)<!--.*?-->", "")).otherwise(F.col("html"))  # a build step leaves no comments
+    return sited(spark, sf_dir).withColumn("html", F.concat(plain, *extra)).withColumn("headers", headers)
 
 
 def page_features(spark, sf_dir):
@@ -191,6 +192,37 @@ def page_report_signals(spark, sf_dir):
     return rows.select("subject_id", F.col("place").alias("place"), F.col("s.id").alias("signal_id"), F.col("s.weight").alias("weight"), F.col("s.strength").alias("strength"))
 
 
+def page_evidence(spark, sf_dir):
+    """The excerpts behind the signals whose evidence is what their patterns match."""
+    hits = P.hits(P.prepare(decorated(spark, sf_dir)), YEAR, evidence=True)
+    shown = scoring.first_hits(hits.filter(F.col("signal_id").isin(list(_SHOWN))), "page_id")
+    return shown.select("page_id", "signal_id", F.array_join("evidence", " | ").alias("evidence"))
+
+
+def page_notes(spark, sf_dir):
+    """What a reader should know of how each page was read."""
+    return P.notes(P.prepare(decorated(spark, sf_dir))).select("page_id", F.array_join("notes", ",").alias("notes"))
+
+
+def _site_hits(spark, sf_dir):
+    p = sited(spark, sf_dir)
+    hits = P.hits(P.prepare(decorated(spark, sf_dir)), YEAR, evidence=True).join(p.select("page_id", "site"), "page_id")
+    whole = site_hits(spark, sf_dir).select("site", "signal_id", F.array().cast("array<string>").alias("evidence"))
+    return sites.merged(hits, p).unionByName(whole).withColumn("fire_seq", F.lit(0))
+
+
+def site_scores(spark, sf_dir):
+    """A report of each site, from the signals that enough of its pages show and those that only a site can show."""
+    subjects = sited(spark, sf_dir).select("site").distinct().withColumn("thin", F.lit(False))
+    return scoring.reports(_site_hits(spark, sf_dir), subjects, "site").select("site", "score", "verdict", "confidence", "ai", "converging", "human")
+
+
+def site_evidence(spark, sf_dir):
+    """On how many pages of a site its signals were found, and what the first of these showed."""
+    rows = _site_hits(spark, sf_dir).filter(F.col("signal_id").isin(list(_SHOWN)))
+    return scoring.first_hits(rows, "site").select("site", "signal_id", F.array_join("evidence", " | ").alias("evidence"))
+
+
 def verdict_distribution(spark, sf_dir):
     return page_scores(spark, sf_dir).groupBy("verdict", "confidence").agg(F.count("*").alias("pages"), F.sum("score").alias("scores"))
 
@@ -254,7 +286,7 @@ def conversation_profile(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     page_scores, page_features, page_visible_words, page_declared_language, page_links, link_canonical, link_depth_bfs, link_robots, sitemap_dates, site_shape_tokens, site_similarity_pairs, site_similarity_mean, site_length_spread,
-    site_hits, page_hits, page_facts, page_report_signals, verdict_distribution, site_corroboration, catalog_by_category, catalog_totals, doc_language_markers, doc_line_profile, doc_why_markers, doc_secret_redaction,
+    site_hits, page_hits, page_facts, page_report_signals, page_evidence, page_notes, site_scores, site_evidence, verdict_distribution, site_corroboration, catalog_by_category, catalog_totals, doc_language_markers, doc_line_profile, doc_why_markers, doc_secret_redaction,
     doc_tokens, doc_excerpt, doc_emoji, doc_identifiers, conversation_profile,
 )}
 
@@ -298,7 +330,7 @@ def _header(name: str) -> str:
 
 _HEADER_SQL = f"{_header('content-security-policy')} AS csp, {_header('strict-transport-security')} AS hsts, {_header('permissions-policy')} AS permissions, {_header('set-cookie')} AS cookie"
 _SITED = f"p AS (SELECT *, {_HOST.format('url')} AS site FROM pages)"
-_DECORATED = f"d AS (SELECT page_id, url, site, html || {' || '.join(f"CASE WHEN page_id % {k} = {r} THEN '{_q(x)}' ELSE '' END" for k, r, x in DECORATIONS)} AS html, {_HEADER_SQL} FROM p), t AS (SELECT *, {_visible('html')} AS copy FROM d), x AS (SELECT *, {_declared('copy')} AS spoken FROM t)"
+_DECORATED = f"d AS (SELECT page_id, url, site, CASE WHEN page_id % 29 = 10 THEN regexp_replace(html, '(?s)<!--.*?-->', '', 'g') ELSE html END || {' || '.join(f"CASE WHEN page_id % {k} = {r} THEN '{_q(x)}' ELSE '' END" for k, r, x in DECORATIONS)} AS html, {_HEADER_SQL} FROM p), t AS (SELECT *, {_visible('html')} AS copy FROM d), x AS (SELECT *, {_declared('copy')} AS spoken FROM t)"
 _BODY = r"CASE WHEN regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1) = '' THEN html ELSE regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1) END"
 for _tag in ("script", "style", "noscript"):
     _BODY = _sub(_BODY, rf"(?is)<{_tag}\b[^>]*>.*?</{_tag}>")
@@ -392,6 +424,42 @@ _TOTALS = f"""{_HITS_SQL}, known AS (SELECT page_id AS subject_id, k.* FROM hits
 totals AS (SELECT subject_id, category, direction, sum(weight) AS total FROM known GROUP BY ALL),
 capped AS (SELECT t.*, CASE WHEN cap IS NULL THEN total ELSE least(total, cap) END AS capped FROM totals t JOIN {catalog.caps_sql()} USING (category))"""
 _SCORES = report_sql(_TOTALS, f"(SELECT page_id AS subject_id, strlen(html) < {P.THIN_BYTES} AS thin FROM d)", "subject_id")
+_CORROBORATED = f"""c AS (SELECT p.site, h.signal_id, count(DISTINCT h.page_id) AS on_pages FROM hits h JOIN p USING (page_id) GROUP BY ALL), n AS (SELECT site, count(DISTINCT page_id) AS pages FROM p GROUP BY 1),
+corroborated AS (SELECT site, signal_id, on_pages, pages, category FROM c JOIN n USING (site) JOIN {catalog.values_sql()} k USING (signal_id) WHERE category = 'fingerprint' OR pages = 1 OR on_pages >= greatest(2, ceil(pages * 0.25)))"""
+_WHOLE = """j AS (SELECT s.*, m.similarity FROM spread s LEFT JOIN mean m USING (site) WHERE s.pages >= 3), whole AS (
+    SELECT site, 'xs.template_uniformity' AS signal_id FROM j WHERE similarity >= 0.93 UNION ALL SELECT site, 'xs.style_drift' FROM j WHERE similarity <= 0.62
+    UNION ALL SELECT site, 'xs.uniform_page_size' FROM j WHERE mean_words > 40 AND spread < 0.18 UNION ALL SELECT site, 'xs.varied_pages' FROM j WHERE mean_words > 40 AND spread > 0.75
+    UNION ALL SELECT site, 'xs.placeholder_pages' FROM j WHERE thin_pages >= 2 AND thin_pages < pages UNION ALL SELECT site, 'xs.deep_content' FROM j WHERE most_words >= 900 AND most_words > 1.8 * mean_words
+    UNION ALL SELECT site, 'xs.sitemap_one_pass' FROM maps WHERE urls >= 5 AND (dated = 0 OR (dates = 1 AND dated >= 5) OR (dates > 1 AND spread_days <= 1)) UNION ALL SELECT site, 'xs.sitemap_history' FROM maps WHERE urls >= 5 AND spread_days >= 60 AND dates >= 5)"""
+_SITE_TOTALS = f"""{_HITS_SQL}, {_CORROBORATED}, {_SHAPE}, {_SPREAD}, {_MAPS}, {_WHOLE}, known AS (SELECT site, k.* FROM (SELECT site, signal_id FROM corroborated UNION ALL SELECT site, signal_id FROM whole) JOIN {catalog.values_sql()} k USING (signal_id)),
+totals AS (SELECT site, category, direction, sum(weight) AS total FROM known GROUP BY ALL), capped AS (SELECT t.*, CASE WHEN cap IS NULL THEN total ELSE least(total, cap) END AS capped FROM totals t JOIN {catalog.caps_sql()} USING (category))"""
+
+
+def _first_texts(s: str, patterns: list[str]) -> str:
+    return "list_filter([" + ", ".join(f"regexp_extract({s}, '{_q(p.replace('(?iu)', '(?i)'))}')" for p in patterns) + "], lambda v: v <> '')"
+
+
+def _held(s: str, words: dict[str, str]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {cond} THEN '{_q(w)}' END" for w, cond in words.items()) + "], lambda v: v IS NOT NULL)"
+
+
+#: SQL of the evidence of the signals whose patterns match texts.
+_SHOWN = {
+    **{s: _first_texts("html", p) for s, p in P.FINGERPRINTS.items()},
+    "fp.builder_other": _held("html", {n: f"regexp_matches(html, '{_q(p)}')" for n, p in P.BUILDERS.items()}),
+    "fp.generator_meta": f"[regexp_extract(html, '{_q(P.GENERATOR)}', 1)]",
+    "st.generated_stack": _first_texts("html", P.STACK),
+    "st.section_comments": f"list_filter(list_transform(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1), lambda v: trim(v)), lambda v: v <> '' AND regexp_matches(v, '{_q(P.SECTION_COMMENT)}'))",
+    "ct.generic_names": _held("copy", {n: f"contains(lower(copy), '{_q(n.lower())}')" for n in P.NAMES + P.TITLES}),
+    "ct.placeholder_copy": _first_texts("copy", [f"(?i){p}" for p in P.PLACEHOLDERS]),
+    "ct.pricing_three": f"regexp_extract_all(copy, '{_q(P.PRICED.replace('(?iu)', '(?i)'))}')",
+    "hu.cms": _held("html", {n: f"regexp_matches(html, '{_q(p)}')" for n, p in P.CMS.items()}),
+    "hu.operational_stack": _first_texts("html", P.OPERATIONS),
+    "ae.indigo": f"list_concat({_held('html', {h: f"contains(lower(html), '{h}')" for h in P.PALETTE})}, regexp_extract_all(html, '{_q(P.PALETTE_CLASS)}'))",
+}
+_EXCERPT = r"CASE WHEN length(trim(regexp_replace(v, '\s+', ' ', 'g'))) > 140 THEN left(trim(regexp_replace(v, '\s+', ' ', 'g')), 139) || '…' ELSE trim(regexp_replace(v, '\s+', ' ', 'g')) END"
+_FIRST_FOUR = lambda e: f"list_filter({e}, lambda v, i: v <> '' AND list_position({e}, v) = i)[1:4]"
+_EVIDENCE = "e0 AS (" + " UNION ALL ".join(f"SELECT page_id, site, '{s}' AS signal_id, list_transform({e}, lambda v: {_EXCERPT}) AS e FROM y WHERE {_RULES[s]}" for s, e in _SHOWN.items()) + ")"
 _STRENGTH = "CASE WHEN weight >= 3 THEN 'decisive' WHEN weight >= 0.95 THEN 'strong' WHEN weight >= 0.55 THEN 'moderate' ELSE 'weak' END"
 
 SQL = {
@@ -424,6 +492,12 @@ UNION ALL SELECT site, 'xs.sitemap_one_pass' FROM maps WHERE urls >= 5 AND (date
 length(nullif(trim(regexp_extract(html, '(?i)<title[^>]*>\\s*([^<]{{0,160}})</title>', 1)), ''))::INT AS title_length FROM x""",
     "page_scores": _SCORES,
     "page_report_signals": f"WITH {_TOTALS}, r AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY weight DESC, signal_id) - 1 AS place FROM known) SELECT subject_id, place::INT AS place, signal_id, weight, {_STRENGTH} AS strength FROM r WHERE place < 3",
+    "page_evidence": f"WITH {_SITED}, {_DECORATED}, {_READ}, {_EVIDENCE} SELECT page_id, signal_id, array_to_string({_FIRST_FOUR('e')}, ' | ') AS evidence FROM e0",
+    "page_notes": f"WITH {_SITED}, {_DECORATED} SELECT page_id, CASE WHEN strlen(html) < {P.THIN_BYTES} THEN 'little_markup,' ELSE '' END || CASE WHEN strlen(html) > {P.SCAN} THEN 'scan_cut,' ELSE '' END || 'one_direction' AS notes FROM d",
+    "site_scores": report_sql(_SITE_TOTALS, "(SELECT DISTINCT site, false AS thin FROM p)", "site"),
+    "site_evidence": f"""WITH {_HITS_SQL}, {_CORROBORATED}, {_EVIDENCE}, g AS (SELECT site, signal_id, min_by(e, page_id) AS e FROM e0 GROUP BY ALL), lines AS (
+    SELECT site, signal_id, list_concat(CASE WHEN pages = 1 THEN []::VARCHAR[] ELSE [CASE WHEN category = 'fingerprint' THEN 'found on ' ELSE 'on ' END || on_pages || ' of ' || pages || ' pages read'] END, ({_FIRST_FOUR('e')})[1:3]) AS e FROM corroborated JOIN g USING (site, signal_id))
+SELECT site, signal_id, array_to_string({_FIRST_FOUR('e')}, ' | ') AS evidence FROM lines""",
     "verdict_distribution": f"SELECT verdict, confidence, count(*) AS pages, sum(score)::BIGINT AS scores FROM ({_SCORES}) GROUP BY ALL",
     "site_corroboration": f"""WITH {_HITS_SQL}, n AS (SELECT site, count(DISTINCT page_id) AS pages FROM p GROUP BY 1), c AS (SELECT p.site, h.signal_id, count(DISTINCT h.page_id) AS on_pages FROM hits h JOIN p USING (page_id) GROUP BY ALL)
 SELECT site, signal_id, on_pages FROM c JOIN n USING (site) JOIN {catalog.values_sql()} k USING (signal_id) WHERE category = 'fingerprint' OR pages = 1 OR on_pages >= greatest(2, ceil(pages * 0.25))""",
