@@ -33,6 +33,7 @@ CODE_LANGUAGES = {
     "java": r"\b(?:public|private)\s+(?:static\s+)?(?:void|class|int|String)\b",
     "sql": r"(?i)\b(?:SELECT|INSERT INTO|CREATE TABLE)\b",
 }
+LANGUAGE_LABELS = {"php": "PHP", "python": "Python", "typescript": "TypeScript", "jsx": "React / JSX", "javascript": "JavaScript", "html": "HTML", "css": "CSS", "go": "Go", "java": "Java", "sql": "SQL", "unknown": "Unrecognised language"}
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&mdash;": "—", "&ndash;": "–", "&rsquo;": "’", "&lsquo;": "‘", "&hellip;": "…", "&amp;": "&"}
 
 
@@ -104,6 +105,12 @@ def detect_code_language(src: Column) -> Column:
     return F.when(best["n"] > 0, best["lang"]).otherwise("unknown")
 
 
+def language_label(name: Column) -> Column:
+    """The name of a code language as it is shown; others with a capital letter."""
+    shown = F.coalesce(*[F.when(name == n, F.lit(label)) for n, label in LANGUAGE_LABELS.items()])
+    return F.coalesce(shown, F.concat(F.upper(F.left(name, F.lit(1))), F.substring(name, 2, 1_000_000)))
+
+
 def is_comment_line(line: Column) -> Column:
     return line.rlike(r"^(?://|#(?!!\[)|\*|<!--|--\s)")
 
