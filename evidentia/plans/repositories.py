@@ -64,16 +64,40 @@ def git_category_totals(spark, sf_dir):
     return scoring.category_totals(hits, "repo_id")
 
 
-def git_log_parsed(spark, sf_dir):
-    """Commits of every repository written as log texts, one for each run of LOG_RUN hashes, and read again from them."""
-    c = commits(spark, sf_dir)
-    line = F.concat_ws("\n", F.concat_ws("|", F.lpad(F.hex("hash"), 8, "0"), F.col("ts").cast("string"), "author", "subject"), F.concat_ws("\t", F.col("added").cast("string"), F.col("removed").cast("string"), F.lit("src/a.txt")))
+def _logs(c, text, between):
+    """A log text for each run of LOG_RUN hashes of a repository, with ``text`` for each commit."""
     part = F.struct("repo_id", F.floor(F.col("hash") / LOG_RUN).alias("run")).alias("part")
-    logs = c.groupBy(part).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hash", line.alias("x")))), lambda r: r["x"]), "\n\n").alias("log"))
+    return c.groupBy(part).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hash", text.alias("x")))), lambda r: r["x"]), between).alias("log"))
+
+
+def _read(logs):
     return read_log(logs, "part").select("part.repo_id", "hash", "ts", "author", "subject", "added", "removed", "files")
 
 
-QUERIES = {f.__name__: f for f in (git_features, git_hits, git_signal_counts, git_authors, git_trend, git_reports, git_category_totals, git_log_parsed)}
+def _hex():
+    return F.lpad(F.hex("hash"), 8, "0")
+
+
+def git_log_parsed(spark, sf_dir):
+    """Commits of every repository written as log texts, one for each run of LOG_RUN hashes, and read again from them."""
+    line = F.concat_ws("\n", F.concat_ws("|", _hex(), F.col("ts").cast("string"), "author", "subject"), F.concat_ws("\t", F.col("added").cast("string"), F.col("removed").cast("string"), F.lit("src/a.txt")))
+    return _read(_logs(commits(spark, sf_dir), line, "\n\n"))
+
+
+def git_log_default(spark, sf_dir):
+    """The same in the default format, with a summary of changes below each message."""
+    stamp = F.date_format(F.timestamp_seconds("ts"), "EEE MMM d HH:mm:ss yyyy Z")
+    counts = F.concat(F.lit(" 2 files changed, "), F.col("added").cast("string"), F.lit(" insertions(+), "), F.col("removed").cast("string"), F.lit(" deletions(-)"))
+    text = F.concat(F.lit("commit "), _hex(), F.lit("\nAuthor: "), "author", F.lit(" <dev@example.org>\nDate:   "), stamp, F.lit("\n\n    "), "subject", F.lit("\n    more of the message\n\n"), counts)
+    return _read(_logs(commits(spark, sf_dir), text, "\n\n"))
+
+
+def git_log_oneline(spark, sf_dir):
+    """The same with a line for each commit, which has neither time, author nor counts."""
+    return _read(_logs(commits(spark, sf_dir), F.concat_ws(" ", _hex(), "subject"), "\n"))
+
+
+QUERIES = {f.__name__: f for f in (git_features, git_hits, git_signal_counts, git_authors, git_trend, git_reports, git_category_totals, git_log_parsed, git_log_default, git_log_oneline)}
 
 _LIST = "[" + ", ".join(f"'{s}'" for s in _SUBJECTS) + "]"
 _C = f"""n AS (SELECT l_orderkey, (sum(l_quantity) * 3)::BIGINT AS added, count(*) AS removed FROM lineitem GROUP BY 1),
@@ -143,4 +167,6 @@ SELECT repo_id, (ceil((pos + 1) * least(40, n) / n) - 1)::INT AS bucket, count(*
     "git_reports": report_sql(_TOTALS, "(SELECT repo_id, count(*) < 4 AS thin FROM p GROUP BY 1)", "repo_id"),
     "git_category_totals": f"WITH {_TOTALS} SELECT * FROM capped",
     "git_log_parsed": f"WITH {_C} SELECT repo_id, lower(lpad(to_hex(hash), 8, '0')) AS hash, ts, author, subject, added::BIGINT AS added, removed::BIGINT AS removed, 1::BIGINT AS files FROM c",
+    "git_log_default": f"WITH {_C} SELECT repo_id, lower(lpad(to_hex(hash), 8, '0')) AS hash, ts, author, subject, added::BIGINT AS added, removed::BIGINT AS removed, 2::BIGINT AS files FROM c",
+    "git_log_oneline": f"WITH {_C} SELECT repo_id, lower(lpad(to_hex(hash), 8, '0')) AS hash, 0::BIGINT AS ts, '' AS author, subject, 0::BIGINT AS added, 0::BIGINT AS removed, 0::BIGINT AS files FROM c",
 }
