@@ -42,8 +42,8 @@ def running(rows: DataFrame, by: list[str], bucket: Column, order: list[str], su
     return joined.select(*rows.columns, *[(F.col(f"_b{i}") + F.coalesce(F.sum(c).over(inner), F.lit(0))).alias(new) for i, (new, c) in enumerate(sums.items())])
 
 
-def shares(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
-    """nodes (parent columns, name, capacity, weight, budget of the parent) with the tokens that each child gets.
+def shares(nodes: DataFrame, parent: list[str], name: str) -> Table:
+    """(parent columns, name, tokens): what each child gets, from a written table (parent columns, name, capacity, weight, budget of the parent).
 
     A child is full if what is left for it and all with as much capacity by weight or more, shared by weight, covers its
     capacity; the others share the rest by weight. Whole tokens are dealt in the order of md5(name): a child gets the
@@ -51,19 +51,22 @@ def shares(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     """
     ratio = F.col("capacity") / F.col("weight")
     ratios = nodes.withColumn("_ratio", ratio).groupBy(*parent, "_ratio").agg(F.sum("capacity").alias("_c"), F.sum("weight").alias("_w"), F.first("budget").alias("_budget"))
-    whole = ratios.groupBy(*parent).agg(F.sum("_w").alias("_all"))
+    whole = nodes.groupBy(*parent).agg(F.sum("weight").alias("_all"))
     meet = lambda a, b: a.join(b, parent) if parent else a.crossJoin(F.broadcast(b))  # noqa: E731  # without a parent b is one row
-    filled = meet(running(ratios, parent, F.floor(F.log2(F.col("_ratio") + 1) * 8).cast("int"), ["_ratio"], {"_cb": "_c", "_wb": "_w"}), whole)
+    ordered = meet(running(ratios, parent, F.floor(F.log2(F.col("_ratio") + 1) * 8).cast("int"), ["_ratio"], {"_cb": "_c", "_wb": "_w"}), whole)
     test = F.col("_c").cast("decimal(38,0)") * (F.col("_all") - F.col("_wb")) <= F.col("_w").cast("decimal(38,0)") * (F.col("_budget") - F.col("_cb"))
-    filled = filled.withColumn("full", test)
-    rest = filled.groupBy(*parent).agg((F.first("_budget") - F.coalesce(F.sum(F.when(F.col("full"), F.col("_c"))), F.lit(0))).alias("_rest"), F.sum(F.when(~F.col("full"), F.col("_w"))).alias("_open"))
-    marked = meet(nodes.withColumn("_ratio", ratio).join(filled.select(*parent, "_ratio", "full"), [*parent, "_ratio"]), rest)
-    key = F.md5(F.col(name))
-    left = running(marked.filter("not full").withColumn("_key", key), parent, F.substring("_key", 1, 3), ["_key"], {"_before": "weight"})
+    filled = write(ordered.select(*parent, "_ratio", "_c", "_w", "_budget", test.alias("full")), "filled")
+    rest = filled.df.groupBy(*parent).agg((F.first("_budget") - F.coalesce(F.sum(F.when(F.col("full"), F.col("_c"))), F.lit(0))).alias("_rest"), F.sum(F.when(~F.col("full"), F.col("_w"))).alias("_open"))
+    marked = meet(nodes.withColumn("_ratio", ratio).join(filled.df.select(*parent, "_ratio", "full"), [*parent, "_ratio"]), rest)
+    marked = write(marked.select(*parent, name, "capacity", "weight", "full", "_rest", "_open", F.md5(name).alias("_key")), "children")
+    filled.drop()
+    left = running(marked.df.filter("not full"), parent, F.substring("_key", 1, 3), ["_key"], {"_before": "weight"})
     upto = lambda w: F.expr(f"cast({w} as decimal(20,0)) * cast(_rest as decimal(18,0)) div _open")
     dealt = left.withColumn("tokens", upto("_before + weight") - upto("_before"))
-    out = [*parent, name, "capacity", "weight", "tokens"]
-    return marked.filter("full").withColumn("tokens", F.col("capacity")).select(*out).unionByName(dealt.select(*out))
+    out = [*parent, name, "tokens"]
+    result = write(marked.df.filter("full").withColumn("tokens", F.col("capacity")).select(*out).unionByName(dealt.select(*out)), "shares")
+    marked.drop()
+    return result
 
 
 def plan(leaves: DataFrame, levels: list[str], weights: Mapping[tuple[str, ...], int], share: float, max_epochs: int) -> Table:
@@ -83,8 +86,8 @@ def plan(leaves: DataFrame, levels: list[str], weights: Mapping[tuple[str, ...],
         else:
             nodes = nodes.join(above, names[:-1])
         tables.append(write(nodes.drop("available"), "nodes"))
-        tables.append(write(shares(tables[-1].df, names[:-1], names[-1]).select(*names, F.col("tokens").alias("budget")), "shares"))
-        above = tables[-1].df
+        tables.append(shares(tables[-1].df, names[:-1], names[-1]))
+        above = tables[-1].df.withColumnRenamed("tokens", "budget")
     planned = write(table.join(above, levels).select(*levels, "available", "budget"), "plan")
     for t in tables:
         t.drop()
