@@ -330,7 +330,7 @@ def hits(prepared: DataFrame, as_of_year: int, evidence: bool = False) -> DataFr
     With evidence, an array of excerpts is added, empty where a signal counts nothing that could be shown. A page with a fingerprint doesn't show hu.build_stripped.
     """
     found, seq, arrays = prepared, 0, []
-    shown, none = _evidence(), F.array().cast("array<string>")
+    shown, none = _evidence() if evidence else {}, F.array().cast("array<string>")
     for k, group in enumerate(_groups(as_of_year)):
         names = F.array(*[F.when(rule, F.struct(F.lit(s).alias("signal_id"), F.lit(seq + i).alias("fire_seq"))) for i, (s, rule) in enumerate(group.items())])
         found = found.withColumn(f"_g{k}", F.filter(names, lambda x: x.isNotNull()))

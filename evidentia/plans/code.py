@@ -72,8 +72,8 @@ def code_hits(spark, sf_dir):
 
 def code_reports(spark, sf_dir):
     """Score, verdict and confidence of every file."""
-    f = C.features(files(spark, sf_dir))
-    return scoring.reports(C.fired(f), f.select("subject_id", (F.col("n_lines") < 25).alias("thin"))).drop("signals", "thin", "fingerprint")
+    thin = C.sources(files(spark, sf_dir)).select("subject_id", (F.size(F.split("src", "\n")) < 25).alias("thin"))
+    return scoring.reports(C.fired(C.features(files(spark, sf_dir))), thin).drop("signals", "thin", "fingerprint")
 
 
 QUERIES = {f.__name__: f for f in (code_comment_lines, code_line_features, code_source_features, code_single_use, code_hits, code_reports)}
