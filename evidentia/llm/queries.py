@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, minhash, mixing, packing, quality, topk, toxicity, url_filter, warc_zip
+from . import ann, embedding_dedup, language_id, lloyd, minhash, mixing, packing, quality, topk, toxicity, url_filter, warc_zip, whitening
 from .scratch import fold
 
 
@@ -93,6 +93,21 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector projected on the first 32 principal components, scaled to unit variance."""
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors found for every hundredth vector."""
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after five rounds over 40 centroids."""
+    return lloyd.cluster(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
@@ -104,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_packing": op9_packing,
     "op10_embeddings": op10_embeddings,
+    "op11_whitening": op11_whitening,
+    "op12_neighbours": op12_neighbours,
+    "op13_clusters": op13_clusters,
 }
 
 _HOST = "coalesce(translate(regexp_extract({0}, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
