@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import unescape
+from .tables import BROADCAST_ROWS, Folder
+
 # Extensions that are never pages, and addresses that are actions.
 SKIP_EXTENSIONS = r"(?i)\.(?:jpg|jpeg|png|gif|webp|avif|svg|ico|bmp|tiff|mp4|webm|mov|avi|mp3|wav|ogg|flac|pdf|zip|gz|tar|rar|7z|dmg|exe|woff2?|ttf|otf|eot|css|js|json|xml|rss|atom|txt|csv|xlsx?|docx?|pptx?)$"
 ACTIONS = r"(?i)/(?:logout|signout|sign-out|delete|remove|unsubscribe|cart/add|admin)(?:/|$|\?)"
 NO_LINK = r"(?i)^(?:javascript|mailto|tel|data|sms|ftp):"
 
-#: Links of a site that is walked in one task; larger sites take a round of joins for each depth.
-LOCAL_LINKS = 200_000
-
 
 def origin(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1))
@@ -46,9 +43,9 @@ def canonical(url: Column) -> Column:
 def absolute(href: Column, base: Column) -> Column:
     """The address that a link leads to, without its fragment; null for links that lead to no document.
 
-    ``.`` and ``..`` are resolved in relative paths.
+    ``.`` and ``..`` are resolved in relative paths. Character references in href are decoded before (text.unescape).
     """
-    h = F.trim(F.replace(href, F.lit("&amp;"), F.lit("&")))
+    h = F.trim(href)
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
     folder = F.regexp_replace(path(base), "/[^/]*$", "/")
     parts = F.filter(F.split(F.concat(folder, h), "/"), lambda x: ~x.isin("", "."))
@@ -64,11 +61,18 @@ def absolute(href: Column, base: Column) -> Column:
 def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, link): the distinct documents of the same origin that a page links to."""
     hrefs = F.regexp_extract_all(F.col(html_col), F.lit(r"(?i)<a\b[^>]*\bhref=[\"']([^\"']+)[\"']"), F.lit(1))
-    rows = pages.select(id_col, F.col(url_col).alias("_base"), F.explode(F.array_distinct(hrefs)).alias("_href")).withColumn("link", absolute(F.col("_href"), F.col("_base")))
+    rows = pages.select(id_col, F.col(url_col).alias("_base"), F.explode(F.transform(F.array_distinct(hrefs), unescape)).alias("_href")).withColumn("link", absolute(F.col("_href"), F.col("_base")))
     fine = F.col("link").isNotNull() & (origin(F.col("link")) == origin(F.col("_base"))) & ~path(F.col("link")).rlike(SKIP_EXTENSIONS) & ~F.col("link").rlike(ACTIONS)
     return rows.filter(fine).select(id_col, "link").distinct()
 
 
+def links_from(html: Column, base: Column) -> Column:
+    """The documents of the same origin that a page links to, in the order of the page, each once."""
+    hrefs = F.array_distinct(F.regexp_extract_all(html, F.lit(r"(?i)<a\b[^>]*\bhref=[\"']([^\"']+)[\"']"), F.lit(1)))
+    found = F.filter(F.transform(F.transform(hrefs, unescape), lambda h: absolute(h, base)), lambda u: u.isNotNull())
+    return F.array_distinct(F.filter(found, lambda u: (origin(u) == origin(base)) & ~path(u).rlike(SKIP_EXTENSIONS) & ~u.rlike(ACTIONS)))
+
+
 def robots_rules(robots: DataFrame, site_col: str = "site", body_col: str = "body", agent: str = "*") -> DataFrame:
     """(site, prefix): paths that robots files disallow for all agents, or for ``agent``; a prefix ends at its first ``*``."""
     lines = robots.select(site_col, F.posexplode(F.split(F.col(body_col), r"\r?\n")).alias("at", "line"))
@@ -99,64 +103,22 @@ def sitemap_entries(sitemaps: DataFrame, site_col: str = "site", body_col: str =
     return rows.select(site_col, loc.alias("loc"), F.try_to_timestamp(F.when(day != "", day)).cast("date").alias("lastmod")).filter("loc <> ''")
 
 
-def crawl_depth(pages: DataFrame, links: DataFrame, entries: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
+def crawl_depth(pages: DataFrame, links: DataFrame, entries: DataFrame, folder: Folder) -> DataFrame:
     """(site, key, depth) of the pages that are reached from each site's entry page by links, nearest first.
 
-    pages: (site, key); links: (site, source, target); entries: (site, key). A site with at most local_links links is walked
-    in one task, as a chain of pages would need a round for each. For larger sites each round joins the frontier with
-    the links and drops what has been seen. Both end only when no page is new.
+    pages: (site, key); links: (site, source, target); entries: (site, key). A round joins the last round's pages with the
+    links and drops what an earlier round has reached. Each round's pages are a table of their own, so a round writes only
+    what is new; it ends when no page is. The number of rounds is the greatest depth.
     """
     known = pages.select("site", "key").distinct()
-    linked = links.select("site", "source", F.col("target").alias("key")).filter("source is not null").join(known, ["site", "key"], "left_semi")
-    linked = _cut(linked.select("site", "source", F.col("key").alias("target")).distinct())
-    large = _cut(linked.groupBy("site").count().filter(F.col("count") > local_links).select("site"))
-    starts = _cut(entries.select("site", "key").distinct())
-    kind = starts.schema["key"].dataType
-    rows = linked.select("site", F.lit(False).alias("start"), F.col("source").cast(kind).alias("source"), F.col("target").cast(kind).alias("target"))
-    rows = rows.unionByName(starts.select("site", F.lit(True).alias("start"), F.lit(None).cast(kind).alias("source"), F.col("key").alias("target")))
-
-    def walk(table):
-        import pyarrow as pa
-
-        onward, depths = {}, {}
-        for start, source, target in zip(*(table.column(c).to_pylist() for c in ("start", "source", "target")), strict=True):
-            if start:
-                depths[target] = 0
-            else:
-                onward.setdefault(source, []).append(target)
-        frontier, depth = list(depths), 0
-        while frontier:
-            depth += 1
-            new = []
-            for target in (t for source in frontier for t in onward.get(source, ())):
-                if target not in depths:
-                    depths[target] = depth
-                    new.append(target)
-            frontier = new
-        site = pa.array([table.column("site")[0].as_py()] * len(depths), table.schema.field("site").type)
-        return pa.table({"site": site, "key": pa.array(list(depths), table.schema.field("target").type), "depth": pa.array(list(depths.values()), pa.int32())})
-
-    types = f"site {starts.schema['site'].dataType.simpleString()}, key {kind.simpleString()}, depth int"
-    near = rows.join(large, "site", "left_anti").groupBy("site").applyInArrow(walk, types)
-    seen = frontier = starts.join(large, "site", "left_semi").withColumn("depth", F.lit(0))
-    steps = linked.join(large, "site", "left_semi")
+    steps = links.select("site", "source", F.col("target").alias("key")).filter("source is not null and source <> key").join(known, ["site", "key"], "left_semi").distinct()
+    steps = folder.write(steps, "steps")
+    seen = frontier = folder.write(entries.select("site", "key").distinct().join(known, ["site", "key"], "left_semi").withColumn("depth", F.lit(0)), "depth")
     depth = 0
-    while frontier.limit(1).count():
+    while n := frontier.count():
         depth += 1
-        step = frontier.select("site", F.col("key").alias("source")).join(steps, ["site", "source"]).select("site", F.col("target").alias("key")).distinct()
-        frontier = _cut(step.join(seen.select("site", "key"), ["site", "key"], "left_anti").withColumn("depth", F.lit(depth)))
-        seen = _cut(seen.unionByName(frontier))
-    return near.unionByName(seen)
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, written to the folder in spark.checkpoint.dir; a temporary one only where driver and executors are one process."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not re.match(r"local(\[|$)", context.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="evidentia-")
-    if df.sparkSession._jsc.sc().getCheckpointDir().isEmpty():
-        df.sparkSession.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+        near = frontier.select("site", F.col("key").alias("source"))
+        step = steps.join(F.broadcast(near) if n <= BROADCAST_ROWS else near, ["site", "source"]).select("site", "key").distinct()
+        frontier = folder.write(step.join(seen.select("site", "key"), ["site", "key"], "left_anti").withColumn("depth", F.lit(depth)), "depth")
+        seen = seen.unionByName(frontier)
+    return seen

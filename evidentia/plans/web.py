@@ -112,18 +112,6 @@ def link_canonical(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", L.canonical(F.col("url")).alias("canonical"), L.origin(F.col("url")).alias("origin"), L.path(F.col("url")).alias("path"))
 
 
-def link_depth_bfs(spark, sf_dir):
-    """Steps from each site's first page to its others, over links from a page to the next two of its site."""
-    keyed = sited(spark, sf_dir).select("site", F.col("page_id").alias("key"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("site").orderBy("key")
-    two = keyed.withColumn("a", F.lead("key", 1).over(order)).withColumn("b", F.lead("key", 2).over(order))
-    nxt = two.select("site", F.col("key").alias("source"), F.explode(F.array("a", "b")).alias("target")).filter("target is not null")
-    entries = keyed.groupBy("site").agg(F.min("key").alias("key"))
-    return L.crawl_depth(keyed, nxt, entries)
-
-
 def link_robots(spark, sf_dir):
     """Links that remain under robots rules that are made up for each site."""
     p = sited(spark, sf_dir)
@@ -285,7 +273,7 @@ def conversation_profile(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    page_scores, page_features, page_visible_words, page_declared_language, page_links, link_canonical, link_depth_bfs, link_robots, sitemap_dates, site_shape_tokens, site_similarity_pairs, site_similarity_mean, site_length_spread,
+    page_scores, page_features, page_visible_words, page_declared_language, page_links, link_canonical, link_robots, sitemap_dates, site_shape_tokens, site_similarity_pairs, site_similarity_mean, site_length_spread,
     site_hits, page_hits, page_facts, page_report_signals, page_evidence, page_notes, site_scores, site_evidence, verdict_distribution, site_corroboration, catalog_by_category, catalog_totals, doc_language_markers, doc_line_profile, doc_why_markers, doc_secret_redaction,
     doc_tokens, doc_excerpt, doc_emoji, doc_identifiers, conversation_profile,
 )}
@@ -299,12 +287,16 @@ def _sub(s: str, pattern: str, to: str = " ", flags: str = "g") -> str:
     return f"regexp_replace({s}, '{pattern}', '{to}', '{flags}')"
 
 
+#: Character references that the tables and the added markup have.
+_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&mdash;": "—", "&ndash;": "–", "&rsquo;": "’", "&lsquo;": "‘", "&hellip;": "…", "&eacute;": "é", "&#233;": "é", "&#xE9;": "é", "&amp;": "&"}
+
+
 def _visible(html: str) -> str:
     s = html
     for tag in ("script", "style", "noscript", "svg"):
         s = _sub(s, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>")
     s = _sub(s, "<[^>]+>")
-    for name, char in T.ENTITIES.items():
+    for name, char in _ENTITIES.items():
         s = f"replace({s}, '{name}', '{char.replace("'", "''")}')"
     return f"trim({_sub(s, '[\\s\\x{A0}]+')})"
 
@@ -474,7 +466,6 @@ SELECT DISTINCT page_id, link FROM b WHERE link <> '' AND lower(regexp_extract(l
     "link_canonical": f"""WITH a AS (SELECT page_id, url, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path, {_QUERY.format('url')} AS q FROM pages),
 b AS (SELECT *, regexp_replace(path, '(?i)/(?:index|default)\\.(?:html?|php|aspx?)$', '/') AS r FROM a), c AS (SELECT *, CASE WHEN length(r) > 1 THEN regexp_replace(r, '/+$', '') ELSE r END AS s FROM b)
 SELECT page_id, host || CASE WHEN s = '' THEN '/' ELSE s END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS canonical, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1)) AS origin, path FROM c""",
-    "link_depth_bfs": f"WITH {_SITED}, r AS (SELECT site, page_id AS key, row_number() OVER (PARTITION BY site ORDER BY page_id) - 1 AS n FROM p) SELECT site, key, ((n + 1) // 2)::INT AS depth FROM r",
     "link_robots": f"""WITH {_SITED}, a AS (SELECT *, {_PATH.format('url')} || CASE WHEN {_QUERY.format('url')} = '' THEN '' ELSE '?' || {_QUERY.format('url')} END AS target FROM p)
 SELECT page_id, site FROM a WHERE NOT starts_with(target, '/en/1') AND NOT starts_with(target, '/de/') AND NOT (length(site) % 2 = 0 AND starts_with(target, '/fr'))""",
     "sitemap_dates": f"WITH {_SITED}, {_MAPS} SELECT * FROM maps",
