@@ -105,28 +105,23 @@ def visible_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, UNICODE_SPACES, " "))
 
 
-def language_scores(text: Column) -> Column:
-    """An array of (score, order, language) by the markers of four languages."""
+def declared_language(text: Column) -> Column:
+    """fr, es, de or en; empty if there are fewer than 60 words or no language has 12 markers."""
     low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    scores = []
+    # an entry of its own for too few markers, so that the best is worked out once
+    scores = [F.struct(F.lit(12).alias("score"), F.lit(-len(LANGUAGE_MARKERS)).alias("order"), F.lit("").alias("lang"))]
     for k, (lang, words) in enumerate(LANGUAGE_MARKERS.items()):
         total = occurrences(low, words[0])
         for w in words[1:]:
             total = total + occurrences(low, w)
         scores.append(F.struct(total.alias("score"), F.lit(-k).alias("order"), F.lit(lang).alias("lang")))
-    return F.array(*scores)
-
-
-def declared_language(text: Column) -> Column:
-    """fr, es, de or en; empty if there are fewer than 60 words or no language has 12 markers."""
-    best = F.array_max(language_scores(text))
-    return F.when((word_count(text) >= 60) & (best["score"] >= 12), best["lang"]).otherwise("")
+    return F.when(word_count(text) >= 60, F.array_max(F.array(*scores))["lang"]).otherwise("")
 
 
 def detect_code_language(src: Column) -> Column:
     """The language most of whose marks occur; the first of equals; ``unknown`` without any."""
-    best = F.array_max(F.array(*[F.struct(F.regexp_count(src, F.lit(p)).alias("n"), F.lit(-k).alias("order"), F.lit(lang).alias("lang")) for k, (lang, p) in enumerate(CODE_LANGUAGES.items())]))
-    return F.when(best["n"] > 0, best["lang"]).otherwise("unknown")
+    counts = [F.struct(F.regexp_count(src, F.lit(p)).alias("n"), F.lit(-k).alias("order"), F.lit(lang).alias("lang")) for k, (lang, p) in enumerate(CODE_LANGUAGES.items())]
+    return F.array_max(F.array(F.struct(F.lit(0).alias("n"), F.lit(1).alias("order"), F.lit("unknown").alias("lang")), *counts))["lang"]
 
 
 def language_label(name: Column) -> Column:

@@ -92,17 +92,19 @@ INFORMAL = r"(?i)\b(?:HACK|XXX|WTF|UGH|ARGH|sigh|do ?n['o]?t touch|no idea why|g
 LEGACY = r"\$\(document\)\.ready|jQuery\(|\$\.ajax\(|\.live\(|var\s+\w+\s*=\s*function"
 NOT_METHODS = ["if", "for", "while", "switch", "catch", "return", "do", "else", "function", "with"]
 SMALL_NAMES = r"(?i)^(?:main|index|app|default|constructor|render|__init__|setUp)$"
+WHITE = " \t\n\r\x00\x0B"
 _METHOD = r"^\s+(?:static\s+)?(?:async\s+)?(?:get\s+|set\s+)?([A-Za-z_$]\w*)\s*\([^()]*\)\s*\{\s*$"
 
 
 def trimmed(s: Column) -> Column:
-    return F.regexp_replace(s, r"^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+$", "")
+    return F.trim(s, F.lit(WHITE))
 
 
 def is_declaration(line: Column) -> Column:
     """Whether a line declares a function: by keyword, as an assigned function, or as a method."""
     method = F.lower(F.regexp_extract(line, _METHOD, 1))
-    return line.rlike(r"\b(?:function|def|func|fn)\s+\w+\s*\(") | line.rlike(r"\b(?:const|let|var)\s+\w+\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*=>)") | ((method != "") & ~method.isin(NOT_METHODS))
+    some = line.contains("(") | line.contains("function")  # cheap, and without these no pattern fits
+    return some & (line.rlike(r"\b(?:function|def|func|fn)\s+\w+\s*\(") | line.rlike(r"\b(?:const|let|var)\s+\w+\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*=>)") | (line.rlike(_METHOD) & ~method.isin(NOT_METHODS)))
 
 
 def _any(parts: list[Column]) -> Column:
@@ -127,21 +129,23 @@ def with_lines(src: DataFrame) -> DataFrame:
     """src with ``lines``, an array of (ln, line, t, comment): comment is a line's comment text, null if it has none.
 
     A line is inside a block comment if the last line that opens one without closing it comes after the last that closes one.
+    Each line gives one letter, for what it does to a block; a run from an opening letter to the next closing one is a block,
+    of which all but the first line are inside. The flags meet the lines as the second array of zip_with: as a column that
+    a lambda captures they would be worked out again for every line.
     """
-    rows = src.withColumn("lines", F.transform(F.split("src", "\n"), lambda x: F.struct(x.alias("line"), trimmed(x).alias("t"))))
-    # a character for each line: is it inside, and what holds after it
-    closes = lambda x: x["t"].contains("*/")
-    start = F.struct(F.lit("0").alias("now"), F.lit("").alias("all"))
-    step = lambda acc, x: F.struct(F.when(closes(x), "0").when(x["t"].startswith("/*"), "1").otherwise(acc["now"]).alias("now"), F.concat(acc["all"], acc["now"]).alias("all"))
-    rows = rows.withColumn("_in", F.split(F.aggregate("lines", start, step)["all"], ""))
-    tail = lambda x: F.regexp_extract(x["line"], r"\S\s+(//[^\n]{3,}|#[^\n]{3,})$", 1)
+    rows = src.withColumn("lines", F.transform(F.split("src", "\n"), lambda x, i: F.struct(i.alias("ln"), x.alias("line"), trimmed(x).alias("t"))))
+    letters = F.array_join(F.transform("lines", lambda x: F.when(x["t"].contains("*/"), "c").when(x["t"].startswith("/*"), "o").otherwise("-")), "")
+    inside = lambda run: F.when(run.startswith("o"), F.concat(F.lit("0"), F.repeat(F.lit("1"), F.length(run) - 1))).otherwise(F.repeat(F.lit("0"), F.length(run)))
+    flags = F.slice(F.split(F.array_join(F.transform(F.regexp_extract_all(letters, F.lit("o[^c]*c?|[^o]+"), F.lit(0)), inside), ""), ""), 1, F.size("lines"))
 
-    def told(x: Column, i: Column) -> Column:
-        own = (F.get("_in", i) == "1") | x["t"].startswith("/*") | is_comment_line(x["t"])
-        comment = F.when(x["t"] == "", F.lit(None).cast("string")).when(own, x["t"]).when(tail(x) != "", trimmed(tail(x)))
-        return F.struct(i.alias("ln"), x["line"].alias("line"), x["t"].alias("t"), comment.alias("comment"))
+    def told(x: Column, flag: Column) -> Column:
+        own = (flag == "1") | x["t"].startswith("/*") | is_comment_line(x["t"])
+        behind = x["line"].contains("//") | x["line"].contains("#")  # else there is no comment behind code
+        tail = F.regexp_extract(x["line"], r"\S\s+(//[^\n]{3,}|#[^\n]{3,})$", 1)
+        comment = F.when(x["t"] == "", F.lit(None).cast("string")).when(own, x["t"]).when(behind, F.nullif(trimmed(tail), F.lit("")))
+        return F.struct(x["ln"].alias("ln"), x["line"].alias("line"), x["t"].alias("t"), comment.alias("comment"))
 
-    return rows.withColumn("lines", F.transform("lines", told)).drop("_in")
+    return rows.withColumn("lines", F.zip_with("lines", flags, told))
 
 
 def lines(src: DataFrame) -> DataFrame:
@@ -150,16 +154,25 @@ def lines(src: DataFrame) -> DataFrame:
 
 
 def line_features(rows: DataFrame) -> DataFrame:
-    """rows (with_lines) with counts over a file's lines and comments, and for some the first lines counted (``*_shown``)."""
-    at = lambda i: F.get("lines", i)
-    code = lambda x: (x["t"] != "") & ~is_comment_line(x["t"])
+    """rows (with_lines) with counts over a file's lines and comments, and for some the first lines counted (``*_shown``).
 
-    def seen(x: Column, i: Column) -> Column:
-        near = F.coalesce(*[F.when(code(at(i + k)), at(i + k)["t"]) for k in (1, 2, 3)])  # the first code line within three below
-        above = F.coalesce(*[F.when((i >= k) & (at(F.greatest(i - k, F.lit(0)))["t"] != ""), at(F.greatest(i - k, F.lit(0)))["t"]) for k in (1, 2, 3)])
+    Only comments and declarations look at the lines around them.
+    """
+    at = lambda i: F.get("lines", i)["t"]
+    up = lambda i, k: F.when(i >= k, at(F.greatest(i - k, F.lit(0))))
+    code = lambda t: (t != "") & ~is_comment_line(t)
+
+    def noted(x: Column) -> Column:
+        i = x["ln"]
+        near = F.coalesce(*[F.when(code(at(i + k)), at(i + k)) for k in (1, 2, 3)])  # the first code line within three below
         body = F.regexp_replace(F.regexp_replace(x["comment"], r"^\s*(?://+|#+|/\*+|\*+|<!--|--)\s*", ""), r"(?:\*/|-->)\s*$", "")
         off = F.regexp_replace(x["comment"], r"^\s*(?://+|#+|/\*+|\*+)\s*", "")
-        return F.struct(x["ln"].alias("ln"), x["line"].alias("line"), x["t"].alias("t"), x["comment"].alias("comment"), trimmed(body).alias("body"), trimmed(off).alias("off"), near.alias("near"), above.alias("above"), at(i + 1)["t"].alias("next"), is_declaration(x["line"]).alias("declares"))
+        return F.struct(i.alias("ln"), x["comment"].alias("comment"), trimmed(body).alias("body"), trimmed(off).alias("off"), near.alias("near"))
+
+    def declaring(x: Column) -> Column:
+        i = x["ln"]
+        above = F.coalesce(*[F.when(up(i, k) != "", up(i, k)) for k in (1, 2, 3)])
+        return F.struct(above.alias("above"), at(i + 1).alias("next"))
 
     def what(x: Column) -> Column:
         code_words = F.filter(_words(split_identifiers(x["near"])), lambda w: F.length(w) > 2)
@@ -172,8 +185,8 @@ def line_features(rows: DataFrame) -> DataFrame:
 
     true = lambda test: lambda x: F.coalesce(test(x), F.lit(False))
     equals = lambda k: lambda x: x == k
-    documented = lambda x: x["declares"] & x["above"].rlike(r"^(?:\*/|///|#'|\"\"\"|''')")
-    rows = rows.withColumn("lines", F.transform("lines", seen)).withColumn("told", F.filter("lines", lambda x: x["comment"].isNotNull()))
+    documented = lambda x: x["above"].rlike(r"^(?:\*/|///|#'|\"\"\"|''')")
+    rows = rows.withColumn("told", F.transform(F.filter("lines", lambda x: x["comment"].isNotNull()), noted)).withColumn("_declared", F.transform(F.filter("lines", lambda x: is_declaration(x["line"])), declaring))
     shown = {
         "emoji_comments": lambda x: has_emoji(x["comment"]), "banners": lambda x: x["comment"].rlike(BANNER), "what_comments": what, "chatter": lambda x: x["comment"].rlike(CHATTER), "why": lambda x: looks_like_why(x["comment"]),
         "tickets": lambda x: x["comment"].rlike(TICKETS), "informal": lambda x: x["comment"].rlike(INFORMAL), "switched_off": switched_off,
@@ -183,10 +196,10 @@ def line_features(rows: DataFrame) -> DataFrame:
     n = F.size("lines")
     size = F.ceil(n / 8)
     count = lambda test: F.size(F.filter("lines", true(test)))
-    eighth = lambda x: F.least(F.lit(7), F.floor(x["ln"] / size)).cast("int")
+    part = lambda x, k: F.least(F.lit(7), F.floor(x["ln"] / k)).cast("int")
     imports = F.filter("lines", lambda x: x["line"].rlike(r"^\s*(?:import\s+|from\s+\S+\s+import\s+|use\s+[A-Z])"))
     line_of = lambda x: F.concat(F.lit("line "), (x["ln"] + 1).cast("string"), F.lit(": "), x["comment"])
-    rows = rows.withColumn("_declared", F.filter("lines", lambda x: x["declares"])).withColumn("_documented", F.filter("_declared", lambda x: F.coalesce(documented(x), F.lit(False)))).withColumn("_told", F.transform("told", eighth))
+    rows = rows.withColumn("_documented", F.filter("_declared", lambda x: F.coalesce(documented(x), F.lit(False)))).withColumn("_told", F.zip_with("told", F.array_repeat(size, F.size("told")), part))
     found = {name: F.size(name) for name in shown} | {f"{name}_shown": F.transform(F.slice(name, 1, 4), line_of) for name in shown}
     found |= {
         "n_lines": n, "comments": F.size("told"), "declared": F.size("_declared"), "documented": F.size("_documented"), "trivial": F.size(F.filter("_documented", lambda x: F.coalesce(x["next"].rlike(r"^(?:return|\$this->|self::)"), F.lit(False)))),
@@ -232,7 +245,7 @@ def source_features(src: DataFrame) -> DataFrame:
     restates = lambda p: F.arrays_overlap(F.filter(_words(split_identifiers(p["name"])), lambda w: F.length(w) > 2), _words(trimmed(p["text"])))
     families = [F.array_size(F.filter(F.array(*[F.when(s.contains(m), F.lit(m)) for m in members]), lambda x: x.isNotNull())) for members in FAMILIES.values()]
     solved = reduce(lambda a, b: a + b, [F.when(f >= 3, 3).when(f >= 2, 1).otherwise(0) for f in families])
-    vague = [F.when(s.rlike(rf"(?i)\b(?:const|let|var|function|def)\s*{w}\b|\$\s*{w}\b|\b(?:for|foreach)\s*\(\s*(?:const|let|var)?\s*{w}\b"), F.lit(w)) for w in VAGUE]
+    named = all_of(rf"(?i)(?:\b(?:const|let|var|function|def)\s*|\$\s*|\b(?:for|foreach)\s*\(\s*(?:const|let|var)?\s*)({'|'.join(VAGUE)})\b")
     bracketed, dotted = all_of(r"(\w+)\[[\"']\w+[\"']\]"), all_of(r"\b(\w+)\.\w")
     bodies = F.transform(all_of(CEREMONY), lambda b: F.regexp_replace(b, NEXT_DECLARATION, ""))
     web = F.col("code_language").isin("javascript", "typescript", "jsx")
@@ -244,7 +257,7 @@ def source_features(src: DataFrame) -> DataFrame:
     hollow = _total(s, HOLLOW) + F.size(F.filter(all_of(TEST_BODY), lambda b: ~b.rlike(r"\b(?:expect|assert|should)\b")))
     second = first.drop("idents").select(
         "*", _total(s, ENDPOINTS).alias("endpoints"), F.size(F.filter(params, lambda p: F.coalesce(restates(p), F.lit(False)) | F.lower(trimmed(p["text"])).rlike(FILLER))).alias("tautologies"),
-        solved.alias("solutions"), F.array_size(F.filter(F.array(*vague), lambda x: x.isNotNull())).alias("vague"), n(VAGUE_FUNCTION).alias("vague_functions"), F.size(F.array_distinct(all_of(HELPER))).alias("helpers"),
+        solved.alias("solutions"), F.size(F.array_distinct(F.transform(named, F.lower))).alias("vague"), n(VAGUE_FUNCTION).alias("vague_functions"), F.size(F.array_distinct(all_of(HELPER))).alias("helpers"),
         (F.size(F.filter(bodies, lambda b: b.rlike(BOOLEAN_BODY) & ~b.rlike(FLOW))) + n(BOOLEAN_MEMO)).alias("ceremony"), F.coalesce(mixed, F.lit(0)).alias("mixed"),
     )
     return second.select(
