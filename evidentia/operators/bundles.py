@@ -50,7 +50,9 @@ def parse_headers(raw: Column) -> Column:
     pairs = F.transform(F.filter(F.split(block, "\n"), lambda x: F.instr(x, ":") > 1), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
     pairs = F.filter(pairs, lambda p: (p["k"] != "") & (p["v"] != ""))
     names = F.slice(F.array_distinct(F.transform(pairs, lambda p: p["k"])), 1, MAX_HEADERS)
-    return F.map_from_arrays(names, F.transform(names, lambda k: F.array_join(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"]), ", ")))
+    # the pairs are an argument of zip_with: captured by a lambda they would be read again for every name
+    values = F.zip_with(names, F.array_repeat(pairs, F.size(names)), lambda k, all_pairs: F.array_join(F.transform(F.filter(all_pairs, lambda p: p["k"] == k), lambda p: p["v"]), ", "))
+    return F.map_from_arrays(names, values)
 
 
 def charset(content_type: Column, body: Column) -> Column:

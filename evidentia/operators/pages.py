@@ -275,8 +275,9 @@ def _groups(as_of_year: int) -> list[dict[str, Column]]:
     kinds_of_colour = (found > 0).cast("int") + (classes > 0).cast("int") + blob.rlike(GRADIENT).cast("int")
     families = "|".join(FONTS)
     fonts = blob.rlike(rf"(?i)font-family[^;}}\"']{{0,60}}(?:{families})|fonts\.googleapis\.com[^\"']*(?:{families.replace(' ', r'\+')})|[\"'](?:{families})[\"'][^;]{{0,40}};")
-    steps = F.filter(F.array_sort(all_of(markup, r"\bpy-(\d{2})\b")), lambda x: x.isNotNull())
-    counted = F.transform(F.array_distinct(steps), lambda v: F.struct(F.size(F.filter(steps, lambda x: x == v)).alias("n"), v.cast("int").alias("v")))
+    # columns of hits(): a lambda must not capture an expression, which would be worked out again for every element
+    steps, cards, lengths = F.col("_steps"), F.col("_cards"), F.col("_lengths")
+    counted = F.transform(F.array_distinct(steps), lambda v: F.struct(F.size(F.filter(steps, lambda x: x == v)).alias("n"), v.cast("int").alias("v")))  # a hundred values at most
     top = F.array_max(counted)
     first_look = {
         "ae.indigo": (kinds_of_colour >= 2) | (found >= 3) | (classes >= 3),
@@ -290,12 +291,12 @@ def _groups(as_of_year: int) -> list[dict[str, Column]]:
         "ae.scroll_indicator": markup.rlike(r"(?i)class=[\"'][^\"']*\b(?:scroll-(?:indicator|down|hint|cue)|mouse-scroll|animate-bounce)\b") | copy.rlike(r"(?i)(?:scroll (?:down|to explore)|explore more)\s*(?:<|$)"),
     }
     bars = F.array_join(all_of(markup, r"(?i)<(?:header|nav)[^>]*class=[\"']([^\"']+)[\"']"), " ")
-    cards = F.filter(all_of(markup, r"(?i)<(?:div|article|li)\s+class=[\"']([^\"']{25,})[\"']"), lambda c: c.rlike(r"(?i)\b(?:card|feature|benefit|rounded|shadow|p-6|p-8)\b"))
-    same = F.exists(F.array_distinct(cards), lambda c: F.size(F.filter(cards, lambda x: x == c)).between(3, 4))
-    lengths = F.transform(all_of(markup, r"(?i)<p[^>]*>([^<]{40,240})</p>"), word_count)
-    mean = F.try_divide(F.aggregate(lengths, F.lit(0.0), lambda s, x: s + x), F.size(lengths))
-    deviation = F.sqrt(F.try_divide(F.aggregate(lengths, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)), F.size(lengths)))
-    even = F.coalesce((F.size(lengths) >= 3) & (mean > 8) & (deviation < 0.18 * mean), F.lit(False))
+    card = lambda i: F.get(cards, i)
+    # a run of three or four equal ones in the sorted array
+    same = F.exists(F.sequence(F.lit(0), F.size(cards)), lambda i: (card(i) == card(i + 2)) & ((i == 0) | (card(F.greatest(i - 1, F.lit(0))) != card(i))) & (card(i + 4).isNull() | (card(i + 4) != card(i))))
+    n, total, squares = F.size(lengths), F.aggregate(lengths, F.lit(0).cast("long"), lambda s, x: s + x), F.aggregate(lengths, F.lit(0).cast("long"), lambda s, x: s + x * x)
+    # mean > 8 and deviation < 0.18 of the mean, over whole numbers
+    even = (n >= 3) & (total > 8 * n) & (F.sqrt((n * squares - total * total).cast("double")) < 0.18 * total)
     second_look = {
         "ae.glow_orbs": matches(markup, r"(?i)class=[\"'][^\"']*\b(?:blur-(?:2xl|3xl)|rounded-full)\b[^\"']*\b(?:absolute|fixed)\b[^\"']*[\"']") + matches(markup, r"(?i)class=[\"'][^\"']*\b(?:absolute|fixed)\b[^\"']*\bblur-(?:2xl|3xl)\b[^\"']*[\"']") + matches(blob, r"(?i)filter:\s*blur\((?:6[0-9]|[7-9][0-9]|\d{3,})px\)") >= 2,
         "ae.bento_grid": (matches(markup, r"(?i)\b(?:col|row)-span-[2-6]\b") >= 4) & markup.rlike(r"(?i)\bgrid-cols-(?:3|4|6|12)\b"),
@@ -329,7 +330,11 @@ def hits(prepared: DataFrame, as_of_year: int, evidence: bool = False) -> DataFr
 
     With evidence, an array of excerpts is added, empty where a signal counts nothing that could be shown. A page with a fingerprint doesn't show hu.build_stripped.
     """
-    found, seq, arrays = prepared, 0, []
+    markup = F.col("markup")
+    found = prepared.withColumn("_steps", F.filter(F.array_sort(all_of(markup, r"\bpy-(\d{2})\b")), lambda x: x.isNotNull()))
+    found = found.withColumn("_cards", F.array_sort(F.filter(all_of(markup, r"(?i)<(?:div|article|li)\s+class=[\"']([^\"']{25,})[\"']"), lambda c: c.rlike(r"(?i)\b(?:card|feature|benefit|rounded|shadow|p-6|p-8)\b"))))
+    found = found.withColumn("_lengths", F.transform(all_of(markup, r"(?i)<p[^>]*>([^<]{40,240})</p>"), word_count))
+    seq, arrays = 0, []
     shown, none = _evidence() if evidence else {}, F.array().cast("array<string>")
     for k, group in enumerate(_groups(as_of_year)):
         names = F.array(*[F.when(rule, F.struct(F.lit(s).alias("signal_id"), F.lit(seq + i).alias("fire_seq"))) for i, (s, rule) in enumerate(group.items())])
