@@ -41,9 +41,14 @@ def canonical(url: Column) -> Column:
 
 
 def absolute(href: Column, base: Column) -> Column:
-    """The address that a link leads to, without its fragment; null for links that lead to no document.
+    """The address that a link as it stands in a page leads to: resolved() after its character references are decoded."""
+    return resolved(unescape(href), base)
 
-    ``.`` and ``..`` are resolved in relative paths. Character references in href are decoded before (text.unescape).
+
+def resolved(href: Column, base: Column) -> Column:
+    """The address that a decoded link leads to, without its fragment; null for links that lead to no document.
+
+    ``.`` and ``..`` are resolved in relative paths.
     """
     h = F.trim(href)
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
@@ -61,7 +66,7 @@ def absolute(href: Column, base: Column) -> Column:
 def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, link): the distinct documents of the same origin that a page links to."""
     hrefs = F.regexp_extract_all(F.col(html_col), F.lit(r"(?i)<a\b[^>]*\bhref=[\"']([^\"']+)[\"']"), F.lit(1))
-    rows = pages.select(id_col, F.col(url_col).alias("_base"), F.explode(F.transform(F.array_distinct(hrefs), unescape)).alias("_href")).withColumn("link", absolute(F.col("_href"), F.col("_base")))
+    rows = pages.select(id_col, F.col(url_col).alias("_base"), F.explode(F.transform(F.array_distinct(hrefs), unescape)).alias("_href")).withColumn("link", resolved(F.col("_href"), F.col("_base")))
     fine = F.col("link").isNotNull() & (origin(F.col("link")) == origin(F.col("_base"))) & ~path(F.col("link")).rlike(SKIP_EXTENSIONS) & ~F.col("link").rlike(ACTIONS)
     return rows.filter(fine).select(id_col, "link").distinct()
 
@@ -69,7 +74,7 @@ def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 def links_from(html: Column, base: Column) -> Column:
     """The documents of the same origin that a page links to, in the order of the page, each once."""
     hrefs = F.array_distinct(F.regexp_extract_all(html, F.lit(r"(?i)<a\b[^>]*\bhref=[\"']([^\"']+)[\"']"), F.lit(1)))
-    found = F.filter(F.transform(F.transform(hrefs, unescape), lambda h: absolute(h, base)), lambda u: u.isNotNull())
+    found = F.filter(F.transform(F.transform(hrefs, unescape), lambda h: resolved(h, base)), lambda u: u.isNotNull())
     return F.array_distinct(F.filter(found, lambda u: (origin(u) == origin(base)) & ~path(u).rlike(SKIP_EXTENSIONS) & ~u.rlike(ACTIONS)))
 
 

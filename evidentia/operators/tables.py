@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def result(spark: SparkSession, name: str, of: Callable[[Folder], DataFrame]) -> DataFrame:
+    """What ``of`` makes of a folder, written apart, so that the folder's tables can go."""
+    work, kept = Folder(spark, name), Folder(spark, f"{name}-result")
+    found = kept.write(of(work), "rows")
+    work.drop()
+    return found
+
+
 class Folder:
     """A folder for the tables of one job. ``drop()`` deletes them; what a result still reads is kept in another folder."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import crawl as C
 from ..operators import links as L
-from ..operators.tables import Folder
+from ..operators.tables import Folder, result
 
 # Test values: what of each site's documents is broken, and what its robots file says.
 BROKEN = [(13, 5, 404, "text/html"), (17, 3, 200, "application/pdf"), (19, 4, 503, "text/html")]
@@ -67,22 +67,14 @@ def _crawled(spark: SparkSession, sf_dir: str, folder: Folder) -> tuple[DataFram
     return C.crawl(docs, entries, folder)
 
 
-def _result(spark: SparkSession, name: str, of) -> DataFrame:
-    """What ``of`` makes of a folder, written apart, so that the folder's tables can go."""
-    work, kept = Folder(spark, name), Folder(spark, f"{name}-result")
-    found = kept.write(of(work), "rows")
-    work.drop()
-    return found
-
-
 def site_crawl(spark, sf_dir):
     """What each site's crawl met: at most 50 pages, in the order of its queue."""
-    return _result(spark, "crawl", lambda folder: _crawled(spark, sf_dir, folder)[0])
+    return result(spark, "crawl", lambda folder: _crawled(spark, sf_dir, folder)[0])
 
 
 def site_crawl_notes(spark, sf_dir):
     """How far each site's crawl came, and what its report says of it."""
-    return _result(spark, "crawl", lambda folder: C.notes(*_crawled(spark, sf_dir, folder))).withColumn("notes", F.array_join("notes", " "))
+    return result(spark, "crawl", lambda folder: C.notes(*_crawled(spark, sf_dir, folder))).withColumn("notes", F.array_join("notes", " "))
 
 
 def site_robots(spark, sf_dir):
@@ -99,7 +91,7 @@ def site_sitemaps(spark, sf_dir):
         known = docs.select("site").distinct().join(C.robots(docs), "site", "left").select("site", F.coalesce("sitemaps", F.array().cast("array<string>")).alias("sitemaps"))
         return C.sitemap_dates(C.sitemaps(docs, known, folder))
 
-    return _result(spark, "sitemaps", read)
+    return result(spark, "sitemaps", read)
 
 
 def link_depth_bfs(spark, sf_dir):
@@ -112,7 +104,7 @@ def link_depth_bfs(spark, sf_dir):
         entries = pages.filter(F.col("url") == F.concat("site", F.lit("/"))).select("site", F.col("url").alias("key"))
         return L.crawl_depth(pages.select("site", F.col("url").alias("key")), linked, entries, folder)
 
-    return _result(spark, "depth", walked)
+    return result(spark, "depth", walked)
 
 
 QUERIES = {f.__name__: f for f in (site_crawl, site_crawl_notes, site_robots, site_sitemaps, link_depth_bfs)}

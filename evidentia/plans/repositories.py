@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.catalog import caps_sql, values_sql
 from ..operators import history as H
 from ..operators import scoring
+from ..operators.tables import result
 from ..sources.gitlog import commits as read_log
 
 _SUBJECTS = ["initial commit", "Add login endpoint with validation and a responsive dashboard for users", "fix typo", "fix import path", "fix lint", "update", "Merge branch dev", "PROJ-12 rename columns", "ugh, please work", "Refactor billing", "wip", "Create payment api component using oauth and jwt tokens for routing"]
@@ -24,44 +25,65 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a few repositories are worked through in one sitting
     day = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
     ts = F.when(F.col("o_custkey") % 500 % 5 == 0, F.lit(1_500_000_000) + F.col("o_orderkey") % 997 * 30).otherwise(day)
-    return rows.select((F.col("o_custkey") % 500).alias("repo_id"), F.col("o_orderkey").alias("hash"), ts.alias("ts"), author.alias("author"), subject.alias("subject"), F.coalesce("added", F.lit(0)).alias("added"), F.coalesce("removed", F.lit(0)).alias("removed"), F.col("o_orderkey").alias("paste_pos"))
+    # in some repositories every second commit is a small fix
+    small = (F.col("o_custkey") % 500 % 7 == 3) & (F.col("o_orderkey") % 2 == 0)
+    subject, counted = F.when(small, "fix typo").otherwise(subject), F.when(small, 3).otherwise(F.coalesce("added", F.lit(0))).cast("long")
+    return rows.select((F.col("o_custkey") % 500).alias("repo_id"), F.col("o_orderkey").alias("hash"), ts.alias("ts"), author.alias("author"), subject.alias("subject"), counted.alias("added"), F.coalesce("removed", F.lit(0)).alias("removed"), F.col("o_orderkey").alias("paste_pos"))
 
 
-def _placed(spark, sf_dir):
-    return H.position(commits(spark, sf_dir))
+def _history(spark, sf_dir, of):
+    """What ``of`` makes of (placed commits, their bursts, features)."""
+
+    def made(folder):
+        placed = H.position(commits(spark, sf_dir), folder)
+        found = H.bursts(placed, folder)
+        return of(placed, found, H.features(placed, found))
+
+    return result(spark, "history", made)
 
 
 def git_features(spark, sf_dir):
-    return H.features(_placed(spark, sf_dir)).withColumn("span_days", F.round("span_days", 6))
+    return _history(spark, sf_dir, lambda placed, found, f: f).withColumn("span_days", F.round("span_days", 6))
 
 
 def git_hits(spark, sf_dir):
-    return H.fired(H.features(_placed(spark, sf_dir)))
+    return _history(spark, sf_dir, lambda placed, found, f: H.fired(f))
 
 
 def git_signal_counts(spark, sf_dir):
-    return H.fired(H.features(_placed(spark, sf_dir))).groupBy("signal_id").agg(F.count("*").alias("repositories"))
+    return git_hits(spark, sf_dir).groupBy("signal_id").agg(F.count("*").alias("repositories"))
 
 
 def git_authors(spark, sf_dir):
-    return H.authors(_placed(spark, sf_dir))
+    return result(spark, "history", lambda folder: H.authors(H.position(commits(spark, sf_dir), folder)))
 
 
 def git_trend(spark, sf_dir):
-    return H.trend(_placed(spark, sf_dir))
+    return result(spark, "history", lambda folder: H.trend(H.position(commits(spark, sf_dir), folder)))
+
+
+def git_evidence(spark, sf_dir):
+    """The commits that show each signal of a history."""
+    return _history(spark, sf_dir, H.evidence).withColumn("evidence", F.array_join("evidence", " | "))
+
+
+def git_notes(spark, sf_dir):
+    """What a reader should know of how each history was read."""
+    return _history(spark, sf_dir, lambda placed, found, f: H.notes(f)).withColumn("notes", F.array_join("notes", ","))
 
 
 def git_reports(spark, sf_dir):
     """Score, verdict and confidence of every repository."""
-    placed = _placed(spark, sf_dir)
-    hits = H.fired(H.features(placed)).withColumn("fire_seq", F.lit(0)).withColumn("evidence", F.array(F.lit("fired")))
-    subjects = placed.groupBy("repo_id").agg((F.count("*") < 4).alias("thin"))
-    return scoring.reports(hits, subjects, "repo_id").select("repo_id", "score", "verdict", "confidence", "ai", "converging", "human")
+
+    def report(placed, found, f):
+        hits = H.evidence(placed, found, f).withColumn("fire_seq", F.lit(0))
+        return scoring.reports(hits, f.select("repo_id", (F.col("commits") < H.THIN).alias("thin")), "repo_id").select("repo_id", "score", "verdict", "confidence", "ai", "converging", "human")
+
+    return _history(spark, sf_dir, report)
 
 
 def git_category_totals(spark, sf_dir):
-    hits = H.fired(H.features(_placed(spark, sf_dir))).withColumn("fire_seq", F.lit(0)).withColumn("evidence", F.array(F.lit("fired")))
-    return scoring.category_totals(hits, "repo_id")
+    return _history(spark, sf_dir, lambda placed, found, f: scoring.category_totals(H.evidence(placed, found, f).withColumn("fire_seq", F.lit(0)), "repo_id"))
 
 
 def _logs(c, text, between):
@@ -97,13 +119,13 @@ def git_log_oneline(spark, sf_dir):
     return _read(_logs(commits(spark, sf_dir), F.concat_ws(" ", _hex(), "subject"), "\n"))
 
 
-QUERIES = {f.__name__: f for f in (git_features, git_hits, git_signal_counts, git_authors, git_trend, git_reports, git_category_totals, git_log_parsed, git_log_default, git_log_oneline)}
+QUERIES = {f.__name__: f for f in (git_features, git_hits, git_signal_counts, git_authors, git_trend, git_evidence, git_notes, git_reports, git_category_totals, git_log_parsed, git_log_default, git_log_oneline)}
 
 _LIST = "[" + ", ".join(f"'{s}'" for s in _SUBJECTS) + "]"
 _C = f"""n AS (SELECT l_orderkey, (sum(l_quantity) * 3)::BIGINT AS added, count(*) AS removed FROM lineitem GROUP BY 1),
 c AS (
     SELECT o_custkey % 500 AS repo_id, o_orderkey AS hash, CASE WHEN o_custkey % 500 % 5 = 0 THEN 1500000000 + o_orderkey % 997 * 30 ELSE epoch(o_orderdate)::BIGINT END AS ts,
-        CASE WHEN o_orderkey % 4 = 0 THEN 'DEV ' ELSE 'dev ' END || (o_custkey % 3) AS author, ({_LIST})[o_orderkey % {len(_SUBJECTS)} + 1] AS subject, coalesce(added, 0) AS added, coalesce(removed, 0) AS removed
+        CASE WHEN o_orderkey % 4 = 0 THEN 'DEV ' ELSE 'dev ' END || (o_custkey % 3) AS author, CASE WHEN o_custkey % 500 % 7 = 3 AND o_orderkey % 2 = 0 THEN 'fix typo' ELSE ({_LIST})[o_orderkey % {len(_SUBJECTS)} + 1] END AS subject, CASE WHEN o_custkey % 500 % 7 = 3 AND o_orderkey % 2 = 0 THEN 3 ELSE coalesce(added, 0) END::BIGINT AS added, coalesce(removed, 0) AS removed
     FROM orders LEFT JOIN n ON o_orderkey = l_orderkey
 ), p AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY ts, hash) - 1 AS pos FROM c)"""
 _q = lambda p: p.replace("'", "''")
@@ -142,6 +164,37 @@ totals AS (SELECT repo_id, category, direction, count(*) AS signals, sum(weight)
 capped AS (SELECT t.*, CASE WHEN cap IS NULL THEN total ELSE least(total, cap) END::DECIMAL(14,2) AS capped FROM totals t JOIN {caps_sql()} USING (category))"""
 
 
+_EXCERPT = lambda x, n: f"""'"' || CASE WHEN length(trim(regexp_replace({x}, '\\s+', ' ', 'g'))) > {n} THEN left(trim(regexp_replace({x}, '\\s+', ' ', 'g')), {n - 1}) || '…' ELSE trim(regexp_replace({x}, '\\s+', ' ', 'g')) END || '"'"""
+_SOME = lambda n, word: f"{n} || ' {word}' || CASE WHEN {n} = 1 THEN '' ELSE 's' END"
+_SHOWN = {
+    "gh.prompt_messages": ("prompt", _EXCERPT("subject", 80), True), "gh.generic_messages": (f"regexp_matches(trim(subject), '{_q(H.GENERIC)}')", "'\"' || subject || '\"'", True), "gh.issue_refs": (f"regexp_matches(subject, '{_q(H.ISSUE)}')", _EXCERPT("subject", 70), False),
+    "gh.human_mess": (f"regexp_matches(subject, '{_q(H.MESS)}')", _EXCERPT("subject", 70), False), "gh.merges_and_reverts": (f"regexp_matches(subject, '{_q(H.MERGE)}')", _EXCERPT("subject", 70), False),
+}
+_EVIDENCE = f"""{_HITS}, e AS (SELECT repo_id, pos, ts, added, subject, sum(added) OVER (PARTITION BY repo_id ORDER BY pos) AS upto, max(pos) OVER (PARTITION BY repo_id ORDER BY ts RANGE BETWEEN CURRENT ROW AND 1200 FOLLOWING) AS stop FROM z),
+bursts AS (SELECT a.repo_id, a.pos, a.ts, b.upto - a.upto + a.added AS lines, a.stop - a.pos + 1 AS commits FROM e a JOIN e b ON b.repo_id = a.repo_id AND b.pos = a.stop WHERE b.upto - a.upto + a.added >= 400 AND a.stop > a.pos),
+picked(repo_id, step, pos, ts, lines, commits) AS (
+    SELECT repo_id, 0, min(pos), min_by(ts, pos), min_by(lines, pos), min_by(commits, pos) FROM bursts GROUP BY 1
+    UNION ALL SELECT k.repo_id, k.step + 1, min(b.pos), min_by(b.ts, b.pos), min_by(b.lines, b.pos), min_by(b.commits, b.pos) FROM picked k JOIN bursts b ON b.repo_id = k.repo_id AND b.pos >= k.pos + k.commits WHERE k.step < 2 GROUP BY 1, 2
+), start AS (SELECT repo_id, min(pos) AS pos FROM z WHERE istrail GROUP BY 1),
+said AS ({" UNION ALL ".join(f"SELECT repo_id, '{name}' AS signal_id, {'min(pos)' if once else 'pos'} AS place, {text} AS line FROM z WHERE {test}" + (" GROUP BY 1, 2, 4" if once else "") for name, (test, text, once) in _SHOWN.items())}),
+told AS (SELECT *, row_number() OVER (PARTITION BY repo_id, signal_id ORDER BY place) AS k FROM said),
+who AS (SELECT repo_id, min_by(author, pos) AS author, min(pos) AS place FROM p GROUP BY repo_id, lower(author)), names AS (SELECT repo_id, array_to_string(list(author ORDER BY place)[1:4], ', ') AS names FROM who GROUP BY 1),
+lines AS (
+    SELECT repo_id, 'gh.big_bang' AS signal_id, 0 AS place, 'the opening commit adds ' || format('{{:,}}', first_added) || ' lines across 1 file' AS line FROM f
+    UNION ALL SELECT repo_id, 'gh.big_bang', 1, 'that is ' || round(first_added * 100 / added)::INT || '% of every line added in the whole history' FROM f WHERE added > 0
+    UNION ALL SELECT repo_id, 'gh.big_bang', 2, {_EXCERPT("subject", 70)} FROM p WHERE pos = 0
+    UNION ALL SELECT k.repo_id, 'gh.velocity', step, format('{{:,}}', k.lines::BIGINT) || ' lines across ' || k.commits || ' commits in about ' || {_SOME("greatest(1, round((e.ts - k.ts) / 60)::INT)", "minute")} FROM picked k JOIN f USING (repo_id) JOIN e ON e.repo_id = k.repo_id AND e.pos = least(k.pos + k.commits, f.commits - 1)
+    UNION ALL SELECT s.repo_id, 'gh.micro_fix_trail', z.pos - s.pos, CASE WHEN z.pos = s.pos THEN 'after a commit of +' || format('{{:,}}', z.added) || ' lines:' ELSE {_EXCERPT("z.subject", 60)} || CASE WHEN z.counts THEN ' (+' || z.added || ')' ELSE '' END END FROM start s JOIN z ON z.repo_id = s.repo_id AND z.pos BETWEEN s.pos AND s.pos + 3
+    UNION ALL SELECT repo_id, signal_id, place, line FROM told WHERE k <= CASE WHEN signal_id = 'gh.generic_messages' THEN 3 ELSE 4 END
+    UNION ALL SELECT repo_id, 'gh.generic_messages', -1, generic || ' of ' || subjects || ' subjects carry no information' FROM f
+    UNION ALL SELECT repo_id, 'gh.steady_cadence', 0, commits || ' commits over ' || round(span_days)::INT || ' days, on ' || days || ' separate days' FROM f
+    UNION ALL SELECT repo_id, 'gh.single_session', 0, 'the whole history spans about ' || {_SOME("greatest(1, round(span_days * 24)::INT)", "hour")} FROM f
+    UNION ALL SELECT repo_id, 'gh.single_session', 1, commits || ' commits, all on ' || (DATE '1970-01-01' + (t // 86400)::INT)::DATE::VARCHAR FROM f JOIN (SELECT repo_id, min(ts) AS t FROM p WHERE ts > 0 GROUP BY 1) USING (repo_id)
+    UNION ALL SELECT repo_id, 'gh.multiple_authors', 0, authors || ' distinct authors: ' || names FROM f JOIN names USING (repo_id)
+), firsts AS (SELECT repo_id, signal_id, line, min(place) AS place FROM hits JOIN lines USING (repo_id, signal_id) GROUP BY ALL)
+SELECT repo_id, signal_id, array_to_string(list(line ORDER BY place)[1:4], ' | ') AS evidence FROM firsts GROUP BY ALL"""
+
+
 def report_sql(hits: str, subjects: str, subject: str) -> str:
     """Reports of CTEs: ``hits`` ends with capped and known, ``subjects`` is a relation (subject, thin)."""
     return f"""WITH {hits}, sums AS (
@@ -160,6 +213,8 @@ SELECT {subject}, score, CASE WHEN fp > 0 THEN 'builder_identified' WHEN score >
 SQL = {
     "git_features": f"WITH {_F} SELECT * FROM f",
     "git_hits": f"WITH {_HITS} SELECT * FROM hits",
+    "git_evidence": f"WITH RECURSIVE {_EVIDENCE}",
+    "git_notes": f"WITH {_F} SELECT repo_id, concat_ws(',', CASE WHEN commits < 4 THEN 'thin' END, CASE WHEN NOT has_counts THEN 'no_line_counts' END, CASE WHEN NOT has_times THEN 'no_times' END, 'shape_of_the_work') AS notes FROM f",
     "git_signal_counts": f"WITH {_HITS} SELECT signal_id, count(*) AS repositories FROM hits GROUP BY 1",
     "git_authors": f"WITH {_C} SELECT repo_id, min_by(author, pos) AS author, count(*) AS commits FROM p GROUP BY repo_id, lower(author)",
     "git_trend": f"""WITH {_C}, b AS (SELECT *, count(*) OVER (PARTITION BY repo_id) AS n FROM p)

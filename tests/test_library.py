@@ -1,5 +1,6 @@
 """The library's operators on hand-made subjects."""
 
+import time
 from datetime import date, datetime
 
 import pytest
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from evidentia.functions import catalog, text
-from evidentia.operators import code, history, links, pages, scoring, sites, visits
+from evidentia.operators import assets, code, history, links, pages, scoring, sites, visits
+from evidentia.operators.tables import Folder
 from evidentia.sources import gitlog
 from evidentia.streaming import limiter
 
@@ -117,8 +119,9 @@ def test_history_log_formats(spark):
 
 def test_history_signals(spark):
     rows = [("r", f"{i:07x}", 1_700_000_000 + i * 100, "A", s, a, 0, 1, 9 - i) for i, (s, a) in enumerate([("initial commit", 900), ("fix typo", 1), ("fix build", 2), ("fix import path", 1), ("update", 3), ("update.", 1), ("wip", 1)])]
-    placed = history.position(spark.createDataFrame(rows, "repo_id string, hash string, ts long, author string, subject string, added long, removed long, files int, paste_pos long"))
-    got = {r["signal_id"] for r in history.fired(history.features(placed)).collect()}
+    folder = Folder(spark, "history")
+    placed = history.position(spark.createDataFrame(rows, "repo_id string, hash string, ts long, author string, subject string, added long, removed long, files int, paste_pos long"), folder)
+    got = {r["signal_id"] for r in history.fired(history.features(placed, history.bursts(placed, folder))).collect()}
     assert got == {"gh.big_bang", "gh.velocity", "gh.micro_fix_trail", "gh.single_session", "gh.generic_messages"}
     assert history.trend(placed, 3).orderBy("bucket").select("commits").collect() == [(2,), (2,), (3,)]
 
@@ -184,3 +187,48 @@ def test_daily_stream(spark, tmp_path):
 def test_registry():
     q, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(q) and len(q) >= 60
+
+
+def test_source_of_many_lines_takes_linear_time(spark):
+    """A file of 100,000 lines, with comments, declarations and a block comment that is never closed."""
+    unit = "/**\n * Adds a thing\n */\nfunction addThing(a) {\n  // add the thing to the list\n  const list = a; // because 2019-01-01\n\n  return list;\n}\nimport x from 'y'\n"
+    src = unit * 10_000 + "/* open\n" + "still a comment\n" * 100
+    files = spark.createDataFrame([(1, src), (2, "x = 1"), (3, None)], "subject_id int, src string")
+    began = time.time()
+    rows = {r["subject_id"]: r for r in code.line_features(code.with_lines(code.sources(files))).collect()}
+    assert time.time() - began < 60
+    assert (rows[1]["n_lines"], rows[1]["comments"], rows[1]["declared"], rows[1]["documented"], rows[1]["why"]) == (100_102, 50_101, 10_000, 10_000, 10_000)
+    assert rows[2]["n_lines"] == 1 and rows[3]["comments"] == 0
+
+
+def test_page_of_many_cards_takes_linear_time(spark):
+    many = "".join(f'<div class="card rounded shadow-lg number-{i} p-6">x</div><p>This is paragraph number {i} of the page, and it goes on for a while.</p><i class="py-{10 + i % 80}">' for i in range(5000))
+    three = "".join(f'<div class="card rounded shadow-lg and more p-6"> 0{i} </div>' for i in (1, 2, 3))
+    df = spark.createDataFrame([(1, "https://a.test/", many), (2, "https://a.test/b", three), (3, "https://a.test/c", three + three)], "page_id int, url string, html string")
+    began = time.time()
+    got = {(r["page_id"], r["signal_id"]) for r in pages.hits(pages.prepare(df), 2026).collect()}
+    assert time.time() - began < 60
+    assert (2, "ae.three_cards") in got and (3, "ae.three_cards") not in got and (1, "ae.three_cards") not in got
+
+
+def test_code_that_a_page_loads_joins_its_report(spark):
+    chatty = "// sure, here's a helper that does it all\n" + "".join(f"const value{i} = {i};\n" for i in range(40)) + "throw new Error('The value is not valid here.');\nthrow new Error('Please note that it cannot be done.');\n"
+    padded = "\n".join(f"line {i} of a script that says nothing" for i in range(30))
+    rows = [
+        (1, {"https://a.test/app.js": chatty, "https://a.test/b.js?x": padded}, None), (2, {"https://a.test/style.css": chatty, "https://a.test/min.js": chatty.replace("\n", " "), "https://a.test/short.js": "// sure, here's a helper\n"}, None),
+        (3, {}, [("app.js.map", ["src/a.ts"], "// sure, here's a helper\nconst a = 1;")]), (4, None, [("a", [], "  "), ("b", [], None)]), (5, {"https://a.test/no.js": None}, None), (1, {"https://a.test/app.js": padded, "https://a.test/c.js": chatty}, None),
+    ]
+    table = spark.createDataFrame(rows, "page_id int, assets map<string,string>, source_maps array<struct<url:string,sources:array<string>,content:string>>")
+    subs = assets.sub_subjects(table)
+    assert sorted((r["page_id"], r["sub"], r["src"][:12]) for r in subs.collect()) == [(1, 0, "// sure, her"), (1, 0, "line 0 of a "), (1, 1, "// sure, her"), (1, 1, "line 0 of a "), (3, 0, "\n// sure, he")]
+    found = assets.hits(subs)
+    got = {(r["page_id"], r["signal_id"]): r for r in found.collect()}
+    assert {k for k in got if k[1] == "cd.assistant_chatter"} == {(1, "cd.assistant_chatter"), (3, "cd.assistant_chatter")} and (1, "cd.formal_errors") in got
+    assert got[1, "cd.assistant_chatter"]["evidence"] == ["line 1: // sure, here's a helper that does it all"]
+    own = spark.createDataFrame([(1, "cd.assistant_chatter", 4, ["the page's own"]), (6, "ae.indigo", 1, [])], "page_id int, signal_id string, fire_seq int, evidence array<string>")
+    both = {(r["page_id"], r["signal_id"]): r["evidence"] for r in assets.merged(own, found).collect()}
+    assert both[1, "cd.assistant_chatter"] == ["the page's own"] and both[6, "ae.indigo"] == [] and (3, "cd.assistant_chatter") in both
+    thin = spark.createDataFrame([(i, False) for i in (1, 6)], "page_id int, thin boolean")
+    score = lambda hits: {r["page_id"]: r["score"] for r in scoring.reports(hits, thin, "page_id").collect()}
+    assert score(assets.merged(own, found))[1] > score(own)[1]
+    assert assets.hits(assets.sub_subjects(table.limit(0))).count() == 0
