@@ -139,7 +139,7 @@ def test_links(spark):
     assert [tuple(r) for r in links.sitemap_entries(maps).orderBy("loc").collect()] == [("s", "http://s/1", date(2024, 1, 2)), ("s", "http://s/2", None)]
     keyed = spark.createDataFrame([("s", k) for k in "abcd"], "site string, key string")
     steps = spark.createDataFrame([("s", "a", "b"), ("s", "b", "c"), ("s", "b", "zz"), ("s", "c", "a")], "site string, source string, target string")
-    assert {(r["key"], r["depth"]) for r in links.crawl_depth(keyed, steps, keyed.filter("key = 'a'")).collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    assert {(r["key"], r["depth"]) for r in links.crawl_depth(keyed, steps, keyed.filter("key = 'a'"), Folder(spark, "depth")).collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
 def test_similarity_without_pairs_equals_pairs(spark):
