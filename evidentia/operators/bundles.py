@@ -197,12 +197,17 @@ def is_prose(s: Column) -> Column:
     return (F.octet_length(t) >= 15) & ~t.rlike(NO_PROSE) & (F.size(F.split(t, r"\s+")) >= 3) & starts & (F.regexp_count(t, F.lit(r"\p{L}")) * 10 > F.octet_length(t) * 6)
 
 
-def class_attributes(found: Column) -> Column:
-    return F.array_join(F.transform(F.slice(F.filter(found, is_class_list), 1, MAX_STRINGS), lambda x: F.concat(F.lit('class="'), x, F.lit('"'))), "\n")
+def harvest(source: Column) -> Column:
+    """The string literals that are class lists or sentences, the first MAX_STRINGS of both together."""
+    return F.slice(F.filter(strings(source), lambda x: is_class_list(x) | is_prose(x)), 1, MAX_STRINGS)
 
 
-def sentences(found: Column) -> Column:
-    return F.array_join(F.slice(F.filter(found, lambda x: ~is_class_list(x) & is_prose(x)), 1, MAX_STRINGS), "\n")
+def class_attributes(harvested: Column) -> Column:
+    return F.array_join(F.transform(F.filter(harvested, is_class_list), lambda x: F.concat(F.lit('class="'), x, F.lit('"'))), "\n")
+
+
+def sentences(harvested: Column) -> Column:
+    return F.array_join(F.filter(harvested, lambda x: ~is_class_list(x)), "\n")
 
 
 def minified(assets: Column) -> Column:

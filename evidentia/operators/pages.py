@@ -167,7 +167,7 @@ def prepare(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     mapped = F.aggregate("maps", F.lit(0), lambda n, m: n + F.octet_length(m["content"]))
     rows = rows.withColumn("readable", size + body + mapped).withColumn("scan_cut", (size > SCAN) | (size + body > SCAN))
     if "assets" in has or "source_maps" in has:
-        rows = rows.withColumn("bundles", B.readable_sources(F.col("assets"), F.col("maps"), SCAN)).withColumn("strings", B.strings(F.col("bundles")))
+        rows = rows.withColumn("bundles", B.readable_sources(F.col("assets"), F.col("maps"), SCAN)).withColumn("strings", B.harvest(F.col("bundles")))
         rows = rows.withColumn("markup", F.concat_ws("\n", "html", B.class_attributes(F.col("strings")))).withColumn("copy", F.concat_ws("\n", "copy", B.sentences(F.col("strings")))).drop("bundles", "strings")
         rows = rows.withColumn("minified", B.minified(F.col("assets")))
     else:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bundles import safe_cut
+
 from ..functions.tokens import hmac_sha256
 
 # Modes of analysis, and the allowance of requests for each (requests, seconds).
@@ -18,10 +20,10 @@ BOT = "bot"
 
 
 def normalise_path(path: Column) -> Column:
-    """Up to ``?`` or ``#``, with a leading slash, ``/index.php`` as ``/``, at most 255 characters."""
-    cut = F.regexp_extract(path, r"^[^?#]*", 0)
+    """Up to ``?`` or ``#`` (those at the start are left out), with a leading slash, without ``index.php`` at the end, at most 255 bytes."""
+    cut = F.regexp_extract(path, r"^[?#]*([^?#]*)", 1)
     rooted = F.when(cut.startswith("/"), cut).otherwise(F.concat(F.lit("/"), cut))
-    return F.left(F.when(rooted == "/index.php", "/").otherwise(rooted), F.lit(255))
+    return safe_cut(F.regexp_replace(rooted, r"(?i)/index\.php$", "/"), 255)
 
 
 def referer_host(referer: Column, own_host: Column) -> Column:
@@ -166,10 +168,9 @@ def record_visits(requests: DataFrame, secret: Column, own_host: Column) -> Data
 
 
 def record_usage(requests: DataFrame) -> DataFrame:
-    """Usage rows (source, api_key_id, mode, target, target_host, created_at) of requests; modes that aren't known are left out."""
-    host = F.lower(F.regexp_extract("target", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    rows = requests.filter(F.col("mode").isin(*MODES))
-    return rows.select("source", "api_key_id", "mode", F.left("target", F.lit(255)).alias("target"), F.when(host != "", host).alias("target_host"), F.col("at").alias("created_at"))
+    """Usage rows (source, api_key_id, mode, target, target_host, created_at) of requests of any mode: 2,048 bytes of the target, 255 of its host."""
+    host = F.regexp_extract("target", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    return requests.select("source", "api_key_id", "mode", safe_cut(F.col("target"), 2048).alias("target"), F.when(host != "", safe_cut(host, 255)).alias("target_host"), F.col("at").alias("created_at"))
 
 
 def key_report(keys: DataFrame, usage: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def bundle_strings(spark, sf_dir):
     body = F.lit("")
     for k, r, x in SCRIPTS:
         body = F.when(F.col("page_id") % k == r, F.lit(x)).otherwise(body)
-    p = _pages(spark, sf_dir).select("page_id", B.strings(body).alias("s"))
+    p = _pages(spark, sf_dir).select("page_id", B.harvest(body).alias("s"))
     return p.select("page_id", B.class_attributes(F.col("s")).alias("classes"), B.sentences(F.col("s")).alias("sentences"))
 
 

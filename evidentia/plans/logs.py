@@ -130,14 +130,6 @@ def usage_over_budget(spark, sf_dir):
     return V.over_budget(u)
 
 
-def fetch_slots(spark, sf_dir):
-    """Which of the events get one of 8 slots, if each runs for as many hours as its number tells, five days at most."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    at = F.unix_seconds(F.col("ts").cast("timestamp"))
-    rows = e.select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("token"), at.alias("at"), F.when(F.col("event_id") % 5 != 0, at + F.col("event_id") % 7 * 3600).alias("released"))
-    return slots(rows, most=8, seconds=4 * 3600)
-
-
 def key_file(spark, sf_dir):
     """The keys of a key file made of customers, with comments and blank lines."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
@@ -175,6 +167,23 @@ def path_normalised(spark, sf_dir):
     return p.select("page_id", V.normalise_path(raw).alias("path"), V.referer_host(F.col("url"), F.lit("tionsh.example.net")).alias("referer"))
 
 
+def usage_recorded(spark, sf_dir):
+    """Usage rows made of requests for the pages' addresses with their markup behind them, so that most are cut."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    target = F.when(F.col("page_id") % 5 == 0, F.lit(None)).when(F.col("page_id") % 5 == 1, "pasted").otherwise(F.concat("url", F.lit("?q="), "html"))
+    mode = F.element_at(F.array(*[F.lit(m) for m in ("url", "crawl", "code", "git", "api")]), (F.col("page_id") % 5 + 1).cast("int"))
+    raw = p.select("page_id", F.lit("web").alias("source"), F.when(F.col("page_id") % 3 == 0, F.col("page_id")).alias("api_key_id"), mode.alias("mode"), target.alias("target"), F.lit(0).cast("timestamp").alias("at"))
+    rows = V.record_usage(raw)
+    return rows.groupBy("mode", "target_host", F.md5(F.coalesce("target", F.lit(""))).alias("target")).agg(F.count("*").alias("requests"), F.count("api_key_id").alias("keyed"), F.max(F.octet_length("target")).cast("long").alias("bytes"))
+
+
+def keys_created(spark, sf_dir):
+    """Keys made for suppliers: only the hashes of their secrets are kept."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias("name"), F.concat(F.lit("vk_"), F.col("s_suppkey").cast("string")).alias("secret"))
+    made = V.new_keys(s, F.col("secret"), F.timestamp_seconds(F.lit(1_700_000_000)))
+    return made.select("name", "key_hash", F.unix_seconds("created_at").alias("created"), F.unix_seconds("revoked_at").alias("revoked"))
+
+
 def device_classes(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     agents = ["", "Mozilla/5.0 (Windows NT 10.0)", "Mozilla/5.0 (iPhone) Mobile", "Mozilla/5.0 (iPad)", "Googlebot/2.1", "Mozilla/5.0 (Linux; Android 9) Mobile", "Mozilla/5.0 (Linux; Android 9)", "tv"]
@@ -182,7 +191,7 @@ def device_classes(spark, sf_dir):
     return e.groupBy(V.device_of(agent).alias("device")).agg(F.count("*").alias("events"))
 
 
-QUERIES = {f.__name__: f for f in (visits_daily_filled, visits_bar_widths, visits_summary, visits_top_paths, visits_top_referrers, visits_by_device, visits_by_hour, visits_pruned, visitor_tokens, usage_total, usage_by_mode, usage_top_hosts, usage_key_hosts, key_usage_left_join, key_lookup, rate_limit_decisions, path_normalised, device_classes, usage_key_count, usage_over_budget, fetch_slots, key_file, keys_revoked, visits_recorded, report_tokens)}
+QUERIES = {f.__name__: f for f in (visits_daily_filled, visits_bar_widths, visits_summary, visits_top_paths, visits_top_referrers, visits_by_device, visits_by_hour, visits_pruned, visitor_tokens, usage_total, usage_by_mode, usage_top_hosts, usage_key_hosts, key_usage_left_join, key_lookup, rate_limit_decisions, path_normalised, device_classes, usage_key_count, usage_over_budget, usage_recorded, keys_created, key_file, keys_revoked, visits_recorded, report_tokens)}
 
 
 
@@ -240,12 +249,9 @@ SELECT page_id, id, CASE WHEN page_id % 3 <> 0 THEN url END AS target, sha256(en
     UNION ALL SELECT identity, event_id, n, len(held) < 3 AS allowed, CASE WHEN len(held) < 3 THEN list_append(held, tm) ELSE held END AS recent
     FROM (SELECT e.identity, e.event_id, e.n, e.tm, list_filter(r.recent, lambda x: e.tm - x < 43200) AS held FROM r JOIN e ON e.identity = r.identity AND e.n = r.n + 1)
 ) SELECT identity, event_id, allowed FROM r""",
-    "fetch_slots": """WITH RECURSIVE e AS (
-    SELECT lpad(event_id::VARCHAR, 12, '0') AS token, floor(epoch(ts))::BIGINT AS tm, least(floor(epoch(ts))::BIGINT + 14400, CASE WHEN event_id % 5 <> 0 THEN floor(epoch(ts))::BIGINT + event_id % 7 * 3600 ELSE floor(epoch(ts))::BIGINT + 14400 END) AS fin,
-        row_number() OVER (ORDER BY floor(epoch(ts))::BIGINT, lpad(event_id::VARCHAR, 12, '0')) AS n FROM events
-), r AS (
-    SELECT token, tm, n, 0 AS running, true AS granted, [fin] AS ends FROM e WHERE n = 1
-    UNION ALL SELECT token, tm, n, len(held)::INT AS running, len(held) < 8 AS granted, CASE WHEN len(held) < 8 THEN list_append(held, fin) ELSE held END AS ends
-    FROM (SELECT e.token, e.tm, e.n, e.fin, list_filter(r.ends, lambda x: x > e.tm) AS held FROM r JOIN e ON e.n = r.n + 1)
-) SELECT token, tm AS "at", running, granted FROM r""",
+    "usage_recorded": r"""WITH r AS (
+    SELECT page_id, ['url', 'crawl', 'code', 'git', 'api'][page_id % 5 + 1] AS mode, CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 5 = 1 THEN 'pasted' ELSE url || '?q=' || html END AS target FROM pages
+), c AS (SELECT *, left(target, list_max(list_filter(range(0, 2049), lambda k: strlen(left(target, k)) <= 2048))) AS cut, nullif(regexp_extract(target, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '') AS target_host FROM r)
+SELECT mode, target_host, md5(coalesce(cut, '')) AS target, count(*) AS requests, count(*) FILTER (page_id % 3 = 0) AS keyed, max(strlen(cut))::BIGINT AS bytes FROM c GROUP BY ALL""",
+    "keys_created": "SELECT s_name AS name, sha256('vk_' || s_suppkey) AS key_hash, 1700000000::BIGINT AS created, NULL::BIGINT AS revoked FROM supplier",
 }

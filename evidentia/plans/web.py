@@ -121,9 +121,9 @@ def link_robots(spark, sf_dir):
 
 
 def sitemap_dates(spark, sf_dir):
-    """Sitemaps made of each site's pages, read again."""
+    """Sitemaps of a hundred of each site's pages, read again."""
     item = F.concat(F.lit("<url><loc>"), "url", F.lit("</loc>"), F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("<lastmod>"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 90).cast("int")).cast("string"), F.lit("T00:00:00Z</lastmod>"))).otherwise(""), F.lit("</url>"))
-    maps = sited(spark, sf_dir).groupBy("site").agg(F.array_join(F.sort_array(F.collect_list(item)), "\n").alias("body"))
+    maps = sited(spark, sf_dir).groupBy("site", F.floor(F.col("page_id") / 100)).agg(F.array_join(F.sort_array(F.collect_list(item)), "\n").alias("body"))
     return sites.sitemap_features(L.sitemap_entries(maps))
 
 
@@ -131,10 +131,6 @@ def site_shape_tokens(spark, sf_dir):
     return sites.shape_tokens(sited(spark, sf_dir))
 
 
-def site_similarity_pairs(spark, sf_dir):
-    return sites.similarity_pairs(sites.shape_tokens(sited(spark, sf_dir))).withColumn("cosine", F.round("cosine", 6))
-
-
 def site_similarity_mean(spark, sf_dir):
     p = sited(spark, sf_dir)
     return sites.mean_similarity(sites.shape_tokens(p), p).withColumn("similarity", F.round("similarity", 6))
@@ -221,14 +217,6 @@ def site_corroboration(spark, sf_dir):
     return sites.corroborated(hits, p)
 
 
-def catalog_by_category(spark, sf_dir):
-    return catalog.by_category(spark)
-
-
-def catalog_totals(spark, sf_dir):
-    return catalog.signals(spark).groupBy("category", "direction").agg(F.count("*").alias("signals"), F.sum("weight").alias("weight"))
-
-
 def doc_language_markers(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.declared_language(F.col("text")).alias("declared"))
 
@@ -273,8 +261,8 @@ def conversation_profile(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    page_scores, page_features, page_visible_words, page_declared_language, page_links, link_canonical, link_robots, sitemap_dates, site_shape_tokens, site_similarity_pairs, site_similarity_mean, site_length_spread,
-    site_hits, page_hits, page_facts, page_report_signals, page_evidence, page_notes, site_scores, site_evidence, verdict_distribution, site_corroboration, catalog_by_category, catalog_totals, doc_language_markers, doc_line_profile, doc_why_markers, doc_secret_redaction,
+    page_scores, page_features, page_visible_words, page_declared_language, page_links, link_canonical, link_robots, sitemap_dates, site_shape_tokens, site_similarity_mean, site_length_spread,
+    site_hits, page_hits, page_facts, page_report_signals, page_evidence, page_notes, site_scores, site_evidence, verdict_distribution, site_corroboration, doc_language_markers, doc_line_profile, doc_why_markers, doc_secret_redaction,
     doc_tokens, doc_excerpt, doc_emoji, doc_identifiers, conversation_profile,
 )}
 
@@ -470,7 +458,6 @@ SELECT page_id, host || CASE WHEN s = '' THEN '/' ELSE s END || CASE WHEN q = ''
 SELECT page_id, site FROM a WHERE NOT starts_with(target, '/en/1') AND NOT starts_with(target, '/de/') AND NOT (length(site) % 2 = 0 AND starts_with(target, '/fr'))""",
     "sitemap_dates": f"WITH {_SITED}, {_MAPS} SELECT * FROM maps",
     "site_shape_tokens": f"WITH {_SITED}, {_SHAPE} SELECT * FROM tokens",
-    "site_similarity_pairs": f"WITH {_SITED}, {_SHAPE} SELECT site, a, b, round(cosine, 6) AS cosine FROM pairs",
     "site_similarity_mean": f"WITH {_SITED}, {_SHAPE} SELECT * FROM mean",
     "site_length_spread": f"WITH {_SITED}, {_SPREAD} SELECT * FROM spread",
     "site_hits": f"""WITH {_SITED}, {_SHAPE}, {_SPREAD}, {_MAPS}, j AS (SELECT s.*, m.similarity FROM spread s LEFT JOIN mean m USING (site) WHERE s.pages >= 3)
@@ -492,8 +479,6 @@ SELECT site, signal_id, array_to_string({_FIRST_FOUR('e')}, ' | ') AS evidence F
     "verdict_distribution": f"SELECT verdict, confidence, count(*) AS pages, sum(score)::BIGINT AS scores FROM ({_SCORES}) GROUP BY ALL",
     "site_corroboration": f"""WITH {_HITS_SQL}, n AS (SELECT site, count(DISTINCT page_id) AS pages FROM p GROUP BY 1), c AS (SELECT p.site, h.signal_id, count(DISTINCT h.page_id) AS on_pages FROM hits h JOIN p USING (page_id) GROUP BY ALL)
 SELECT site, signal_id, on_pages FROM c JOIN n USING (site) JOIN {catalog.values_sql()} k USING (signal_id) WHERE category = 'fingerprint' OR pages = 1 OR on_pages >= greatest(2, ceil(pages * 0.25))""",
-    "catalog_by_category": f"SELECT signal_id, category, direction, weight, {_STRENGTH} AS strength, row_number() OVER (PARTITION BY category ORDER BY weight DESC, signal_id)::INT AS place FROM {catalog.values_sql()} k",
-    "catalog_totals": f"SELECT category, direction, count(*) AS signals, sum(weight)::DECIMAL(14,2) AS weight FROM {catalog.values_sql()} k GROUP BY ALL",
     "doc_language_markers": f"SELECT doc_id, {_declared('text')} AS declared FROM documents",
     "doc_line_profile": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, len(l)::INT AS lines, len(list_filter(l, lambda x: trim(x) = ''))::INT AS blank, list_max(list_transform(l, lambda x: length(x)))::INT AS longest FROM l",
     "doc_why_markers": r"SELECT doc_id, regexp_matches(text, '\b(?:19|20)\d{2}\b|\bv?\d+\.\d+\.\d+\b|\b[A-Z]{2,8}-\d+\b|#\d{2,}') AS marks, len(regexp_extract_all(text, '#\d{2,}'))::INT AS tickets FROM documents",
