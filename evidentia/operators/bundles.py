@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import codecs
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .links import host, path
 
@@ -55,6 +58,10 @@ def parse_headers(raw: Column) -> Column:
     return F.map_from_arrays(names, values)
 
 
+#: Codecs of Python that are no character sets of documents.
+NO_CHARSETS = {"idna", "punycode", "undefined", "unicode-escape", "raw-unicode-escape", "unicode_escape", "raw_unicode_escape", "mbcs", "oem", "utf-8-sig"}
+
+
 def charset(content_type: Column, body: Column) -> Column:
     """The character set that the content type, or else a meta tag near the start, names; empty for none."""
     told = F.lower(F.regexp_extract(F.coalesce(content_type, F.lit("")), r"(?i)charset=[\"']?([\w-]+)", 1))
@@ -62,25 +69,62 @@ def charset(content_type: Column, body: Column) -> Column:
     return F.when(told != "", told).otherwise(F.lower(F.regexp_extract(start, r"(?i)<meta[^>]+charset=[\"']?([\w-]+)", 1)))
 
 
+def _decoder():
+    """A function of bodies and labels: bodies in named character sets as text, each set's decoder looked up once a batch.
+
+    Bytes that a set doesn't have are dropped; null for unknown sets. It is made here so that it travels with its code.
+    """
+    no_charsets = NO_CHARSETS
+
+    def decoded(body: pd.Series, label: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(body), dtype=object)
+        for name, rows in body.dropna().groupby(label):
+            try:
+                codec = codecs.lookup(name)
+            except (LookupError, ValueError):
+                continue
+            if codec.name in no_charsets or not codec._is_text_encoding:
+                continue
+            out[rows.index] = [codec.decode(bytes(b), "ignore")[0].replace("\x00", "") for b in rows]
+        return out
+
+    return F.pandas_udf(decoded, StringType())
+
+
 def to_utf8(body: Column, content_type: Column) -> Column:
-    """A binary body as text. Of single-byte sets latin-1 and windows-1252 are known; what isn't valid UTF-8 becomes ``?``."""
+    """A binary body as text, by the character set that it names (charset)."""
+    return decode_body(body, F.coalesce(charset(content_type, body), F.lit("")))
+
+
+def decode_body(body: Column, named: Column) -> Column:
+    """A binary body as text, by the name of its character set; empty for none. Both are used often: give columns, not long expressions.
+
+    latin-1, windows-1252 and ASCII are decoded by native columns, other named sets batch by batch (_decoder); bytes that are
+    none of the set's are dropped. Without a name, or if the set is unknown, what isn't valid UTF-8 becomes ``?``.
+    """
     extra = [(i, bytes([i]).decode("cp1252", "ignore")) for i in range(0x80, 0xA0)]
-    known = [(chr(i), c) for i, c in extra if c]
     latin = F.decode(body, "ISO-8859-1")
-    named = charset(content_type, body)
     text = body.cast("string")
-    western = F.translate(latin, "".join(a for a, _ in known), "".join(b for _, b in known))
-    wide = {"utf-16": "UTF-16", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE"}
-    out = F.when(named.isin("iso-8859-1", "latin1", "us-ascii", "windows-1252", "cp1252"), western)
-    for name, java in wide.items():
-        out = out.when(named == name, F.decode(body, java))
-    return out.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("?")))
+    # characters without a counterpart are dropped by translate
+    western = F.translate(latin, "".join(chr(i) for i, c in extra if c) + "".join(chr(i) for i, c in extra if not c), "".join(c for _, c in extra if c))
+    plain = F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("?")))
+    native = {"": plain, "utf-8": plain, "utf8": plain}
+    out = F.when(named.isin(*native), plain).when(named.isin("iso-8859-1", "latin1"), latin).when(named.isin("windows-1252", "cp1252"), western).when(named == "us-ascii", F.regexp_replace(latin, r"[\x{80}-\x{FF}]", ""))
+    other = ~named.isin(*native, "iso-8859-1", "latin1", "windows-1252", "cp1252", "us-ascii")
+    return out.otherwise(F.coalesce(_decoder()(F.when(other, body), named), plain))
+
+
+def ascii_host(host: Column) -> Column:
+    """A host name as DNS has it: labels with letters beyond ASCII in their ``xn--`` form; unchanged where there is none."""
+    return F.when(host.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host), host)).otherwise(host)
 
 
 def normalise_url(url: Column) -> Column:
-    """A typed address with https:// where it has no scheme; null if it is empty, too long or no address."""
+    """A typed address with https:// where it has no scheme and its host in ASCII; null if it is empty, too long or no address."""
     u = F.trim(url)
     full = F.when(u.rlike("(?i)^[a-z][a-z0-9+.-]*://"), u).otherwise(F.concat(F.lit("https://"), u))
+    named = F.regexp_extract(full, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    full = F.when(named.rlike(r"[^\x00-\x7F]"), F.replace(full, named, ascii_host(named))).otherwise(full)
     fine = full.rlike(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^\s/?#@]*@)?(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)*|\[[0-9a-f:.]+\])\.?(?::\d{1,5})?(?:[/?#][\x21-\x7e]*)?$")
     return F.when((u != "") & (F.octet_length(u) <= 2000) & fine, full)
 

@@ -77,7 +77,7 @@ def response_headers(spark, sf_dir):
     return h.select("page_id", F.size("h").alias("headers"), F.col("h")["server"].alias("server"), F.col("h")["set-cookie"].alias("cookies"), F.col("h")["x-page"].alias("page"))
 
 
-_TYPED = ["url", "'  ' || url || ' '", "'example.org/x?y'", "'ftp://example.org/x'", "'http://localhost:8080/'", "'http://10.1.2.3/x'", "'http://8.8.4.4/x'", "'http://example.org:22/'", "'http://[::1]/'", "'http://[2606:4700::1111]/'", "''", "'not a url'", "'http://intranet.local/'", "'http://192.168.0.' || page_id || '/'"]
+_TYPED = ["url", "'  ' || url || ' '", "'example.org/x?y'", "'ftp://example.org/x'", "'http://localhost:8080/'", "'http://10.1.2.3/x'", "'http://8.8.4.4/x'", "'http://example.org:22/'", "'http://[::1]/'", "'http://[2606:4700::1111]/'", "''", "'not a url'", "'http://intranet.local/'", "'http://192.168.0.' || page_id || '/'", "replace(url, '://', '://bücher.')", "replace(url, '://', '://www.例え.')", "replace(url, '://', '://Faß-пример.')", "'почта.рф'", "'http://a..ü/'"]
 
 
 def url_checks(spark, sf_dir):
@@ -87,14 +87,31 @@ def url_checks(spark, sf_dir):
     return p.select("page_id", "address", B.refusal(F.col("address")).alias("refused"))
 
 
+#: (label, text, its bytes in that character set)
+SAMPLES = [(label, text, text.encode(label, "ignore")) for label, text in (
+    ("shift_jis", "日本語のページ、カタカナ"), ("gbk", "中文网页，测试"), ("koi8-r", "Привет, мир"), ("windows-1251", "Съешь ещё этих булок"), ("euc-kr", "한국어 문서"), ("big5", "繁體中文"), ("iso-8859-2", "Příliš žluťoučký kůň"), ("iso-8859-7", "Ελληνικά"),
+)]
+
+
 def body_charsets(spark, sf_dir):
-    """Bodies in several character sets as text; the last one isn't valid."""
-    k = F.col("page_id") % 4
-    text = F.concat(F.lit("café “x” "), F.col("page_id").cast("string"))
-    latin = F.concat(F.lit("café "), F.col("page_id").cast("string"))
-    body = F.when(k == 0, text.cast("binary")).when(k == 1, F.encode(latin, "ISO-8859-1")).when(k == 2, F.encode(latin, "UTF-16")).otherwise(F.concat(latin.cast("binary"), F.unhex(F.lit("C328"))))
-    kind = F.when(k == 1, "text/html; charset=ISO-8859-1").when(k == 2, 'text/html; charset="utf-16"').otherwise("text/html")
-    return _pages(spark, sf_dir).select("page_id", B.to_utf8(body, kind).alias("text"))
+    """Pages in many character sets as text: labels in headers or in the page, broken bytes, unknown labels."""
+    p = _pages(spark, sf_dir)
+    n = len(SAMPLES) + 6
+    k = F.col("page_id") % n
+    html = F.coalesce("html", F.lit(""))
+    bare = F.regexp_replace(html, r"[^\x00-\x7F]|(?i)charset", "")
+    body, kind = html.cast("binary"), F.lit("text/html")
+    for i, (label, _, data) in enumerate(SAMPLES):
+        note = F.lit(f'<meta charset="{label.upper()}">' if i % 2 else "")
+        body = F.when(k == i, F.concat(note.cast("binary"), bare.cast("binary"), F.lit(data), F.lit(b"\xff" if label in ("gbk", "big5") else b""))).otherwise(body)
+        kind = F.when(k == i, "text/html" if i % 2 else f"text/html; charset={label}").otherwise(kind)
+    at = len(SAMPLES)
+    special = [("text/html; charset=ISO-8859-1", F.encode(F.concat(bare, F.lit("café")), "ISO-8859-1")), ('text/html; charset="utf-16"', F.encode(html, "UTF-16")), ("text/html; charset=no-such-set", F.concat(bare.cast("binary"), F.unhex(F.lit("C328")))),
+               ("text/html; charset=us-ascii", F.concat(bare.cast("binary"), F.unhex(F.lit("C3A9")))), ("text/html; charset=windows-1252", F.concat(bare.cast("binary"), F.unhex(F.lit("93788194E9"))))]
+    for i, (given, data) in enumerate(special):
+        body, kind = F.when(k == at + i, data).otherwise(body), F.when(k == at + i, given).otherwise(kind)
+    rows = p.select("page_id", body.alias("body"), kind.alias("kind")).withColumn("label", F.coalesce(B.charset(F.col("kind"), F.col("body")), F.lit("")))
+    return rows.select("page_id", B.decode_body(F.col("body"), F.col("label")).alias("text")).select("page_id", F.md5("text").alias("text"), F.length("text").alias("characters"))
 
 
 def byte_cuts(spark, sf_dir):
@@ -154,12 +171,16 @@ SELECT page_id, url, array_to_string(list_transform(f, lambda x: x.s), '|') AS s
 l AS (SELECT page_id, unnest(string_split(raw, chr(10))) AS line, unnest(range(len(string_split(raw, chr(10))))) AS i FROM r),
 f AS (SELECT page_id, i, lower(trim(split_part(line, ':', 1))) AS k, trim(substr(line, instr(line, ':') + 1)) AS v FROM l WHERE instr(line, ':') > 1), g AS (SELECT page_id, k, string_agg(v, ', ' ORDER BY i) AS v FROM f WHERE v <> '' GROUP BY ALL)
 SELECT page_id, count(*)::INT AS headers, max(v) FILTER (k = 'server') AS server, max(v) FILTER (k = 'set-cookie') AS cookies, max(v) FILTER (k = 'x-page') AS page FROM g GROUP BY 1""",
-    "url_checks": rf"""WITH t AS (SELECT page_id, trim(CASE {' '.join(f'WHEN page_id % {len(_TYPED)} = {i} THEN {x}' for i, x in enumerate(_TYPED))} END) AS typed FROM pages),
+    "url_checks": rf"""WITH g AS (SELECT page_id, trim(CASE {' '.join(f'WHEN page_id % {len(_TYPED)} = {i} THEN {x}' for i, x in enumerate(_TYPED))} END) AS given FROM pages),
+t AS (SELECT page_id, replace(replace(replace(replace(given, 'bücher', 'xn--bcher-kva'), '例え', 'xn--r8jz45g'), 'Faß-пример', 'xn--fass--3weu6azakd'), 'почта.рф', 'xn--80a1acny.xn--p1ai') AS typed FROM g),
 a AS (SELECT page_id, CASE WHEN typed <> '' AND strlen(typed) <= 2000 AND NOT regexp_matches(typed, '[^\x21-\x7e]') THEN CASE WHEN contains(typed, '://') THEN typed ELSE 'https://' || typed END END AS address FROM t),
 h AS (SELECT *, lower(split_part(address, '://', 1)) AS scheme, regexp_replace(lower(regexp_extract(address, '://(\[[^\]]*\]|[^/?#:]+)', 1)), '[\[\]]', '', 'g') AS host, regexp_extract(address, '://(?:\[[^\]]*\]|[^/?#:]+):(\d+)', 1) AS port FROM a)
 SELECT page_id, address, CASE WHEN address IS NULL THEN 'no_url' WHEN scheme NOT IN ('http', 'https') THEN 'scheme' WHEN port <> '' AND port NOT IN ('80', '443', '8080', '8443') THEN 'port' WHEN host = 'localhost' OR ends_with(host, '.local') OR ends_with(host, '.internal') OR ends_with(host, '.home') OR ends_with(host, '.lan') THEN 'local'
     WHEN host = '::1' OR starts_with(host, '10.') OR starts_with(host, '192.168.') OR starts_with(host, '127.') THEN 'private' END AS refused FROM h""",
-    "body_charsets": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'café “x” ' || page_id WHEN 3 THEN 'café ' || page_id || '?(' ELSE 'café ' || page_id END AS text FROM pages",
+    "body_charsets": f"""WITH a AS (SELECT page_id, page_id % {len(SAMPLES) + 6} AS k, coalesce(html, '') AS html, regexp_replace(regexp_replace(coalesce(html, ''), '[^\\x00-\\x7F]', '', 'g'), '(?i)charset', '', 'g') AS bare FROM pages),
+t AS (SELECT page_id, CASE k {' '.join(f"""WHEN {i} THEN '{f'<meta charset="{label.upper()}">' if i % 2 else ''}' || bare || '{text}'""" for i, (label, text, _) in enumerate(SAMPLES))}
+    WHEN {len(SAMPLES)} THEN bare || 'café' WHEN {len(SAMPLES) + 2} THEN bare || '?(' WHEN {len(SAMPLES) + 3} THEN bare WHEN {len(SAMPLES) + 4} THEN bare || '“x”é' ELSE html END AS text FROM a)
+SELECT page_id, md5(text) AS text, length(text)::INT AS characters FROM t""",
     "byte_cuts": "WITH c AS (SELECT doc_id, 'é日🚀' || text AS t, list_max(list_filter(range(0, 41), lambda k: strlen(left('é日🚀' || text, k)) <= 40)) AS k FROM documents) SELECT doc_id, left(t, k) AS cut, 18 AS bytes FROM c",
     "code_labels": "WITH n AS (SELECT ['PHP', 'Python', 'TypeScript', 'React / JSX', 'JavaScript', 'HTML', 'CSS', 'Go', 'Java', 'SQL', 'Unrecognised language', 'Rust'][doc_id % 12 + 1] AS label FROM documents) SELECT label, count(*) AS documents FROM n GROUP BY 1",
 }
