@@ -9,7 +9,7 @@ from ..functions.catalog import caps_sql, values_sql
 from ..operators import history as H
 from ..operators import scoring
 from ..operators.tables import result
-from ..sources.gitlog import commits as read_log
+from ..sources.gitlog import commits as read_log, commits_of_lines
 
 _SUBJECTS = ["initial commit", "Add login endpoint with validation and a responsive dashboard for users", "fix typo", "fix import path", "fix lint", "update", "Merge branch dev", "PROJ-12 rename columns", "ugh, please work", "Refactor billing", "wip", "Create payment api component using oauth and jwt tokens for routing"]
 #: Hashes (numbers here) of a log text, so that a repository of any size is texts of about a megabyte at most.
@@ -106,6 +106,18 @@ def git_log_parsed(spark, sf_dir):
     return _read(_logs(commits(spark, sf_dir), line, "\n\n"))
 
 
+def git_log_split(spark, sf_dir):
+    """The same from lines of one log for each repository, in splits: a commit's lines may lie in two of them."""
+    c = commits(spark, sf_dir)
+    head = F.concat_ws("|", _hex(), F.col("ts").cast("string"), "author", "subject")
+    half = F.floor(F.col("added") / 2)  # the lines added come from two files
+    changed = [F.concat_ws("\t", n.cast("string"), m.cast("string"), F.lit(name)) for n, m, name in ((half, F.col("removed"), "src/a.txt"), (F.col("added") - half, F.lit(0), "src/b.txt"))]
+    lines = c.select("repo_id", "hash", F.posexplode(F.array(head, F.lit(""), *changed)).alias("k", "line")).withColumn("at", F.col("hash") * 4 + F.col("k"))
+    lines = lines.select("repo_id", F.floor((F.col("at") + 2) / LOG_RUN).alias("split"), "at", "line")
+    found = commits_of_lines(lines, "repo_id")
+    return found.select("repo_id", "hash", "ts", "author", "subject", "added", "removed", "files")
+
+
 def git_log_default(spark, sf_dir):
     """The same in the default format, with a summary of changes below each message."""
     stamp = F.date_format(F.timestamp_seconds("ts"), "EEE MMM d HH:mm:ss yyyy Z")
@@ -119,7 +131,7 @@ def git_log_oneline(spark, sf_dir):
     return _read(_logs(commits(spark, sf_dir), F.concat_ws(" ", _hex(), "subject"), "\n"))
 
 
-QUERIES = {f.__name__: f for f in (git_features, git_hits, git_signal_counts, git_authors, git_trend, git_evidence, git_notes, git_reports, git_category_totals, git_log_parsed, git_log_default, git_log_oneline)}
+QUERIES = {f.__name__: f for f in (git_features, git_hits, git_signal_counts, git_authors, git_trend, git_evidence, git_notes, git_reports, git_category_totals, git_log_parsed, git_log_split, git_log_default, git_log_oneline)}
 
 _LIST = "[" + ", ".join(f"'{s}'" for s in _SUBJECTS) + "]"
 _C = f"""n AS (SELECT l_orderkey, (sum(l_quantity) * 3)::BIGINT AS added, count(*) AS removed FROM lineitem GROUP BY 1),
@@ -222,6 +234,7 @@ SELECT repo_id, (ceil((pos + 1) * least(40, n) / n) - 1)::INT AS bucket, count(*
     "git_reports": report_sql(_TOTALS, "(SELECT repo_id, count(*) < 4 AS thin FROM p GROUP BY 1)", "repo_id"),
     "git_category_totals": f"WITH {_TOTALS} SELECT * FROM capped",
     "git_log_parsed": f"WITH {_C} SELECT repo_id, lower(lpad(to_hex(hash), 8, '0')) AS hash, ts, author, subject, added::BIGINT AS added, removed::BIGINT AS removed, 1::BIGINT AS files FROM c",
+    "git_log_split": f"WITH {_C} SELECT repo_id, lower(lpad(to_hex(hash), 8, '0')) AS hash, ts, author, subject, added::BIGINT AS added, removed::BIGINT AS removed, 2::BIGINT AS files FROM c",
     "git_log_default": f"WITH {_C} SELECT repo_id, lower(lpad(to_hex(hash), 8, '0')) AS hash, ts, author, subject, added::BIGINT AS added, removed::BIGINT AS removed, 2::BIGINT AS files FROM c",
     "git_log_oneline": f"WITH {_C} SELECT repo_id, lower(lpad(to_hex(hash), 8, '0')) AS hash, 0::BIGINT AS ts, '' AS author, subject, 0::BIGINT AS added, 0::BIGINT AS removed, 0::BIGINT AS files FROM c",
 }

@@ -2,12 +2,14 @@
 
 The formats are ``hash|epoch|author|subject``, the default one (``commit``, ``Author:``, ``Date:``, indented subject) and
 one line per commit. Lines of changed files belong to the commit above them. A commit is numbered by counting headers
-above its lines, so the reader is a window and a groupBy by repository.
+above its lines: within a split of the log by a window, and over splits by sums of their headers. So lines before a split's
+first header go to the last commit of the splits above, and a log of any size is read without a row, a window or a task that
+holds it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Shapes of lines.
@@ -24,23 +26,40 @@ def _number(text, pattern, group):
     return F.coalesce(F.when(found.rlike(r"^\d{1,18}$"), found).cast("long"), F.lit(0))
 
 
+#: Lines of a log text that are numbered together.
+SPLIT_LINES = 100_000
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(log, split, at, line) of log files: Spark reads a large file in splits, and the name of the file stands for its repository."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("log"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line"))
+    return rows.select("log", "split", F.monotonically_increasing_id().alias("at"), F.regexp_replace("line", "\r$", "").alias("line"))
+
+
 def commits(logs: DataFrame, id_col: str = "repo_id", log_col: str = "log") -> DataFrame:
-    """(repo_id, hash, ts, author, subject, added, removed, files, paste_pos) of each commit in a repository's log.
+    """(repo_id, hash, ts, author, subject, added, removed, files, paste_pos) of each commit in a repository's log, a text in one row.
 
     Unknown times are 0. A binary file counts as a file without lines. Files below a one-line commit belong to none.
     """
     text = F.regexp_replace(F.coalesce(F.col(log_col), F.lit("")), r"\r\n?", "\n")
-    rows = logs.select(id_col, F.posexplode(F.split(text, "\n")).alias("ln", "line"))
+    rows = logs.select(id_col, F.posexplode(F.split(text, "\n")).alias("at", "line")).withColumn("split", F.floor(F.col("at") / SPLIT_LINES))
+    return commits_of_lines(rows, id_col)
+
+
+def commits_of_lines(rows: DataFrame, id_col: str = "log") -> DataFrame:
+    """commits() of logs as lines (log, split, at, line): split orders the parts of a log, at the lines of a part."""
     line = F.col("line")
     piped, numstat = line.rlike(PIPED), line.rlike(NUMSTAT)
     header = ~piped & line.rlike(HEADER)
     oneline = ~piped & ~numstat & ~header & line.rlike(ONELINE) & ~line.rlike(r"(?i)^(?:commit|Author|Date|Merge)\b")
     kind = F.when(piped, "piped").when(numstat, "numstat").when(line.rlike(CHANGED), "short").when(header, "header").when(line.rlike(AUTHOR), "author").when(line.rlike(DATE), "date").when(line.rlike(SUBJECT), "subject").when(oneline, "oneline")
-    order = Window.partitionBy(id_col).orderBy("ln")
     starts = F.col("kind").isin("piped", "header", "oneline")
-    marked = rows.withColumn("kind", kind).filter("kind is not null").withColumn("no", F.sum(starts.cast("int")).over(order))
-    marked = marked.filter("no > 0")
-    first = lambda k, v: F.min_by(v, F.when(F.col("kind") == k, F.col("ln")))
+    marked = rows.withColumn("kind", kind).filter("kind is not null")
+    above = Window.partitionBy(id_col).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    before = marked.groupBy(id_col, "split").agg(F.count_if(starts).alias("_n")).select(id_col, "split", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(id_col, "split").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = marked.join(before, [id_col, "split"]).withColumn("no", F.col("_before") + F.count_if(starts).over(inside)).filter("no > 0")
+    first = lambda k, v: F.min_by(v, F.when(F.col("kind") == k, F.struct("split", "at")))
     is_ = lambda k: F.col("kind") == k
     stamp = F.try_to_timestamp(F.regexp_extract(line, r"^Date:\s*\w{3}\s+(.+)$", 1), F.lit("MMM d HH:mm:ss yyyy Z"))
     return marked.groupBy(id_col, "no").agg(

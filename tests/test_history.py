@@ -7,6 +7,7 @@ import pytest
 
 from evidentia.operators import history as H
 from evidentia.operators.tables import Folder
+from evidentia.sources import gitlog
 
 COMMITS = "repo_id int, hash string, ts long, author string, subject string, added long, removed long, files int, paste_pos int"
 
@@ -84,6 +85,28 @@ def test_blocks_give_what_loops_over_whole_histories_give(spark, block):
     folder.drop()
 
 
+def test_log_files_larger_than_a_split(spark, tmp_path):
+    """Spark reads the file in splits of a few hundred bytes; commits whose lines lie in two of them stay whole."""
+    random.seed(3)
+    expected = {}
+    for name, n in (("one", 150), ("two", 4), ("none", 0)):
+        text = ["a line above all commits", "1\t1\tnobody"] if n else []
+        for k in range(n):
+            files = [(random.choice([0, 5, 70]), random.randrange(9)) for _ in range(random.choice([0, 1, 12]))]
+            text += [f"{k:07x}|{1_600_000_000 + k}|Dev {k % 3}|subject {k}", ""] + [f"{a}\t{r}\tsrc/{i}.txt\r" for i, (a, r) in enumerate(files)]
+            expected[name, f"{k:07x}"] = (1_600_000_000 + k, f"Dev {k % 3}", f"subject {k}", sum(a for a, _ in files), sum(r for _, r in files), len(files), k + 1)
+        (tmp_path / f"{name}.log").write_text("\n".join(text))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        lines = gitlog.read_lines(spark, str(tmp_path))
+        assert lines.select("split").distinct().count() > 10
+        got = {(r["log"].rsplit("/", 1)[1][:-4], r["hash"]): tuple(r[c] for c in ("ts", "author", "subject", "added", "removed", "files", "paste_pos")) for r in gitlog.commits_of_lines(lines).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == expected
+
+
 def test_no_commits(spark):
     folder = Folder(spark, "history")
     placed = H.position(spark.createDataFrame([], COMMITS), folder)
