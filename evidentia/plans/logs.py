@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import visits as V
 from ..functions.tokens import open_token, report_token
-from ..streaming.limiter import decisions, slots
+from ..operators.tables import result
+from ..streaming.daytable import VISITS, DayTable
+from ..streaming.limiter import budget_decisions, decisions
 
 DAYS = 14
 _VISITS = """v AS (
@@ -120,6 +122,28 @@ def rate_limit_decisions(spark, sf_dir):
     return decisions(e, limit=3, window=12 * 3600)
 
 
+def usage_budgets(spark, sf_dir):
+    """Which requests are within the budgets of their clients and modes, in a log whose hours are read as seconds."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    mode = F.element_at(F.array(*[F.lit(m) for m in V.BUDGETS]), (F.col("event_id") % len(V.BUDGETS) + 1).cast("int"))
+    requests = e.select((F.col("user_id") % 40).alias("identity"), mode.alias("mode"), "event_id", F.expr("unix_seconds(cast(ts as timestamp)) div 3600").alias("at"))
+    return budget_decisions(requests, V.BUDGETS)
+
+
+def visits_daily_table(spark, sf_dir):
+    """Daily views from a table to which the visits were appended in two batches, one of them twice."""
+
+    def read(folder):
+        table = DayTable(spark, f"{folder.path}/visits", VISITS)
+        rows, (day, _) = visits(spark, sf_dir), latest(spark, sf_dir)
+        halves = [rows.filter(F.col("device").isin("desktop", "bot")), rows.filter(~F.col("device").isin("desktop", "bot"))]
+        for batch_id, batch in ((0, halves[0]), (1, halves[1]), (1, halves[1])):
+            table.append(batch, batch_id)
+        return V.daily(table.read(F.date_sub(day, DAYS - 1), day), DAYS, day)
+
+    return result(spark, "visits", read)
+
+
 def usage_key_count(spark, sf_dir):
     return V.count_for_key(usage(spark, sf_dir), 5, latest(spark, sf_dir)[1])
 
@@ -191,7 +215,7 @@ def device_classes(spark, sf_dir):
     return e.groupBy(V.device_of(agent).alias("device")).agg(F.count("*").alias("events"))
 
 
-QUERIES = {f.__name__: f for f in (visits_daily_filled, visits_bar_widths, visits_summary, visits_top_paths, visits_top_referrers, visits_by_device, visits_by_hour, visits_pruned, visitor_tokens, usage_total, usage_by_mode, usage_top_hosts, usage_key_hosts, key_usage_left_join, key_lookup, rate_limit_decisions, path_normalised, device_classes, usage_key_count, usage_over_budget, usage_recorded, keys_created, key_file, keys_revoked, visits_recorded, report_tokens)}
+QUERIES = {f.__name__: f for f in (visits_daily_filled, visits_bar_widths, visits_summary, visits_top_paths, visits_top_referrers, visits_by_device, visits_by_hour, visits_pruned, visitor_tokens, usage_total, usage_by_mode, usage_top_hosts, usage_key_hosts, key_usage_left_join, key_lookup, rate_limit_decisions, path_normalised, device_classes, usage_key_count, usage_over_budget, usage_budgets, visits_daily_table, usage_recorded, keys_created, key_file, keys_revoked, visits_recorded, report_tokens)}
 
 
 
@@ -249,6 +273,16 @@ SELECT page_id, id, CASE WHEN page_id % 3 <> 0 THEN url END AS target, sha256(en
     UNION ALL SELECT identity, event_id, n, len(held) < 3 AS allowed, CASE WHEN len(held) < 3 THEN list_append(held, tm) ELSE held END AS recent
     FROM (SELECT e.identity, e.event_id, e.n, e.tm, list_filter(r.recent, lambda x: e.tm - x < 43200) AS held FROM r JOIN e ON e.identity = r.identity AND e.n = r.n + 1)
 ) SELECT identity, event_id, allowed FROM r""",
+    "visits_daily_table": f"WITH {_VISITS} SELECT created_at::DATE AS day, count(*) AS views, count(DISTINCT visitor) AS visitors FROM v WHERE {_IN} AND device <> 'bot' GROUP BY 1",
+    "usage_budgets": """WITH RECURSIVE e AS (
+    SELECT (user_id % 40)::VARCHAR AS identity, ['url', 'crawl', 'code', 'git', 'api'][event_id % 5 + 1] AS mode, event_id, epoch(ts)::BIGINT // 3600 AS tm, row_number() OVER (PARTITION BY user_id % 40 ORDER BY epoch(ts)::BIGINT // 3600, event_id) AS n FROM events
+), r AS (
+    SELECT DISTINCT identity, 0::BIGINT AS event_id, 0::BIGINT AS n, false AS allowed, []::BIGINT[] AS url, []::BIGINT[] AS crawl, []::BIGINT[] AS code, []::BIGINT[] AS git, []::BIGINT[] AS api FROM e
+    UNION ALL SELECT identity, event_id, n, CASE mode WHEN 'url' THEN len(url) < 40 WHEN 'crawl' THEN len(url) < 40 AND len(crawl) < 10 WHEN 'code' THEN len(code) < 60 WHEN 'git' THEN len(git) < 60 ELSE len(api) < 500 END AS allowed,
+        CASE WHEN mode IN ('url', 'crawl') AND len(url) < 40 THEN list_append(url, tm) ELSE url END, CASE WHEN mode = 'crawl' AND len(url) < 40 AND len(crawl) < 10 THEN list_append(crawl, tm) ELSE crawl END,
+        CASE WHEN mode = 'code' AND len(code) < 60 THEN list_append(code, tm) ELSE code END, CASE WHEN mode = 'git' AND len(git) < 60 THEN list_append(git, tm) ELSE git END, CASE WHEN mode = 'api' AND len(api) < 500 THEN list_append(api, tm) ELSE api END
+    FROM (SELECT e.identity, e.event_id, e.n, e.mode, e.tm, list_filter(r.url, lambda x: e.tm - x < 600) AS url, list_filter(r.crawl, lambda x: e.tm - x < 180) AS crawl, list_filter(r.code, lambda x: e.tm - x < 600) AS code, list_filter(r.git, lambda x: e.tm - x < 600) AS git, list_filter(r.api, lambda x: e.tm - x < 600) AS api FROM r JOIN e ON e.identity = r.identity AND e.n = r.n + 1)
+) SELECT identity, event_id, allowed FROM r WHERE n > 0""",
     "usage_recorded": r"""WITH r AS (
     SELECT page_id, ['url', 'crawl', 'code', 'git', 'api'][page_id % 5 + 1] AS mode, CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 5 = 1 THEN 'pasted' ELSE url || '?q=' || html END AS target FROM pages
 ), c AS (SELECT *, left(target, list_max(list_filter(range(0, 2049), lambda k: strlen(left(target, k)) <= 2048))) AS cut, nullif(regexp_extract(target, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '') AS target_host FROM r)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,27 +48,63 @@ def decisions(requests: DataFrame, limit: int, window: int) -> DataFrame:
     return rows.mapInPandas(run, _OUT)
 
 
-def slots(requests: DataFrame, most: int, seconds: int) -> DataFrame:
-    """(token, at, running, granted) of fetches (token, at, released or null): a fetch is granted while fewer than ``most`` run.
+def spend(mode: str, at: int, held: dict[str, deque], budgets: dict[str, tuple[int, int]]) -> bool:
+    """Whether a client's request of a mode is within its budgets, and the note that it was made.
 
-    A fetch that isn't released ends ``seconds`` after it began. All rows are one queue in the order of (at, token), as
-    the limit is one for all; it is meant for the log of one gateway.
+    A crawl spends from the budget of single addresses first and then from its own; what it spends there stays spent if its
+    own is used up. A refused request doesn't count. A mode without a budget isn't limited.
+    """
+    for name in ("url", mode) if mode == "crawl" else (mode,):
+        if name not in budgets:
+            continue
+        most, seconds = budgets[name]
+        recent = held.setdefault(name, deque())
+        while recent and at - recent[0] >= seconds:
+            recent.popleft()
+        if len(recent) >= most:
+            return False
+        recent.append(at)
+    return True
+
+
+def budget_decisions(requests: DataFrame, budgets: dict[str, tuple[int, int]]) -> DataFrame:
+    """(identity, event_id, allowed) of requests (identity, mode, event_id, at in seconds), in the order of (at, event_id).
+
+    budgets: mode -> (requests, seconds), each a sliding window of one client. Rows of a client stream through a task in
+    order; it remembers at most as many times as the budgets allow. Rows without an identity are one client.
     """
-    schema = "token string, at long, running int, granted boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ends: list[int] = []
+        who, held = None, {}
         for pdf in batches:
-            running, granted = [], []
-            for at, released in zip(pdf["at"], pdf["released"], strict=True):
-                ends = [e for e in ends if e > at]
-                running.append(len(ends))
-                granted.append(len(ends) < most)
-                if granted[-1]:
-                    ends.append(at + seconds if pd.isna(released) else min(int(released), at + seconds))
-            yield pd.DataFrame({"token": pdf["token"], "at": pdf["at"], "running": running, "granted": granted})
-
-    return requests.select("token", "at", "released").repartition(1).sortWithinPartitions("at", "token").mapInPandas(run, schema)
+            allowed = []
+            for identity, mode, at in zip(pdf["identity"], pdf["mode"], pdf["at"], strict=True):
+                if identity != who:
+                    who, held = identity, {}
+                allowed.append(spend(mode, int(at), held, budgets))
+            yield pd.DataFrame({"identity": pdf["identity"], "event_id": pdf["event_id"], "allowed": allowed})
+
+    rows = requests.select(F.col("identity").cast("string").alias("identity"), "mode", "event_id", "at").fillna("", ["identity"])
+    return rows.repartition("identity").sortWithinPartitions("identity", "at", "event_id").mapInPandas(run, "identity string, event_id long, allowed boolean")
+
+
+def stream_budget_decisions(requests: DataFrame, budgets: dict[str, tuple[int, int]], late: str = "10 minutes") -> DataFrame:
+    """The same over a stream: a client's state is the times that its budgets still count, and goes when all have run out."""
+    longest = max(seconds for _, seconds in budgets.values())
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = {name: deque(times) for name, times in json.loads(state.get[0]).items()} if state.exists else {}
+        pdf = pd.concat(list(pdfs)).sort_values(["at", "event_id"])
+        allowed = [spend(mode, int(at), held, budgets) for mode, at in zip(pdf["mode"], pdf["at"], strict=True)]
+        state.update((json.dumps({name: list(times) for name, times in held.items()}),))
+        state.setTimeoutTimestamp(max(1000 * (int(pdf["at"].iloc[-1]) + longest), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"identity": key[0], "event_id": pdf["event_id"], "allowed": allowed})
+
+    rows = requests.withColumn("identity", F.coalesce(F.col("identity").cast("string"), F.lit(""))).withColumn("_ts", F.timestamp_seconds(F.col("at") + 1)).withWatermark("_ts", late)
+    return rows.groupBy("identity").applyInPandasWithState(step, "identity string, event_id long, allowed boolean", "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_decisions(requests: DataFrame, limit: int, window: int, late: str = "10 minutes") -> DataFrame:

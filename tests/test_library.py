@@ -1,5 +1,6 @@
 """The library's operators on hand-made subjects."""
 
+import hashlib
 import time
 from datetime import date, datetime
 
@@ -8,10 +9,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from evidentia.functions import catalog, text
-from evidentia.operators import assets, code, history, links, pages, scoring, sites, visits
+from evidentia.operators import assets, bundles, code, history, links, pages, scoring, sites, visits
 from evidentia.operators.tables import Folder
 from evidentia.sources import gitlog
-from evidentia.streaming import limiter
+from evidentia.streaming import daytable, limiter
 
 
 def test_catalogue_is_consistent():
@@ -232,3 +233,77 @@ def test_code_that_a_page_loads_joins_its_report(spark):
     score = lambda hits: {r["page_id"]: r["score"] for r in scoring.reports(hits, thin, "page_id").collect()}
     assert score(assets.merged(own, found))[1] > score(own)[1]
     assert assets.hits(assets.sub_subjects(table.limit(0))).count() == 0
+
+
+def test_budgets_by_client_and_mode(spark, tmp_path):
+    budgets = {"url": (3, 10), "crawl": (1, 20), "code": (2, 5)}
+    rows = [("a", "url", 1, 0), ("a", "crawl", 2, 1), ("a", "crawl", 3, 2), ("a", "url", 4, 3), ("a", "url", 5, 9), ("a", "url", 6, 10), ("a", "code", 7, 10), ("b", "crawl", 8, 2), (None, "code", 9, 3), (None, "other", 10, 3), ("a", "url", 11, 11), ("a", "crawl", 12, 30)]
+    df = spark.createDataFrame(rows, "identity string, mode string, event_id long, at long")
+    got = {r["event_id"]: r["allowed"] for r in limiter.budget_decisions(df, budgets).collect()}
+    # the second crawl is refused by its own budget but has spent from that of addresses, so 4 and 5 are refused; 6 comes when the first has run out
+    assert got == {1: True, 2: True, 3: False, 4: False, 5: False, 6: True, 7: True, 8: True, 9: True, 10: True, 11: True, 12: True}
+    assert limiter.budget_decisions(df.limit(0), budgets).count() == 0
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = limiter.stream_budget_decisions(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), budgets)
+    query = stream.writeStream.format("memory").queryName("budgets").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {r["event_id"]: r["allowed"] for r in spark.table("budgets").collect()} == got
+
+
+def test_a_replayed_batch_leaves_the_table_as_it_was(spark, tmp_path):
+    table = daytable.DayTable(spark, f"file://{tmp_path}/visits", daytable.VISITS)
+    assert table.read().count() == 0  # there before anything is written
+    batch = lambda *rows: spark.createDataFrame([(p, v, None, "desktop", None if d is None else datetime(2024, 1, d, 12), "extra") for p, v, d in rows], daytable.VISITS + ", day string")
+    table.append(batch(("/a", "x", 1), ("/b", "y", 2), ("/none", "z", None)), 0)
+    table.append(batch(("/c", "x", 2)), 1)
+    table.append(batch(("/a", "x", 1), ("/b", "y", 2), ("/none", "z", None)), 0)  # again
+    daytable.DayTable(spark, f"file://{tmp_path}/visits", daytable.VISITS, writer="other").append(batch(("/d", "w", 2)), 0)
+    assert sorted((r["path"], r["day"]) for r in table.read().collect()) == [("/a", date(2024, 1, 1)), ("/b", date(2024, 1, 2)), ("/c", date(2024, 1, 2)), ("/d", date(2024, 1, 2))]
+    some = table.read(F.lit(date(2024, 1, 2)), F.lit(date(2024, 1, 9)))
+    assert "PartitionFilters: [isnotnull(day" in some._jdf.queryExecution().toString() and some.count() == 3
+    days = visits.daily(some, 30, F.lit(date(2024, 1, 20)))
+    assert [tuple(r) for r in days.collect()] == [(date(2024, 1, 2), 3, 3)]
+    source = batch(("/s", "q", 5)).select("path", "visitor", "referer_host", "device", "created_at")
+    source.write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(source.schema).parquet(str(tmp_path / "in"))
+    for k in (1, 2):  # a second query with a new checkpoint replays the same batch
+        table.sink(stream(), str(tmp_path / f"checkpoint{k}")).awaitTermination(120)
+    assert table.read(F.lit(date(2024, 1, 5))).count() == 1
+
+
+def test_usage_rows_and_limits_in_bytes(spark):
+    rows = [("web", None, "anything", "https://Host.test/" + "é" * 2000, None), ("api", 7, "url", None, None), ("web", None, "code", "pasted", None), ("web", 1, "url", "http://" + "h" * 300 + "/", None)]
+    got = visits.record_usage(spark.createDataFrame(rows, "source string, api_key_id long, mode string, target string, at timestamp")).collect()
+    assert len(got) == 4 and len(got[0]["target"].encode()) == 2048 and got[0]["target_host"] == "Host.test" and got[1]["target"] is None and got[1]["target_host"] is None
+    assert got[2]["target_host"] is None and len(got[3]["target_host"]) == 255
+    path = lambda p: one(spark, p, visits.normalise_path)
+    assert [path(p) for p in ("/blog/INDEX.php?x", "?a", "", "/é" + "é" * 200, "#a?b")] == ["/blog/", "/a", "/", "/" + "é" * 127, "/a"]
+    made = visits.new_keys(spark.createDataFrame([("n", "s")], "name string, s string"), F.lit("s"), F.lit(0).cast("timestamp")).first()
+    assert made["key_hash"] == hashlib.sha256(b"s").hexdigest() and made["revoked_at"] is None
+
+
+def test_bodies_in_named_character_sets(spark):
+    samples = [("shift_jis", "日本語のページ"), ("gbk", "中文网页"), ("koi8-r", "Привет"), ("windows-1251", "Съешь"), ("utf-16", "añb"), ("iso-8859-1", "café\x85"), ("windows-1252", "“x”é"), ("big5", "繁體"), ("utf-8", "é")]
+    rows = [(i, bytearray(t.encode(label)), f"text/html; charset={label}") for i, (label, t) in enumerate(samples)]
+    odd = [
+        (100, b"a\xffb", "text/html; charset=gbk", "ab"), (101, b"caf\xe9", "text/html; charset=no-such", "caf?"), (102, b"\x00\xd8a", "x; charset=utf-16le", ""), (103, b"abc", "x; charset=hex", "abc"), (104, b"a\xe9", "charset=us-ascii", "a"),
+        (105, b"\x81a", "charset=cp1252", "a"), (106, b'<meta charset="KOI8-R">\xf0', None, '<meta charset="KOI8-R">П'), (107, None, "charset=gbk", None), (108, b"", None, ""),
+    ]
+    df = spark.createDataFrame(rows + [(i, None if b is None else bytearray(b), k) for i, b, k, _ in odd], "i int, body binary, kind string")
+    got = {r["i"]: r["t"] for r in df.select("i", bundles.to_utf8(F.col("body"), F.col("kind")).alias("t")).collect()}
+    assert got == {i: t for i, (_, t) in enumerate(samples)} | {i: t for i, _, _, t in odd}
+
+
+def test_hosts_beyond_ascii(spark):
+    hosts = ["bücher.example", "例え.テスト", "почта.рф", "faß.de", "plain.example", "Ünï.example"]
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    assert [r[0] for r in df.select(bundles.ascii_host(F.col("h"))).collect()] == [h.encode("idna").decode() for h in hosts]
+    typed = {" http://bücher.example:8080/x?y ": "http://xn--bcher-kva.example:8080/x?y", "bücher.example/é": None, "a..ü": None, "user@почта.рф": "https://user@xn--80a1acny.xn--p1ai", "": None}
+    assert {t: one(spark, t, bundles.normalise_url) for t in typed} == typed
+
+
+def test_harvest_stops_at_both_kinds_together(spark, monkeypatch):
+    monkeypatch.setattr(bundles, "MAX_STRINGS", 3)
+    source = "'flex items-center gap-4 p-6' 'Ship faster with our platform today' \"Trusted by every team we know\" 'grid gap-4 p-6 m-4' 'short'"
+    row = spark.range(1).select(bundles.harvest(F.lit(source)).alias("h")).select("h", bundles.class_attributes(F.col("h")).alias("c"), bundles.sentences(F.col("h")).alias("s")).first()
+    assert len(row["h"]) == 3 and row["c"] == 'class="flex items-center gap-4 p-6"' and row["s"].count("\n") == 1
