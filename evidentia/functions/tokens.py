@@ -28,12 +28,12 @@ def from_b64url(text: Column) -> Column:
     return F.coalesce(F.try_to_binary(padded, F.lit("base64")), F.lit("").cast("binary"))
 
 
-def report_token(secret: Column, fields: dict[str, Column], limits: dict[str, int] | None = None) -> Column:
+def report_token(secret: Column, fields: dict[str, Column], target: Column | None = None, at: Column | None = None) -> Column:
     """(payload, sig, id) of a report: its fields as JSON in b64url, signed, so that a changed one is told apart.
 
-    id is the first 12 digits of SHA-256 over target, time and secret. fields must have target and at.
+    id is the first 12 digits of SHA-256 over target, time and secret; these are fields of those names unless given.
     """
-    ident = F.upper(F.left(F.sha2(F.concat(fields["target"], fields["at"], secret), 256), F.lit(12)))
+    ident = F.upper(F.left(F.sha2(F.concat(fields["target"] if target is None else target, fields["at"] if at is None else at, secret), 256), F.lit(12)))
     payload = b64url(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()], ident.alias("id"))))
     return F.struct(payload.alias("payload"), hmac_sha256(payload, secret).alias("sig"), ident.alias("id"))
 

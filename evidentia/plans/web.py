@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import catalog, text as T
 from ..operators import links as L
 from ..operators import pages as P
-from ..operators import scoring, sites
+from ..functions.tokens import open_token
+from ..operators import exports, scoring, sites
 from .repositories import report_sql
 
 YEAR = 2026
@@ -58,12 +59,20 @@ DECORATIONS = [
     (31, 11, "<style>body{font-family: Inter, sans-serif}</style>"),
     (31, 12, '<i class="py-24"></i><i class="py-24"></i><i class="py-24"></i><i class="py-10"></i>'),
 ]
+#: (length of the site's name by nine, every k-th page, remainder, body, how often it is repeated)
+SHAPES = [
+    (0, 3, 0, "<p>Coming soon</p>", 1), (1, 4, 0, '<table><tr><td class="a1">some cell</td></tr></table>', 30), (1, 4, 1, '<ul><li class="b2">some item</li></ul>', 30), (1, 4, 2, '<div class="c3"><img src="/z.jpg"><em>some text</em></div>', 30),
+]
 #: Response headers of every k-th page.
 HEADERS = [
     (19, 0, {"content-security-policy": "default-src 'self'", "strict-transport-security": "max-age=31536000"}),
     (19, 1, {"content-security-policy": "script-src 'self'", "permissions-policy": "camera=()"}),
     (19, 2, {"content-security-policy": "upgrade-insecure-requests", "strict-transport-security": "max-age=31536000"}),
     (19, 3, {"set-cookie": "PHPSESSID=abc; path=/"}),
+    (19, 4, {"server": "nginx/1.2", "x-frame-options": "DENY"}),
+    (19, 5, {"server": "Vercel", "x-vercel-id": "cdg1::x", "x-powered-by": "Next.js"}),
+    (19, 6, {"cf-ray": "8a", "server": "cloudflare", "referrer-policy": "no-referrer", "x-content-type-options": "nosniff"}),
+    (19, 7, {"server": "unheard-of"}),
 ]
 
 
@@ -76,7 +85,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sited(spark, sf_dir):
-    return _pages(spark, sf_dir).withColumn("site", L.host(F.col("url")))
+    """Pages with their sites. On some sites every third page says nothing, on others pages are built in different ways."""
+    p = _pages(spark, sf_dir).withColumn("site", L.host(F.col("url")))
+    html = F.col("html")
+    for kind, k, r, x, n in SHAPES:
+        html = F.when((F.length("site") % 9 == kind) & (F.col("page_id") % k == r), F.lit("<html><body>" + x * n + "</body></html>")).otherwise(html)
+    return p.withColumn("html", html)
 
 
 def decorated(spark, sf_dir):
@@ -122,7 +136,8 @@ def link_robots(spark, sf_dir):
 
 def sitemap_dates(spark, sf_dir):
     """Sitemaps of a hundred of each site's pages, read again."""
-    item = F.concat(F.lit("<url><loc>"), "url", F.lit("</loc>"), F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("<lastmod>"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 90).cast("int")).cast("string"), F.lit("T00:00:00Z</lastmod>"))).otherwise(""), F.lit("</url>"))
+    day = F.when(F.length("site") % 9 == 2, F.lit(0)).otherwise(F.col("page_id") % 90).cast("int")  # some sites are made in one go
+    item = F.concat(F.lit("<url><loc>"), "url", F.lit("</loc>"), F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("<lastmod>"), F.date_add(F.lit("2024-01-01").cast("date"), day).cast("string"), F.lit("T00:00:00Z</lastmod>"))).otherwise(""), F.lit("</url>"))
     maps = sited(spark, sf_dir).groupBy("site", F.floor(F.col("page_id") / 100)).agg(F.array_join(F.sort_array(F.collect_list(item)), "\n").alias("body"))
     return sites.sitemap_features(L.sitemap_entries(maps))
 
@@ -157,7 +172,8 @@ def page_hits(spark, sf_dir):
 
 
 def page_facts(spark, sf_dir):
-    return P.facts(P.prepare(decorated(spark, sf_dir))).select("page_id", "lang", "cms", F.length("title").alias("title_length"))
+    f = P.facts(P.prepare(decorated(spark, sf_dir)))
+    return f.select("page_id", "lang", "cms", F.length("title").alias("title_length"), "framework", "hosting", "powered_by", "security_headers", "generator")
 
 
 def _reports(spark, sf_dir):
@@ -170,6 +186,20 @@ def page_scores(spark, sf_dir):
     return _reports(spark, sf_dir).select("subject_id", "score", "verdict", "confidence", "ai", "converging", "human")
 
 
+def page_certificates(spark, sf_dir):
+    """Reports as JSON and their signed certificates, opened again."""
+    at, secret = F.lit("2026-01-01T00:00:00Z"), F.lit("secret")
+    target = F.concat(F.lit("page "), F.col("subject_id").cast("string"))
+    rows = _reports(spark, sf_dir).select("subject_id", exports.report_json("url", target, at).alias("json"), exports.certificate("url", target, at, secret).alias("t"))
+    rows = rows.select("subject_id", "json", F.col("t.id").alias("id"), open_token(F.col("t.payload"), F.col("t.sig"), secret).alias("opened"))
+    ids = F.from_json(F.get_json_object("opened", "$.g"), "array<string>")
+    get = lambda c, path: F.get_json_object(c, path)
+    return rows.select(
+        "subject_id", "id", get("opened", "$.t").alias("target"), get("opened", "$.s").cast("int").alias("score"), get("opened", "$.c").alias("verdict"), F.array_join(ids, ",").alias("signals"),
+        get("json", "$.score").cast("int").alias("json_score"), get("json", "$.counts.human").cast("long").alias("json_human"), F.json_array_length(get("json", "$.signals")).cast("long").alias("json_signals"), get("json", "$.signals[0].id").alias("json_first"),
+    )
+
+
 def page_report_signals(spark, sf_dir):
     """The heaviest three signals of each report."""
     rows = _reports(spark, sf_dir).select("subject_id", F.posexplode(F.slice("signals", 1, 3)).alias("place", "s"))
@@ -236,9 +266,18 @@ def doc_secret_redaction(spark, sf_dir):
 
 
 def doc_tokens(spark, sf_dir):
-    """How many words of each document occur once in it."""
-    words = _docs(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_]+"), F.lit(0))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    return words.groupBy("doc_id").agg(F.count("*").alias("words"), F.count_if(F.col("n") == 1).alias("single"), F.max("n").alias("most"))
+    """How many different words each document has, how many of them occur once, and how often the most frequent one does."""
+    # equal words are neighbours in the sorted array, so a document stays one row; a last empty word ends the last run
+    words = F.concat(F.array_sort(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_]+"), F.lit(0))), F.array(F.lit("")))
+    state = lambda word, run, n, single, most: F.struct(word.alias("word"), run.cast("long").alias("run"), n.cast("long").alias("words"), single.cast("long").alias("single"), most.cast("long").alias("most"))
+    zero = F.lit(0)
+
+    def step(s, w):
+        ended = s["run"] > 0
+        return F.when(w == s["word"], state(w, s["run"] + 1, s["words"], s["single"], s["most"])).otherwise(state(w, F.lit(1), s["words"] + ended.cast("int"), s["single"] + (s["run"] == 1).cast("int"), F.greatest(s["most"], s["run"])))
+
+    counted = F.aggregate(words, state(F.lit(""), zero, zero, zero, zero), step)
+    return _docs(spark, sf_dir).select("doc_id", counted.alias("c")).select("doc_id", "c.words", "c.single", "c.most").filter("words > 0")
 
 
 def doc_excerpt(spark, sf_dir):
@@ -262,7 +301,7 @@ def conversation_profile(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     page_scores, page_features, page_visible_words, page_declared_language, page_links, link_canonical, link_robots, sitemap_dates, site_shape_tokens, site_similarity_mean, site_length_spread,
-    site_hits, page_hits, page_facts, page_report_signals, page_evidence, page_notes, site_scores, site_evidence, verdict_distribution, site_corroboration, doc_language_markers, doc_line_profile, doc_why_markers, doc_secret_redaction,
+    site_hits, page_hits, page_facts, page_report_signals, page_certificates, page_evidence, page_notes, site_scores, site_evidence, verdict_distribution, site_corroboration, doc_language_markers, doc_line_profile, doc_why_markers, doc_secret_redaction,
     doc_tokens, doc_excerpt, doc_emoji, doc_identifiers, conversation_profile,
 )}
 
@@ -309,7 +348,8 @@ def _header(name: str) -> str:
 
 
 _HEADER_SQL = f"{_header('content-security-policy')} AS csp, {_header('strict-transport-security')} AS hsts, {_header('permissions-policy')} AS permissions, {_header('set-cookie')} AS cookie"
-_SITED = f"p AS (SELECT *, {_HOST.format('url')} AS site FROM pages)"
+_SITED = f"""p0 AS (SELECT *, {_HOST.format('url')} AS site FROM pages),
+p AS (SELECT * REPLACE (CASE {' '.join(f"WHEN length(site) % 9 = {kind} AND page_id % {k} = {r} THEN '<html><body>' || repeat('{x}', {n}) || '</body></html>'" for kind, k, r, x, n in SHAPES)} ELSE html END AS html) FROM p0)"""
 _DECORATED = f"d AS (SELECT page_id, url, site, CASE WHEN page_id % 29 = 10 THEN regexp_replace(html, '(?s)<!--.*?-->', '', 'g') ELSE html END || {' || '.join(f"CASE WHEN page_id % {k} = {r} THEN '{_q(x)}' ELSE '' END" for k, r, x in DECORATIONS)} AS html, {_HEADER_SQL} FROM p), t AS (SELECT *, {_visible('html')} AS copy FROM d), x AS (SELECT *, {_declared('copy')} AS spoken FROM t)"
 _BODY = r"CASE WHEN regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1) = '' THEN html ELSE regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1) END"
 for _tag in ("script", "style", "noscript"):
@@ -325,7 +365,7 @@ _SPREAD = f"""w AS (SELECT site, page_id, {_words_sql(_visible('html'))} AS word
     SELECT site, count(*) AS pages, round(avg(words), 6) AS mean_words, round(CASE WHEN avg(words) > 0 THEN stddev_pop(words) / avg(words) ELSE 0 END, 6) AS spread, count(*) FILTER (words < 45) AS thin_pages, max(words) AS most_words,
         arg_max(page_id, words::BIGINT * 100000000 - page_id) AS deepest FROM w GROUP BY 1)"""
 _MAPS = """maps AS (SELECT site, count(*) AS urls, count(m) AS dated, count(DISTINCT m) AS dates, coalesce(date_diff('day', min(m), max(m)), 0)::INT AS spread_days
-    FROM (SELECT site, CASE WHEN page_id % 3 <> 0 THEN (DATE '2024-01-01' + (page_id % 90)::INT)::DATE END AS m FROM p) GROUP BY 1)"""
+    FROM (SELECT site, CASE WHEN page_id % 3 <> 0 THEN (DATE '2024-01-01' + CASE WHEN length(site) % 9 = 2 THEN 0 ELSE page_id % 90 END::INT)::DATE END AS m FROM p) GROUP BY 1)"""
 
 
 def _any(s: str, patterns: list[str]) -> str:
@@ -466,10 +506,18 @@ UNION ALL SELECT site, 'xs.uniform_page_size' FROM j WHERE mean_words > 40 AND s
 UNION ALL SELECT site, 'xs.placeholder_pages' FROM j WHERE thin_pages >= 2 AND thin_pages < pages UNION ALL SELECT site, 'xs.deep_content' FROM j WHERE most_words >= 900 AND most_words > 1.8 * mean_words
 UNION ALL SELECT site, 'xs.sitemap_one_pass' FROM maps WHERE urls >= 5 AND (dated = 0 OR (dates = 1 AND dated >= 5) OR (dates > 1 AND spread_days <= 1)) UNION ALL SELECT site, 'xs.sitemap_history' FROM maps WHERE urls >= 5 AND spread_days >= 60 AND dates >= 5""",
     "page_hits": f"WITH {_HITS_SQL} SELECT page_id, signal_id FROM hits",
-    "page_facts": f"""WITH {_SITED}, {_DECORATED} SELECT page_id, nullif(lower(regexp_extract(html, '(?i)<html[^>]+lang=["'']([a-z]{{2}})', 1)), '') AS lang, CASE {' '.join(f"WHEN regexp_matches(html, '{p}') THEN '{n}'" for n, p in P.CMS.items())} END AS cms,
-length(nullif(trim(regexp_extract(html, '(?i)<title[^>]*>\\s*([^<]{{0,160}})</title>', 1)), ''))::INT AS title_length FROM x""",
+    "page_facts": f"""WITH {_SITED}, {_DECORATED}, h AS (SELECT *, {', '.join(f"{_header(n)} AS {n.replace('-', '_')}" for n in ('server', 'x-powered-by', 'x-vercel-id', 'cf-ray', 'x-frame-options', 'x-content-type-options', 'referrer-policy'))} FROM x)
+SELECT page_id, nullif(lower(regexp_extract(html, '(?i)<html[^>]+lang=["'']([a-z]{{2}})', 1)), '') AS lang, CASE {' '.join(f"WHEN regexp_matches(html, '{p}') THEN '{n}'" for n, p in P.CMS.items())} END AS cms,
+    length(nullif(trim(regexp_extract(html, '(?i)<title[^>]*>\\s*([^<]{{0,160}})</title>', 1)), ''))::INT AS title_length, CASE {' '.join(f"WHEN regexp_matches(html, '{_q(p)}') THEN '{n}'" for n, p in P.FRAMEWORKS.items())} END AS framework,
+    CASE WHEN x_vercel_id <> '' THEN 'Vercel' WHEN cf_ray <> '' THEN 'Cloudflare' WHEN regexp_matches(server, '(?i)vercel|cloudflare|nginx') THEN server END AS hosting, nullif(x_powered_by, '') AS powered_by,
+    ((csp <> '')::INT + (hsts <> '')::INT + (permissions <> '')::INT + (x_frame_options <> '')::INT + (x_content_type_options <> '')::INT + (referrer_policy <> '')::INT) AS security_headers,
+    nullif(trim(regexp_extract(html, '{_q(P.GENERATOR)}', 1)), '') AS generator FROM h""",
     "page_scores": _SCORES,
     "page_report_signals": f"WITH {_TOTALS}, r AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY weight DESC, signal_id) - 1 AS place FROM known) SELECT subject_id, place::INT AS place, signal_id, weight, {_STRENGTH} AS strength FROM r WHERE place < 3",
+    "page_certificates": f"""WITH r AS ({report_sql(_TOTALS, "(SELECT page_id AS subject_id, strlen(html) < " + str(P.THIN_BYTES) + " AS thin FROM d)", "subject_id")}), ranked AS (
+    SELECT k.*, row_number() OVER (PARTITION BY subject_id ORDER BY weight DESC, signal_id) AS place FROM (WITH {_TOTALS} SELECT * FROM known) k
+), ids AS (SELECT subject_id, string_agg(signal_id, ',' ORDER BY place) FILTER (place <= 14) AS ids, count(*) AS n, min_by(signal_id, place) AS first FROM ranked GROUP BY 1)
+SELECT r.subject_id, upper(left(sha256('page ' || r.subject_id || '2026-01-01T00:00:00Z' || 'secret'), 12)) AS id, 'page ' || r.subject_id AS target, score, verdict, coalesce(ids, '') AS signals, score AS json_score, human AS json_human, coalesce(n, 0) AS json_signals, first AS json_first FROM r LEFT JOIN ids USING (subject_id)""",
     "page_evidence": f"WITH {_SITED}, {_DECORATED}, {_READ}, {_EVIDENCE} SELECT page_id, signal_id, array_to_string({_FIRST_FOUR('e')}, ' | ') AS evidence FROM e0",
     "page_notes": f"WITH {_SITED}, {_DECORATED} SELECT page_id, CASE WHEN strlen(html) < {P.THIN_BYTES} THEN 'little_markup,' ELSE '' END || CASE WHEN strlen(html) > {P.SCAN} THEN 'scan_cut,' ELSE '' END || 'one_direction' AS notes FROM d",
     "site_scores": report_sql(_SITE_TOTALS, "(SELECT DISTINCT site, false AS thin FROM p)", "site"),
