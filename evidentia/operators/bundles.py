@@ -6,7 +6,7 @@ import codecs
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -169,16 +169,36 @@ def asset_rank(url: Column) -> Column:
     return F.when(p.rlike(TRACKER), -10).when(p.endswith(".css"), 100).when(entry, 90).when(p.rlike(BUILT), 60).when(p.endswith(".js"), 40).otherwise(10)
 
 
-def page_assets(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most: int = MAX_ASSETS) -> DataFrame:
-    """(page_id, asset, rank, place): the same-host scripts and stylesheets of a page that are worth fetching, at most ``most``, best first."""
+def _ranked_assets(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(page_id, _ranked): the same-host scripts and stylesheets of a page, best first."""
     refs = F.flatten(F.array(*[F.regexp_extract_all(F.col(html_col), F.lit(p), F.lit(1)) for p in (SCRIPT, STYLESHEET, CSS)]))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("_base"), F.array_distinct(F.transform(refs, lambda r: resolve(r, F.col(url_col)))).alias("_all"))
     same = F.filter("_all", lambda a: F.coalesce((host(a) == host(F.col("_base"))) & (host(a) != ""), F.lit(False)))
     ranked = F.transform(same, lambda a, i: F.struct((-asset_rank(a)).alias("order"), i.alias("i"), a.alias("asset")))
-    best = rows.select("page_id", F.posexplode(F.slice(F.sort_array(ranked), 1, most)).alias("place", "a"))
+    return rows.select("page_id", F.sort_array(ranked).alias("_ranked"))
+
+
+def page_assets(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most: int = MAX_ASSETS) -> DataFrame:
+    """(page_id, asset, rank, place): the same-host scripts and stylesheets of a page that are worth fetching, at most ``most``, best first."""
+    best = _ranked_assets(pages, id_col, url_col, html_col).select("page_id", F.posexplode(F.slice("_ranked", 1, most)).alias("place", "a"))
     return best.select("page_id", F.col("a.asset").alias("asset"), (-F.col("a.order")).alias("rank"), "place")
 
 
+def fetched_assets(pages: DataFrame, bodies: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most: int = MAX_ASSETS) -> DataFrame:
+    """(page_id, assets): a map of address to body of the first ``most`` assets, best first, that can be fetched.
+
+    bodies: (url, status, body), what a fetch of an address brings; errors and empty bodies don't count, so the next best
+    asset takes their place. Bodies are cut at MAX_ASSET_BYTES. Only addresses that exist are joined with bodies. Pages
+    without any asset are left out.
+    """
+    fine = bodies.filter((F.coalesce("status", F.lit(200)) < 400) & (F.coalesce("body", F.lit("")) != "")).groupBy("url").agg(F.min("body").alias("body"))
+    wanted = _ranked_assets(pages, id_col, url_col, html_col).select("page_id", F.posexplode("_ranked").alias("_at", "_a")).select("page_id", "_at", F.col("_a.asset").alias("url"))
+    there = wanted.join(fine.select("url"), "url", "left_semi")
+    first = there.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy("_at"))).filter(F.col("_n") <= most)  # the assets of one page
+    found = first.join(fine, "url").select("page_id", F.struct("_n", "url", safe_cut(F.col("body"), MAX_ASSET_BYTES).alias("body")).alias("_b"))
+    return found.groupBy("page_id").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list("_b")), lambda b: F.struct(b["url"], b["body"]))).alias("assets"))
+
+
 def decode_data_uri(uri: Column) -> Column:
     """The text of a base64 or percent-encoded data address; null if it has none or is too long."""
     head, body = F.substring_index(uri, ",", 1), F.substring(uri, F.instr(uri, ",") + 1, F.length(uri))

@@ -92,6 +92,7 @@ INFORMAL = r"(?i)\b(?:HACK|XXX|WTF|UGH|ARGH|sigh|do ?n['o]?t touch|no idea why|g
 LEGACY = r"\$\(document\)\.ready|jQuery\(|\$\.ajax\(|\.live\(|var\s+\w+\s*=\s*function"
 NOT_METHODS = ["if", "for", "while", "switch", "catch", "return", "do", "else", "function", "with"]
 SMALL_NAMES = r"(?i)^(?:main|index|app|default|constructor|render|__init__|setUp)$"
+THIN_LINES = 25
 WHITE = " \t\n\r\x00\x0B"
 _METHOD = r"^\s+(?:static\s+)?(?:async\s+)?(?:get\s+|set\s+)?([A-Za-z_$]\w*)\s*\([^()]*\)\s*\{\s*$"
 
@@ -278,6 +279,12 @@ def features(files: DataFrame, id_col: str = "subject_id", src_col: str = "src")
     return single_use(source_features(line_features(with_lines(src)))).drop("src")
 
 
+def notes(f: DataFrame) -> DataFrame:
+    """(subject_id, notes): codes of what a reader should know of how a file was read: a short sample, and that no history was seen."""
+    said = {"short_sample": F.col("n_lines") < THIN_LINES, "no_history": F.lit(True)}
+    return f.select("subject_id", F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in said.items()]), lambda x: x.isNotNull()).alias("notes"))
+
+
 def fired(f: DataFrame) -> DataFrame:
     """(subject_id, signal_id, fire_seq, evidence) of the signals that fire; evidence is the first lines that show them, or the number behind them."""
     c = F.col

@@ -109,3 +109,10 @@ def sitewide_hits(similarity: DataFrame, spread: DataFrame, sitemap: DataFrame |
     rules = {"xs.sitemap_one_pass": one_pass, "xs.sitemap_history": (c("spread_days") >= 60) & (c("dates") >= 5)}
     more = sitemap.filter("urls >= 5").select("site", F.explode(F.filter(F.array(*[F.when(r, F.lit(s)) for s, r in rules.items()]), lambda s: s.isNotNull())).alias("signal_id"))
     return found.unionByName(more)
+
+
+def notes(pages: DataFrame) -> DataFrame:
+    """(site, pages, notes): codes of what a reader should know of how a site was read; pages: (site, page_id)."""
+    said = {"one_page_only": F.col("pages") == 1, "read_across_pages": F.col("pages") > 1, "only_what_is_linked": F.lit(True)}
+    sizes = pages.groupBy("site").agg(F.count_distinct("page_id").alias("pages"))
+    return sizes.withColumn("notes", F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in said.items()]), lambda x: x.isNotNull()))

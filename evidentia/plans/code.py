@@ -70,13 +70,19 @@ def code_hits(spark, sf_dir):
     return C.fired(C.features(files(spark, sf_dir))).select("subject_id", "signal_id")
 
 
+def code_notes(spark, sf_dir):
+    """What a reader should know of how each file was read."""
+    rows = C.sources(files(spark, sf_dir)).select("subject_id", F.size(F.split("src", "\n")).alias("n_lines"))
+    return C.notes(rows).withColumn("notes", F.array_join("notes", ","))
+
+
 def code_reports(spark, sf_dir):
     """Score, verdict and confidence of every file."""
-    thin = C.sources(files(spark, sf_dir)).select("subject_id", (F.size(F.split("src", "\n")) < 25).alias("thin"))
+    thin = files(spark, sf_dir).select("subject_id", (F.size(F.split(F.regexp_replace(F.coalesce("src", F.lit("")), r"\r\n?", "\n"), "\n")) < C.THIN_LINES).alias("thin"))
     return scoring.reports(C.fired(C.features(files(spark, sf_dir))), thin).drop("signals", "thin", "fingerprint")
 
 
-QUERIES = {f.__name__: f for f in (code_comment_lines, code_line_features, code_source_features, code_single_use, code_hits, code_reports)}
+QUERIES = {f.__name__: f for f in (code_comment_lines, code_line_features, code_source_features, code_single_use, code_hits, code_notes, code_reports)}
 
 
 def _q(p: str) -> str:
@@ -189,6 +195,7 @@ SQL = {
     + " + ".join(f"CASE WHEN {n} >= 3 THEN 3 WHEN {n} >= 2 THEN 1 ELSE 0 END" for n in (f"({' + '.join(f"contains(src, '{m}')::INT" for m in ms)})" for ms in C.FAMILIES.values()))
     + f")::INT AS solutions, len(list_distinct(regexp_extract_all(src, '{_q(C.HELPER)}', 1)))::INT AS helpers FROM s",
     "code_single_use": f"WITH {_SRC}, {_WORDS} SELECT * FROM single",
+    "code_notes": f"WITH {_SRC} SELECT subject_id, CASE WHEN length(src) - length(replace(src, chr(10), '')) < 24 THEN 'short_sample,no_history' ELSE 'no_history' END AS notes FROM s",
     "code_hits": f"WITH {_HITS} SELECT subject_id, signal_id FROM hits",
     "code_reports": report_sql(_TOTALS, "(SELECT subject_id, n_lines < 25 AS thin FROM f)", "subject_id"),
 }

@@ -39,6 +39,16 @@ def page_assets(spark, sf_dir):
     return B.page_assets(_pages(spark, sf_dir).withColumn("html", F.concat("html", F.lit(TAGS))))
 
 
+def page_assets_fetched(spark, sf_dir):
+    """The assets that can be fetched for every page: where one is missing, empty or an error, the next best takes its place."""
+    p = _pages(spark, sf_dir).withColumn("html", F.concat("html", F.lit(TAGS)))
+    wanted = B.page_assets(p, most=1000).select("page_id", F.col("asset").alias("url")).join(p.select("page_id", "html"), "page_id")
+    k = (F.length("url") + F.instr("url", "main.css")) % 7
+    bodies = wanted.groupBy("url").agg(F.min("html").alias("html")).select("url", F.when(k == 1, 404).when(k == 2, 503).otherwise(200).alias("status"), F.when(k == 3, "").otherwise(F.concat("url", F.lit("\n"), "html")).alias("body")).filter(k != 4)
+    found = B.fetched_assets(p, bodies)
+    return found.select("page_id", F.posexplode(F.map_entries("assets")).alias("place", "a")).select("page_id", "place", F.col("a.key").alias("asset"), F.md5(F.col("a.value")).alias("body"))
+
+
 def source_maps(spark, sf_dir):
     """Source maps of each page's scripts: inline for some pages, another file, a file of another host or none for others."""
     p = _map_json(_pages(spark, sf_dir))
@@ -128,7 +138,7 @@ def code_labels(spark, sf_dir):
     return d.groupBy(language_label(name).alias("label")).agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (page_assets, source_maps, bundle_strings, bundle_hits, response_headers, url_checks, body_charsets, byte_cuts, code_labels)}
+QUERIES = {f.__name__: f for f in (page_assets, page_assets_fetched, source_maps, bundle_strings, bundle_hits, response_headers, url_checks, body_charsets, byte_cuts, code_labels)}
 
 
 def _q(p: str) -> str:
@@ -150,8 +160,7 @@ _BUNDLE_SIGNALS = {
     "hu.typos": "regexp_matches(lower(sentences), 'recieve|calender')",
     "st.spa_shell": "false",
 }
-SQL = {
-    "page_assets": rf"""WITH h AS (SELECT page_id, url, html || '{_q(TAGS)}' AS html FROM pages),
+_RANKED = rf"""WITH h AS (SELECT page_id, url, html || '{_q(TAGS)}' AS html FROM pages),
 r0 AS (SELECT page_id, url, list_concat(list_concat(regexp_extract_all(html, '{_q(B.SCRIPT)}', 1), regexp_extract_all(html, '{_q(B.STYLESHEET)}', 1)), regexp_extract_all(html, '{_q(B.CSS)}', 1)) AS refs FROM h),
 r1 AS (SELECT page_id, url, unnest(refs) AS ref, unnest(range(len(refs))) AS i FROM r0),
 r2 AS (SELECT *, CASE WHEN regexp_matches(ref, '^(data:|#)') OR regexp_matches(ref, '(?i)^(javascript|mailto):') THEN NULL WHEN regexp_matches(ref, '(?i)^https?://') THEN ref WHEN starts_with(ref, '//') THEN split_part(url, '://', 1) || ':' || ref WHEN starts_with(ref, '/') THEN {_ROOT} || ref
@@ -159,7 +168,12 @@ r2 AS (SELECT *, CASE WHEN regexp_matches(ref, '^(data:|#)') OR regexp_matches(r
         lambda acc, x: CASE WHEN x[1] = '..' THEN CASE WHEN len(acc) > 1 THEN acc[:len(acc) - 1] ELSE acc END ELSE list_append(acc, x[1]) END), '/') END AS asset FROM r1),
 r3 AS (SELECT page_id, asset, min(i) AS i, lower({_PATH.format('asset')}) AS p FROM r2 WHERE {_HOST.format('asset')} = {_HOST.format('url')} GROUP BY ALL),
 r4 AS (SELECT *, CASE WHEN regexp_matches(p, '{B.TRACKER}') THEN -10 WHEN ends_with(p, '.css') THEN 100 WHEN regexp_matches(p, '{"|".join(B.ENTRY)}') THEN 90 WHEN regexp_matches(p, '/(assets|static|_next|_nuxt|build|dist)/') THEN 60 WHEN ends_with(p, '.js') THEN 40 ELSE 10 END::INT AS rank FROM r3),
-r5 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, i) - 1 AS place FROM r4) SELECT page_id, asset, rank, place::INT AS place FROM r5 WHERE place < 4""",
+"""
+SQL = {
+    "page_assets": f"{_RANKED}r5 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, i) - 1 AS place FROM r4) SELECT page_id, asset, rank, place::INT AS place FROM r5 WHERE place < 4",
+    "page_assets_fetched": f"""{_RANKED}b AS (SELECT asset, min(html) AS html FROM r4 JOIN h USING (page_id) GROUP BY 1),
+fine AS (SELECT asset, asset || chr(10) || html AS body FROM b WHERE (length(asset) + instr(asset, 'main.css')) % 7 IN (0, 5, 6)),
+r5 AS (SELECT page_id, asset, body, row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, i) - 1 AS place FROM r4 JOIN fine USING (asset)) SELECT page_id, place::INT AS place, asset, md5(body) AS body FROM r5 WHERE place < 4""",
     "source_maps": rf"""WITH j AS (SELECT page_id, {_ROOT} AS root, '{{"version":3,"sources":["src/App' || page_id || '.tsx","../node_modules/react/index.js","src/\"odd\" é.ts",""],"sourcesContent":["// page ' || page_id || '\nexport const \"a\" = 1;","library",null,"nothing"]}}' AS made FROM pages),
 m AS (SELECT page_id, root || CASE page_id % 4 WHEN 0 THEN '/js/app.js (inline)' ELSE '/js/app.js.map' END AS url, from_base64(to_base64(encode(made)))::BLOB AS body, made FROM j WHERE page_id % 4 < 2),
 f AS (SELECT page_id, url, list_transform(range(json_array_length(decode(body), '$.sources')::BIGINT), lambda i: {{'s': json_extract_string(decode(body), '$.sources[' || i || ']'), 'c': json_extract_string(decode(body), '$.sourcesContent[' || i || ']')}}) AS f FROM m),

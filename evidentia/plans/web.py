@@ -225,6 +225,11 @@ def _site_hits(spark, sf_dir):
     return sites.merged(hits, p).unionByName(whole).withColumn("fire_seq", F.lit(0))
 
 
+def site_notes(spark, sf_dir):
+    """What a reader should know of how each site was read."""
+    return sites.notes(sited(spark, sf_dir)).withColumn("notes", F.array_join("notes", ","))
+
+
 def site_scores(spark, sf_dir):
     """A report of each site, from the signals that enough of its pages show and those that only a site can show."""
     subjects = sited(spark, sf_dir).select("site").distinct().withColumn("thin", F.lit(False))
@@ -301,7 +306,7 @@ def conversation_profile(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     page_scores, page_features, page_visible_words, page_declared_language, page_links, link_canonical, link_robots, sitemap_dates, site_shape_tokens, site_similarity_mean, site_length_spread,
-    site_hits, page_hits, page_facts, page_report_signals, page_certificates, page_evidence, page_notes, site_scores, site_evidence, verdict_distribution, site_corroboration, doc_language_markers, doc_line_profile, doc_why_markers, doc_secret_redaction,
+    site_hits, page_hits, page_facts, page_report_signals, page_certificates, page_evidence, page_notes, site_notes, site_scores, site_evidence, verdict_distribution, site_corroboration, doc_language_markers, doc_line_profile, doc_why_markers, doc_secret_redaction,
     doc_tokens, doc_excerpt, doc_emoji, doc_identifiers, conversation_profile,
 )}
 
@@ -520,6 +525,7 @@ SELECT page_id, nullif(lower(regexp_extract(html, '(?i)<html[^>]+lang=["'']([a-z
 SELECT r.subject_id, upper(left(sha256('page ' || r.subject_id || '2026-01-01T00:00:00Z' || 'secret'), 12)) AS id, 'page ' || r.subject_id AS target, score, verdict, coalesce(ids, '') AS signals, score AS json_score, human AS json_human, coalesce(n, 0) AS json_signals, first AS json_first FROM r LEFT JOIN ids USING (subject_id)""",
     "page_evidence": f"WITH {_SITED}, {_DECORATED}, {_READ}, {_EVIDENCE} SELECT page_id, signal_id, array_to_string({_FIRST_FOUR('e')}, ' | ') AS evidence FROM e0",
     "page_notes": f"WITH {_SITED}, {_DECORATED} SELECT page_id, CASE WHEN strlen(html) < {P.THIN_BYTES} THEN 'little_markup,' ELSE '' END || CASE WHEN strlen(html) > {P.SCAN} THEN 'scan_cut,' ELSE '' END || 'one_direction' AS notes FROM d",
+    "site_notes": f"WITH {_SITED} SELECT site, count(DISTINCT page_id) AS pages, CASE WHEN count(DISTINCT page_id) = 1 THEN 'one_page_only' ELSE 'read_across_pages' END || ',only_what_is_linked' AS notes FROM p GROUP BY 1",
     "site_scores": report_sql(_SITE_TOTALS, "(SELECT DISTINCT site, false AS thin FROM p)", "site"),
     "site_evidence": f"""WITH {_HITS_SQL}, {_CORROBORATED}, {_EVIDENCE}, g AS (SELECT site, signal_id, min_by(e, page_id) AS e FROM e0 GROUP BY ALL), lines AS (
     SELECT site, signal_id, list_concat(CASE WHEN pages = 1 THEN []::VARCHAR[] ELSE [CASE WHEN category = 'fingerprint' THEN 'found on ' ELSE 'on ' END || on_pages || ' of ' || pages || ' pages read'] END, ({_FIRST_FOUR('e')})[1:3]) AS e FROM corroborated JOIN g USING (site, signal_id))
