@@ -6,14 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_BYTES = "".join(map(chr, range(256)))
+
+
+def _pad(key: Column, byte: int) -> Column:
+    """A binary key of at most 64 bytes, each XORed with ``byte``, filled up with ``byte``."""
+    # a translation to NUL would drop the character, so that one takes a detour
+    turned = F.translate(F.decode(key, "ISO-8859-1"), _BYTES, "".join(chr(i ^ byte or 0x100) for i in range(256)))
+    return F.rpad(F.encode(F.replace(turned, F.lit("\u0100"), F.lit("\0")), "ISO-8859-1"), 64, F.lit(bytes([byte])))
+
+
 def hmac_sha256(message: Column, key: Column) -> Column:
     """HMAC with SHA-256 in lower-case hex digits, of a text or binary message and key."""
     short = F.when(F.octet_length(key) > 64, F.unhex(F.sha2(key.cast("binary"), 256))).otherwise(key.cast("binary"))
-    digits = F.rpad(F.hex(short), 128, "0")
-    byte = lambda i: F.conv(F.substring(digits, F.lit(2) * i - 1, F.lit(2)), 16, 10).cast("int")
-    pad = lambda x: F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.lpad(F.hex(byte(i).bitwiseXOR(F.lit(x))), 2, "0")), ""))
-    inner = F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 256))
-    return F.sha2(F.concat(pad(0x5C), inner), 256)
+    inner = F.unhex(F.sha2(F.concat(_pad(short, 0x36), message.cast("binary")), 256))
+    return F.sha2(F.concat(_pad(short, 0x5C), inner), 256)
 
 
 def b64url(data: Column) -> Column:

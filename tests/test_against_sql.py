@@ -1,11 +1,14 @@
 """Queries against their SQL on tables whose rows lie on edges."""
 
+import hmac
 from datetime import datetime, timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from evidentia.functions.tokens import hmac_sha256
 
 
 def same_as_sql(spark, folder, name, *tables):
@@ -44,3 +47,11 @@ def test_slots_are_of_nearest_seconds(spark, tmp_path):
     ids = [24 + 69 * k for k in range(80) if (24 + 69 * k) % 4][:41]
     events(spark, tmp_path, [(i, 1_080_010.0, 1) for i in ids[1:]] + [(ids[0], 1_079_999.6, 1)])
     assert len(same_as_sql(spark, tmp_path, "usage_over_budget", "events")) == 1
+
+
+def test_keyed_hashes_of_any_key_without_a_step_for_each_byte(spark):
+    keys = [b"", b"6\\", bytes(range(64)), bytes(range(128, 192)), bytes(range(192, 256)), bytes(range(64, 129)), b"\0\0", b"secret\n2024-01-16", "ключ".encode()]
+    rows = [(k, m) for k in keys for m in (b"", b"m\0x", bytes(range(256)))]
+    made = spark.createDataFrame(rows, "k binary, m binary").select("k", "m", hmac_sha256(F.col("m"), F.col("k")).alias("h"))
+    assert [r["h"] for r in made.collect()] == [hmac.new(bytes(k), bytes(m), "sha256").hexdigest() for k, m in rows]
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
