@@ -1,8 +1,25 @@
-"""What is worked out once."""
+"""Plain texts that are looked for before patterns, and what is worked out once."""
+
+import re
 
 from pyspark.sql import functions as F
 
-from evidentia.functions import text
+from evidentia.functions import guards, text
+from evidentia.operators import pages
+
+
+def test_guards_are_in_every_match(spark):
+    assert guards.guard(r"(?i)\b(?:bg|text)-(?:Indigo|violet)-\d{2,3}\b") == ("indigo", "violet")
+    assert guards.guard(r"(?s)<!--(.*?)-->") == ("<!--",) and guards.guard(r"\d+|abc") is None and guards.guard(r"(?:abc)?x?") is None and guards.guard(r"é+") is None
+    patterns = [p for ps in (*pages.FINGERPRINTS.values(), pages.BUILDERS.values(), pages.STACK, pages.HEAD_PARTS, pages.OPERATIONS, pages.CMS.values(), *([f"(?iu){c}" for c in x] for x in pages.CLICHES.values())) for p in ps]
+    # the simple ones match themselves in any case, and with letters that are the same without case
+    rows = [(k, t) for k, p in enumerate(patterns) if re.fullmatch(r"[A-Za-z' _/-]+", q := re.sub(r"^\(\?iu?\)", "", p).replace("\\.", "_")) for t in (q, q.upper(), q.upper().replace("I", "İ"), q.replace("s", "ſ").replace("k", "K").replace("i", "ı"))]
+    assert len(rows) > 100
+    df = spark.createDataFrame(rows, "k int, s string").withColumn("f", guards.fold(F.col("s")))
+    for k in {k for k, _ in rows}:
+        plain, may = F.col("s").rlike(patterns[k]), guards.seen(F.col("f"), patterns[k])
+        df = df.withColumn("wrong", F.col("wrong") | ((F.col("k") == k) & plain & ~may) if "wrong" in df.columns else (F.col("k") == k) & plain & ~may)
+    assert df.filter("wrong").collect() == []
 
 
 def test_language_is_told_from_one_lower_case_text(spark):
