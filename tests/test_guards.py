@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import guards, text
 from evidentia.operators import pages
+from evidentia.plans import web
 
 
 def test_guards_are_in_every_match(spark):
@@ -27,3 +28,15 @@ def test_language_is_told_from_one_lower_case_text(spark):
     df = spark.createDataFrame([(k, s) for k, s in enumerate(said)], "k int, s string").select("k", text.declared_language(F.col("s")).alias("lang"))
     assert [r["lang"] for r in df.sort("k").collect()] == ["fr", "es", "fr", "", ""]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(s") == 1
+
+
+def test_costly_rules_have_several_tasks_for_each_core(spark):
+    some = spark.range(0, 1000, 1, 5)  # four cores
+    assert pages.spread(some).rdd.getNumPartitions() == 16 and pages.spread(some.repartition(40)).rdd.getNumPartitions() == 40
+
+
+def test_rules_of_pages_run_once_for_a_site(spark, tmp_path):
+    rows = [(k, f"https://a{k % 2}.example/{k}", "<p>Made in Bolt</p>" * 3) for k in range(6)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    plan = web._site_hits(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "gptengineer" not in plan
