@@ -14,14 +14,21 @@ from ..sources.gitlog import commits as read_log, commits_of_lines
 _SUBJECTS = ["initial commit", "Add login endpoint with validation and a responsive dashboard for users", "fix typo", "fix import path", "fix lint", "update", "Merge branch dev", "PROJ-12 rename columns", "ugh, please work", "Refactor billing", "wip", "Create payment api component using oauth and jwt tokens for routing"]
 #: Hashes (numbers here) of a log text, so that a repository of any size is texts of about a megabyte at most.
 LOG_RUN = 10_000
+#: Rows that a task of a shuffle is dealt; the number of tasks grows with the tables.
+TASK_ROWS = 500_000
+
+
+def _tasks(spark: SparkSession, rows: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, lines = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    counts = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.sum("l_quantity") * 3).cast("long").alias("added"), F.count("*").alias("removed"))
+    n = _tasks(spark, lines.count())  # from the files' footers
+    counts = lines.select("l_orderkey", "l_quantity").repartition(n, "l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.sum("l_quantity") * 3).cast("long").alias("added"), F.count("*").alias("removed"))
     subject = F.element_at(F.array(*[F.lit(s) for s in _SUBJECTS]), (F.col("o_orderkey") % len(_SUBJECTS) + 1).cast("int"))
     author = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("DEV "), (F.col("o_custkey") % 3).cast("string"))).otherwise(F.concat(F.lit("dev "), (F.col("o_custkey") % 3).cast("string")))
-    rows = o.join(counts, "o_orderkey", "left")
+    rows = o.repartition(n, "o_orderkey").join(counts, "o_orderkey", "left")
     # a few repositories are worked through in one sitting
     day = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
     ts = F.when(F.col("o_custkey") % 500 % 5 == 0, F.lit(1_500_000_000) + F.col("o_orderkey") % 997 * 30).otherwise(day)
@@ -86,10 +93,15 @@ def git_category_totals(spark, sf_dir):
     return _history(spark, sf_dir, lambda placed, found, f: scoring.category_totals(H.evidence(placed, found, f).withColumn("fire_seq", F.lit(0)), "repo_id"))
 
 
-def _logs(c, text, between):
+def _orders(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+
+
+def _logs(c, rows, text, between):
     """A log text for each run of LOG_RUN hashes of a repository, with ``text`` for each commit."""
     part = F.struct("repo_id", F.floor(F.col("hash") / LOG_RUN).alias("run")).alias("part")
-    return c.groupBy(part).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hash", text.alias("x")))), lambda r: r["x"]), between).alias("log"))
+    spark = c.sparkSession
+    return c.withColumn("part", part).repartition(_tasks(spark, rows), "part").groupBy("part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hash", text.alias("x")))), lambda r: r["x"]), between).alias("log"))
 
 
 def _read(logs):
@@ -103,7 +115,7 @@ def _hex():
 def git_log_parsed(spark, sf_dir):
     """Commits of every repository written as log texts, one for each run of LOG_RUN hashes, and read again from them."""
     line = F.concat_ws("\n", F.concat_ws("|", _hex(), F.col("ts").cast("string"), "author", "subject"), F.concat_ws("\t", F.col("added").cast("string"), F.col("removed").cast("string"), F.lit("src/a.txt")))
-    return _read(_logs(commits(spark, sf_dir), line, "\n\n"))
+    return _read(_logs(commits(spark, sf_dir), _orders(spark, sf_dir), line, "\n\n"))
 
 
 def git_log_split(spark, sf_dir):
@@ -114,7 +126,7 @@ def git_log_split(spark, sf_dir):
     changed = [F.concat_ws("\t", n.cast("string"), m.cast("string"), F.lit(name)) for n, m, name in ((half, F.col("removed"), "src/a.txt"), (F.col("added") - half, F.lit(0), "src/b.txt"))]
     lines = c.select("repo_id", "hash", F.posexplode(F.array(head, F.lit(""), *changed)).alias("k", "line")).withColumn("at", F.col("hash") * 4 + F.col("k"))
     lines = lines.select("repo_id", F.floor((F.col("at") + 2) / LOG_RUN).alias("split"), "at", "line")
-    found = commits_of_lines(lines, "repo_id")
+    found = commits_of_lines(lines, "repo_id", _tasks(spark, 4 * _orders(spark, sf_dir)))
     return found.select("repo_id", "hash", "ts", "author", "subject", "added", "removed", "files")
 
 
@@ -123,12 +135,12 @@ def git_log_default(spark, sf_dir):
     stamp = F.date_format(F.timestamp_seconds("ts"), "EEE MMM d HH:mm:ss yyyy Z")
     counts = F.concat(F.lit(" 2 files changed, "), F.col("added").cast("string"), F.lit(" insertions(+), "), F.col("removed").cast("string"), F.lit(" deletions(-)"))
     text = F.concat(F.lit("commit "), _hex(), F.lit("\nAuthor: "), "author", F.lit(" <dev@example.org>\nDate:   "), stamp, F.lit("\n\n    "), "subject", F.lit("\n    more of the message\n\n"), counts)
-    return _read(_logs(commits(spark, sf_dir), text, "\n\n"))
+    return _read(_logs(commits(spark, sf_dir), _orders(spark, sf_dir), text, "\n\n"))
 
 
 def git_log_oneline(spark, sf_dir):
     """The same with a line for each commit, which has neither time, author nor counts."""
-    return _read(_logs(commits(spark, sf_dir), F.concat_ws(" ", _hex(), "subject"), "\n"))
+    return _read(_logs(commits(spark, sf_dir), _orders(spark, sf_dir), F.concat_ws(" ", _hex(), "subject"), "\n"))
 
 
 QUERIES = {f.__name__: f for f in (git_features, git_hits, git_signal_counts, git_authors, git_trend, git_evidence, git_notes, git_reports, git_category_totals, git_log_parsed, git_log_split, git_log_default, git_log_oneline)}

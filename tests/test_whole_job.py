@@ -3,6 +3,7 @@
 from evidentia.operators import links
 from evidentia.operators.tables import Folder
 from evidentia.plans import repositories
+from evidentia.sources import gitlog
 
 
 def test_every_commit_is_written_and_read_again(spark, tmp_path, monkeypatch):
@@ -25,3 +26,25 @@ def test_depth_has_no_limit(spark):
     found = links.crawl_depth(spark.createDataFrame(pages, "site string, key long"), spark.createDataFrame(steps, "site string, source long, target long"), entries, folder).collect()
     folder.drop()
     assert sorted(map(tuple, found)) == sorted([("deep", k, k) for k in range(14)] + [("flat", 0, 0), ("flat", 1, 1), ("flat", 2, 1), ("alone", 7, 0)])
+
+
+def test_log_texts_are_read_within_their_rows(spark):
+    log = "3 files changed\n\naaaaaaa|1500000000| a |one\n1\t2\tx\n-\t-\ty\ncommit bbbbbbb\nAuthor: b <b@c>\nDate:   Fri Jul 14 02:40:00 2017 +0000\n\n    two\n    more\n\n 2 files changed, 5 insertions(+), 1 deletion(-)\r\nccccccc three\n7\t7\tz"
+    found = gitlog.commits(spark.createDataFrame([(1, log), (2, ""), (3, None)], "repo_id int, log string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    expected = [("aaaaaaa", 1500000000, "a", "one", 1, 2, 2, 1), ("bbbbbbb", 1500000000, "b", "two", 5, 1, 2, 2), ("ccccccc", 0, "", "three", 0, 0, 0, 3)]
+    assert [tuple(r)[1:] for r in found.sort("paste_pos").collect()] == expected
+    # as lines, of which a commit's lie in several splits
+    lines = spark.createDataFrame([("r", k // 3, k, x) for k, x in enumerate(log.replace("\r", "").split("\n"))], "log string, split long, at long, line string")
+    for tasks in (None, 5):
+        assert [tuple(r)[1:] for r in gitlog.commits_of_lines(lines, tasks=tasks).sort("paste_pos").collect()] == expected
+
+
+def test_tasks_grow_with_the_tables(spark, tmp_path, monkeypatch):
+    spark.range(60).selectExpr("id o_orderkey", "id o_custkey", "date'2020-01-01' o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(120).selectExpr("id div 2 l_orderkey", "1.0D l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(repositories, "TASK_ROWS", 10)
+    plan = lambda q: q(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert all(plan(q).count("RepartitionByExpression") >= 3 for q in (repositories.git_log_default, repositories.git_log_parsed, repositories.git_log_split))
+    assert repositories._tasks(spark, 120) == 12 and repositories.git_log_split(spark, str(tmp_path)).count() == 60
