@@ -40,3 +40,11 @@ def test_rules_of_pages_run_once_for_a_site(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     plan = web._site_hits(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "gptengineer" not in plan
+
+
+def test_texts_are_worked_out_once_and_all_parts_of_a_match_are_needed(spark):
+    assert {"%"} in map(set, guards._guards(pages.STATISTICS[1])) and guards.guard(r"\x{2014}") == ("—",)
+    df = spark.createDataFrame([("a  b &amp; c\t-\r\n",), ("one  two",)], "s string")
+    assert [r[0] for r in df.select(text.visible_text(F.col("s"))).collect()] == ["a b & c -", "one two"]
+    plan = df.select(text.visible_text(F.col("s")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<noscript") == 1
