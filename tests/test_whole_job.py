@@ -1,6 +1,6 @@
 """Queries and operators on inputs beyond the sizes of the small tables: nothing may be left out."""
 
-from evidentia.operators import links
+from evidentia.operators import assets, links
 from evidentia.operators.tables import Folder
 from evidentia.plans import repositories
 from evidentia.sources import gitlog
@@ -48,3 +48,13 @@ def test_tasks_grow_with_the_tables(spark, tmp_path, monkeypatch):
     plan = lambda q: q(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert all(plan(q).count("RepartitionByExpression") >= 3 for q in (repositories.git_log_default, repositories.git_log_parsed, repositories.git_log_split))
     assert repositories._tasks(spark, 120) == 12 and repositories.git_log_split(spark, str(tmp_path)).count() == 60
+
+
+def test_sources_behind_scripts_are_read_to_their_end(spark):
+    # more than 800,000 bytes before the line that tells, in one map and over two
+    padding = "const value = 1; // plain\n" * 32_000
+    maps = lambda *contents: [("app.js.map", ["src/a.ts"], x) for x in contents]
+    rows = [(1, {}, maps(padding + "// sure, here's a helper\n")), (2, {}, maps(padding, "// sure, here's a helper\n")), (3, {}, maps(padding))]
+    table = spark.createDataFrame(rows, "page_id int, assets map<string,string>, source_maps array<struct<url:string,sources:array<string>,content:string>>")
+    found = assets.hits(assets.sub_subjects(table)).filter("signal_id = 'cd.assistant_chatter'").collect()
+    assert sorted((r["page_id"], tuple(r["evidence"])) for r in found) == [(k, (f"line {n}: // sure, here's a helper",)) for k, n in ((1, 32_002), (2, 32_003))]
