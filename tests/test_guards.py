@@ -1,11 +1,12 @@
 """Plain texts that are looked for before patterns, and what is worked out once."""
 
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from evidentia.functions import guards, text
-from evidentia.operators import pages
+from evidentia.operators import code, pages
 from evidentia.plans import web
 
 
@@ -48,3 +49,42 @@ def test_texts_are_worked_out_once_and_all_parts_of_a_match_are_needed(spark):
     assert [r[0] for r in df.select(text.visible_text(F.col("s"))).collect()] == ["a b & c -", "one two"]
     plan = df.select(text.visible_text(F.col("s")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("<noscript") == 1
+
+
+def test_words_tell_what_a_text_may_hold(spark):
+    rows = ['<a class="bg-indigo-500">Made in Bolt</a>\nsame line\nsame line', "é日-İstanbul \u212a9 \u017ftar", "", "a-b_c1"]
+    df = spark.createDataFrame([(x,) for x in rows], "s string").select(guards.fold(F.col("s")).alias("f")).withColumn("w", guards.words(F.col("f")))
+    assert [r["w"] for r in df.collect()] == ["a class bg indigo 500 made in bolt same line", "istanbul k9 star", "", "a b c1"]
+    looked = ["indigo", "bg-indigo", "made in", "é", "class=", "class-", "line\nsame", "k9", "star", "-", "c1", "lin", "b_c", "b-c"]
+    told = df.select(*[(guards.held(F.col("f"), t, F.col("w")) == F.contains("f", F.lit(t))).alias(f"t{k}") for k, t in enumerate(looked)])
+    assert all(all(r) for r in told.collect())
+    # one run is looked for among the words only
+    assert str(guards.held(F.col("f"), "indigo", F.col("w"))) == str(F.contains(F.col("w"), F.lit("indigo")))
+    looks = pages.prepare(spark.createDataFrame([(1, "", "x")], "page_id int, url string, html string")).select(pages.like("html", r"(?i)tailwind-merge"))
+    assert looks._jdf.queryExecution().analyzed().toString().count("words_page") >= 2
+
+
+def test_patterns_led_by_their_first_character_match_the_same(spark):
+    assert guards.led(r"(?i)\b(?:get|x?set)\w+") == r"(?i)(?=[\x{67}\x{73}\x{78}])\b(?:get|x?set)\w+"
+    assert all(guards.led(p) == p for p in (r"catch\s*\(", r"\w+x", r"(?i)x*", r"\p{L}a|b", r"(?:a|)b?", r"[[a-z]&&[b]]", r"(?s).a", "("))
+    patterns = [r"(?iu)\b(?:keep|sip|it)s\b", r"(?i)k\d", r"(?<![\w$])else\b", r"(?m)^(?:a|b)+$", r"[\"'`](?:x|y)", r"(?iu)(?:é|ß)t", r"(?i)[j-l]\d|\x{2014}", r"(?i)(?:s|t)(\w)\1"]
+    texts = ["Keeps \u212aeeps SIP sips ſips it's İTS ıts", "k1 K2 \u212a3 —", "else $else elsewhere; else", "ab\nba\nc\na", "'x \"y `z", "Ét ßT ẞt ét", "stt sTT TSS", ""]
+    assert sum(guards.led(p) != p for p in patterns) == len(patterns)
+    df = spark.createDataFrame([(x,) for x in texts], "s string")
+    every = lambda p: F.regexp_extract_all("s", F.lit(p), F.lit(0))
+    assert all(all(r) for r in df.select(*[(every(p) == every(guards.led(p))).alias(f"p{k}") for k, p in enumerate(patterns)]).collect())
+    assert all(any(r) for r in zip(*df.select(*[(F.size(every(p)) > 0).alias(f"p{k}") for k, p in enumerate(patterns)]).collect(), strict=True))
+
+
+def test_language_of_an_open_block_takes_linear_time(spark):
+    texts = ["a {" + " b: c;" * 4000, "a {" + " b: c;" * 4000 + "} .x-y\n{ p: q; } z{:} w{;:;}", "text"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, src string")
+    began = time.time()
+    assert [r["code_language"] for r in code.sources(df, "k").sort("subject_id").collect()] == ["unknown", "css", "unknown"]
+    assert time.time() - began < 20
+
+
+def test_names_are_counted_among_few_and_many(spark):
+    few, many = ("".join(f"function name{k}() {{}}\n" for k in range(n)) + "name1(); name2();\nimport old from 'x'\n" for n in (9, 200))
+    found = code.single_use(code.sources(spark.createDataFrame([(1, few), (2, many), (3, "plain text")], "k int, src string"), "k")).sort("subject_id")
+    assert [(r["declares"], r["dead_imports"], r["dead_names"]) for r in found.collect()] == [(True, 1, 7), (True, 1, 198), (False, 0, 0)]
